@@ -5,20 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tandem.llm import exact
+from tandem.llm import exact, packing, tokencount
+from tandem.llm.storage import written
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_bfd_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id matrices of all documents, written and read again, with a digest in place of the ids."""
+    stored = written(packing.packed_matrix(_documents(spark, sf_dir), vocabulary()), "matrix")
+    n_tokens = F.element_at("cu_seqlens", -1)
+    return stored.select(
+        "sequence_id",
+        "doc_ids",
+        "starts",
+        "cu_seqlens",
+        n_tokens.cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("row_crc32"),
+        F.crc32(F.expr("substring(ids, 1, 2 * element_at(cu_seqlens, -1))")).alias("ids_crc32"),
+        F.hex("position_resets").alias("position_resets"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_documents(spark, sf_dir))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.section_tokens(_documents(spark, sf_dir), vocabulary(), ("lang", "source", "text"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), vocabulary(), 2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op6_exact_dedup]
+    found = [op3_bfd_matrix, op6_exact_dedup, op8_token_counts, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
