@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import exact, packing, tokencount
+from tandem.llm import exact, media, packing, tokencount
 from tandem.llm.storage import written
 
 
@@ -21,6 +21,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(_documents(spark, sf_dir))
+
+
 def op3_bfd_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The id matrices of all documents, written and read again, with a digest in place of the ids."""
     stored = written(packing.packed_matrix(_documents(spark, sf_dir), vocabulary()), "matrix")
@@ -50,7 +54,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_bfd_matrix, op6_exact_dedup, op8_token_counts, op10_best_fit_packing]
+    found = [op1_media_columns, op3_bfd_matrix, op6_exact_dedup, op8_token_counts, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
