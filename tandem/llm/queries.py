@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import exact, media, packing, substring, tokencount
+from tandem.llm import exact, jaccard, media, packing, substring, tokencount
 from tandem.llm.storage import written
 
 
@@ -41,6 +41,10 @@ def op3_bfd_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_classes(_documents(spark, sf_dir), 4, 85, 100)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_documents(spark, sf_dir))
 
@@ -58,7 +62,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_media_columns, op3_bfd_matrix, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op10_best_fit_packing]
+    found = [op1_media_columns, op3_bfd_matrix, op4_ngram_jaccard, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
