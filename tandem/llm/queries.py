@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import exact, jaccard, media, packing, substring, tokencount
+from tandem.llm import exact, jaccard, media, packing, pieces, substring, tokencount, toxicity
 from tandem.llm.storage import written
 
 
@@ -45,6 +45,21 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_classes(_documents(spark, sf_dir), 4, 85, 100)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all texts and what they decode to, as digests."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    back = pieces.decode(pieces.encode(_documents(spark, sf_dir), model), model)
+    return back.select(
+        "doc_id",
+        "n_chars",
+        (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_documents(spark, sf_dir))
 
@@ -57,12 +72,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.section_tokens(_documents(spark, sf_dir), vocabulary(), ("lang", "source", "text"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), vocabulary(), 2048)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_media_columns, op3_bfd_matrix, op4_ngram_jaccard, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op10_best_fit_packing]
+    found = [op1_media_columns, op3_bfd_matrix, op4_ngram_jaccard, op5_sentencepiece, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_toxicity, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 

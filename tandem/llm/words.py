@@ -19,6 +19,8 @@ _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _Q = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Separators that leave runs of letters: all ASCII but letters.
+NO_LETTER = np.array([b < 0x80 and not chr(b).isalpha() for b in range(256)])
 
 
 def _byte_codes(fold: bool) -> np.ndarray:
@@ -68,7 +70,7 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def scan(texts: pa.Array, fold: bool = False) -> Iterator[Words]:
+def scan(texts: pa.Array, fold: bool = False, separators: np.ndarray = _SPACE) -> Iterator[Words]:
     """Words of a string array in slices of whole documents, about SLICE_BYTES each; null texts have none."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
@@ -78,13 +80,13 @@ def scan(texts: pa.Array, fold: bool = False) -> Iterator[Words]:
     row = 0
     while row < len(texts):
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
-        yield _scan_slice(row, raw[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row], fold)
+        yield _scan_slice(row, raw[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row], fold, separators)
         row = stop
 
 
-def _scan_slice(row: int, data: np.ndarray, offsets: np.ndarray, fold: bool) -> Words:
+def _scan_slice(row: int, data: np.ndarray, offsets: np.ndarray, fold: bool, separators: np.ndarray) -> Words:
     n = len(data)
-    inside = ~_SPACE[data]
+    inside = ~separators[data]
     begin, finish = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
     finish[:-1] &= ~inside[1:]
@@ -100,6 +102,17 @@ def _scan_slice(row: int, data: np.ndarray, offsets: np.ndarray, fold: bool) ->
     return Words(row, data, start, end, first, code)
 
 
+def beginnings(words: Words, size: int, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the first `size` bytes of each word, and whether the word is longer than that."""
+    n = len(words.data)
+    power, inverse = _power_tables(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_CODES[fold][words.data] * power[:n], out=total[1:])
+    longer = words.end - words.start > size
+    end = np.minimum(words.start + size, n)
+    return mix((total[end] - total[words.start]) * inverse[words.start] + _P * np.uint64(size)), longer
+
+
 def shingles(words: Words, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the k words from each position, and whether those k words belong to one document."""
     n = len(words.code)
