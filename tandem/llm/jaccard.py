@@ -8,9 +8,9 @@
 3. The order is cut into fragments. For candidate pairs, those with a common shingle in their prefixes, overlaps are
    counted fragment by fragment and summed per pair.
 
-Candidates are taken in two steps so that a group of n near copies doesn't become n * n pairs: first each prefix shingle's sets
-are compared with one centre, the set with the fewest unshared shingles; when components of those links are known, the
-pairs of a prefix that still lie in different components follow, all of them. A pair inside a component can't change
+Candidates are taken in two steps so that a group of n near copies doesn't become n * n pairs: first each set is compared
+with one centre, of all sets that share a prefix shingle with it the one with the fewest shingles of its own; when components
+of those links are known, the pairs of a prefix that still lie in different components follow, all of them. A pair inside a component can't change
 it, so components are those of all links.
 """
 
@@ -85,7 +85,7 @@ def _counted(e: Entries, n: int) -> list[tuple]:
 
 def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Rows of two kinds: DOC, each document's class of equal sets and size; COUNT, how many of its first shingles are shared."""
-    n = partitions(docs.sparkSession) * 2
+    n = partitions(docs.sparkSession)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +104,7 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     longest = count - _least(count, num, den) + np.ceil(EXTRA * count).astype(np.int64) + 1
                     fresh = np.array([c not in seen and not seen.add(c) for c in code[here].tolist()], bool)
                     take = (at < longest[owner]) & fresh[owner]
-                    parts.append(Entries(key[here][owner[take]], code[here][owner[take]], value[take], blobs.EMPTY.a, at[take].astype(np.uint32)))
+                    parts.append(Entries(key[here][owner[take]], code[here][owner[take]], value[take], blobs.EMPTY.a, blobs.EMPTY.at))
             info = Entries(id_, key, code.view(np.uint64), blobs.EMPTY.a, size.astype(np.uint32))
             own = np.full(len(id_), int(key[0]) % n if len(key) else 0)
             yield blobs.batch(blobs.rows(info, own, DOC) + _thinned_counts(blobs.joined(parts), n))
@@ -148,7 +148,7 @@ def _shared_counts(first: DataFrame) -> DataFrame:
 
 def _packed_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """code, bucket and hashes (the whole set, ascending) for the documents (key, code) in wanted, one row for each code."""
-    n = partitions(docs.sparkSession) * 2
+    n = partitions(docs.sparkSession)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +171,7 @@ def _ordered(sets: DataFrame, num: int, den: int) -> DataFrame:
     The order is by the power of two of the number of sets that hold a shingle, then by hash; shingles that one batch found in HOT sets come last.
     Sets that share too few shingles to have a partner are left out.
     """
-    n = partitions(sets.sparkSession) * 2
+    n = partitions(sets.sparkSession)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,7 +269,8 @@ def near_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     centres = entries.groupBy("shingle").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("alone"), F.col("code").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))).alias("centre"), F.count(F.lit(1)).alias("sets"))
     # a centre's partners: overlaps are at most what both have from the shingle on in the order
     star = entries.join(centres.where("sets > 1"), "shingle").select("centre.*", F.col("code").alias("b"), F.col("n").alias("n_b"), "rest").where("a <> b")
-    stars = star.where(_may_link(F.least("rest_a", "rest"), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b", "n_a", "n_b").distinct()
+    near = star.where(_may_link(F.least("rest_a", "rest"), F.col("n_a"), F.col("n_b"), num, den))
+    stars = near.groupBy("b", "n_b").agg(F.min(F.struct("alone", "a", "n_a")).alias("c")).select("c.a", "b", "c.n_a", "n_b")
     links = written(_linked(stars, ordered, num, den), "jaccard-links")
     vertices = wanted.join(ordered.select("code"), "code", "left_semi").select(F.col("code").alias("v"), "label")
     known = least_labels(vertices, links)
