@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import exact, jaccard, media, packing, pieces, substring, tokencount, toxicity
+from tandem.llm import exact, jaccard, media, packing, pieces, substring, tokencount, toxicity, warc
 from tandem.llm.storage import written
 
 
@@ -25,6 +25,13 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_documents(spark, sf_dir))
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits of a crawl log made from all pages, with some of their headers."""
+    found = warc.resolve_revisits(warc.crawl_records(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    header = lambda name, alias: F.col("headers")[name].alias(alias)
+    return found.select("record_id", "url", "canonical", "refers_to", "state", "digest", header("date", "header_date"), header("content-length", "header_length"), header("server", "header_server"))
+
+
 def op3_bfd_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The id matrices of all documents, written and read again, with a digest in place of the ids."""
     stored = written(packing.packed_matrix(_documents(spark, sf_dir), vocabulary()), "matrix")
@@ -81,9 +88,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_media_columns, op3_bfd_matrix, op4_ngram_jaccard, op5_sentencepiece, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_toxicity, op10_best_fit_packing]
+    found = [op1_media_columns, op2_warc_revisits, op3_bfd_matrix, op4_ngram_jaccard, op5_sentencepiece, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_toxicity, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact.ORACLE}
+    return {"op2_warc_revisits": warc.ORACLE, "op6_exact_dedup": exact.ORACLE}
