@@ -9,20 +9,21 @@ from tandem.llm.storage import written
 
 
 def least_labels(vertices: DataFrame, links: DataFrame) -> DataFrame:
-    """For each vertex (v, label) the least label among those of its component.
+    """For each vertex (v, label) the least label among those of its component, and root, a vertex that stands for the component.
 
-    links: a, b, in either direction, all of them vertices; repeated ones do no harm. A round takes the least label of the neighbours and then that of
-    the vertex which that label belonged to, so the rounds grow with the logarithm of a component's diameter. Labels of
-    different vertices may be equal. Each round is written to the shared folder; a star's centre is aggregated before the shuffle.
+    links: a, b, in either direction, all of them vertices; repeated ones do no harm. A round takes the least (label, root) of the neighbours
+    and then that which this root has, so the rounds grow with the logarithm of a component's diameter. Labels of different
+    vertices may be equal. Each round is written to the shared folder; a star's centre is aggregated before the shuffle.
     """
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     now = written(vertices.select("v", "label", F.col("v").alias("root")), "labels")
     while True:
         near = both.join(now.select(F.col("v").alias("b"), "label", "root"), "b").groupBy(F.col("a").alias("v")).agg(F.min(F.struct("label", "root")).alias("near"))
-        met = now.join(near, "v", "left").select("v", F.col("label").alias("was"), F.least(F.struct("label", "root"), F.coalesce("near", F.struct("label", "root"))).alias("best"))
-        roots = now.select(F.col("v").alias("r"), F.struct("label", "root").alias("far"))
-        jumped = met.join(roots, F.col("best.root") == F.col("r")).select("v", "was", F.least("best", "far").alias("best"))
-        after = written(jumped.select("v", F.col("best.label").alias("label"), F.col("best.root").alias("root"), "was"), "labels")
-        if after.where("label < was").isEmpty():
-            return after.select("v", "label")
-        now = after.drop("was")
+        own = F.struct("label", "root")
+        met = now.join(near, "v", "left").select("v", own.alias("was"), F.least(own, F.coalesce("near", own)).alias("best"))
+        far = now.select(F.col("v").alias("r"), own.alias("far"))
+        jumped = met.join(far, F.col("best.root") == F.col("r")).select("v", "was", F.least("best", "far").alias("best"))
+        after = written(jumped.select("v", "best.label", "best.root", (F.col("best") < F.col("was")).alias("moved")), "labels")
+        if after.where("moved").isEmpty():
+            return after.select("v", "label", "root")
+        now = after

@@ -275,13 +275,16 @@ def near_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     vertices = wanted.join(ordered.select("code"), "code", "left_semi").select(F.col("code").alias("v"), "label")
     known = least_labels(vertices, links)
 
-    placed = entries.join(known.select(F.col("v").alias("code"), F.col("label").alias("part")), "code")
+    placed = entries.join(known.select(F.col("v").alias("code"), F.col("root").alias("part")), "code")
     split = placed.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
     open_ = written(placed.join(split, "shingle").select("shingle", "code", "n", "rest", "part"), "jaccard-open")
     x, y = open_.alias("x"), open_.alias("y")
     apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") < F.col("y.part")) & _may_link(F.least("x.rest", "y.rest"), F.col("x.n"), F.col("y.n"), num, den)
-    more = x.join(y, apart).select(F.col("x.code").alias("a"), F.col("y.code").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
-    final = least_labels(known, _linked(more, ordered, num, den))
+    more = written(x.join(y, apart).select(F.col("x.code").alias("a"), F.col("y.code").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct(), "jaccard-apart")
+    part_of = lambda side: known.select(F.col("v").alias(side), F.col("root").alias(f"part_{side}"))
+    between = _linked(more, ordered, num, den).join(part_of("a"), "a").join(part_of("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+    merged = least_labels(known.where("v = root").select("v", "label"), between)
+    final = known.select("v", "root").join(merged.select(F.col("v").alias("root"), "label"), "root")
 
     labels = classes.select("code", F.col("head.id").alias("own")).join(final.select(F.col("v").alias("code"), "label"), "code", "left")
     out = rows.join(labels.select("code", F.coalesce("label", "own").alias("label")), "code", "left")
