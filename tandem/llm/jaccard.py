@@ -161,7 +161,7 @@ def _packed_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["code"], pa.array(hashes, pa.binary())], ["code", "hashes"])
 
     rows = docs.select(order_id().alias("id"), text_or_empty().alias("words")).withColumn("key", F.xxhash64("id", "words"))
-    found = rows.join(wanted, "key").select("code", "words").mapInArrow(collect, "code long, hashes binary")
+    found = rows.join(wanted.hint("merge"), "key").select("code", "words").mapInArrow(collect, "code long, hashes binary")
     return written(found.groupBy("code").agg(F.first("hashes").alias("hashes")).withColumn("bucket", F.pmod("code", F.lit(n)).cast("int")), "jaccard-sets")
 
 
