@@ -3,13 +3,48 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tandem.plans.relations import Relations
+from tandem.sources.tables import MODEL, Tables
+
+#: Modules with OPERATORS (SQL over the model, by name), and perhaps RELATIONS (more relations), QUERIES (functions of Spark and
+#: the folder) and ORACLES (SQL for those).
+MODULES = ("scalars", "joins", "episodes", "interactions", "pairs", "windows", "ranking", "decoders", "mixtures", "learning", "metrics", "contracts")
+
+
+def _modules() -> list:
+    return [import_module(f"tandem.operators.{m}") for m in MODULES]
+
+
+def relations() -> Relations:
+    found = dict(MODEL)
+    for m in _modules():
+        found |= getattr(m, "RELATIONS", {})
+    return Relations(found)
+
+
+def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    sql = next(m.OPERATORS[name] for m in _modules() if name in m.OPERATORS)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return relations().frame(spark, sql, Tables(spark, sf_dir))
+
+    run.__name__ = name
+    return run
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = {}
+    for m in _modules():
+        found |= {n: query(n) for n in m.OPERATORS} | getattr(m, "QUERIES", {})
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    all_, found = relations(), {}
+    for m in _modules():
+        found |= {n: all_.text(sql) for n, sql in m.OPERATORS.items()} | {n: all_.text(sql) for n, sql in getattr(m, "ORACLES", {}).items()}
+    return found
