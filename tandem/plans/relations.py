@@ -11,6 +11,8 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What Spark spells otherwise than the engine that checks it.
+SPELLINGS = ((") IGNORE NULLS OVER", " IGNORE NULLS) OVER"), ("percentile(", "quantile_cont("))
 _NAME = re.compile(r"\{(\w+)\}")
 
 
@@ -50,7 +52,16 @@ class Relations:
         return resolve(sql)
 
     def text(self, sql: str) -> str:
-        """sql as one statement over the tables without a definition."""
-        plain = lambda s: _NAME.sub(r"\1", s)
+        """sql as one statement over the tables without a definition, in the other engine's spelling."""
+
+        def plain(s: str) -> str:
+            s = _NAME.sub(r"\1", s).strip()
+            for found, other in SPELLINGS:
+                s = s.replace(found, other)
+            return s
+
         parts = [f"{n} AS ({plain(self.definitions[n])})" for n in self.order(reads(sql))]
-        return f"WITH {', '.join(parts)} {plain(sql)}" if parts else plain(sql)
+        own = plain(sql)
+        if own.startswith("WITH "):
+            parts, own = [*parts, own.removeprefix("WITH ")], ""
+        return f"WITH {', '.join(parts)} {own}" if parts else own
