@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,8 @@ from tandem.llm.storage import LAST_ID, order_id, require, text_or_empty
 
 SPACE = "▁"
 CHUNK_CHARS = 4096
-MEMORY = 400_000  # words whose segmentation a worker keeps
+MEMORY = 100_000  # words whose segmentation a worker keeps
+ROWS = 256  # texts that a worker holds decoded at a time
 UNKNOWN_PENALTY = 10  # below the least score, as unigram models have it
 
 Matrix = list[list[int | None]]
@@ -51,8 +52,6 @@ class Pieces:
         self.weight = {piece: (weigh(score, i), i) for piece, score, i in usual}
         self.unknown = weigh(min(s for _, s, _ in usual) - UNKNOWN_PENALTY, 0)
         self.longest = max(len(p) for p, _, _ in usual)
-        #: every beginning of a piece; None where it is not a piece itself
-        self.begun: dict[str, tuple[int, int] | None] = {p[:k]: None for p in self.weight for k in range(1, len(p))} | self.weight
         self.byte = [0] * 256
         self.text = [p.piece.replace(SPACE, " ").encode() for p in model.pieces]
         for i, p in enumerate(model.pieces):
@@ -73,6 +72,11 @@ class Pieces:
         self.words = re.compile(units + (f"|[{self.alone}]" if self.alone else ""))
         self.known: dict[str, tuple[int, bytes]] = {}
 
+    @cached_property
+    def begun(self) -> dict[str, tuple[int, int] | None]:
+        """Every beginning of a piece; None where it is not a piece itself."""
+        return {p[:k]: None for p in self.weight for k in range(1, len(p))} | self.weight
+
     def escaped(self, text: str) -> str:
         text = text.replace(" ", SPACE)
         return SPACE + text if self.dummy_prefix and text else text
@@ -225,6 +229,12 @@ def chunks(text: str, size: int, more: int) -> list[tuple[int, str, int]]:
     return [(k, text[s : s + size + more], min(size, len(text) - s)) for k, s in enumerate(range(0, len(text), size))]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode(docs: DataFrame, model: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id, n_chars and ids (little-endian unsigned 32-bit numbers as bytes) of every text.
 
@@ -238,20 +248,20 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = CHUNK_CHARS) -> DataF
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch["text"].to_pylist()
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(t) for t in texts], pa.int64()), pa.array([own.encode(t) for t in texts], pa.binary())], ["id", "n_chars", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
-        for batch in batches:
+        for batch in _slices(batches):
             for one in batch.to_pylist():
                 parts = chunks(own.escaped(one["text"]), chunk_chars, own.longest - 1)
                 yield pa.RecordBatch.from_pylist([{"id": one["id"], "key": one["key"], "chunk": k, "part": part, "size": size} for k, part, size in parts], pa.schema([("id", pa.int64()), ("key", pa.int64()), ("chunk", pa.int32()), ("part", pa.string()), ("size", pa.int32())]))
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
-        for batch in batches:
+        for batch in _slices(batches):
             found = [own.transfer(p, s) for p, s in zip(batch["part"].to_pylist(), batch["size"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["id"], batch["key"], batch["chunk"], pa.array(found, pa.list_(pa.list_(pa.int64())))], ["id", "key", "chunk", "matrix"])
 
@@ -265,7 +275,7 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = CHUNK_CHARS) -> DataF
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
-        for batch in batches:
+        for batch in _slices(batches):
             found = [own.trace(*x) for x in zip(*(batch[c].to_pylist() for c in ("part", "size", "before")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["id"], batch["key"], batch["chunk"], *(pa.array([f[i] for f in found], traces.field(3 + i).type) for i in range(3))], schema=traces)
 
@@ -290,7 +300,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
-        for batch in batches:
+        for batch in _slices(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([own.decode(x) for x in batch.column(at).to_pylist()], pa.string())], [*batch.schema.names, "text"])
 
     return encoded.mapInArrow(back, f"{schema}, text string")
