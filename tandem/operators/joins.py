@@ -58,7 +58,7 @@ SELECT touch, count(*) AS pairs, CAST(sum(n) AS BIGINT) AS episodes FROM (
   SELECT s.lo, s.hi, s.n, CASE WHEN s.lo IN (SELECT lo FROM {pair_labels} WHERE label = 1) OR s.hi IN (SELECT hi FROM {pair_labels} WHERE label = 1) THEN 1 ELSE 0 END AS touch
   FROM {pair_scores} s WHERE s.n >= 15 AND s.label IS NULL) t GROUP BY touch""",
     # G1
-    "union_windows": "SELECT lo, hi, episode, score, win FROM {scored} WHERE win = 'development' UNION ALL SELECT lo, hi, episode, score, win FROM {scored} WHERE win = 'evaluation'",
+    "union_windows": "SELECT lo, hi, episode, round(score, 6) AS score, win FROM {scored} WHERE win = 'development' UNION ALL SELECT lo, hi, episode, round(score, 6) AS score, win FROM {scored} WHERE win = 'evaluation'",
     # Ids missing, unexpected or double in one set against another
     "id_set_compare": """
 SELECT CAST(count(CASE WHEN b.k IS NULL THEN 1 END) AS BIGINT) AS missing, CAST(count(CASE WHEN a.k IS NULL THEN 1 END) AS BIGINT) AS unexpected, CAST(coalesce(sum(b.n - 1), 0) AS BIGINT) AS doubled

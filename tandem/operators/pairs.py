@@ -1 +1,145 @@
-OPERATORS: dict[str, str] = {}
+"""Pairs: profiles, contrasts, concentration and graph."""
+
+OPERATORS = {
+    "pair_profile": """
+SELECT lo, hi, count(*) AS n, round(avg(score), 8) AS mean, round(coalesce(stddev_samp(score), 0e0), 8) AS sd, round(max(score), 6) AS top, round(percentile(score, 9e-1), 8) AS q90 FROM {scored} GROUP BY lo, hi""",
+    "pair_derived": """
+SELECT lo, hi, round(ln(1e0 + count(*)), 6) AS log_exposure, round(max(score) * ln(1e0 + count(*)), 5) AS tail_score, round(abs(avg(lean)), 8) AS imbalance, round(avg(score) / count(*), 8) AS mean_over_n FROM {scored} GROUP BY lo, hi""",
+    # Rate with the partner less the rate with everybody else
+    "partner_specificity": """
+SELECT lo, hi, round(n_lo_hi / CAST(greatest(n, 1) AS DOUBLE) - (n_lo - n_lo_hi) / CAST(greatest(5 * hands_lo - n, 1) AS DOUBLE), 8) AS lo_toward_hi, round(n_hi_lo / CAST(greatest(n, 1) AS DOUBLE) - (n_hi - n_hi_lo) / CAST(greatest(5 * hands_hi - n, 1) AS DOUBLE), 8) AS hi_toward_lo FROM {rolled}""",
+    # D34
+    "conditional_rate_contrast": """
+SELECT lo, hi, round((exit_lo_hi + 5e-1) / (n_lo_hi + 1e0) - (exit_lo - exit_lo_hi + 5e-1) / (n_lo - n_lo_hi + 1e0), 8) AS lo_exits, round((exit_hi_lo + 5e-1) / (n_hi_lo + 1e0) - (exit_hi - exit_hi_lo + 5e-1) / (n_hi - n_hi_lo + 1e0), 8) AS hi_exits,
+  round((exit_lo_hi + exit_hi_lo + 5e-1) / (n_lo_hi + n_hi_lo + 1e0), 8) AS both_exit FROM {rolled}""",
+    # D35
+    "binomial_z": """
+WITH p AS (SELECT *, (exit_lo - exit_lo_hi + 5e-1) / (n_lo - n_lo_hi + 1e0) AS p_lo, (exit_hi - exit_hi_lo + 5e-1) / (n_hi - n_hi_lo + 1e0) AS p_hi FROM {rolled}),
+z AS (SELECT lo, hi, (exit_lo_hi - n_lo_hi * p_lo) / sqrt(n_lo_hi * p_lo * (1e0 - p_lo) + 1e0) AS z_lo, (exit_hi_lo - n_hi_lo * p_hi) / sqrt(n_hi_lo * p_hi * (1e0 - p_hi) + 1e0) AS z_hi FROM p)
+SELECT lo, hi, round(greatest(z_lo, z_hi), 6) AS z_max, round(least(z_lo, z_hi), 6) AS z_min FROM z""",
+    # Against the pool's median
+    "context_residual": """
+SELECT s.lo, s.hi, s.pool, round((s.score - m.mid) / (abs(m.mid) + 1e0), 6) AS residual, round(percent_rank() OVER (PARTITION BY s.pool ORDER BY s.score), 6) AS pool_rank, m.n AS pool_pairs
+FROM {pair_scores} s JOIN (SELECT pool, median(score) AS mid, count(*) AS n FROM {pair_scores} GROUP BY pool) m ON m.pool = s.pool""",
+    "pool_center": """
+SELECT lo, hi, round(score - avg(score) OVER (PARTITION BY pool), 8) AS centred, round((score - avg(score) OVER (PARTITION BY pool)) / nullif(stddev_samp(score) OVER (PARTITION BY pool), 0e0), 6) AS z, round(score - 5e-1 * avg(score) OVER (PARTITION BY pool), 8) AS half_centred FROM {pair_scores}""",
+    # The best other pair of either member, by each member's two best
+    "best_other_edge": """
+WITH m AS (SELECT lo AS member, lo, hi, score FROM {pair_scores} UNION ALL SELECT hi AS member, lo, hi, score FROM {pair_scores}),
+r AS (SELECT m.*, row_number() OVER (PARTITION BY member ORDER BY score DESC, lo, hi) AS r FROM m),
+t AS (SELECT member, max(CASE WHEN r = 1 THEN lo END) AS lo1, max(CASE WHEN r = 1 THEN hi END) AS hi1, max(CASE WHEN r = 1 THEN score END) AS s1, max(CASE WHEN r = 2 THEN score END) AS s2 FROM r WHERE r <= 2 GROUP BY member)
+SELECT s.lo, s.hi, round(s.score, 6) AS score, round(greatest(CASE WHEN a.lo1 = s.lo AND a.hi1 = s.hi THEN a.s2 ELSE a.s1 END, CASE WHEN b.lo1 = s.lo AND b.hi1 = s.hi THEN b.s2 ELSE b.s1 END), 6) AS best_other
+FROM {pair_scores} s JOIN t a ON a.member = s.lo JOIN t b ON b.member = s.hi""",
+    # Demoted where a higher pair has one of the members
+    "shares_higher_ranked": """
+WITH r AS (SELECT lo, hi, score, row_number() OVER (PARTITION BY pool ORDER BY score DESC, lo, hi) AS r FROM {pair_scores}),
+m AS (SELECT member, min(r) AS best FROM (SELECT lo AS member, r FROM r UNION ALL SELECT hi AS member, r FROM r) u GROUP BY member)
+SELECT r.lo, r.hi, CAST(least(a.best, b.best) < r.r AS INT) AS shared, round(CASE WHEN least(a.best, b.best) < r.r THEN score * 5e-1 ELSE score END, 8) AS demoted FROM r JOIN m a ON a.member = r.lo JOIN m b ON b.member = r.hi""",
+    # D43
+    "touch_positive": """
+WITH p AS (SELECT lo AS member FROM {pair_labels} WHERE label = 1 UNION SELECT hi AS member FROM {pair_labels} WHERE label = 1)
+SELECT lo, hi, CASE WHEN lo IN (SELECT member FROM p) OR hi IN (SELECT member FROM p) THEN 1 ELSE 0 END AS touches FROM {pair_labels}""",
+    # D44
+    "excess_coseating": """
+SELECT r.lo, r.hi, round(r.n * CAST(t.total AS DOUBLE) / (CAST(r.hands_lo AS DOUBLE) * r.hands_hi), 8) AS ratio FROM {rolled} r CROSS JOIN (SELECT count(*) AS total FROM {episodes}) t""",
+    # Where a pair's score is concentrated over time
+    "burst_concentration": """
+WITH s AS (SELECT lo, hi, score, lean, row_number() OVER (PARTITION BY lo, hi ORDER BY score DESC, ts, episode) AS r, ntile(8) OVER (PARTITION BY lo, hi ORDER BY ts, episode) AS bin,
+  sum(score) OVER (PARTITION BY lo, hi ORDER BY ts, episode ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS roll FROM {scored}),
+b AS (SELECT lo, hi, max(x) AS bin_max FROM (SELECT lo, hi, bin, sum(score) AS x FROM s GROUP BY lo, hi, bin) t GROUP BY lo, hi)
+SELECT s.lo, s.hi, round(sum(score), 5) AS total, round(sum(CASE WHEN r <= 1 THEN score ELSE 0e0 END) / nullif(sum(score), 0e0), 6) AS top1, round(sum(CASE WHEN r <= 3 THEN score ELSE 0e0 END) / nullif(sum(score), 0e0), 6) AS top3,
+  round(sum(CASE WHEN r <= 5 THEN score ELSE 0e0 END) / nullif(sum(score), 0e0), 6) AS top5, round(sum(score * score) / nullif(sum(score) * sum(score), 0e0), 6) AS hhi, round(max(roll), 5) AS max_roll10, round(max(b.bin_max), 5) AS bin_max,
+  round(count(CASE WHEN lean > 0e0 THEN 1 END) / CAST(count(*) AS DOUBLE), 6) AS toward_hi
+FROM s JOIN b ON b.lo = s.lo AND b.hi = s.hi GROUP BY s.lo, s.hi""",
+    # A bag of episode scores as one row
+    "bag_reduce": """
+WITH q AS (SELECT percentile(s.score, 99e-2) AS q99, percentile(s.score, 999e-3) AS q999 FROM {scored} s JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi AND l.label = 0),
+r AS (SELECT lo, hi, score, row_number() OVER (PARTITION BY lo, hi ORDER BY score DESC, episode) AS r FROM {scored})
+SELECT lo, hi, count(*) AS n, round(sum(score), 5) AS total, round(avg(score), 8) AS mean, round(max(score), 6) AS top, count(CASE WHEN score > q99 THEN 1 END) AS n99, count(CASE WHEN score > q999 THEN 1 END) AS n999,
+  round(avg(CASE WHEN r <= 3 THEN score END), 8) AS top3, round(avg(CASE WHEN r <= 5 THEN score END), 8) AS top5 FROM r CROSS JOIN q GROUP BY lo, hi""",
+    # Softmax weights over a pair's episodes
+    "attention_bag": """
+WITH w AS (SELECT lo, hi, score, lean, exp(score - max(score) OVER (PARTITION BY lo, hi)) AS w FROM {scored}), g AS (SELECT w.*, w / sum(w) OVER (PARTITION BY lo, hi) AS g, count(*) OVER (PARTITION BY lo, hi) AS n FROM w)
+SELECT lo, hi, round(sum(g * lean), 6) AS lean, round(max(g), 6) AS gate_max, round(CASE WHEN max(n) > 1 THEN -sum(g * ln(g + 1e-12)) / ln(max(n)) ELSE 0e0 END, 6) AS entropy FROM g GROUP BY lo, hi""",
+    # Share of a reference that is at least as high
+    "tail_probability": """
+SELECT lo, hi, episode, round((count(*) OVER () - 0e0) * 0e0 + 1e0 - cume_dist() OVER (ORDER BY score) + 5e-1 / count(*) OVER (), 8) AS tail FROM {scored}""",
+    # Likelihood ratios of binned tail probabilities, over a grid of rates
+    "mixture_lr_bag": """
+WITH t AS (SELECT s.lo, s.hi, l.label, CAST(floor(least(s.score, 9e0)) AS INT) AS bin FROM {scored} s JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi),
+h AS (SELECT bin, (count(CASE WHEN label = 1 THEN 1 END) + 5e-1) AS pos, (count(CASE WHEN label = 0 THEN 1 END) + 5e-1) AS neg FROM t GROUP BY bin), z AS (SELECT sum(pos) AS pos, sum(neg) AS neg FROM h),
+r AS (SELECT h.bin, (h.pos / z.pos) / (h.neg / z.neg) AS lr FROM h CROSS JOIN z), g AS (SELECT * FROM (VALUES (1e-2), (3e-2), (1e-1), (3e-1)) AS v(rate)),
+b AS (SELECT t.lo, t.hi, g.rate, sum(ln(1e0 - g.rate + g.rate * r.lr)) AS llr FROM t JOIN r ON r.bin = t.bin CROSS JOIN g GROUP BY t.lo, t.hi, g.rate)
+SELECT lo, hi, round(max(llr), 6) AS best, round(max(CASE WHEN rate = 1e-1 THEN llr END), 6) AS at_tenth, round(max(CASE WHEN rate = 1e-2 THEN llr END), 6) AS at_hundredth FROM b GROUP BY lo, hi""",
+    # Distance to the weighted centre of the pair's other episodes
+    "leave_one_out_template": """
+WITH w AS (SELECT lo, hi, episode, score * score AS w, t_ab, t_ba FROM (SELECT s.lo, s.hi, s.episode, s.score, t.t_ab, t.t_ba FROM {scored} s JOIN {transfers} t ON t.lo = s.lo AND t.hi = s.hi AND t.episode = s.episode) x),
+c AS (SELECT w.*, sum(w) OVER (PARTITION BY lo, hi) - w AS mass, sum(w * t_ab) OVER (PARTITION BY lo, hi) - w * t_ab AS m_ab, sum(w * t_ba) OVER (PARTITION BY lo, hi) - w * t_ba AS m_ba FROM w)
+SELECT lo, hi, episode, round(mass, 4) AS mass, CASE WHEN mass > 1e-3 THEN round(sqrt(((t_ab - m_ab / mass) * (t_ab - m_ab / mass) + (t_ba - m_ba / mass) * (t_ba - m_ba / mass)) / 2e0), 4) END AS distance FROM c""",
+    # Likeness of a candidate to a pair's other candidates
+    "within_pair_consistency": """
+WITH k AS (SELECT lo, hi, episode, lean, score FROM (SELECT s.*, row_number() OVER (PARTITION BY lo, hi ORDER BY score DESC, episode) AS r FROM {scored} s) t WHERE r <= 20 AND score > 0e0),
+p AS (SELECT a.lo, a.hi, a.episode, (a.lean * b.lean + a.score * b.score) / (sqrt(a.lean * a.lean + a.score * a.score) * sqrt(b.lean * b.lean + b.score * b.score)) AS c FROM k a JOIN k b ON b.lo = a.lo AND b.hi = a.hi AND b.episode <> a.episode),
+r AS (SELECT p.*, row_number() OVER (PARTITION BY lo, hi, episode ORDER BY c DESC) AS r FROM p)
+SELECT lo, hi, episode, round(avg(CASE WHEN r <= 3 THEN c END), 5) AS top3, round(max(c), 5) AS top, count(*) AS others FROM r GROUP BY lo, hi, episode""",
+    # Moments of several kinds of event, both orientations
+    "event_moments": """
+SELECT q.lo, q.hi, q.episode, v.act, round(avg(v.strength), 8) AS mean_strength, max(v.strength) AS max_strength, round(avg(v.amount), 4) AS mean_amount, max(v.amount) AS max_amount,
+  round(greatest(avg(CASE WHEN v.member = q.lo THEN v.strength END), avg(CASE WHEN v.member = q.hi THEN v.strength END)), 8) AS either_mean
+FROM {pair_episodes} q JOIN {ev} v ON v.episode = q.episode AND v.member IN (q.lo, q.hi) GROUP BY q.lo, q.hi, q.episode, v.act""",
+    # One pushes, an outsider matches, the partner pushes; in one stage, outsider still there
+    "sandwich_pattern": """
+SELECT q.lo, q.hi, q.episode, count(*) AS n FROM {pair_episodes} q JOIN {ev} a ON a.episode = q.episode AND a.act = 'push' AND a.member IN (q.lo, q.hi)
+JOIN {ev} o ON o.episode = q.episode AND o.stage = a.stage AND o.ordinal > a.ordinal AND o.act = 'match' AND o.member NOT IN (q.lo, q.hi)
+JOIN {ev} b ON b.episode = q.episode AND b.stage = a.stage AND b.ordinal > o.ordinal AND b.act = 'push' AND b.member IN (q.lo, q.hi) AND b.member <> a.member
+JOIN {participants} p ON p.episode = q.episode AND p.member = o.member AND (p.exit_ordinal IS NULL OR p.exit_ordinal > b.ordinal) GROUP BY q.lo, q.hi, q.episode""",
+    # D54
+    "dispersion_index": """
+WITH g AS (SELECT win, lo, hi, count(*) AS n, count(CASE WHEN score > 5e-1 THEN 1 END) AS k FROM {scored} GROUP BY win, lo, hi), p AS (SELECT win, sum(k) / CAST(sum(n) AS DOUBLE) AS p FROM g GROUP BY win)
+SELECT g.win, count(*) AS pairs, round(sum((k - n * p) * (k - n * p) / nullif(n * p * (1e0 - p), 0e0)) / nullif(count(*) - 1, 0), 6) AS dispersion FROM g JOIN p ON p.win = g.win GROUP BY g.win""",
+    # The statistic with the partner's strength less its mean with outsiders'
+    "placebo_contrast": """
+SELECT q.lo, q.hi, count(*) AS n, round(avg(CASE WHEN o.member = q.hi THEN o.strength END) - avg(CASE WHEN o.member <> q.hi THEN o.strength END), 8) AS contrast
+FROM {pair_episodes} q JOIN {participants} a ON a.episode = q.episode AND a.member = q.lo AND a.exit_ordinal IS NOT NULL JOIN {participants} o ON o.episode = q.episode AND o.member <> q.lo GROUP BY q.lo, q.hi""",
+    # Named cells with counts so far
+    "pattern_cells": """
+WITH c AS (SELECT lo, hi, episode, ts, CASE WHEN lean > 0e0 THEN 'toward_hi' WHEN lean < 0e0 THEN 'toward_lo' ELSE 'none' END AS cell FROM {scored})
+SELECT lo, hi, episode, cell, count(*) OVER (PARTITION BY lo, hi, cell ORDER BY ts, episode ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS earlier, count(*) OVER (PARTITION BY lo, hi, cell) AS total FROM c""",
+    # D57
+    "feature_drift": """
+WITH u AS (SELECT win, 'score' AS feature, score AS x FROM {scored} UNION ALL SELECT win, 'lean' AS feature, lean AS x FROM {scored})
+SELECT feature, round((avg(CASE WHEN win = 'evaluation' THEN x END) - avg(CASE WHEN win = 'development' THEN x END)) / nullif(stddev_samp(CASE WHEN win = 'development' THEN x END), 0e0), 6) AS drift FROM u GROUP BY feature""",
+    # D58
+    "balanced_weights": """
+SELECT s.lo, s.hi, s.episode, round(count(*) OVER () / (2e0 * count(*) OVER (PARTITION BY l.label)), 6) AS class_weight, round(1e0 / count(*) OVER (PARTITION BY s.lo, s.hi), 8) AS pair_weight FROM {scored} s JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi AND l.label IS NOT NULL""",
+    # A fixed two thirds of all episodes by a hash; listed ones stay
+    "exposure_replicas": """
+WITH k AS (SELECT DISTINCT episode FROM {listed})
+SELECT s.lo, s.hi, count(*) AS n, round(sum(s.score), 5) AS total FROM {scored} s LEFT JOIN k ON k.episode = s.episode WHERE k.episode IS NOT NULL OR substr(md5(concat(CAST(s.episode AS VARCHAR(20)), '-11')), 1, 1) < 'b' GROUP BY s.lo, s.hi""",
+    # D60
+    "window_contrast": """
+SELECT a.lo, a.hi, round(a.m - b.m, 8) AS contrast FROM (SELECT lo, hi, avg(score) AS m FROM {scored} WHERE win = 'evaluation' GROUP BY lo, hi) a LEFT JOIN (SELECT lo, hi, avg(score) AS m FROM {scored} WHERE win = 'development' GROUP BY lo, hi) b ON b.lo = a.lo AND b.hi = a.hi""",
+    # Nearness in the pool's episode order to an episode listed for another pair of a member
+    "neighbor_listing_gap": """
+WITH i AS (SELECT pool, episode, row_number() OVER (PARTITION BY pool ORDER BY ts, episode) AS idx FROM (SELECT DISTINCT pool, episode, ts FROM {scored}) t),
+g AS (SELECT l.pool, l.lo, l.hi, l.lo AS member, i.idx FROM {listed} l JOIN i ON i.pool = l.pool AND i.episode = l.episode UNION ALL SELECT l.pool, l.lo, l.hi, l.hi AS member, i.idx FROM {listed} l JOIN i ON i.pool = l.pool AND i.episode = l.episode)
+SELECT s.lo, s.hi, s.episode, min(abs(i.idx - g.idx)) AS gap, CAST(min(abs(i.idx - g.idx)) <= 10 AS INT) AS near FROM {scored} s JOIN i ON i.pool = s.pool AND i.episode = s.episode
+JOIN g ON g.pool = s.pool AND (g.member = s.lo OR g.member = s.hi) AND NOT (g.lo = s.lo AND g.hi = s.hi) GROUP BY s.lo, s.hi, s.episode""",
+    # Weighted share of a flag among the pair's other candidates
+    "loo_context_share": """
+WITH w AS (SELECT lo, hi, episode, score, CASE WHEN lean > 0e0 THEN 1e0 ELSE 0e0 END AS f FROM {scored})
+SELECT lo, hi, episode, CASE WHEN sum(score) OVER (PARTITION BY lo, hi) - score > 1e-3 THEN round((sum(score * f) OVER (PARTITION BY lo, hi) - score * f) / (sum(score) OVER (PARTITION BY lo, hi) - score), 5) END AS share FROM w""",
+    # Degrees among each pool's best pairs
+    "star_structure": """
+WITH t AS (SELECT pool, lo, hi FROM (SELECT s.*, row_number() OVER (PARTITION BY pool ORDER BY score DESC, lo, hi) AS r FROM {pair_scores} s) x WHERE r <= 20),
+d AS (SELECT pool, member, count(*) AS degree FROM (SELECT pool, lo AS member FROM t UNION ALL SELECT pool, hi AS member FROM t) u GROUP BY pool, member)
+SELECT pool, count(*) AS members, count(CASE WHEN degree >= 2 THEN 1 END) AS hubs, max(degree) AS max_degree FROM d GROUP BY pool""",
+}
+OPERATORS["tail_probability"] = "SELECT lo, hi, episode, round(1e0 - cume_dist() OVER (PARTITION BY pool ORDER BY score) + 5e-1 / count(*) OVER (PARTITION BY pool), 8) AS tail FROM {scored}"
+
+RELATIONS = {
+    "rolled": """
+SELECT s.lo, s.hi, s.n, coalesce(f.n, 0) AS n_lo_hi, coalesce(g.n, 0) AS n_hi_lo, coalesce(f.n_exit, 0) AS exit_lo_hi, coalesce(g.n_exit, 0) AS exit_hi_lo, coalesce(a.n, 0) AS n_lo, coalesce(b.n, 0) AS n_hi, coalesce(a.n_exit, 0) AS exit_lo, coalesce(b.n_exit, 0) AS exit_hi, x.n AS hands_lo, y.n AS hands_hi
+FROM {pair_scores} s LEFT JOIN {facing_pairs} f ON f.actor = s.lo AND f.target = s.hi LEFT JOIN {facing_pairs} g ON g.actor = s.hi AND g.target = s.lo LEFT JOIN {facing_members} a ON a.actor = s.lo LEFT JOIN {facing_members} b ON b.actor = s.hi
+JOIN (SELECT member, count(*) AS n FROM {participants} GROUP BY member) x ON x.member = s.lo JOIN (SELECT member, count(*) AS n FROM {participants} GROUP BY member) y ON y.member = s.hi""",
+}

@@ -79,9 +79,9 @@ SELECT q.pool, q.lo, q.hi, q.episode, e.ts, e.win, e.unit,
   a.net AS net_lo, b.net AS net_hi, a.contribution AS put_lo, b.contribution AS put_hi, a.strength AS s_lo, b.strength AS s_hi
 FROM {pair_episodes} q JOIN {episodes} e ON e.episode = q.episode
 JOIN {participants} a ON a.episode = q.episode AND a.member = q.lo JOIN {participants} b ON b.episode = q.episode AND b.member = q.hi""",
-    "scored": "SELECT pool, lo, hi, episode, ts, win, round(greatest(t_ab, t_ba), 6) AS score, round(t_ab - t_ba, 6) AS lean FROM {transfers}",
+    "scored": "SELECT pool, lo, hi, episode, ts, win, greatest(t_ab, t_ba) AS score, t_ab - t_ba AS lean FROM {transfers}",
     "pair_scores": """
-SELECT s.pool, s.lo, s.hi, count(*) AS n, round(avg(s.score), 6) AS score, round(max(s.score), 6) AS top, max(l.label) AS label, max(l.family) AS family
+SELECT s.pool, s.lo, s.hi, count(*) AS n, avg(s.score) AS score, max(s.score) AS top, max(l.label) AS label, max(l.family) AS family
 FROM {scored} s JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi GROUP BY s.pool, s.lo, s.hi""",
     # a probability for each pair-episode, for decoders
     "chances": "SELECT pool, lo, hi, episode, ts, least(greatest(score / (score + 1e1), 1e-6), 999e-3) AS p FROM {scored}",
