@@ -27,7 +27,7 @@ from tandem.llm import blobs
 from tandem.llm.blobs import Entries
 from tandem.llm.components import least_labels
 from tandem.llm.storage import LAST_ID, order_id, partitions, require, text_or_empty, written
-from tandem.llm.words import Words, mix, scan, sequence_code, shingles
+from tandem.llm.words import Words, mix, portions, scan, sequence_code, shingles
 
 INDEX, SETTLED, DOC, COUNT = 0, 1, 2, 3  # kinds of rows
 EXTRA = 0.15  # of a set, by which the first step's prefixes are longer than they must be
@@ -88,7 +88,7 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     n = partitions(docs.sparkSession)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "words"):
             id_, key = batch["id"].to_numpy(), batch["key"].to_numpy()
             code, size, parts = np.zeros(len(id_), np.int64), np.zeros(len(id_), np.int64), []
             seen: set[int] = set()
@@ -151,7 +151,7 @@ def _packed_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     n = partitions(docs.sparkSession)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "words"):
             hashes: list[bytes] = []
             with np.errstate(over="ignore"):
                 for w in scan(batch["words"], fold=True):

@@ -7,8 +7,8 @@ heaviest path between them (null: none). Matrices are combined with (max, +), wh
 chunk is traced back by itself. Where a white-space run begins no piece crosses, so between such places
 a chunk's matrix is a sum, and words are segmented once in a worker.
 
-Weights are integers: a piece's score times 2**20, less a number below 2**20 that depends on the piece. The second part decides
-between paths of equal scores, so cuts don't change the result.
+Scores are summed as integers. Of equally heavy paths the one whose last piece is longest is taken, at every place from the end
+on; a chunk is traced from the weights at all its begin states, so cuts don't change the result.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tandem.llm.storage import LAST_ID, order_id, require, text_or_empty
 
 SPACE = "▁"
-CHUNK_CHARS = 4096
-MEMORY = 100_000  # words whose segmentation a worker keeps
+CHUNK_CHARS = 16384
+MEMORY = 150_000  # words whose segmentation a worker keeps, twice
 ROWS = 256  # texts that a worker holds decoded at a time
 UNKNOWN_PENALTY = 10  # below the least score, as unigram models have it
 
@@ -48,9 +48,8 @@ class Pieces:
             raise ValueError("only models that leave texts as they are, but for spaces, are supported")
         self.dummy_prefix = spec.add_dummy_prefix
         usual = [(p.piece, p.score, i) for i, p in enumerate(model.pieces) if p.type in (NORMAL, USER)]
-        weigh = lambda score, i: int(score) * (1 << 20) - (i * 2654435761 % (1 << 32) >> 12)
-        self.weight = {piece: (weigh(score, i), i) for piece, score, i in usual}
-        self.unknown = weigh(min(s for _, s, _ in usual) - UNKNOWN_PENALTY, 0)
+        self.weight = {piece: (int(score), i) for piece, score, i in usual}
+        self.unknown = int(min(s for _, s, _ in usual)) - UNKNOWN_PENALTY
         self.longest = max(len(p) for p, _, _ in usual)
         self.byte = [0] * 256
         self.text = [p.piece.replace(SPACE, " ").encode() for p in model.pieces]
@@ -70,12 +69,20 @@ class Pieces:
         else:  # no piece holds letters and other characters: paths meet between them too
             units = rf"{SPACE}*[^\W\d_]+|{SPACE}*(?:[\W\d_](?<![{SPACE}{self.alone}]))+|{SPACE}+"
         self.words = re.compile(units + (f"|[{self.alone}]" if self.alone else ""))
-        self.known: dict[str, tuple[int, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.of_id = np.array([self.weight[p.piece][0] if p.piece in self.weight else 0 for p in model.pieces], object)
 
     @cached_property
-    def begun(self) -> dict[str, tuple[int, int] | None]:
-        """Every beginning of a piece; None where it is not a piece itself."""
-        return {p[:k]: None for p in self.weight for k in range(1, len(p))} | self.weight
+    def trie(self) -> dict:
+        """Pieces by their characters: each node maps a character to the next node, and "" to the weight where a piece ends."""
+        root: dict = {}
+        for piece, (weight, _) in self.weight.items():
+            node = root
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = weight
+        return root
 
     def escaped(self, text: str) -> str:
         text = text.replace(" ", SPACE)
@@ -91,22 +98,24 @@ class Pieces:
         back = list(range(n + 1))
         for i, w in begin.items():
             best[i] = w
-        get, longest = self.begun.get, self.longest
+        root, unknown = self.trie, self.unknown
         for i in range(min(begin), min(last_start, n)):
             here = best[i]
             if here is None:
                 continue
-            single = False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                found = get(text[i:j], 0)
-                if found:
-                    single |= j == i + 1
-                    if best[j] is None or here + found[0] > best[j]:
-                        best[j], back[j] = here + found[0], i
-                elif found == 0:
+            node = root.get(text[i])
+            if node is None or "" not in node:
+                if best[i + 1] is None or here + unknown > best[i + 1]:
+                    best[i + 1], back[i + 1] = here + unknown, i
+            j = i
+            while node is not None:
+                j += 1
+                weight = node.get("")
+                if weight is not None and (best[j] is None or here + weight > best[j]):
+                    best[j], back[j] = here + weight, i
+                if j == n:
                     break
-            if not single and (best[i + 1] is None or here + self.unknown > best[i + 1]):
-                best[i + 1], back[i + 1] = here + self.unknown, i
+                node = node.get(text[j])
         return best, back
 
     def ids(self, text: str, back: list[int], end: int) -> tuple[int, bytes]:
@@ -119,22 +128,28 @@ class Pieces:
             end = back[end]
         return end, np.array(out[::-1], "<u4").tobytes()
 
-    def word(self, word: str) -> tuple[int, bytes]:
-        """Weight and ids of one word, from a bounded memory."""
+    def word(self, word: str) -> bytes:
+        """Ids of one word. Words met lately are remembered; when there are too many, those not met since the last time go."""
         found = self.known.get(word)
         if found is None:
-            best, back = self.paths(word, {0: 0}, len(word))
-            found = best[-1], self.ids(word, back, len(word))[1]
+            found = self.before.get(word)
+            if found is None:
+                _, back = self.paths(word, {0: 0}, len(word))
+                found = self.ids(word, back, len(word))[1]
             if len(word) <= 64:
                 if len(self.known) >= MEMORY:
-                    self.known.clear()
+                    self.known, self.before = {}, self.known
                 self.known[word] = found
         return found
 
+    def heaviness(self, word: str) -> int:
+        """Weight of the heaviest path over a word."""
+        return self.paths(word, {0: 0}, len(word))[0][-1]
+
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, little-endian unsigned 32-bit."""
-        known, word = self.known, self.word
-        return b"".join([(known.get(w) or word(w))[1] for w in self.words.findall(self.escaped(text))])
+        word = self.word
+        return b"".join([word(w) for w in self.words.findall(self.escaped(text))])
 
     def decode(self, ids: bytes) -> str:
         data = b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -148,6 +163,15 @@ class Pieces:
         # the match at 0 may go on a word that began in the chunk before: only later ones begin for certain
         return (places[0], places[-1]) if places else None
 
+    def _middle(self, text: str) -> int:
+        """Weight of a text that begins and ends where paths meet; characters without a piece count as such."""
+        total = 0
+        for w in self.words.findall(text):
+            ids = np.frombuffer(self.word(w), "<u4")
+            weights = self.of_id[ids]
+            total += self.heaviness(w) if (weights == 0).any() else int(weights.sum())
+        return total
+
     def transfer(self, chunk: str, size: int) -> Matrix:
         """[begin state][end state] of a chunk whose own part is the first size characters."""
         reach = lambda best, e: best[size + e] if size + e < len(best) else None
@@ -158,7 +182,7 @@ class Pieces:
                 rows.append([0 if size + e == i else None for e in range(self.longest)])
             return rows + [[None] * self.longest] * (self.longest - len(rows))
         first, last = cut
-        middle = sum(self.word(w)[0] for w in self.words.findall(chunk[first:last]))
+        middle = self._middle(chunk[first:last])
         tail, _ = self.paths(chunk[last:], {0: 0}, size - last)
         end = [tail[size - last + e] if size - last + e < len(tail) else None for e in range(self.longest)]
         rows = []
@@ -185,7 +209,7 @@ class Pieces:
         best, back = self.paths(chunk[last:], {0: 0}, size - last)
         ends = [size - last + e for e in range(self.longest)]
         there = [e < len(best) and best[e] is not None for e in ends]
-        common = head + b"".join(self.word(w)[1] for w in self.words.findall(chunk[first:last]))
+        common = head + b"".join(self.word(w) for w in self.words.findall(chunk[first:last]))
         return common, [origin if t else None for t in there], [self.ids(chunk[last:], back, e)[1] if t else b"" for e, t in zip(ends, there, strict=True)]
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tandem.llm import blobs
 from tandem.llm.blobs import Entries
 from tandem.llm.storage import order_id, partitions, require, text_or_empty
-from tandem.llm.words import _P, _Q, Words, _power_tables, mix, scan, shingles
+from tandem.llm.words import _P, _Q, Words, _power_tables, mix, portions, scan, shingles
 
 WIDTH, GRAM = 13, 5
 INDEX, SETTLED, FACTOR, WINDOW = 0, 1, 2, 3  # kinds of rows
@@ -119,7 +119,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     dealt = rows.withColumn("bucket", F.pmod("key", F.lit(n)).cast("int"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "words"):
             id_, key = batch["id"].to_numpy(), batch["key"].to_numpy()
             parts = [Entries(id_[w.row + f.doc], key[w.row + f.doc], f.anchor, f.content, f.at.astype(np.uint32)) for w, f in _slices(batch["words"], width, gram)]
             yield blobs.batch(_thinned(blobs.joined(parts), n))

@@ -4,7 +4,7 @@ Voters are rules that look at a text: "has this word" and "has a word that begin
 a bounded sample of labelled training rows, and each votes toxic or abstains. A generative model then looks at the
 votes alone, without labels, for the voters' accuracies: a two-class mixture fitted by EM, in which voters that agree
 more often than their classes explain share a vote's weight. Its posterior labels train the linear classifier
-that gives the scores: logistic regression over hashed words and beginnings of words.
+that gives the scores: sparse logistic regression over the words and beginnings that toxic rows of the sample share.
 
 A word here is a run of ASCII letters and bytes beyond ASCII, with A-Z lower-cased. lang, source and doc_id are never inputs of a score.
 """
@@ -22,14 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.storage import LAST_ID, order_id, require, text_or_empty, written
-from tandem.llm.words import NO_LETTER, beginnings, scan
+from tandem.llm.words import NO_LETTER, beginnings, portions, scan
 
 FOLDS, HELD_FOLD = 5, 0
 SAMPLE_ROWS = 20_000  # labelled training rows, about, that voters and classifier are fitted on; fewer where there are fewer
 MAX_VOTERS = 128
 LEAST_SUPPORT, LEAST_PRECISION = 5, 0.8  # of a voter, in the sample
 BEGIN_BYTES = 4
-WIDTH = 1 << 18  # hashed features
 SPREAD = 1_000_000
 
 
@@ -55,8 +54,7 @@ class Voters:
         """One row of booleans for each text."""
         out = np.zeros((len(texts), len(self.codes)), bool)
         for row, _, owner, code in features(texts):
-            at = np.searchsorted(self.codes, code).clip(max=max(0, len(self.codes) - 1))
-            hit = self.codes[at] == code if len(self.codes) else np.zeros(len(code), bool)
+            at, hit = places(self.codes, code)
             out[row + owner[hit], at[hit]] = True
         return out
 
@@ -112,18 +110,18 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return written(texts.join(F.broadcast(known), "_id").select("words", F.col("_toxic").alias("toxic")), "toxic-sample")  # about SAMPLE_ROWS ids
 
 
-def draw_voters(sample: DataFrame) -> Voters:
-    """The words and beginnings that tell toxic rows of the sample best."""
+def draw_voters(sample: DataFrame) -> tuple[Voters, np.ndarray]:
+    """The words and beginnings that tell toxic rows of the sample best, and all codes that enough of its toxic rows have."""
     schema = "code long, toxic long, clean long"
 
     def count(wanted: np.ndarray | None):  # noqa: ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in portions(batches, "words"):
                 toxic = batch["toxic"].to_numpy() == 1
                 for row, n, owner, code in features(batch["words"]):
                     if wanted is not None:
-                        at = np.searchsorted(wanted, code).clip(max=len(wanted) - 1)
-                        owner, code = owner[wanted[at] == code], code[wanted[at] == code]
+                        _, there = places(wanted, code)
+                        owner, code = owner[there], code[there]
                     own, inverse = np.unique(code, return_inverse=True)
                     yes = np.bincount(inverse, toxic[row : row + n][owner], len(own)).astype(np.int64)
                     all_ = np.bincount(inverse, minlength=len(own))
@@ -135,47 +133,56 @@ def draw_voters(sample: DataFrame) -> Voters:
     often = total(sample.where("toxic = 1").mapInArrow(count(None), schema)).where(F.col("toxic") >= LEAST_SUPPORT).select("code")
     codes = np.sort(np.array([r["code"] for r in often.collect()], np.int64).view(np.uint64))  # bounded by the sample
     if not len(codes):
-        return Voters(codes)
+        return Voters(codes), codes
     support = total(sample.mapInArrow(count(codes), schema))
     precise = support.where(F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("clean")))
     best = precise.orderBy((F.col("toxic") - 10 * F.col("clean")).desc(), "code").limit(MAX_VOTERS).collect()
-    return Voters(np.sort(np.array([r["code"] for r in best], np.int64).view(np.uint64)))
+    return Voters(np.sort(np.array([r["code"] for r in best], np.int64).view(np.uint64))), codes
+
+
+def places(codes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each code is in the ascending codes, and whether it is there."""
+    if not len(codes):
+        return np.zeros(len(code), np.int64), np.zeros(len(code), bool)
+    at = np.searchsorted(codes, code).clip(max=len(codes) - 1)
+    return at, codes[at] == code
 
 
 @dataclass
 class Model:
-    """A linear classifier over hashed features; with width 0 a constant score."""
+    """A linear classifier over codes; without codes a constant score."""
 
+    codes: np.ndarray  # ascending
     weights: np.ndarray
     intercept: float
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         odds = np.full(len(texts), self.intercept)
-        for row, n, owner, code in features(texts) if len(self.weights) else []:
-            odds[row : row + n] += np.bincount(owner, self.weights[slots(code)], n)
+        for row, n, owner, code in features(texts) if len(self.codes) else []:
+            at, there = places(self.codes, code)
+            odds[row : row + n] += np.bincount(owner[there], self.weights[at[there]], n)
         return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
 
 
-def slots(code: np.ndarray) -> np.ndarray:
-    return (code % np.uint64(WIDTH)).astype(np.int64)
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The classifier trained on posterior labels of the label model. Without rows of both classes, the rate of toxic rows for all."""
     sample = training_sample(docs, labels)
     rate, rows = sample.agg(F.avg("toxic"), F.count(F.lit(1))).first()
-    constant = Model(np.zeros(0), float(np.log((rows * (rate or 0) + 0.5) / (rows * (1 - (rate or 0)) + 0.5))))
-    voters = draw_voters(sample) if rows and 0 < rate < 1 else None
-    if voters is None or not len(voters.codes):
+    constant = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((rows * (rate or 0) + 0.5) / (rows * (1 - (rate or 0)) + 0.5))))
+    if not rows or not 0 < rate < 1:
+        return constant
+    voters, codes = draw_voters(sample)
+    if not len(voters.codes):
         return constant
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "words"):
             votes = voters.votes(batch["words"])
             found: list[list[int]] = [[]] * len(votes)
             for row, n, owner, code in features(batch["words"]):
                 edges = np.searchsorted(owner, np.arange(n + 1))
-                found[row : row + n] = [np.unique(slots(code[i:j])).tolist() for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                at, there = places(codes, code)
+                found[row : row + n] = [at[i:j][there[i:j]].tolist() for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
             packed = [np.packbits(v).tobytes() for v in votes]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array(found, pa.list_(pa.int32()))], ["votes", "slots"])
 
@@ -186,14 +193,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     posterior = label_model(votes, np.array([r["n"] for r in kinds], float), float(rate))
     spark = docs.sparkSession
     beliefs = spark.createDataFrame([(bytes(r["votes"]), float(p)) for r, p in zip(kinds, posterior, strict=True)], "votes binary, belief double")
-    vector = F.udf(lambda s: SparseVector(WIDTH, s, [1.0] * len(s)), VectorUDT())
+    width = len(codes)
+    vector = F.udf(lambda s: SparseVector(width, s, [1.0] * len(s)), VectorUDT())
     soft = voted.join(F.broadcast(beliefs), "votes").select(vector("slots").alias("features"), "belief")
     both = soft.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("belief").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("belief")).alias("weight")))).alias("x"))
     rows_in = both.select("features", "x.label", "x.weight").where("weight > 1e-4")
     if rows_in.select("label").distinct().count() < 2:
         return constant
     model = LogisticRegression(weightCol="weight", regParam=2e-4, elasticNetParam=1.0, maxIter=60, standardization=False).fit(rows_in)
-    return Model(model.coefficients.toArray(), float(model.intercept))
+    weights = model.coefficients.toArray()
+    used = np.flatnonzero(weights)
+    return Model(codes[used], weights[used], float(model.intercept))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -201,7 +211,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "words"):
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(held.value.scores(batch["words"]))], ["id", "score"])
 
     rows = docs.select(order_id().alias("id"), text_or_empty().alias("words"))
@@ -227,7 +237,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text"):
             texts = batch.column(at)
             yield batch.filter(pa.array(held.value.scores(texts) < 0.5))
 

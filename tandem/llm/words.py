@@ -51,6 +51,18 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about `most` bytes of a string column, so that what is worked out of them stays small."""
+    for batch in batches:
+        texts = batch[column].cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        row = 0
+        while row < len(texts):
+            stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
+            yield batch.slice(row, stop - row)
+            row = stop
+
+
 class Words(NamedTuple):
     """Words of some consecutive documents. first[i]:first[i+1] are document i's words."""
 
