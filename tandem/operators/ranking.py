@@ -1 +1,34 @@
-OPERATORS: dict[str, str] = {}
+"""Sorts, limits, top-k and reshaping."""
+
+_TOP = "SELECT lo, hi, episode, score, ts, row_number() OVER (PARTITION BY lo, hi ORDER BY score DESC, ts, episode) AS r FROM {scored}"
+
+OPERATORS = {
+    # five episodes as columns; pairs without one keep a row
+    "top_k_per_pair": "SELECT p.lo, p.hi, " + ", ".join(f"max(CASE WHEN t.r = {k} THEN t.episode END) AS ep{k}" for k in range(1, 6)) + f" FROM {{pair_labels}} p LEFT JOIN ({_TOP}) t ON t.lo = p.lo AND t.hi = p.hi AND t.r <= 5 AND t.score > 0e0 GROUP BY p.lo, p.hi",
+    # the first pairs of a pool, with all that tie with the last of them
+    "budget_gate": "SELECT pool, lo, hi, r FROM (SELECT pool, lo, hi, CAST(rank() OVER (PARTITION BY pool ORDER BY round(score, 2) DESC) AS BIGINT) AS r FROM {pair_scores}) t WHERE r <= 30",
+    # twenty by one score, of which again by another
+    "candidate_pool": f"SELECT lo, hi, episode, CAST(k AS BIGINT) AS k FROM (SELECT lo, hi, episode, row_number() OVER (PARTITION BY lo, hi ORDER BY score / (1e0 + r) DESC, ts, episode) AS k FROM ({_TOP}) t WHERE r <= 20) u WHERE k <= 20",
+    # F4
+    "rank_to_unit_score": "SELECT pool, lo, hi, round((count(*) OVER (PARTITION BY pool) - row_number() OVER (PARTITION BY pool ORDER BY score DESC, lo, hi) + 1) / CAST(count(*) OVER (PARTITION BY pool) AS DOUBLE), 8) AS unit_score FROM {pair_scores}",
+    # routed pairs placed after the tenth of the others, unless they stand above already
+    "insert_block": """
+WITH r AS (SELECT pool, lo, hi, CASE WHEN family = 2 THEN 1 ELSE 0 END AS routed, row_number() OVER (PARTITION BY pool ORDER BY score DESC, lo, hi) AS r FROM {pair_scores}),
+c AS (SELECT r.*, sum(1 - routed) OVER (PARTITION BY pool ORDER BY r) AS others FROM r)
+SELECT pool, lo, hi, CAST(row_number() OVER (PARTITION BY pool ORDER BY CASE WHEN routed = 0 OR others < 10 THEN others ELSE 10 END, CASE WHEN routed = 1 AND others >= 10 THEN 1 ELSE 0 END, r) AS BIGINT) AS place FROM c""",
+    # a second score orders the first block only
+    "cascade": """
+WITH r AS (SELECT pool, lo, hi, score, top, row_number() OVER (PARTITION BY pool ORDER BY score DESC, lo, hi) AS r FROM {pair_scores})
+SELECT pool, lo, hi, CAST(row_number() OVER (PARTITION BY pool ORDER BY CASE WHEN r <= 20 THEN 0 ELSE 1 END, CASE WHEN r <= 20 THEN -top ELSE r END, lo, hi) AS BIGINT) AS place FROM r""",
+    # lists of routed pairs are replaced, others stay, and rows that changed are told
+    "patch_rows": f"""
+WITH b AS (SELECT lo, hi, max(CASE WHEN r = 1 THEN episode END) AS ep1, max(CASE WHEN r = 2 THEN episode END) AS ep2 FROM ({_TOP}) t GROUP BY lo, hi),
+n AS (SELECT lo, hi, max(CASE WHEN evidence_rank = 1 THEN episode END) AS ep1, max(CASE WHEN evidence_rank = 2 THEN episode END) AS ep2 FROM {{listed}} GROUP BY lo, hi)
+SELECT b.lo, b.hi, coalesce(n.ep1, b.ep1) AS ep1, CASE WHEN n.lo IS NULL THEN b.ep2 ELSE n.ep2 END AS ep2, CAST(n.lo IS NOT NULL AND (n.ep1 <> b.ep1 OR coalesce(n.ep2, -1) <> coalesce(b.ep2, -1)) AS INT) AS changed FROM b LEFT JOIN n ON n.lo = b.lo AND n.hi = b.hi""",
+    # F8: columns to rows
+    "unpivot_evidence": f"""
+WITH w AS (SELECT lo, hi, max(CASE WHEN r = 1 THEN episode END) AS ep1, max(CASE WHEN r = 2 THEN episode END) AS ep2, max(CASE WHEN r = 3 THEN episode END) AS ep3 FROM ({_TOP}) t GROUP BY lo, hi)
+SELECT lo, hi, 1 AS slot, ep1 AS episode FROM w WHERE ep1 IS NOT NULL UNION SELECT lo, hi, 2 AS slot, ep2 AS episode FROM w WHERE ep2 IS NOT NULL UNION SELECT lo, hi, 3 AS slot, ep3 AS episode FROM w WHERE ep3 IS NOT NULL""",
+    # F9
+    "pivot_counts": "SELECT s.pool, count(CASE WHEN win = 'development' THEN 1 END) AS development, count(CASE WHEN win = 'evaluation' THEN 1 END) AS evaluation, min(episode) AS first_episode, max(episode) AS last_episode FROM {scored} s GROUP BY s.pool",
+}
