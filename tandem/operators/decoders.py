@@ -1 +1,155 @@
-OPERATORS: dict[str, str] = {}
+"""Decoders of evidence: which of a pair's episodes, in time order, fall among the first k events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_T = "PARTITION BY lo, hi ORDER BY ts, episode"
+_BEFORE = f"(sum(p) OVER ({_T} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - p)"
+
+OPERATORS = {
+    # Score times the chance of fewer than five earlier events, with their number as Poisson
+    "poisson_first_k": f"""
+WITH b AS (SELECT lo, hi, episode, p, {_BEFORE} AS l FROM {{chances}}) SELECT lo, hi, episode, round(p * exp(-l) * (1e0 + l + l * l / 2e0 + l * l * l / 6e0 + l * l * l * l / 24e0), 8) AS decoded FROM b""",
+    "time_decay": f"SELECT lo, hi, episode, round(p * exp(-5e-1 * (row_number() OVER ({_T}) - 1) / count(*) OVER (PARTITION BY lo, hi)), 8) AS decoded FROM {{chances}}",
+    # Rows that may train: up to the last listed, or all where the list is not full
+    "censor_mask": """
+WITH l AS (SELECT g.lo, g.hi, count(*) AS n, max(e.ts) AS last_ts FROM {listed} g JOIN {episodes} e ON e.episode = g.episode GROUP BY g.lo, g.hi)
+SELECT s.lo, s.hi, s.episode, CAST(l.n < 5 OR s.ts <= l.last_ts AS INT) AS usable FROM {scored} s JOIN l ON l.lo = s.lo AND l.hi = s.hi WHERE s.win = 'development'""",
+    "eligibility_penalty": "SELECT c.lo, c.hi, c.episode, round(CASE WHEN a.exit_ordinal IS NULL OR b.exit_ordinal IS NULL THEN c.p ELSE c.p - 100 END, 8) AS p FROM {chances} c JOIN {participants} a ON a.episode = c.episode AND a.member = c.lo JOIN {participants} b ON b.episode = c.episode AND b.member = c.hi",
+    # Some event of the episode, from the chance of each
+    "noisy_or_episode": """
+SELECT v.episode, v.member, round(1e0 - exp(sum(ln(1e0 - v.strength * 5e-1))), 6) AS any_event, round(max(CASE WHEN ordinal < 2 THEN v.strength * 5e-1 ELSE 0e0 END), 6) AS first_two FROM {ev} v GROUP BY v.episode, v.member""",
+    "rank_blend": """
+SELECT lo, hi, episode, round(7e-1 * (rank() OVER (PARTITION BY lo, hi ORDER BY p) + (count(*) OVER (PARTITION BY lo, hi, p) - 1) / 2e0) + 3e-1 * row_number() OVER (PARTITION BY lo, hi ORDER BY ts DESC, episode), 6) AS blended FROM {chances}""",
+    "logit_stack": "SELECT c.lo, c.hi, c.episode, round(ln(c.p / (1e0 - c.p)) + 5e-1 * (s.s_lo - s.s_hi), 6) AS stacked FROM {chances} c JOIN {transfers} s ON s.lo = c.lo AND s.hi = c.hi AND s.episode = c.episode",
+    # Mean of models' logits; here the chances of three scalings
+    "probability_fusion": """
+WITH m AS (SELECT lo, hi, episode, p, 1 AS model FROM {chances} UNION ALL SELECT lo, hi, episode, p * 5e-1 AS p, 2 AS model FROM {chances} UNION ALL SELECT lo, hi, episode, sqrt(p) AS p, 3 AS model FROM {chances})
+SELECT lo, hi, episode, round(1e0 / (1e0 + exp(-avg(ln(p / (1e0 - p))))), 8) AS p FROM m GROUP BY lo, hi, episode""",
+    "chronology_features": f"""
+SELECT lo, hi, episode, round({_BEFORE}, 6) AS mass_before, count(CASE WHEN p > 1e-1 THEN 1 END) OVER ({_T}) AS confident_upto, count(CASE WHEN p > 1e-1 THEN 1 END) OVER (PARTITION BY lo, hi) - count(CASE WHEN p > 1e-1 THEN 1 END) OVER ({_T}) AS confident_after,
+  CAST(row_number() OVER (PARTITION BY lo, hi ORDER BY p DESC, episode) AS BIGINT) AS by_p FROM {{chances}}""",
+    "window_profile": f"""
+WITH r AS (SELECT lo, hi, p, (row_number() OVER ({_T}) - 1) / CAST(count(*) OVER (PARTITION BY lo, hi) AS DOUBLE) AS pos, row_number() OVER (PARTITION BY lo, hi ORDER BY p DESC, episode) AS r FROM {{chances}})
+SELECT lo, hi, round(max(CASE WHEN r <= 1 THEN pos END), 6) AS at1, round(max(CASE WHEN r <= 3 THEN pos END), 6) AS at3, round(max(CASE WHEN r <= 5 THEN pos END), 6) AS at5, round(max(CASE WHEN r = 5 THEN p END) - max(CASE WHEN r = 6 THEN p END), 8) AS gap, count(CASE WHEN r <= 5 AND pos < 5e-1 THEN 1 END) AS early FROM r GROUP BY lo, hi""",
+    "soft_count_decoder": f"SELECT lo, hi, episode, round(p / (1e0 + exp(-(45e-1 - {_BEFORE}) / 5e-1)), 8) AS decoded FROM {{chances}}",
+}
+OPERATORS["eligibility_penalty"] = OPERATORS["eligibility_penalty"].replace("c.p - 100 END", "c.p - 1e2 END")
+
+
+def first_k_marginal(chances: DataFrame, k: int = 5, keys: tuple[str, ...] = ("lo", "hi"), order: tuple[str, ...] = ("ts", "episode"), p: str = "p") -> DataFrame:
+    """For each episode the chance that it is an event and that fewer than k earlier ones of its group are.
+
+    One fold over the group's sorted chances keeps the distribution of the number of events so far, up to k - 1. The
+    group is one pair's episodes. Returns the keys, episode and decoded.
+    """
+    rows = chances.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(p).alias("_p")))).alias("_rows"))
+    zero = F.expr(f"named_struct('dist', transform(sequence(0, {k - 1}), i -> if(i = 0, 1D, 0D)), 'out', cast(array() as array<double>))")
+    step = lambda acc, x: F.struct(
+        F.transform(acc["dist"], lambda d, i: d * (1 - x["_p"]) + F.when(i > 0, F.get(acc["dist"], i - 1) * x["_p"]).otherwise(F.lit(0.0))).alias("dist"),
+        F.concat(acc["out"], F.array(x["_p"] * F.aggregate(acc["dist"], F.lit(0.0), lambda a, d: a + d))).alias("out"),
+    )
+    folded = rows.withColumn("_out", F.aggregate("_rows", zero, step)["out"])
+    pairs = folded.select(*keys, F.explode(F.arrays_zip("_rows", "_out")).alias("x"))
+    return pairs.select(*keys, F.col(f"x._rows.{order[-1]}").alias(order[-1]), F.col("x._out").alias("decoded"))
+
+
+def first_k_given_at_least_k(chances: DataFrame, k: int = 5) -> DataFrame:
+    """first_k_marginal() on the condition that the group has at least k events (I5); a diagnostic, as it changes the denominator."""
+    decoded = first_k_marginal(chances, k)
+    # being an event with j < k earlier ones and at least k - j - 1 later ones: by the reversed fold of the complement
+    n = chances.groupBy("lo", "hi").agg(F.array_sort(F.collect_list(F.struct("ts", "episode", "p"))).alias("r"))
+    zero = F.expr(f"transform(sequence(0, {k - 1}), i -> if(i = 0, 1D, 0D))")
+    few = F.aggregate("r", zero, lambda d, x: F.transform(d, lambda v, i: v * (1 - x["p"]) + F.when(i > 0, F.get(d, i - 1) * x["p"]).otherwise(F.lit(0.0))))
+    short = n.select("lo", "hi", F.aggregate(few, F.lit(0.0), lambda a, d: a + d).alias("fewer"), F.explode("r").alias("x"), few.alias("dist"))
+    # chance of the episode being an event and fewer than k in all: p times fewer than k - 1 among the others, by dividing its factor out
+    others = F.aggregate(
+        F.slice("dist", 1, k - 1),
+        F.struct(F.lit(0.0).alias("last"), F.lit(0.0).alias("total")),
+        lambda a, d: F.struct(((d - a["last"] * F.col("x.p")) / (1 - F.col("x.p"))).alias("last"), (a["total"] + (d - a["last"] * F.col("x.p")) / (1 - F.col("x.p"))).alias("total")),
+    )["total"]
+    both = decoded.join(short.select("lo", "hi", F.col("x.episode").alias("episode"), "fewer", (F.col("x.p") * others).alias("without")), ["lo", "hi", "episode"])
+    return both.select("lo", "hi", "episode", F.when(F.col("fewer") < 1 - 1e-12, (F.col("decoded") - F.col("without")) / (1 - F.col("fewer"))).alias("decoded"))
+
+
+def completion_conditioned(chances: DataFrame, done: DataFrame, k: int = 5) -> DataFrame:
+    """The decoder over episodes that were completed; the others follow in the unconditioned order. done: lo, hi, episode, done (0 or 1)."""
+    both = chances.join(done, ["lo", "hi", "episode"])
+    plain = first_k_marginal(both, k).withColumnRenamed("decoded", "plain")
+    held = first_k_marginal(both.withColumn("p", F.col("p") * F.col("done")), k).withColumnRenamed("decoded", "held")
+    return plain.join(held, ["lo", "hi", "episode"]).select("lo", "hi", "episode", (F.col("held") + 1e-6 * F.col("plain")).alias("decoded"))
+
+
+def mass_normalize(chances: DataFrame, target: float = 5.0, steps: int = 40) -> DataFrame:
+    """Chances with their logits shifted so that those of a pair sum to target, or to 0.999 of their number if that is less.
+
+    The shift is halved in on for a fixed number of steps, inside the pair's sorted array.
+    """
+    rows = chances.groupBy("lo", "hi").agg(F.array_sort(F.collect_list(F.struct("episode", "p"))).alias("r"))
+    aim = F.least(F.lit(target), 0.999 * F.size("r"))
+    logit = lambda p: F.log(p / (1 - p))
+    mass = lambda s: F.aggregate("r", F.lit(0.0), lambda a, x: a + 1 / (1 + F.exp(-(logit(x["p"]) + s))))
+    middle = lambda a: (a["low"] + a["high"]) / 2
+    found = F.aggregate(
+        F.sequence(F.lit(1), F.lit(steps)),
+        F.struct(F.lit(-40.0).alias("low"), F.lit(40.0).alias("high")),
+        lambda a, _: F.struct(F.when(mass(middle(a)) < aim, middle(a)).otherwise(a["low"]).alias("low"), F.when(mass(middle(a)) < aim, a["high"]).otherwise(middle(a)).alias("high")),
+    )
+    shifted = rows.withColumn("s", middle(found))
+    return shifted.select("lo", "hi", F.explode("r").alias("x"), "s").select("lo", "hi", "x.episode", (1 / (1 + F.exp(-(logit(F.col("x.p")) + F.col("s"))))).alias("p"))
+
+
+def expected_ap(chances: DataFrame, k: int = 5) -> DataFrame:
+    """Expected average precision at k of each pair's list by descending chance, if events are independent.
+
+    The sum over places of P(event there) * (1 + expected earlier events) / place, over the expected number of events or k.
+    """
+    rows = chances.groupBy("lo", "hi").agg(F.slice(F.expr("array_sort(collect_list(struct(-p as q, episode)))"), 1, k).alias("r"), F.least(F.sum("p"), F.lit(float(k))).alias("m"))
+    total = F.aggregate(
+        "r",
+        F.struct(F.lit(0.0).alias("before"), F.lit(0.0).alias("sum"), F.lit(1.0).alias("place")),
+        lambda a, x: F.struct((a["before"] - x["q"]).alias("before"), (a["sum"] - x["q"] * (1 + a["before"]) / a["place"]).alias("sum"), (a["place"] + 1).alias("place")),
+    )["sum"]
+    return rows.select("lo", "hi", (total / F.col("m")).alias("expected_ap"))
+
+
+def _chances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tandem import catalog
+
+    return catalog.relations().frame(spark, "SELECT * FROM {chances}", catalog.Tables(spark, sf_dir))
+
+
+def _rounded(df: DataFrame, column: str, digits: int = 8) -> DataFrame:
+    return df.withColumn(column, F.round(column, digits))
+
+
+def _completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tandem import catalog
+
+    done = "SELECT q.lo, q.hi, q.episode, CASE WHEN a.exit_ordinal IS NULL OR b.exit_ordinal IS NULL THEN 1 ELSE 0 END AS done FROM {pair_episodes} q JOIN {participants} a ON a.episode = q.episode AND a.member = q.lo JOIN {participants} b ON b.episode = q.episode AND b.member = q.hi"
+    return _rounded(completion_conditioned(_chances(spark, sf_dir), catalog.relations().frame(spark, done, catalog.Tables(spark, sf_dir))), "decoded", 8)
+
+
+QUERIES = {
+    "first_k_marginal": lambda spark, d: _rounded(first_k_marginal(_chances(spark, d)), "decoded"),
+    "first_k_given_at_least_k": lambda spark, d: _rounded(first_k_given_at_least_k(_chances(spark, d)), "decoded", 6),
+    "completion_conditioned": _completion,
+    "mass_normalize": lambda spark, d: _rounded(mass_normalize(_chances(spark, d)), "p", 6),
+    "expected_ap": lambda spark, d: _rounded(expected_ap(_chances(spark, d)), "expected_ap", 6),
+}
+
+_FOLD = """
+WITH RECURSIVE o AS (SELECT lo, hi, episode, p, row_number() OVER (PARTITION BY lo, hi ORDER BY ts, episode) AS i FROM {chances}),
+f AS (SELECT lo, hi, episode, i, p AS decoded, 1e0 - p AS d0, p AS d1, 0e0 AS d2, 0e0 AS d3, 0e0 AS d4 FROM o WHERE i = 1
+  UNION ALL SELECT o.lo, o.hi, o.episode, o.i, o.p * (d0 + d1 + d2 + d3 + d4), d0 * (1e0 - o.p), d1 * (1e0 - o.p) + d0 * o.p, d2 * (1e0 - o.p) + d1 * o.p, d3 * (1e0 - o.p) + d2 * o.p, d4 * (1e0 - o.p) + d3 * o.p
+  FROM f JOIN o ON o.lo = f.lo AND o.hi = f.hi AND o.i = f.i + 1)
+SELECT lo, hi, episode, round(decoded, 8) AS decoded FROM f"""
+ORACLES = {
+    "first_k_marginal": _FOLD,
+    "expected_ap": """
+WITH r AS (SELECT lo, hi, p, row_number() OVER (PARTITION BY lo, hi ORDER BY p DESC, episode) AS r, least(sum(p) OVER (PARTITION BY lo, hi), 5e0) AS m FROM {chances}),
+b AS (SELECT lo, hi, p, r, m, sum(p) OVER (PARTITION BY lo, hi ORDER BY r) - p AS before FROM r WHERE r <= 5)
+SELECT lo, hi, round(sum(p * (1e0 + before) / r) / max(m), 6) AS expected_ap FROM b GROUP BY lo, hi""",
+}

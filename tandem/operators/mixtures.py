@@ -1 +1,131 @@
-OPERATORS: dict[str, str] = {}
+"""Dependence between partners and mixtures of active and idle episodes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# residual of the first decision, made before the partner acts, times the partner's strength
+_EARLY = """
+SELECT lo AS a, hi AS b, episode, CASE WHEN act_lo = 'exit' THEN 1e0 ELSE 0e0 END - x AS r_exit, CASE WHEN act_lo = 'push' THEN 1e0 ELSE 0e0 END - u AS r_push, x * (1e0 - x) AS v_exit, u * (1e0 - u) AS v_push, s_hi - m AS e FROM {first_pairs} WHERE o_lo < o_hi
+UNION ALL
+SELECT hi AS a, lo AS b, episode, CASE WHEN act_hi = 'exit' THEN 1e0 ELSE 0e0 END - x AS r_exit, CASE WHEN act_hi = 'push' THEN 1e0 ELSE 0e0 END - u AS r_push, x * (1e0 - x) AS v_exit, u * (1e0 - u) AS v_push, s_lo - m AS e FROM {first_pairs} WHERE o_hi < o_lo"""
+
+OPERATORS = {
+    "score_test_partner_info": f"""
+WITH d AS (SELECT a, b, sum(r_exit * e) / sqrt(sum(v_exit * e * e) + 1e-9) AS z_exit, sum(r_push * e) / sqrt(sum(v_push * e * e) + 1e-9) AS z_push, count(*) AS n FROM ({_EARLY}) t GROUP BY a, b)
+SELECT least(a, b) AS lo, greatest(a, b) AS hi, CAST(sum(n) AS BIGINT) AS n, round(sum(z_exit * z_exit + z_push * z_push), 5) AS chi2, round(max(abs(z_exit)), 6) AS z_exit_max, round(max(z_push), 6) AS z_push_max FROM d GROUP BY least(a, b), greatest(a, b)""",
+    # The one who acts second
+    "responder_score_test": """
+WITH t AS (SELECT lo, hi, CASE WHEN o_lo < o_hi THEN CASE WHEN act_hi = 'exit' THEN 1e0 ELSE 0e0 END ELSE CASE WHEN act_lo = 'exit' THEN 1e0 ELSE 0e0 END END - x AS r, x * (1e0 - x) AS v, CASE WHEN o_lo < o_hi THEN s_lo ELSE s_hi END - m AS e FROM {first_pairs})
+SELECT lo, hi, count(*) AS n, round(sum(r * e) / sqrt(sum(v * e * e) + 1e-9), 6) AS z FROM t GROUP BY lo, hi""",
+    # Decisions after the first, while the partner is there
+    "later_decision_stat": """
+SELECT t.actor, t.target, count(*) AS n, round(sum((CASE WHEN t.act = 'push' THEN 1e0 ELSE 0e0 END - p.share - (CASE WHEN t.act = 'exit' THEN 1e0 ELSE 0e0 END - x.share)) * (s.strength - 5e-1)) / sqrt(sum((p.share * (1e0 - p.share) + x.share * (1e0 - x.share) + 2e0 * p.share * x.share) * (s.strength - 5e-1) * (s.strength - 5e-1)) + 1e-9), 6) AS z
+FROM {toward} t JOIN {first_decisions} f ON f.episode = t.episode AND f.member = t.actor AND f.ordinal < t.ordinal JOIN {participants} s ON s.episode = t.episode AND s.member = t.target
+JOIN {class_shares} p ON p.stage = t.stage AND p.facing = CAST(t.to_call > 0e0 AS INT) AND p.act = 'push' JOIN {class_shares} x ON x.stage = t.stage AND x.facing = CAST(t.to_call > 0e0 AS INT) AND x.act = 'exit' GROUP BY t.actor, t.target""",
+    # Two statistics standardised on negatives and added
+    "null_calibrated_combine": """
+WITH s AS (SELECT p.lo, p.hi, p.score AS a, p.top AS b, p.label FROM {pair_scores} p), n AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb FROM s WHERE label = 0)
+SELECT s.lo, s.hi, round(((a - ma) / nullif(sa, 0e0) + (b - mb) / nullif(sb, 0e0)) / sqrt(2e0), 6) AS combined FROM s CROSS JOIN n""",
+    "tilt_llr": "SELECT episode, actor, target, round(sum(l), 6) AS llr FROM {tilts} GROUP BY episode, actor, target",
+    # Log Bayes factor of a share of active episodes
+    "pair_bayes_factor": """
+WITH h AS (SELECT actor, target, episode, sum(l) AS l FROM {tilts} GROUP BY actor, target, episode) SELECT actor, target, count(*) AS n, round(sum(ln(9e-1 + 1e-1 * exp(l))), 6) AS lbf FROM h GROUP BY actor, target""",
+    # Over a grid of activity, with the episode's posterior at the middle of it
+    "sparse_activity_lbf": """
+WITH h AS (SELECT actor, target, episode, sum(l) AS l FROM {tilts} GROUP BY actor, target, episode), g AS (SELECT rho FROM (VALUES (2e-2), (1e-1), (5e-1)) AS v(rho)),
+b AS (SELECT actor, target, rho, sum(ln(1e0 - rho + rho * exp(l))) AS lbf FROM h CROSS JOIN g GROUP BY actor, target, rho)
+SELECT actor, target, round(max(lbf), 6) AS best, round(max(lbf) + ln(sum(exp(lbf - m)) / 3e0), 6) AS averaged FROM (SELECT b.*, max(lbf) OVER (PARTITION BY actor, target) AS m FROM b) t GROUP BY actor, target""",
+    # Classes of own and partner's strength against classes of own strength
+    "class_mixture_llr": """
+WITH t AS (SELECT t.actor, t.target, t.act, CAST(floor(t.strength * 3e0) AS INT) AS own, CAST(floor(p.strength * 3e0) AS INT) AS partner FROM {toward} t JOIN {participants} p ON p.episode = t.episode AND p.member = t.target),
+q AS (SELECT own, partner, act, (n + 5e-1) / sum(n + 5e-1) OVER (PARTITION BY own, partner) AS q FROM (SELECT own, partner, act, count(*) AS n FROM t GROUP BY own, partner, act) c),
+z AS (SELECT own, act, (n + 5e-1) / sum(n + 5e-1) OVER (PARTITION BY own) AS z FROM (SELECT own, act, count(*) AS n FROM t GROUP BY own, act) c)
+SELECT t.actor, t.target, count(*) AS n, round(sum(ln((7e-1 * z.z + 3e-1 * q.q) / z.z)), 6) AS llr FROM t JOIN q ON q.own = t.own AND q.partner = t.partner AND q.act = t.act JOIN z ON z.own = t.own AND z.act = t.act GROUP BY t.actor, t.target""",
+    # Would the decision be likelier with the partner's strength in place of one's own
+    "substitution_llr": """
+WITH c AS (SELECT CAST(floor(strength * 4e0) AS INT) AS bin, act, count(*) AS n FROM {ev} GROUP BY CAST(floor(strength * 4e0) AS INT), act), q AS (SELECT bin, act, (n + 5e-1) / sum(n + 5e-1) OVER (PARTITION BY bin) AS q FROM c)
+SELECT t.actor, t.target, count(*) AS n, round(sum(ln(8e-1 + 2e-1 * s.q / o.q)), 6) AS llr, round(max(2e-1 * s.q / (8e-1 * o.q + 2e-1 * s.q)), 6) AS most
+FROM {toward} t JOIN {participants} p ON p.episode = t.episode AND p.member = t.target JOIN q o ON o.bin = CAST(floor(t.strength * 4e0) AS INT) AND o.act = t.act JOIN q s ON s.bin = CAST(floor(p.strength * 4e0) AS INT) AND s.act = t.act GROUP BY t.actor, t.target""",
+}
+
+RELATIONS = {
+    "first_pairs": """
+SELECT e.lo, e.hi, e.episode, e.act_lo, e.act_hi, e.s_lo, e.s_hi, e.o_lo, e.o_hi, r.x, r.u, r.m FROM {entries} e
+CROSS JOIN (SELECT avg(CASE WHEN act = 'exit' THEN 1e0 ELSE 0e0 END) AS x, avg(CASE WHEN act = 'push' THEN 1e0 ELSE 0e0 END) AS u, avg(strength) AS m FROM {first_decisions}) r""",
+    # log likelihood ratio of each decision if pushes and exits lean on the partner's strength
+    "tilts": """
+SELECT t.episode, t.actor, t.target, (p.strength - 5e-1) * CASE t.act WHEN 'push' THEN 1e0 WHEN 'exit' THEN -1e0 ELSE 0e0 END - ln(u.share * exp(p.strength - 5e-1) + x.share * exp(5e-1 - p.strength) + 1e0 - u.share - x.share) AS l
+FROM {toward} t JOIN {participants} p ON p.episode = t.episode AND p.member = t.target
+JOIN {class_shares} u ON u.stage = t.stage AND u.facing = CAST(t.to_call > 0e0 AS INT) AND u.act = 'push' JOIN {class_shares} x ON x.stage = t.stage AND x.facing = CAST(t.to_call > 0e0 AS INT) AND x.act = 'exit'""",
+}
+
+
+def em_mixture_rate(llrs: DataFrame, rounds: int = 10, start: float = 0.1) -> DataFrame:
+    """By group the share of active episodes, from episode log likelihood ratios (actor, target, episode, l), after a fixed number of EM rounds.
+
+    The rounds run inside the group's array of ratios, that is one pair's episodes.
+    """
+    rows = llrs.groupBy("actor", "target").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    step = lambda pi, _: F.aggregate("ls", F.lit(0.0), lambda a, x: a + pi * F.exp(x) / (1 - pi + pi * F.exp(x))) / F.size("ls")
+    fitted = rows.withColumn("rate", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(start), step))
+    return fitted.select("actor", "target", "rate", F.aggregate("ls", F.lit(0.0), lambda a, x: a + F.log(1 - F.col("rate") + F.col("rate") * F.exp(x))).alias("llr"))
+
+
+def episodic_activity(llrs: DataFrame, stay: float = 0.9, share: float = 0.1) -> DataFrame:
+    """A chain with an idle and an active state over a group's episodes: log Bayes factor against always idle, and the active state's filtered chance at the end.
+
+    llrs: actor, target, episode, l; episodes are ordered by number. One fold over the group's array; stay is the chance to remain in a state.
+    """
+    rows = llrs.groupBy("actor", "target").agg(F.array_sort(F.collect_list(F.struct("episode", "l"))).alias("r"))
+    ahead = lambda a: a["active"] * stay + (1 - a["active"]) * (1 - stay)
+    weight = lambda a, x: 1 - ahead(a) + ahead(a) * F.exp(x["l"])
+    folded = F.aggregate(
+        "r",
+        F.struct(F.lit(share).alias("active"), F.lit(0.0).alias("lbf")),
+        lambda a, x: F.struct((ahead(a) * F.exp(x["l"]) / weight(a, x)).alias("active"), (a["lbf"] + F.log(weight(a, x))).alias("lbf")),
+    )
+    return rows.select("actor", "target", folded.alias("f")).select("actor", "target", F.col("f.lbf").alias("lbf"), F.col("f.active").alias("active"))
+
+
+def permutation_null(seed: int = 7, n: int = 20) -> str:
+    """SQL for the number of listed episodes that directly follow another one, against n random choices of as many episodes of the pair."""
+    return f"""
+WITH o AS (SELECT s.lo, s.hi, s.episode, row_number() OVER (PARTITION BY s.lo, s.hi ORDER BY s.ts, s.episode) AS i, CASE WHEN g.episode IS NOT NULL THEN 1 ELSE 0 END AS y
+  FROM {{scored}} s JOIN (SELECT DISTINCT lo, hi FROM {{listed}}) k ON k.lo = s.lo AND k.hi = s.hi LEFT JOIN {{listed}} g ON g.lo = s.lo AND g.hi = s.hi AND g.episode = s.episode),
+c AS (SELECT lo, hi, sum(y) AS m FROM o GROUP BY lo, hi), k AS (SELECT id FROM {{numbers}} WHERE id < {n}),
+d AS (SELECT o.lo, o.hi, o.i, k.id, row_number() OVER (PARTITION BY o.lo, o.hi, k.id ORDER BY md5(concat(CAST(o.episode AS VARCHAR(20)), '-', CAST(k.id AS VARCHAR(20)), '-{seed}')), o.episode) AS r FROM o CROSS JOIN k),
+p AS (SELECT d.lo, d.hi, d.id, d.i, lag(d.i) OVER (PARTITION BY d.lo, d.hi, d.id ORDER BY d.i) AS was FROM d JOIN c ON c.lo = d.lo AND c.hi = d.hi AND d.r <= c.m),
+a AS (SELECT lo, hi, count(CASE WHEN i = was + 1 THEN 1 END) / {n}e0 AS by_chance FROM p GROUP BY lo, hi),
+s AS (SELECT lo, hi, count(CASE WHEN i = was + 1 THEN 1 END) AS adjacent FROM (SELECT lo, hi, i, lag(i) OVER (PARTITION BY lo, hi ORDER BY i) AS was FROM o WHERE y = 1) t GROUP BY lo, hi)
+SELECT s.lo, s.hi, s.adjacent, round(a.by_chance, 6) AS by_chance FROM s JOIN a ON a.lo = s.lo AND a.hi = s.hi"""
+
+
+RELATIONS["numbers"] = "SELECT n_nationkey AS id FROM {nation}"
+OPERATORS["permutation_null"] = permutation_null()
+
+
+def _llrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tandem import catalog
+
+    return catalog.relations().frame(spark, "SELECT actor, target, episode, sum(l) AS l FROM {tilts} GROUP BY actor, target, episode", catalog.Tables(spark, sf_dir))
+
+
+QUERIES = {
+    "em_mixture_rate": lambda spark, d: em_mixture_rate(_llrs(spark, d)).select("actor", "target", F.round("rate", 6).alias("rate"), F.round("llr", 6).alias("llr")),
+    "episodic_activity": lambda spark, d: episodic_activity(_llrs(spark, d)).select("actor", "target", F.round("lbf", 6).alias("lbf"), F.round("active", 6).alias("active")),
+}
+_L = "SELECT actor, target, episode, sum(l) AS l FROM {tilts} GROUP BY actor, target, episode"
+ORACLES = {
+    "em_mixture_rate": f"""
+WITH RECURSIVE h AS ({_L}), e AS (SELECT actor, target, 1e-1 AS rate, 0 AS k FROM h GROUP BY actor, target
+  UNION ALL SELECT h.actor, h.target, sum(e.rate * exp(h.l) / (1e0 - e.rate + e.rate * exp(h.l))) / count(*), e.k + 1 FROM e JOIN h ON h.actor = e.actor AND h.target = e.target WHERE e.k < 10 GROUP BY h.actor, h.target, e.k)
+SELECT e.actor, e.target, round(e.rate, 6) AS rate, round(sum(ln(1e0 - e.rate + e.rate * exp(h.l))), 6) AS llr FROM e JOIN h ON h.actor = e.actor AND h.target = e.target WHERE e.k = 10 GROUP BY e.actor, e.target, e.rate""",
+    "episodic_activity": f"""
+WITH RECURSIVE h AS (SELECT t.*, row_number() OVER (PARTITION BY actor, target ORDER BY episode) AS i, count(*) OVER (PARTITION BY actor, target) AS n FROM ({_L}) t),
+f AS (SELECT actor, target, 0 AS i, 1e-1 AS active, 0e0 AS lbf FROM h WHERE i = 1
+  UNION ALL SELECT h.actor, h.target, CAST(h.i AS INT), (f.active * 9e-1 + (1e0 - f.active) * (1e0 - 9e-1)) * exp(h.l) / (1e0 - (f.active * 9e-1 + (1e0 - f.active) * (1e0 - 9e-1)) + (f.active * 9e-1 + (1e0 - f.active) * (1e0 - 9e-1)) * exp(h.l)),
+    f.lbf + ln(1e0 - (f.active * 9e-1 + (1e0 - f.active) * (1e0 - 9e-1)) + (f.active * 9e-1 + (1e0 - f.active) * (1e0 - 9e-1)) * exp(h.l)) FROM f JOIN h ON h.actor = f.actor AND h.target = f.target AND h.i = f.i + 1)
+SELECT f.actor, f.target, round(f.lbf, 6) AS lbf, round(f.active, 6) AS active FROM f JOIN (SELECT DISTINCT actor, target, n FROM h) k ON k.actor = f.actor AND k.target = f.target AND k.n = f.i""",
+}

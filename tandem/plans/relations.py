@@ -62,6 +62,7 @@ class Relations:
 
         parts = [f"{n} AS ({plain(self.definitions[n])})" for n in self.order(reads(sql))]
         own = plain(sql)
+        recursive = "RECURSIVE " if own.startswith("WITH RECURSIVE ") else ""
         if own.startswith("WITH "):
-            parts, own = [*parts, own.removeprefix("WITH ")], ""
-        return f"WITH {', '.join(parts)} {own}" if parts else own
+            parts, own = [*parts, own.removeprefix("WITH ").removeprefix(recursive)], ""
+        return f"WITH {recursive}{', '.join(parts)} {own}" if parts else own
