@@ -1 +1,113 @@
-OPERATORS: dict[str, str] = {}
+"""Checks that tables keep what is promised of them (M1-M6), and order-free fingerprints (A4)."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+_RESULT = """SELECT p.lo, p.hi, p.score / (p.score + 1e0) AS risk, CASE p.family WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS behavior, t.ep1, t.ep2 FROM {pair_scores} p
+JOIN (SELECT lo, hi, max(CASE WHEN r = 1 THEN episode END) AS ep1, max(CASE WHEN r = 2 THEN episode END) AS ep2 FROM (SELECT lo, hi, episode, row_number() OVER (PARTITION BY lo, hi ORDER BY score DESC, ts, episode) AS r FROM {scored}) x GROUP BY lo, hi) t ON t.lo = p.lo AND t.hi = p.hi"""
+
+OPERATORS = {
+    # A4: rows, and a sum of hashes that doesn't depend on their order
+    "table_fingerprint": """
+SELECT count(*) AS n, CAST(sum(CAST(o_orderkey % 1000003 AS BIGINT) * (length(o_orderpriority) + 1)) AS BIGINT) AS mixed, CAST(count(DISTINCT substr(md5(concat(CAST(o_orderkey AS VARCHAR(20)), '|', o_orderpriority)), 1, 8)) AS BIGINT) AS hashes FROM {orders}""",
+    "validate_result": f"""
+SELECT count(*) AS n, count(CASE WHEN risk IS NULL OR risk < 0e0 OR risk > 1e0 THEN 1 END) AS bad_risk, count(CASE WHEN behavior NOT IN ('a', 'b', 'c') THEN 1 END) AS bad_behavior, count(CASE WHEN ep1 = ep2 THEN 1 END) AS repeated, count(CASE WHEN ep1 IS NULL THEN 1 END) AS without,
+  CAST(count(*) - count(DISTINCT lo * 100000 + hi) AS BIGINT) AS doubled FROM ({_RESULT}) t""",
+    "validate_membership": f"""
+SELECT count(*) AS cited, count(CASE WHEN e.episode IS NULL THEN 1 END) AS unknown, count(CASE WHEN e.win <> 'evaluation' THEN 1 END) AS other_window, count(CASE WHEN a.member IS NULL OR b.member IS NULL THEN 1 END) AS not_present
+FROM (SELECT lo, hi, ep1 AS episode FROM ({_RESULT}) t UNION ALL SELECT lo, hi, ep2 AS episode FROM ({_RESULT}) t WHERE ep2 IS NOT NULL) c LEFT JOIN {{episodes}} e ON e.episode = c.episode
+LEFT JOIN {{participants}} a ON a.episode = c.episode AND a.member = c.lo LEFT JOIN {{participants}} b ON b.episode = c.episode AND b.member = c.hi""",
+    # M3: named checks with how many rows fail them
+    "audit_raw": """
+SELECT 'episode_key' AS name, CAST(count(*) - count(DISTINCT episode) AS BIGINT) AS failed FROM {episodes}
+UNION ALL SELECT 'event_key' AS name, CAST(count(*) - count(DISTINCT episode * 1000 + ordinal) AS BIGINT) AS failed FROM {ev}
+UNION ALL SELECT 'event_orphan' AS name, count(*) AS failed FROM {ev} v WHERE NOT EXISTS (SELECT 1 FROM {episodes} e WHERE e.episode = v.episode)
+UNION ALL SELECT 'member_orphan' AS name, count(*) AS failed FROM {ev} v WHERE NOT EXISTS (SELECT 1 FROM {members} m WHERE m.member = v.member)
+UNION ALL SELECT 'act_domain' AS name, count(*) AS failed FROM {ev} WHERE act NOT IN ('exit', 'hold', 'match', 'push')
+UNION ALL SELECT 'stage_domain' AS name, count(*) AS failed FROM {ev} WHERE stage NOT BETWEEN 0 AND 3
+UNION ALL SELECT 'amount_range' AS name, count(*) AS failed FROM {ev} WHERE amount < 0e0
+UNION ALL SELECT 'contiguous' AS name, count(*) AS failed FROM (SELECT episode FROM {ev} GROUP BY episode HAVING min(ordinal) <> 0 OR max(ordinal) + 1 <> count(*)) t
+UNION ALL SELECT 'acts_after_exit' AS name, count(*) AS failed FROM {ev} v JOIN {participants} p ON p.episode = v.episode AND p.member = v.member AND v.ordinal > p.exit_ordinal
+UNION ALL SELECT 'unit_positive' AS name, count(*) AS failed FROM {episodes} WHERE unit <= 0e0""",
+    "audit_features": """
+SELECT win, count(*) AS n, count(DISTINCT lo * 100000 + hi) AS pairs, count(CASE WHEN t_ab IS NULL OR t_ba IS NULL THEN 1 END) AS nulls, CAST(count(*) - count(DISTINCT (lo * 1000 + hi) * 10000000 + episode) AS BIGINT) AS doubled, count(CASE WHEN t_ab > 0e0 AND t_ba > 0e0 THEN 1 END) AS both_ways FROM {transfers} GROUP BY win""",
+}
+
+
+class ContractError(ValueError):
+    """A table doesn't keep what was promised of it."""
+
+
+def violations(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
+    """name and failed: for each condition the number of rows of df for which it holds, in one pass."""
+    counts = df.agg(*(F.count_if(c).alias(n) for n, c in checks.items()))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("failed")) for n in checks))).alias("x")).select("x.*")
+
+
+def validate_result(df: DataFrame, columns: Sequence[str], key: str, risk: str, behavior: str, known: Sequence[str], evidence: Sequence[str], wanted: DataFrame | None = None) -> DataFrame:
+    """Raises ContractError for wrong columns; else the violations of a result table: nulls, blanks, risk outside 0 to 1, unknown behavior, repeated evidence, keys doubled, missing or unexpected."""
+    if list(df.columns) != list(columns):
+        raise ContractError(f"columns are {df.columns}")
+    texts = [c for c, t in df.dtypes if t == "string"]
+    listed = F.filter(F.array(*evidence), lambda x: x.isNotNull() & (x != "NO_EVIDENCE"))
+    found = violations(
+        df,
+        {
+            "null": sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0)) > 0,
+            "blank": sum(((F.trim(c) == "").cast("int") for c in texts), F.lit(0)) > 0,
+            "risk": F.isnan(risk) | (F.col(risk) < 0) | (F.col(risk) > 1),
+            "behavior": ~F.col(behavior).isin(*known),
+            "repeated": F.size(listed) != F.size(F.array_distinct(listed)),
+        },
+    )
+    out = found.unionByName(df.agg((F.count(key) - F.count_distinct(key)).alias("failed")).select(F.lit("doubled").alias("name"), "failed"))
+    if wanted is not None:
+        missing = wanted.select(key).join(df.select(key), key, "left_anti")
+        unexpected = df.select(key).join(wanted.select(key), key, "left_anti")
+        for name, rows in (("missing", missing), ("unexpected", unexpected)):
+            out = out.unionByName(rows.agg(F.count(F.lit(1)).alias("failed")).select(F.lit(name).alias("name"), "failed"))
+    return out
+
+
+def require_features(df: DataFrame, registered: Sequence[str]) -> DataFrame:
+    """M5: df if it has exactly the registered columns that begin with f_, else ContractError; a non-finite value fails the job that meets it."""
+    own = [c for c in df.columns if c.startswith("f_")]
+    if sorted(own) != sorted(registered):
+        raise ContractError(f"missing {sorted(set(registered) - set(own))}, not registered {sorted(set(own) - set(registered))}")
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    return df.select(*(F.when(bad(c), F.raise_error(F.lit(f"{c} is not finite"))).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in df.columns))
+
+
+def checked_join(left: DataFrame, right: DataFrame, keys: Sequence[str], one_to_one: bool = False) -> DataFrame:
+    """Inner join that raises ContractError where right's keys (or, one to one, left's) repeat, or rows of left would be lost."""
+    for side, rows in (("right", right), ("left", left))[: 2 if one_to_one else 1]:
+        if not rows.groupBy(*keys).count().where("count > 1").isEmpty():
+            raise ContractError(f"keys repeat on the {side}")
+    if not left.join(right, list(keys), "left_anti").isEmpty():
+        raise ContractError("rows of the left have no partner")
+    return left.join(right, list(keys))
+
+
+def window_safe_join(base: DataFrame, extra: DataFrame, keys: Sequence[str] = ("win", "pool", "lo", "hi")) -> DataFrame:
+    """checked_join() on keys that include the window, so that features of another window can't be joined."""
+    for name, rows in (("base", base), ("extra", extra)):
+        if missing := [k for k in keys if k not in rows.columns]:
+            raise ContractError(f"{name} has no {', '.join(missing)}")
+    return checked_join(base, extra, keys, one_to_one=True)
+
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    """A4: number of rows and an order-free sum of row hashes over all columns, sorted by name."""
+    row = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns))))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(row, 1, 8), 16, 10).cast("long")).alias("hash"))
+
+
+def run_receipt(before: DataFrame, after: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """M6: rows before, after, and how many changed in any of the columns."""
+    b, a = before.select(*key, F.struct(*columns).alias("_b")), after.select(*key, F.struct(*columns).alias("_a"))
+    both = b.join(a, list(key), "full_outer")
+    return both.agg(F.count("_b").alias("before"), F.count("_a").alias("after"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull() & ~F.col("_a").eqNullSafe(F.col("_b"))).alias("changed"))

@@ -1 +1,82 @@
-OPERATORS: dict[str, str] = {}
+"""Ranking metrics with fixed tie rules, and resampling."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+_RANKED = """SELECT pool, lo, hi, coalesce(label, 0) AS y, family, score, row_number() OVER (PARTITION BY pool ORDER BY score DESC, lo, hi) AS r, top FROM {pair_scores}"""
+_FIVE = "SELECT lo, hi, episode, row_number() OVER (PARTITION BY lo, hi ORDER BY score DESC, ts, episode) AS r FROM {scored} WHERE win = 'development'"
+_AP5 = f"""SELECT g.lo, g.hi, coalesce(sum(h.gain), 0e0) / least(5, max(g.n)) AS ap FROM (SELECT lo, hi, count(*) AS n FROM {{listed}} GROUP BY lo, hi) g
+LEFT JOIN (SELECT f.lo, f.hi, count(*) OVER (PARTITION BY f.lo, f.hi ORDER BY f.r) / CAST(f.r AS DOUBLE) AS gain FROM ({_FIVE}) f JOIN {{listed}} l ON l.lo = f.lo AND l.hi = f.hi AND l.episode = f.episode WHERE f.r <= 5) h ON h.lo = g.lo AND h.hi = g.hi GROUP BY g.lo, g.hi"""
+_AP = f"SELECT pool, coalesce(sum(CASE WHEN y = 1 THEN k / CAST(r AS DOUBLE) END) / nullif(sum(y), 0), 0e0) AS ap FROM (SELECT pool, y, r, sum(y) OVER (PARTITION BY pool ORDER BY r) AS k FROM ({_RANKED}) a) b GROUP BY pool"
+_FAMILY = f"""SELECT f.family, coalesce(sum(CASE WHEN b.y = 1 THEN b.k / CAST(b.r AS DOUBLE) END) / nullif(sum(b.y), 0), 0e0) AS ap FROM (SELECT family FROM (VALUES (0), (1), (2)) AS v(family)) f
+LEFT JOIN (SELECT fam, y, r, sum(y) OVER (PARTITION BY fam ORDER BY r) AS k FROM (
+  SELECT p.family AS fam, CASE WHEN coalesce(p.label, 0) = 1 THEN 1 ELSE 0 END AS y, row_number() OVER (PARTITION BY p.family ORDER BY p.score DESC, p.lo, p.hi) AS r FROM {{pair_scores}} p) a) b ON b.fam = f.family GROUP BY f.family"""
+
+OPERATORS = {
+    "stable_ap": f"SELECT pool, round(ap, 8) AS ap FROM ({_AP}) t",
+    "ap_at_5": f"SELECT lo, hi, round(ap, 8) AS ap FROM ({_AP5}) t",
+    "evidence_map5": f"SELECT p.family, count(*) AS positives, round(avg(coalesce(a.ap, 0e0)), 8) AS map5 FROM {{pair_labels}} p LEFT JOIN ({_AP5}) a ON a.lo = p.lo AND a.hi = p.hi WHERE p.label = 1 GROUP BY p.family",
+    "behavior_macro_ap": f"SELECT count(*) AS families, round(avg(ap), 8) AS macro_ap FROM ({_FAMILY}) t",
+    "composite": f"""
+SELECT round(7e-1 * a.ap + 2e-1 * e.ap + 1e-1 * m.ap, 8) AS composite FROM (SELECT avg(ap) AS ap FROM ({_AP}) t) a
+CROSS JOIN (SELECT avg(coalesce(x.ap, 0e0)) AS ap FROM {{pair_labels}} p LEFT JOIN ({_AP5}) x ON x.lo = p.lo AND x.hi = p.hi WHERE p.label = 1) e CROSS JOIN (SELECT avg(ap) AS ap FROM ({_FAMILY}) t) m""",
+    # Rank-sum AUC with average ranks, for documents' quality by length
+    "auc": """
+WITH t AS (SELECT l.quality AS y, d.source, rank() OVER (PARTITION BY d.source ORDER BY d.n_chars) + (count(*) OVER (PARTITION BY d.source, d.n_chars) - 1) / 2e0 AS r FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id WHERE l.quality IS NOT NULL)
+SELECT source, count(*) AS n, round((sum(CASE WHEN y = 1 THEN r END) - CAST(sum(y) AS DOUBLE) * (sum(y) + 1) / 2e0) / nullif(CAST(sum(y) AS DOUBLE) * (count(*) - sum(y)), 0e0), 8) AS auc FROM t GROUP BY source""",
+    "recall_at_k": f"""
+SELECT g.k, count(*) AS listed, round(avg(CASE WHEN f.r <= g.k THEN 1e0 ELSE 0e0 END), 8) AS recall FROM {{listed}} l JOIN ({_FIVE}) f ON f.lo = l.lo AND f.hi = l.hi AND f.episode = l.episode CROSS JOIN (SELECT k FROM (VALUES (5), (10), (20), (40)) AS v(k)) g GROUP BY g.k""",
+    "rank_change_audit": f"""
+SELECT a.pool, count(*) AS pairs, round(avg(abs(a.r - b.r)), 6) AS mean_shift, max(abs(a.r - b.r)) AS max_shift, count(CASE WHEN a.r <= 20 AND b.r <= 20 THEN 1 END) AS common_top, count(CASE WHEN a.r <= 20 AND a.label IS NULL THEN 1 END) AS unknown_top
+FROM (SELECT pool, lo, hi, label, CAST(row_number() OVER (PARTITION BY pool ORDER BY score DESC, lo, hi) AS BIGINT) AS r FROM {{pair_scores}}) a JOIN (SELECT lo, hi, CAST(row_number() OVER (PARTITION BY pool ORDER BY top DESC, lo, hi) AS BIGINT) AS r FROM {{pair_scores}}) b ON b.lo = a.lo AND b.hi = a.hi GROUP BY a.pool""",
+    # What is lost because a listed episode is not among the first twenty, not chosen, or chosen late
+    "loss_decomposition": f"""
+SELECT p.family, count(*) AS listed, count(CASE WHEN f.r > 20 THEN 1 END) AS outside_pool, count(CASE WHEN f.r BETWEEN 6 AND 20 THEN 1 END) AS not_selected, count(CASE WHEN f.r <= 5 AND f.r > l.evidence_rank THEN 1 END) AS ordered_late
+FROM {{listed}} l JOIN ({_FIVE}) f ON f.lo = l.lo AND f.hi = l.hi AND f.episode = l.episode JOIN {{pair_labels}} p ON p.lo = l.lo AND p.hi = l.hi GROUP BY p.family""",
+    "score_calibration": """
+SELECT CAST(floor(c.p * 1e1) AS INT) AS bin, count(*) AS n, round(avg(c.p), 6) AS predicted, round(avg(CASE WHEN g.episode IS NOT NULL THEN 1e0 ELSE 0e0 END), 6) AS observed
+FROM {chances} c JOIN {pair_labels} l ON l.lo = c.lo AND l.hi = c.hi AND l.label = 1 LEFT JOIN {listed} g ON g.lo = c.lo AND g.hi = c.hi AND g.episode = c.episode GROUP BY CAST(floor(c.p * 1e1) AS INT)""",
+    # A metric by exposure, and again with the weights of all pairs
+    "exposure_strata": """
+WITH b AS (SELECT CAST(least(floor(n / 10), 3) AS INT) AS bin, label, score FROM {pair_scores}), w AS (SELECT bin, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS w FROM b GROUP BY bin)
+SELECT b.bin, count(*) AS n, round(max(w.w), 6) AS weight, round(avg(b.score), 8) AS mean, round(avg(b.score) * max(w.w), 8) AS part FROM b JOIN w ON w.bin = b.bin WHERE b.label IS NOT NULL GROUP BY b.bin""",
+}
+
+
+def cluster_bootstrap(scores: DataFrame, replicas: int = 100, seed: int = 11) -> DataFrame:
+    """Mean score of positives less that of negatives, with pools drawn again with replacement.
+
+    scores: pool, label, score. A pool's multiplicity in a replica is Poisson of mean 1, from a hash of both, so any partitioning gives the same. Returns
+    one row: replicas with both classes, mean, 5% and 95% quantiles, and the share above 0. Rows are summed for each pool before they meet the replicas.
+    """
+    pools = scores.where("label is not null").groupBy("pool").agg(*(F.sum(F.when(F.col("label") == y, x)).alias(n) for y, x, n in ((1, F.col("score"), "s1"), (0, F.col("score"), "s0"), (1, F.lit(1.0), "n1"), (0, F.lit(1.0), "n0"))))
+    u: Column = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("pool").cast("string"), F.col("b").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / 2.0**32
+    tails, p, total = [], 0.36787944117144233, 0.0
+    for k in range(8):
+        total += p
+        tails.append(F.when(u >= total, 1).otherwise(0))
+        p /= k + 1
+    times = sum(tails[1:], tails[0])
+    drawn = pools.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicas)))).withColumn("w", times)
+    each = drawn.groupBy("b").agg(*(F.sum(F.col("w") * F.coalesce(c, F.lit(0.0))).alias(c) for c in ("s1", "s0", "n1", "n0")))
+    gap = each.where("n1 > 0 and n0 > 0").select((F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0")).alias("gap"))
+    return gap.agg(F.count(F.lit(1)).alias("replicas"), F.avg("gap").alias("mean"), F.percentile("gap", 0.05).alias("low"), F.percentile("gap", 0.95).alias("high"), F.avg((F.col("gap") > 0).cast("double")).alias("above"))
+
+
+def average_precision(df: DataFrame, label: str, score: str, ids: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """L1 for any columns: average precision in each group of `by`, ties in score in the order of ids; 0 without a positive."""
+    order = Window.partitionBy(*by).orderBy(F.col(score).desc(), *ids)
+    ranked = df.select(*by, F.coalesce(F.col(label), F.lit(0)).alias("_y"), F.row_number().over(order).alias("_r"), F.sum(F.coalesce(F.col(label), F.lit(0))).over(order).alias("_k"))
+    return ranked.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_y") == 1, F.col("_k") / F.col("_r"))) / F.nullif(F.sum("_y"), F.lit(0)), F.lit(0.0)).alias("ap"))
+
+
+def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tandem import catalog
+
+    out = cluster_bootstrap(catalog.relations().frame(spark, "SELECT pool, label, score FROM {pair_scores}", catalog.Tables(spark, sf_dir)))
+    return out.select("replicas", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high", "above")))
+
+
+QUERIES = {"cluster_bootstrap": _bootstrap}
