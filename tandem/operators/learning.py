@@ -1 +1,212 @@
-OPERATORS: dict[str, str] = {}
+"""Folds, cross-fitted models and the use of their scores."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.ml import Estimator, Pipeline
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+OPERATORS = {
+    # K1: folds of whole pools, the same in any engine
+    "assign_folds": "SELECT pool, count(*) AS pairs, CAST(ascii(substr(md5(CAST(pool AS VARCHAR(20))), 1, 1)) % 3 AS BIGINT) AS fold FROM {pair_labels} GROUP BY pool",
+    # K8: weights for training on positives and unlabelled rows
+    "pu_clean": """
+WITH c AS (SELECT percentile(score, 9e-1) AS high FROM {pair_scores} WHERE label IS NULL)
+SELECT lo, hi, CASE WHEN label IS NULL AND score > c.high THEN 0e0 WHEN n < 12 THEN 0e0 ELSE 1e0 END AS w_drop, CASE WHEN label IS NULL AND score > c.high THEN 5e-1 ELSE 1e0 END AS w_pos, CASE WHEN label = 1 OR (label IS NULL AND score > c.high) THEN 1 ELSE 0 END AS y_pos FROM {pair_scores} CROSS JOIN c""",
+    # K14
+    "consensus_score": """
+SELECT lo, hi, episode, round(p + 5e-1 * p * p + 1e-1 * ln(p / (1e0 - p)), 8) AS u, CAST(row_number() OVER (PARTITION BY lo, hi ORDER BY p + 5e-1 * p * p + 1e-1 * ln(p / (1e0 - p)) DESC, episode) AS BIGINT) AS r FROM {chances}""",
+    # Sure rows of the other window, the mass of each pair bounded
+    "pseudo_label": """
+WITH s AS (SELECT lo, hi, episode, p, CASE WHEN p > 3e-1 THEN 1 WHEN p < 1e-3 THEN 0 END AS y FROM {chances}), k AS (SELECT s.*, count(*) OVER (PARTITION BY lo, hi) AS n FROM s WHERE y IS NOT NULL)
+SELECT lo, hi, episode, y, round(least(1e0, 3e0 / n), 8) AS weight FROM k""",
+    # Two scores as mean of z, of ranks and of logits
+    "fuse_scores": """
+WITH m AS (SELECT avg(score) AS ms, stddev_samp(score) AS ss, avg(top) AS mt, stddev_samp(top) AS st FROM {pair_scores})
+SELECT p.lo, p.hi, round(((score - ms) / nullif(ss, 0e0) + (top - mt) / nullif(st, 0e0)) / 2e0, 6) AS z_mean, round((cume_dist() OVER (PARTITION BY pool ORDER BY score) + cume_dist() OVER (PARTITION BY pool ORDER BY top)) / 2e0, 6) AS rank_mean, round(75e-2 * score + 25e-2 * top, 6) AS mixed FROM {pair_scores} p CROSS JOIN m""",
+    # Labels under a grid of thresholds, with how many are right
+    "assign_behavior": """
+WITH g AS (SELECT f.t AS t_family, r.t AS t_risk FROM (SELECT t FROM (VALUES (2e-1), (1e0)) AS v(t)) f CROSS JOIN (SELECT t FROM (VALUES (1e-1), (5e-1)) AS v(t)) r)
+SELECT g.t_family, g.t_risk, count(CASE WHEN s.score < g.t_risk THEN 1 END) AS n_none, count(CASE WHEN s.score >= g.t_risk AND s.top - s.score < g.t_family THEN 1 END) AS n_other, count(CASE WHEN s.score >= g.t_risk AND s.top - s.score >= g.t_family THEN 1 END) AS n_family,
+  count(CASE WHEN s.score >= g.t_risk AND s.label = 1 THEN 1 END) AS caught FROM {pair_scores} s CROSS JOIN g GROUP BY g.t_family, g.t_risk""",
+    # K19
+    "route_other": "SELECT pool, lo, hi FROM (SELECT s.*, row_number() OVER (PARTITION BY pool ORDER BY score DESC, lo, hi) AS r FROM {pair_scores} s) t WHERE (r <= 60 AND top > 25e-1) OR (r <= 100 AND top > 302e-2)",
+    # Other families' positives get no weight, not label 0
+    "target_view": "SELECT lo, hi, f.family AS target, CASE WHEN label = 1 AND l.family = f.family THEN 1 ELSE 0 END AS y, CASE WHEN label = 1 AND l.family <> f.family THEN 0e0 WHEN label IS NULL THEN 5e-1 ELSE 1e0 END AS weight FROM {pair_labels} l CROSS JOIN (SELECT family FROM (VALUES (0), (1), (2)) AS v(family)) f",
+    # Pairs of a listed and an unlisted candidate, by what swapping them changes of the precision at five
+    "rerank_weights": """
+WITH r AS (SELECT s.lo, s.hi, s.episode, row_number() OVER (PARTITION BY s.lo, s.hi ORDER BY s.score DESC, s.ts, s.episode) AS r, CASE WHEN g.episode IS NOT NULL THEN 1 ELSE 0 END AS y
+  FROM {scored} s JOIN (SELECT DISTINCT lo, hi FROM {listed}) k ON k.lo = s.lo AND k.hi = s.hi LEFT JOIN {listed} g ON g.lo = s.lo AND g.hi = s.hi AND g.episode = s.episode WHERE s.win = 'development')
+SELECT a.lo, a.hi, a.episode AS listed_episode, b.episode AS other_episode, round(abs(CASE WHEN a.r <= 5 THEN 1e0 / a.r ELSE 0e0 END - CASE WHEN b.r <= 5 THEN 1e0 / b.r ELSE 0e0 END), 8) AS weight FROM r a JOIN r b ON b.lo = a.lo AND b.hi = a.hi AND a.y = 1 AND b.y = 0 AND a.r <= 20 AND b.r <= 20""",
+}
+
+RELATIONS = {
+    "pair_table": """
+SELECT s.pool, s.lo, s.hi, s.label, s.family, s.n, CAST(ascii(substr(md5(CAST(s.pool AS VARCHAR(20))), 1, 1)) % 3 AS INT) AS fold, s.score AS f_score, s.top AS f_top, ln(1e0 + s.n) AS f_log_n, r.n_lo_hi / CAST(greatest(s.n, 1) AS DOUBLE) AS f_lo_hi, r.n_hi_lo / CAST(greatest(s.n, 1) AS DOUBLE) AS f_hi_lo
+FROM {pair_scores} s JOIN {rolled} r ON r.lo = s.lo AND r.hi = s.hi""",
+    "episode_table": """
+SELECT s.pool, s.lo, s.hi, s.episode, CASE WHEN g.episode IS NOT NULL THEN 1 ELSE 0 END AS y, l.family, CAST(ascii(substr(md5(CAST(s.pool AS VARCHAR(20))), 1, 1)) % 3 AS INT) AS fold, s.score AS f_score, s.lean AS f_lean, t.s_lo AS f_s_lo, t.s_hi AS f_s_hi
+FROM {scored} s JOIN {transfers} t ON t.lo = s.lo AND t.hi = s.hi AND t.episode = s.episode JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi AND l.label = 1 LEFT JOIN {listed} g ON g.lo = s.lo AND g.hi = s.hi AND g.episode = s.episode""",
+}
+
+
+def with_features(model: Estimator, features: Sequence[str], standardize: bool = False) -> Pipeline:
+    """A pipeline that fills missing values by medians of the training rows, assembles features, and fits model on them."""
+    filled = [f"{c}_filled" for c in features]
+    steps = [Imputer(inputCols=list(features), outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw" if standardize else "features")]
+    if standardize:
+        steps.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True))
+    return Pipeline(stages=[*steps, model])
+
+
+def cross_fit(df: DataFrame, model: Estimator, features: Sequence[str], label: str = "label", fold: str = "fold", weight: str | None = None, out: str = "score", standardize: bool = False) -> DataFrame:
+    """K2: df with a score for every row by a model that was fitted on the other folds.
+
+    Rows without a label, or of weight 0, are scored but don't train. Folds must be of whole pools. Training rows of one class give that class's rate, the same for all
+    rows of the fold. One fit for each fold; only the list of folds comes to the driver.
+    """
+    known = df.where(F.col(label).isNotNull())
+    if weight:
+        known = known.where(F.col(weight) > 0)
+    parts = []
+    for k in sorted(r[0] for r in df.select(fold).distinct().collect()):
+        train, test = known.where(F.col(fold) != k), df.where(F.col(fold) == k)
+        rate, classes = train.agg(F.avg(label), F.count_distinct(label)).first()
+        if classes < 2:
+            parts.append(test.withColumn(out, F.lit(float(rate or 0))))
+            continue
+        own = model.copy().setLabelCol(label)
+        if weight:
+            own = own.setWeightCol(weight)
+        fitted = with_features(own, features, standardize).fit(train)
+        scored = fitted.transform(test).withColumn(out, vector_to_array("probability")[1])
+        parts.append(scored.select(*df.columns, out))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def fit_pair_risk(pairs: DataFrame, features: Sequence[str], seeds: Sequence[int] = (1,)) -> DataFrame:
+    """K4: out-of-fold risk of pairs, as the mean percent rank of boosted trees, forests of several seeds and a logistic model."""
+    models = [GBTClassifier(maxIter=3, maxDepth=2, seed=seeds[0]), *(RandomForestClassifier(numTrees=5, maxDepth=3, seed=s) for s in seeds), LogisticRegression(regParam=0.01)]
+    names = [f"_m{i}" for i in range(len(models))]
+    for name, m in zip(names, models, strict=True):
+        pairs = cross_fit(pairs, m, features, out=name)
+    ranks = [F.percent_rank().over(_by_fold(n)) for n in names]
+    return pairs.withColumn("risk", sum(ranks[1:], ranks[0]) / len(ranks)).drop(*names)
+
+
+def _by_fold(score: str):  # noqa: ANN202
+    from pyspark.sql import Window
+
+    return Window.partitionBy("fold").orderBy(score)
+
+
+def fit_family(pairs: DataFrame, features: Sequence[str]) -> DataFrame:
+    """K5: the most likely family of every pair, by a multinomial model of the positives of other folds."""
+    positives = pairs.where("label = 1")
+    parts = []
+    for k in sorted(r[0] for r in pairs.select("fold").distinct().collect()):
+        train, test = positives.where(F.col("fold") != k), pairs.where(F.col("fold") == k)
+        if train.select("family").distinct().count() < 2:
+            parts.append(test.withColumn("predicted_family", F.lit(0.0)))
+            continue
+        fitted = with_features(LogisticRegression(family="multinomial", labelCol="family", regParam=0.01, predictionCol="predicted_family"), features, True).fit(train)
+        parts.append(fitted.transform(test).select(*pairs.columns, "predicted_family"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def route_experts(episodes: DataFrame, features: Sequence[str], share: float = 0.5) -> DataFrame:
+    """K6 and K7: a detector of listed episodes for all, one for each family, and their mixture by the family of the pair."""
+    general = cross_fit(episodes.withColumn("_w", F.when(F.col("y") == 1, 3.0).otherwise(1.0)), GBTClassifier(maxIter=3, maxDepth=2, seed=3), features, label="y", weight="_w", out="universal")
+    parts = [cross_fit(general.where(F.col("family") == f), LogisticRegression(regParam=0.05), features, label="y", out="routed") for f in sorted(r[0] for r in episodes.select("family").distinct().collect())]
+    both = reduce(DataFrame.unionByName, parts).drop("_w")
+    return both.withColumn("score", (1 - share) * F.col("universal") + share * F.col("routed"))
+
+
+def leave_one_family_out(pairs: DataFrame, features: Sequence[str], model: Estimator | None = None) -> DataFrame:
+    """Scores of each family's positives, and of all negatives, by models that never saw the family."""
+    parts = []
+    for f in sorted(r[0] for r in pairs.where("label = 1").select("family").distinct().collect()):
+        hidden = pairs.withColumn("_w", F.when((F.col("label") == 1) & (F.col("family") == f), 0.0).otherwise(1.0))
+        scored = cross_fit(hidden, model or LogisticRegression(regParam=0.01), features, weight="_w")
+        parts.append(scored.where(F.col("label").isNotNull() & ((F.col("label") == 0) | (F.col("family") == f))).withColumn("hidden_family", F.lit(f)).drop("_w"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def nn_pu_logistic(df: DataFrame, features: Sequence[str], prior: float = 0.1, rounds: int = 30, rate: float = 0.5) -> list[float]:
+    """K9: weights, and last the intercept, of a logistic model under the non-negative risk for positives (label 1) and unlabelled rows.
+
+    Features should be standardised. Each round is one aggregate of two mean gradients and of the negative risk; a
+    negative risk below 0 is stepped back from. The number of rounds is fixed.
+    """
+    rows = df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)), (F.coalesce(F.col("label"), F.lit(0)) == 1).alias("pos"))
+    xs = [F.col(f"x{i}") for i in range(len(features))] + [F.lit(1.0)]
+    w = [0.0] * len(xs)
+    for _ in range(rounds):
+        odds: Column = sum((F.lit(a) * x for a, x in zip(w, xs, strict=True)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-odds))
+        mean = lambda cond, e: F.coalesce(F.avg(F.when(cond, e)), F.lit(0.0))
+        pos, un = F.col("pos"), ~F.col("pos")
+        loss = lambda: F.log1p(F.exp(F.least(odds, F.lit(50.0))))
+        got = rows.agg(mean(un, loss()), mean(pos, loss()), *(mean(pos, (p - 1) * x) for x in xs), *(mean(un, p * x) for x in xs), *(mean(pos, p * x) for x in xs)).first()
+        k = len(xs)
+        risk, g_pos, g_un, g_pn = got[0] - prior * got[1], got[2 : 2 + k], got[2 + k : 2 + 2 * k], got[2 + 2 * k :]
+        negative = [u - prior * v for u, v in zip(g_un, g_pn, strict=True)]
+        step = [prior * a + b for a, b in zip(g_pos, negative, strict=True)] if risk >= 0 else [-b for b in negative]
+        w = [a - rate * s for a, s in zip(w, step, strict=True)]
+    return w
+
+
+def domain_classifier(a: DataFrame, b: DataFrame, features: Sequence[str], folds: int = 3) -> DataFrame:
+    """Out-of-fold chance that a row is of b rather than a; where the two are alike it is near b's share for all."""
+    both = a.select(*features).withColumn("label", F.lit(0)).unionByName(b.select(*features).withColumn("label", F.lit(1)))
+    return cross_fit(both.withColumn("fold", F.pmod(F.xxhash64(*features), F.lit(folds)).cast("int")), LogisticRegression(regParam=0.01), features)
+
+
+def pair_comparator(candidates: DataFrame, features: Sequence[str], keys: Sequence[str] = ("lo", "hi")) -> DataFrame:
+    """Expected wins of each candidate (keys, episode, y, r, features) against the others of its group, by a logistic model of differences.
+
+    r is a rank within the group; only the first 20 are compared, so a group gives at most 380 rows.
+    """
+    few = candidates.where("r <= 20")
+    a, b = few.alias("a"), few.alias("b")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]) & (F.col("a.episode") != F.col("b.episode"))
+    pairs = a.join(b, same).select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.episode").alias("episode"), F.when(F.col("a.y") != F.col("b.y"), (F.col("a.y") > F.col("b.y")).cast("int")).alias("label"), *((F.col(f"a.{f}") - F.col(f"b.{f}")).alias(f) for f in features))
+    known = pairs.where("label is not null")
+    if known.select("label").distinct().count() < 2:
+        return few.select(*keys, "episode", F.lit(0.5).alias("wins"))
+    fitted = with_features(LogisticRegression(regParam=0.05, fitIntercept=False), features).fit(known)
+    return fitted.transform(pairs).groupBy(*keys, "episode").agg(F.sum(vector_to_array("probability")[1]).alias("wins"))
+
+
+def _table(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tandem import catalog
+
+    return catalog.relations().frame(spark, f"SELECT * FROM {{{name}}}", catalog.Tables(spark, sf_dir)).persist()
+
+
+_PAIR = ("f_score", "f_top", "f_log_n", "f_lo_hi", "f_hi_lo")
+_EPISODE = ("f_score", "f_lean", "f_s_lo", "f_s_hi")
+_FEW = ("pool", "lo", "hi", "label", "fold")
+
+
+def _comparator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = _table("episode_table", spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("lo", "hi").orderBy(F.col("f_score").desc(), "episode")))
+    return pair_comparator(rows, _EPISODE)
+
+
+QUERIES = {
+    "cross_fit": lambda spark, d: cross_fit(_table("pair_table", spark, d), LogisticRegression(regParam=0.01), _PAIR).select(*_FEW, "score"),
+    "fit_pair_risk": lambda spark, d: fit_pair_risk(_table("pair_table", spark, d), _PAIR).select(*_FEW, "risk"),
+    "fit_family": lambda spark, d: fit_family(_table("pair_table", spark, d), _PAIR).select(*_FEW, "predicted_family"),
+    "route_experts": lambda spark, d: route_experts(_table("episode_table", spark, d), _EPISODE).select("lo", "hi", "episode", "y", "universal", "routed", "score"),
+    "leave_one_family_out": lambda spark, d: leave_one_family_out(_table("pair_table", spark, d), _PAIR).select(*_FEW, "hidden_family", "score"),
+    "pair_comparator": _comparator,
+}
