@@ -74,6 +74,35 @@ def first_k_given_at_least_k(chances: DataFrame, k: int = 5) -> DataFrame:
     return both.select("lo", "hi", "episode", F.when(F.col("fewer") < 1 - 1e-12, (F.col("decoded") - F.col("without")) / (1 - F.col("fewer"))).alias("decoded"))
 
 
+def two_type_decoder(chances: DataFrame, k: int = 5, a: str = "p_a", b: str = "p_b") -> DataFrame:
+    """I4: events of type A are listed first, in time order, and those of type B fill what is left of k, in time order.
+
+    chances: lo, hi, episode, ts and the chances of either type (their sum at most 1). For each episode the chance of being listed: as an A with
+    fewer than k earlier A, or as a B with fewer than k among all the other A and the earlier B. One group is one pair's episodes.
+    """
+
+    def decode(pdf):  # noqa: ANN001, ANN202
+        pdf = pdf.sort_values(["ts", "episode"])
+        pa, pb = pdf[a].to_numpy(), pdf[b].to_numpy()
+        out = []
+        for i in range(len(pdf)):
+            ahead, others = [1.0] + [0.0] * (k - 1), [1.0] + [0.0] * (k - 1)
+            for j in range(len(pdf)):
+                if j < i:
+                    ahead = _counted(ahead, pa[j])
+                if j != i:
+                    others = _counted(others, pa[j] + (pb[j] if j < i else 0.0))
+            out.append(pa[i] * sum(ahead) + pb[i] * sum(others))
+        return pdf[["lo", "hi", "episode"]].assign(decoded=out)
+
+    return chances.groupBy("lo", "hi").applyInPandas(decode, "lo long, hi long, episode long, decoded double")
+
+
+def _counted(dist: list[float], p: float) -> list[float]:
+    """The distribution of a count below len(dist), after one more chance."""
+    return [d * (1 - p) + (dist[i - 1] * p if i else 0.0) for i, d in enumerate(dist)]
+
+
 def completion_conditioned(chances: DataFrame, done: DataFrame, k: int = 5) -> DataFrame:
     """The decoder over episodes that were completed; the others follow in the unconditioned order. done: lo, hi, episode, done (0 or 1)."""
     both = chances.join(done, ["lo", "hi", "episode"])
@@ -136,6 +165,7 @@ QUERIES = {
     "first_k_marginal": lambda spark, d: _rounded(first_k_marginal(_chances(spark, d)), "decoded"),
     "first_k_given_at_least_k": lambda spark, d: _rounded(first_k_given_at_least_k(_chances(spark, d)), "decoded", 6),
     "completion_conditioned": _completion,
+    "two_type_decoder": lambda spark, d: _rounded(two_type_decoder(_chances(spark, d).select("lo", "hi", "episode", "ts", (F.col("p") * 0.7).alias("p_a"), (F.col("p") * 0.3).alias("p_b"))), "decoded"),
     "mass_normalize": lambda spark, d: _rounded(mass_normalize(_chances(spark, d)), "p", 6),
     "expected_ap": lambda spark, d: _rounded(expected_ap(_chances(spark, d)), "expected_ap", 6),
 }

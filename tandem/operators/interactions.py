@@ -89,6 +89,10 @@ JOIN (SELECT episode, ordinal, count(*) AS n FROM {toward} GROUP BY episode, ord
     "paired_entry": """
 SELECT lo, hi, episode, round(-ln(p_lo), 6) AS s_lo, round(-ln(p_hi), 6) AS s_hi, round(least(-ln(p_lo), -ln(p_hi)), 6) AS s_min, round(-ln(p_lo) - ln(p_hi), 6) AS s_sum, round((y_lo - p_lo) * (y_hi - p_hi), 6) AS product, round(p_lo * p_hi, 6) AS joint
 FROM {entries} WHERE y_lo = 1 AND y_hi = 1""",
+    # What each role does in each stage, by kind of event; a kind that doesn't occur has no value rather than 0
+    "role_stage_witness": """
+SELECT q.lo, q.hi, q.episode, CASE WHEN v.member = q.lo THEN 'A' WHEN v.member = q.hi THEN 'B' ELSE 'O' END AS role, v.stage, v.act, round(ln(1e0 + count(*)), 6) AS log_n, round(avg(v.strength), 6) AS mean_strength, round(max(v.amount), 4) AS max_amount, round(min(v.amount), 4) AS min_amount
+FROM {pair_episodes} q JOIN {ev} v ON v.episode = q.episode GROUP BY q.lo, q.hi, q.episode, CASE WHEN v.member = q.lo THEN 'A' WHEN v.member = q.hi THEN 'B' ELSE 'O' END, v.stage, v.act""",
     # Counts of whole scripts for a pair
     "script_signatures": """
 SELECT t.lo, t.hi, count(CASE WHEN a.n_match > 0 AND a.n_exit > 0 AND t.net_lo < 0e0 AND t.net_hi > 0e0 THEN 1 END) AS lo_matched_then_left, count(CASE WHEN b.n_match > 0 AND b.n_exit > 0 AND t.net_hi < 0e0 AND t.net_lo > 0e0 THEN 1 END) AS hi_matched_then_left,

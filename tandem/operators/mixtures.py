@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +91,17 @@ def episodic_activity(llrs: DataFrame, stay: float = 0.9, share: float = 0.1) ->
     return rows.select("actor", "target", folded.alias("f")).select("actor", "target", F.col("f.lbf").alias("lbf"), F.col("f.active").alias("active"))
 
 
+def random_rate_marginal(llrs: DataFrame, mean: float = 0.1, nodes: int = 16) -> DataFrame:
+    """Log marginal likelihood ratio of a group whose share of active episodes is itself drawn from an exponential law on (0, 1).
+
+    The law is averaged over evenly spaced quantiles; each row meets the nodes once, and the sums are combined by log-sum-exp.
+    """
+    grid = F.array(*(F.lit(-mean * math.log(1 - (i + 0.5) / nodes * (1 - 2.718281828459045 ** (-1 / mean)))) for i in range(nodes)))
+    each = llrs.select("actor", "target", "l", F.explode(grid).alias("rate")).groupBy("actor", "target", "rate").agg(F.sum(F.log(1 - F.col("rate") + F.col("rate") * F.exp("l"))).alias("s"))
+    top = each.groupBy("actor", "target").agg(F.max("s").alias("m"), F.collect_list("s").alias("all"))
+    return top.select("actor", "target", (F.col("m") + F.log(F.aggregate("all", F.lit(0.0), lambda a, s: a + F.exp(s - F.col("m"))) / nodes)).alias("llr"))
+
+
 def permutation_null(seed: int = 7, n: int = 20) -> str:
     """SQL for the number of listed episodes that directly follow another one, against n random choices of as many episodes of the pair."""
     return f"""
@@ -114,6 +127,7 @@ def _llrs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "em_mixture_rate": lambda spark, d: em_mixture_rate(_llrs(spark, d)).select("actor", "target", F.round("rate", 6).alias("rate"), F.round("llr", 6).alias("llr")),
+    "random_rate_marginal": lambda spark, d: random_rate_marginal(_llrs(spark, d)).withColumn("llr", F.round("llr", 6)),
     "episodic_activity": lambda spark, d: episodic_activity(_llrs(spark, d)).select("actor", "target", F.round("lbf", 6).alias("lbf"), F.round("active", 6).alias("active")),
 }
 _L = "SELECT actor, target, episode, sum(l) AS l FROM {tilts} GROUP BY actor, target, episode"
