@@ -248,21 +248,15 @@ def _linked(pairs: DataFrame, ordered: DataFrame, num: int, den: int) -> DataFra
     return total.where(F.col("overlap") * den >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * num).select("a", "b")
 
 
-def near_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Components of documents linked by den * |A & B| >= num * |A | B|, A and B their sets of distinct shingles of k words.
-
-    A-Z are lower-cased; words are separated by bytes 0x20 and 0x09-0x0D. A text of fewer than k words is one shingle, its whole sequence;
-    a null or empty text, or one without words, has none and is linked with nothing. Returns for every row doc_id, n_shingles and component_id,
-    the smallest doc_id that links reach. A null doc_id counts as larger than all and comes back as null. Repeated rows are linked as
-    any equal sets are. An empty table gives an empty result; other columns are ignored. Shingles and sets are told apart by 64-bit hashes.
-    """
+def _heads(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """id, key, n (size of the set) and head of every document: the least (id, key) of its component, null without words."""
     require(docs, "doc_id", "text")
     first = _sets(docs, k, num, den)
     rows = _documents(first)
     classes = rows.where("n > 0").groupBy("code").agg(F.min(F.struct("id", "key")).alias("head"), F.max("n").alias("n"))
     bound = F.greatest(F.floor(F.lit(EXTRA) * num / den * F.col("n")), F.lit(1))
     wanted = classes.join(_shared_counts(first), "code").where(F.col("shared") >= bound)
-    wanted = written(wanted.select("code", F.col("head.key").alias("key"), F.col("head.id").alias("label")), "jaccard-wanted")
+    wanted = written(wanted.select("code", F.col("head.key").alias("key"), F.col("head").alias("label")), "jaccard-wanted")
     ordered = _ordered(_packed_sets(docs, wanted.select("key", "code"), k), num, den)
 
     entries = ordered.select("code", "n", "m", F.posexplode("prefix").alias("at", "shingle")).withColumn("rest", F.col("m") - F.col("at"))
@@ -286,17 +280,34 @@ def near_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     merged = least_labels(known.where("v = root").select("v", "label"), between)
     final = known.select("v", "root").join(merged.select(F.col("v").alias("root"), "label"), "root")
 
-    labels = classes.select("code", F.col("head.id").alias("own")).join(final.select(F.col("v").alias("code"), "label"), "code", "left")
-    out = rows.join(labels.select("code", F.coalesce("label", "own").alias("label")), "code", "left")
+    labels = classes.select("code", F.col("head").alias("own")).join(final.select(F.col("v").alias("code"), "label"), "code", "left")
+    return rows.join(labels.select("code", F.coalesce("label", "own").alias("head")), "code", "left").select("id", "key", "n", "head")
+
+
+def near_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Components of documents linked by den * |A & B| >= num * |A | B|, A and B their sets of distinct shingles of k words.
+
+    A-Z are lower-cased; words are separated by bytes 0x20 and 0x09-0x0D. A text of fewer than k words is one shingle, its whole sequence;
+    a null or empty text, or one without words, has none and is linked with nothing. Returns for every row doc_id, n_shingles and component_id,
+    the smallest doc_id that links reach. A null doc_id counts as larger than all and comes back as null. Repeated rows are linked as
+    any equal sets are. An empty table gives an empty result; other columns are ignored. Shingles and sets are told apart by 64-bit hashes.
+    """
     given = lambda c: F.when(c != F.lit(LAST_ID), c)
-    return out.select(given(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), given(F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id"))).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("head.id")).otherwise(F.col("id"))
+    return _heads(docs, k, num, den).select(given(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), given(component).alias("component_id"))
 
 
 def drop_near(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each component of near_classes(): the one of the smallest doc_id. Documents without words all stay.
 
-    Of repeated rows of that doc_id all stay; all columns stay as they are.
+    Rows are matched by doc_id and text, by a 64-bit hash of both. A null doc_id counts as larger than all, and of several texts with the smallest doc_id
+    the one with the least hash stays, so other rows with a null or repeated doc_id are judged by their own component. Of repeated rows with one
+    doc_id and text one stays; all columns stay as they are.
     """
-    dropped = near_classes(docs, k, num, den).where("component_id < doc_id or (doc_id is null and component_id is not null)")
-    ids = dropped.select(order_id().alias("_id")).distinct()
-    return docs.withColumn("_id", order_id()).join(ids, "_id", "left_anti").select(*docs.columns)
+    met = _heads(docs, k, num, den).where("n > 0").groupBy(F.col("id").alias("_id"), F.col("key").alias("_key"))
+    judged = met.agg(F.bool_or(F.col("head") == F.struct("id", "key")).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    judged = written(judged.where("not stays or rows > 1"), "jaccard-judged")
+    keyed = docs.withColumns({"_id": order_id(), "_key": F.xxhash64(order_id(), text_or_empty())})
+    clear = keyed.join(judged, ["_id", "_key"], "left_anti")
+    repeated = keyed.join(judged.where("stays"), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    return clear.unionByName(repeated).select(*docs.columns)

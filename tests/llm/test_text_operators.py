@@ -125,6 +125,30 @@ def test_near_classes_edges(spark):
     assert jaccard.drop_near(table(spark, [*hot, (900, None), (901, "")])).count() == 3
 
 
+def test_drop_near_with_null_and_repeated_ids(spark):
+    text = lambda name, edit="": " ".join(f"{name}{i}" for i in range(40)) + edit
+    groups = [
+        [(1, text("a")), (None, text("a", " x"))],  # a null id's near copy of a smaller id
+        [(None, text("b")), (None, text("b", " x")), (None, text("b", " y"))],  # null ids alone
+        [(5, text("c")), (5, text("c", " x"))],  # the smallest id twice, with near texts
+        [(2, text("d")), (6, text("d", " x"))],  # 6 goes here
+        [(6, text("e"))],  # and stays here
+        [(7, text("f")), (7, text("f"))],  # a repeated row
+        [(None, text("g")), (None, text("g"))],
+        [(None, text("h"))],  # unrelated to all others
+    ]
+    wordless = [(None, None), (None, " "), (9, ""), (9, "")]
+    for seed in range(2):
+        rows = [*(r for g in groups for r in g), *wordless]
+        random.Random(seed).shuffle(rows)
+        kept = [tuple(r) for r in jaccard.drop_near(table(spark, rows)).select("doc_id", "text").collect()]
+        for g in groups:
+            left = [r for r in kept if r in g]
+            assert len(left) == 1, g
+            assert left[0][0] == min((i for i, _ in g if i is not None), default=None)
+        assert len(kept) == len(groups) + len(wordless)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10 != 9] + [(50, 3)], "a long, b long")
     vertices = spark.createDataFrame([(i, i % 7) for i in range(60)], "v long, label long")
