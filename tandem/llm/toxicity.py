@@ -1,7 +1,7 @@
 """Toxicity scores by weak supervision.
 
 Voters are rules that look at a text: "has this word" and "has a word that begins like this". They are drawn from
-a bounded sample of labelled training rows, and each votes toxic or abstains. A generative model then looks at the
+the labelled training rows, all toxic ones and a sample of clean ones up to a bound, and each votes toxic or abstains. A generative model then looks at the
 votes alone, without labels, for the voters' accuracies: a two-class mixture fitted by EM, in which voters that agree
 more often than their classes explain share a vote's weight. Its posterior labels train the linear classifier
 that gives the scores: sparse logistic regression over the words and beginnings that toxic rows of the sample share.
@@ -25,9 +25,12 @@ from tandem.llm.storage import LAST_ID, order_id, require, text_or_empty, writte
 from tandem.llm.words import NO_LETTER, beginnings, portions, scan
 
 FOLDS, HELD_FOLD = 5, 0
-SAMPLE_ROWS = 20_000  # labelled training rows, about, that voters and classifier are fitted on; fewer where there are fewer
-MAX_VOTERS = 128
-LEAST_SUPPORT, LEAST_PRECISION = 5, 0.8  # of a voter, in the sample
+TOXIC_ROWS, CLEAN_ROWS = 20_000, 20_000  # labelled training rows, about, that voters and classifier are fitted on; all where there are fewer
+MAX_VOTERS = 512
+MAX_CODES = 200_000  # of the classifier, those of most toxic rows
+LEAST_SUPPORT, LEAST_PRECISION = 5, 0.8  # of a voter, in the sample; with 4 or 2 rows, voters by chance cost recall of other languages
+UNSEEN = 0.5  # clean rows of the sample that a voter is charged with for those that are not in it
+BLOCK = 4096
 BEGIN_BYTES = 4
 SPREAD = 1_000_000
 
@@ -69,28 +72,46 @@ def label_model(votes: np.ndarray, times: np.ndarray, rate: float, rounds: int =
     that speak together beyond what the classes explain are not independent: half-way, correlations inside the toxic class are
     estimated from the posteriors, and each voter's evidence is divided by one plus its correlations with others.
     """
-    x = np.c_[votes, ~votes.any(axis=1)].astype(float)
+    x = np.c_[votes, ~votes.any(axis=1)]
     sign = np.r_[np.ones(votes.shape[1]), -1.0]
     share = np.ones(x.shape[1])
     right = np.full(x.shape[1], 0.9)
-    spoken = times @ x
+    spoken = _weighted(x, times)
     base = np.log(rate / (1 - rate))
     post = np.zeros(len(x))
     for step in range(rounds):
         evidence = sign * share * np.log(right / (1 - right))
-        post = 1 / (1 + np.exp(-np.clip(base + x @ evidence, -60, 60)))
-        agree = np.where(sign > 0, (times * post) @ x, (times * (1 - post)) @ x)
+        post = 1 / (1 + np.exp(-np.clip(base + _summed(x, evidence), -60, 60)))
+        agree = np.where(sign > 0, _weighted(x, times * post), _weighted(x, times * (1 - post)))
         right = np.clip((agree + 0.9) / (spoken + 1), 0.001, 0.999)
         if step == rounds // 2:
             share[:-1] = 1 / (1 + _excess_agreement(x[:, :-1], times * post))
     return post
 
 
+def _blocks(x: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Rows of booleans as numbers, some at a time."""
+    for at in range(0, len(x), BLOCK):
+        yield slice(at, at + BLOCK), x[at : at + BLOCK].astype(float)
+
+
+def _weighted(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return sum((w[at] @ part for at, part in _blocks(x)), np.zeros(x.shape[1]))
+
+
+def _summed(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.concatenate([part @ v for _, part in _blocks(x)])
+
+
 def _excess_agreement(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     """For each voter the sum of its clear correlations with others over rows weighted by w."""
-    d = x - (w @ x) / max(w.sum(), 1e-9)
-    spread = np.sqrt(np.clip(w @ (d * d), 1e-9, None))
-    r = (d * w[:, None]).T @ d / np.outer(spread, spread)
+    mean = _weighted(x, w) / max(w.sum(), 1e-9)
+    cross = np.zeros((x.shape[1], x.shape[1]))
+    for at, part in _blocks(x):
+        d = part - mean
+        cross += (d * w[at, None]).T @ d
+    spread = np.sqrt(np.clip(np.diag(cross), 1e-9, None))
+    r = cross / np.outer(spread, spread)
     np.fill_diagonal(r, 0)
     return np.where(r > 0.5, r, 0).sum(axis=1)
 
@@ -100,18 +121,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """words and toxic of about SAMPLE_ROWS labelled rows outside the held-out fold, chosen by a hash of doc_id."""
+    """words, toxic and weight of labelled rows outside the held-out fold.
+
+    All toxic ones up to about TOXIC_ROWS and clean ones up to about CLEAN_ROWS, beyond that chosen by a hash of doc_id; weight is how many labelled rows one stands for.
+    """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = written(known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic")), "labels")
-    rows = known.count()
-    if rows > SAMPLE_ROWS:
-        known = known.where(F.pmod(F.xxhash64("_id"), F.lit(SPREAD)) < int(SPREAD * SAMPLE_ROWS / rows))
+    rows = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
+    share = F.when(F.col("_toxic") == 1, min(1.0, TOXIC_ROWS / max(rows.get(1, 0), 1))).otherwise(min(1.0, CLEAN_ROWS / max(rows.get(0, 0), 1)))
+    known = known.withColumn("_share", share).where(F.pmod(F.xxhash64("_id"), F.lit(SPREAD)) < F.col("_share") * SPREAD)
     texts = docs.select(order_id().alias("_id"), text_or_empty().alias("words"))
-    return written(texts.join(F.broadcast(known), "_id").select("words", F.col("_toxic").alias("toxic")), "toxic-sample")  # about SAMPLE_ROWS ids
+    # about TOXIC_ROWS + CLEAN_ROWS ids
+    return written(texts.join(F.broadcast(known), "_id").select("words", F.col("_toxic").alias("toxic"), (1 / F.col("_share")).alias("weight")), "toxic-sample")
 
 
 def draw_voters(sample: DataFrame) -> tuple[Voters, np.ndarray]:
-    """The words and beginnings that tell toxic rows of the sample best, and all codes that enough of its toxic rows have."""
+    """The words and beginnings that tell toxic rows of the sample best, and all codes that enough of its toxic rows have.
+
+    Where clean rows are left out of the sample a voter's precision is smoothed: clean rows that nobody has looked at count as UNSEEN of those in the sample.
+    """
     schema = "code long, toxic long, clean long"
 
     def count(wanted: np.ndarray | None):  # noqa: ANN202
@@ -130,13 +158,15 @@ def draw_voters(sample: DataFrame) -> tuple[Voters, np.ndarray]:
         return run
 
     total = lambda df: df.groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    often = total(sample.where("toxic = 1").mapInArrow(count(None), schema)).where(F.col("toxic") >= LEAST_SUPPORT).select("code")
+    often = total(sample.where("toxic = 1").mapInArrow(count(None), schema)).where(F.col("toxic") >= LEAST_SUPPORT).orderBy(F.col("toxic").desc(), "code").limit(MAX_CODES).select("code")
     codes = np.sort(np.array([r["code"] for r in often.collect()], np.int64).view(np.uint64))  # bounded by the sample
     if not len(codes):
         return Voters(codes), codes
     support = total(sample.mapInArrow(count(codes), schema))
-    precise = support.where(F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("clean")))
-    best = precise.orderBy((F.col("toxic") - 10 * F.col("clean")).desc(), "code").limit(MAX_VOTERS).collect()
+    stands = {r["toxic"]: r["weight"] for r in sample.groupBy("toxic").agg(F.max("weight").alias("weight")).collect()}
+    left_out = stands.get(0, 1.0) - 1
+    right, wrong = F.col("toxic") * stands[1], F.col("clean") * (1 + left_out) + UNSEEN * left_out
+    best = support.where(right >= LEAST_PRECISION * (right + wrong)).orderBy((right - 10 * wrong).desc(), "code").limit(MAX_VOTERS).collect()
     return Voters(np.sort(np.array([r["code"] for r in best], np.int64).view(np.uint64))), codes
 
 
@@ -167,7 +197,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The classifier trained on posterior labels of the label model. Without rows of both classes, the rate of toxic rows for all."""
     sample = training_sample(docs, labels)
-    rate, rows = sample.agg(F.avg("toxic"), F.count(F.lit(1))).first()
+    rate, rows = sample.agg(F.sum(F.col("toxic") * F.col("weight")) / F.sum("weight"), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
     constant = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((rows * (rate or 0) + 0.5) / (rows * (1 - (rate or 0)) + 0.5))))
     if not rows or not 0 < rate < 1:
         return constant
@@ -184,10 +214,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 at, there = places(codes, code)
                 found[row : row + n] = [at[i:j][there[i:j]].tolist() for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
             packed = [np.packbits(v).tobytes() for v in votes]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array(found, pa.list_(pa.int32()))], ["votes", "slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array(found, pa.list_(pa.int32())), batch["weight"]], ["votes", "slots", "weight"])
 
-    voted = written(sample.mapInArrow(vote, "votes binary, slots array<int>"), "votes")
-    kinds = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # bounded by the sample
+    voted = written(sample.mapInArrow(vote, "votes binary, slots array<int>, weight double"), "votes")
+    kinds = voted.groupBy("votes").agg(F.sum("weight").alias("n")).collect()  # bounded by the sample
     k = len(voters.codes)
     votes = np.array([np.unpackbits(np.frombuffer(r["votes"], np.uint8))[:k].astype(bool) for r in kinds])
     posterior = label_model(votes, np.array([r["n"] for r in kinds], float), float(rate))
@@ -195,8 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     beliefs = spark.createDataFrame([(bytes(r["votes"]), float(p)) for r, p in zip(kinds, posterior, strict=True)], "votes binary, belief double")
     width = len(codes)
     vector = F.udf(lambda s: SparseVector(width, s, [1.0] * len(s)), VectorUDT())
-    soft = voted.join(F.broadcast(beliefs), "votes").select(vector("slots").alias("features"), "belief")
-    both = soft.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("belief").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("belief")).alias("weight")))).alias("x"))
+    soft = voted.join(F.broadcast(beliefs), "votes").select(vector("slots").alias("features"), "belief", "weight")
+    both = soft.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("weight") * F.col("belief")).alias("weight")), F.struct(F.lit(0.0).alias("label"), (F.col("weight") * (1 - F.col("belief"))).alias("weight")))).alias("x"))
     rows_in = both.select("features", "x.label", "x.weight").where("weight > 1e-4")
     if rows_in.select("label").distinct().count() < 2:
         return constant
