@@ -289,22 +289,6 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxicity(table(spark, []), labels).collect() == []
 
 
-def test_toxicity_looks_at_all_toxic_rows(spark):
-    """A word of few toxic rows among many clean ones becomes a voter: no toxic row is left out for the sake of clean ones."""
-    n = 60_000
-    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 6000 == 1, "selten gemein").when(F.col("id") % 300 == 1, "nasty talk").otherwise("plain talk").alias("text"))
-    labels = docs.select("doc_id", (F.col("doc_id") % 300 == 1).cast("int").alias("toxic"))
-    training = [i for i in range(n) if zlib.crc32(str(i).encode()) % 5]
-    bad = [i for i in training if i % 300 == 1]
-    sample = toxicity.training_sample(docs, labels)
-    toxic, clean = (sample.where(f"toxic = {k}") for k in (1, 0))
-    assert toxic.count() == len(bad)
-    assert clean.count() < 0.6 * len(training)
-    assert abs(sample.agg(F.sum("weight")).first()[0] / len(training) - 1) < 0.03
-    voters, _ = toxicity.draw_voters(sample)
-    assert voters.votes(pa.array(["ein gemein wort", "nasty", "plain"])).any(axis=1).tolist() == [True, True, False]
-
-
 # --- web archives ---
 
 
