@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.llm.storage import order_id, partitions, require, text_or_empty, written
+from tandem.llm.storage import LAST_ID, order_id, packed_row, partitions, require, text_or_empty, written
 
 HEAD_CHARS = 32
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -49,7 +49,7 @@ def exact_groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
     # the slot that holds the kept row: ids of one value share a slot, so a run's first place is the group's
     runs = heads.select("digest", "slot").join(groups, "digest")
     out = in_run.select("id", "digest", "slot", "place").join(runs, ["digest", "slot"])
-    given = lambda c: F.when(c != F.lit(2**63 - 1), c)
+    given = lambda c: F.when(c != F.lit(LAST_ID), c)
     return out.select(
         given(F.col("id")).alias("doc_id"),
         given(F.col("keep")).alias("keep_id"),
@@ -60,13 +60,13 @@ def exact_groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
 
 
 def drop_exact(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """docs without the rows that exact_groups() doesn't keep; all columns stay as they are.
+    """docs without the rows that exact_groups() doesn't keep; all columns stay as they are, whatever their names.
 
     Rows are matched by doc_id and the text's digest. Of repeated rows with one doc_id and equal texts one stays.
     """
-    kept = exact_groups(docs, keep).where("kept").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_id"), F.col("text_sha256").alias("_digest"))
-    keyed = docs.withColumns({"_id": order_id(), "_digest": F.sha2(fold_ascii(text_or_empty()), 256)})
-    return keyed.join(kept, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).select(*docs.columns)
+    kept = exact_groups(docs, keep).where("kept").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.col("text_sha256").alias("digest"))
+    keyed = docs.select(packed_row(), order_id().alias("id"), F.sha2(fold_ascii(text_or_empty()), 256).alias("digest"))
+    return keyed.join(kept, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("row.*")
 
 
 ORACLE = """

@@ -10,12 +10,16 @@
 
 Candidates are taken in two steps so that a group of n near copies doesn't become n * n pairs: first each set is compared
 with one centre, of all sets that share a prefix shingle with it the one with the fewest shingles of its own; when components
-of those links are known, the pairs of a prefix that still lie in different components follow, all of them. A pair inside a component can't change
-it, so components are those of all links.
+of those links are known, pairs of a prefix shingle that still lie in different components follow. A pair inside a component can't change
+it, so components are those of all links. In this second step a set meets only sets of sizes that its own size and its shared shingles allow:
+sizes are cut into classes, a set is looked for in the classes of its possible partners, and lies in its own.
+
+A class of copies, a shingle, or a centre may hold a third of all rows: joins on them split such keys over tasks (skew.py).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +30,15 @@ from pyspark.sql import functions as F
 from tandem.llm import blobs
 from tandem.llm.blobs import Entries
 from tandem.llm.components import least_labels
-from tandem.llm.storage import LAST_ID, order_id, partitions, require, text_or_empty, written
+from tandem.llm.skew import hot_keys, split_join
+from tandem.llm.storage import LAST_ID, buckets, order_id, packed_row, require, text_or_empty, written
 from tandem.llm.words import Words, mix, portions, scan, sequence_code, shingles
 
 INDEX, SETTLED, DOC, COUNT = 0, 1, 2, 3  # kinds of rows
 EXTRA = 0.15  # of a set, by which the first step's prefixes are longer than they must be
 HOT = 32  # sets with one shingle in a batch, from which on it counts as frequent
 HOT_CLASS = 63
+STEPS = 4  # classes of sizes between a set and its smallest possible partner
 
 
 def _least(n, num: int, den: int):  # noqa: ANN001, ANN202
@@ -83,9 +89,8 @@ def _counted(e: Entries, n: int) -> list[tuple]:
     return blobs.rows(Entries(heads.id, heads.key, blobs.EMPTY.a, blobs.EMPTY.a, size), np.mod(heads.id, n), COUNT)
 
 
-def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Rows of two kinds: DOC, each document's class of equal sets and size; COUNT, how many of its first shingles are shared."""
-    n = partitions(docs.sparkSession)
+def _sets(docs: DataFrame, k: int, num: int, den: int, n: int) -> DataFrame:
+    """Rows of two kinds: DOC, each document's class of equal sets and size; COUNT, how many of its first shingles are shared. n: number of buckets."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "words"):
@@ -146,9 +151,8 @@ def _shared_counts(first: DataFrame) -> DataFrame:
     return first.where(F.col("kind") == COUNT).groupBy("bucket").applyInArrow(add, "code long, shared long").groupBy("code").agg(F.max("shared").alias("shared"))
 
 
-def _packed_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """code, bucket and hashes (the whole set, ascending) for the documents (key, code) in wanted, one row for each code."""
-    n = partitions(docs.sparkSession)
+def _packed_sets(docs: DataFrame, wanted: DataFrame, k: int, n: int) -> DataFrame:
+    """code, bucket (of n) and hashes (the whole set, ascending) for the documents (key, code) in wanted, one row for each code."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "words"):
@@ -165,13 +169,12 @@ def _packed_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return written(found.groupBy("code").agg(F.first("hashes").alias("hashes")).withColumn("bucket", F.pmod("code", F.lit(n)).cast("int")), "jaccard-sets")
 
 
-def _ordered(sets: DataFrame, num: int, den: int) -> DataFrame:
+def _ordered(sets: DataFrame, num: int, den: int, n: int) -> DataFrame:
     """Sets in the global order: code, n, m (shingles that other sets share), prefix (shingle and place among the m) and fragments.
 
     The order is by the power of two of the number of sets that hold a shingle, then by hash; shingles that one batch found in HOT sets come last.
     Sets that share too few shingles to have a partner are left out.
     """
-    n = partitions(sets.sparkSession)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,49 +242,76 @@ def _may_link(most: Column, n_a: Column, n_b: Column, num: int, den: int) -> Col
 
 
 def _linked(pairs: DataFrame, ordered: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) that are similar enough: overlaps counted in each fragment, then summed."""
+    """Of pairs (a, b, n_a, n_b; a written table) those that are similar enough: overlaps counted in each fragment, then summed."""
     cells = ordered.select("code", F.posexplode("fragments").alias("fragment", "own")).where(F.size("own") > 0)
-    left = pairs.join(cells.select(F.col("code").alias("a"), "fragment", F.col("own").alias("own_a")), "a")
+    centres = hot_keys(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rows")), ["a"], pairs.count())
+    left = split_join(pairs, cells.select(F.col("code").alias("a"), "fragment", F.col("own").alias("own_a")), ["a"], centres, F.col("b"))
     met = left.join(cells.select(F.col("code").alias("b"), "fragment", F.col("own").alias("own_b")), ["b", "fragment"])
     part = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("own_a", "own_b")).cast("long").alias("part"))
     total = part.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap"))
     return total.where(F.col("overlap") * den >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * num).select("a", "b")
 
 
+def size_class(n: Column, num: int, den: int) -> Column:
+    """Sizes by equal steps of their logarithm."""
+    return F.floor(F.log(n.cast("double")) * (STEPS / math.log(den / num))).cast("int") if num < den else n.cast("int")
+
+
+def _apart(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of entries (shingle, code, n, rest, part) of one shingle and different parts that may be similar enough, once each.
+
+    A partner has at least n * num / den shingles, at most n * den / num, and no more than leave the rest (the most that both can share from this shingle on) enough.
+    """
+    least = F.ceil(F.col("n") * num / den)
+    most = F.least(F.floor(F.col("n") * den / num), F.floor(F.col("rest") * (den + num) / num) - F.col("n"))
+    seeking = entries.withColumns({"least": least, "most": most}).where("most >= least")
+    seeking = seeking.withColumn("class", F.explode(F.sequence(size_class(F.col("least"), num, den), size_class(F.col("most"), num, den))))
+    seeking = written(seeking.select("shingle", "class", F.col("code").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("part").alias("part_a")), "jaccard-seeking")
+    there = entries.select("shingle", size_class(F.col("n"), num, den).alias("class"), F.col("code").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("part").alias("part_b"))
+    hot = hot_keys(seeking.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("rows")), ["shingle", "class"], seeking.count())
+    met = split_join(seeking, there, ["shingle", "class"], hot, F.col("a"))
+    near = met.where((F.col("part_a") < F.col("part_b")) & _may_link(F.least("rest_a", "rest_b"), F.col("n_a"), F.col("n_b"), num, den))
+    return near.select("a", "b", "n_a", "n_b").distinct()
+
+
 def _heads(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """id, key, n (size of the set) and head of every document: the least (id, key) of its component, null without words."""
     require(docs, "doc_id", "text")
-    first = _sets(docs, k, num, den)
+    buckets_ = buckets(docs)
+    first = _sets(docs, k, num, den, buckets_)
     rows = _documents(first)
-    classes = rows.where("n > 0").groupBy("code").agg(F.min(F.struct("id", "key")).alias("head"), F.max("n").alias("n"))
+    classes = written(rows.where("n > 0").groupBy("code").agg(F.min(F.struct("id", "key")).alias("head"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), "jaccard-classes")
     bound = F.greatest(F.floor(F.lit(EXTRA) * num / den * F.col("n")), F.lit(1))
     wanted = classes.join(_shared_counts(first), "code").where(F.col("shared") >= bound)
     wanted = written(wanted.select("code", F.col("head.key").alias("key"), F.col("head").alias("label")), "jaccard-wanted")
-    ordered = _ordered(_packed_sets(docs, wanted.select("key", "code"), k), num, den)
+    ordered = _ordered(_packed_sets(docs, wanted.select("key", "code"), k, buckets_), num, den, buckets_)
 
     entries = ordered.select("code", "n", "m", F.posexplode("prefix").alias("at", "shingle")).withColumn("rest", F.col("m") - F.col("at"))
-    centres = entries.groupBy("shingle").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("alone"), F.col("code").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))).alias("centre"), F.count(F.lit(1)).alias("sets"))
+    centre = F.min(F.struct((F.col("n") - F.col("m")).alias("alone"), F.col("code").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a")))
+    centres = written(entries.groupBy("shingle").agg(centre.alias("centre"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "jaccard-centres")
+    common = hot_keys(centres, ["shingle"], centres.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
     # a centre's partners: overlaps are at most what both have from the shingle on in the order
-    star = entries.join(centres.where("sets > 1"), "shingle").select("centre.*", F.col("code").alias("b"), F.col("n").alias("n_b"), "rest").where("a <> b")
+    star = split_join(entries, centres.select("shingle", "centre"), ["shingle"], common, F.col("code")).select("centre.*", F.col("code").alias("b"), F.col("n").alias("n_b"), "rest").where("a <> b")
     near = star.where(_may_link(F.least("rest_a", "rest"), F.col("n_a"), F.col("n_b"), num, den))
-    stars = near.groupBy("b", "n_b").agg(F.min(F.struct("alone", "a", "n_a")).alias("c")).select("c.a", "b", "c.n_a", "n_b")
+    stars = written(near.groupBy("b", "n_b").agg(F.min(F.struct("alone", "a", "n_a")).alias("c")).select("c.a", "b", "c.n_a", "n_b"), "jaccard-stars")
     links = written(_linked(stars, ordered, num, den), "jaccard-links")
     vertices = wanted.join(ordered.select("code"), "code", "left_semi").select(F.col("code").alias("v"), "label")
     known = least_labels(vertices, links)
 
     placed = entries.join(known.select(F.col("v").alias("code"), F.col("root").alias("part")), "code")
     split = placed.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
-    open_ = written(placed.join(split, "shingle").select("shingle", "code", "n", "rest", "part"), "jaccard-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") < F.col("y.part")) & _may_link(F.least("x.rest", "y.rest"), F.col("x.n"), F.col("y.n"), num, den)
-    more = written(x.join(y, apart).select(F.col("x.code").alias("a"), F.col("y.code").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct(), "jaccard-apart")
+    open_ = written(split_join(placed, split, ["shingle"], common, F.col("code")).select("shingle", "code", "n", "rest", "part"), "jaccard-open")
+    more = written(_apart(open_, num, den), "jaccard-apart")
     part_of = lambda side: known.select(F.col("v").alias(side), F.col("root").alias(f"part_{side}"))
     between = _linked(more, ordered, num, den).join(part_of("a"), "a").join(part_of("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
     merged = least_labels(known.where("v = root").select("v", "label"), between)
     final = known.select("v", "root").join(merged.select(F.col("v").alias("root"), "label"), "root")
 
-    labels = classes.select("code", F.col("head").alias("own")).join(final.select(F.col("v").alias("code"), "label"), "code", "left")
-    return rows.join(labels.select("code", F.coalesce("label", "own").alias("head")), "code", "left").select("id", "key", "n", "head")
+    labels = classes.select("code", F.col("head").alias("own")).join(final.select(F.col("v").alias("code"), "label"), "code", "left").select("code", F.coalesce("label", "own").alias("head"))
+    copies = hot_keys(classes, ["code"], classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+    # sets without shingles share one code, have no row in labels and need none
+    found = split_join(rows.where("n > 0"), labels, ["code"], copies, F.col("key"))
+    return found.select("id", "key", "n", "head").unionByName(rows.where("n = 0").select("id", "key", "n", F.lit(None).cast(found.schema["head"].dataType).alias("head")))
 
 
 def near_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -302,12 +332,12 @@ def drop_near(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Dat
 
     Rows are matched by doc_id and text, by a 64-bit hash of both. A null doc_id counts as larger than all, and of several texts with the smallest doc_id
     the one with the least hash stays, so other rows with a null or repeated doc_id are judged by their own component. Of repeated rows with one
-    doc_id and text one stays; all columns stay as they are.
+    doc_id and text one stays; all columns stay as they are, whatever their names.
     """
-    met = _heads(docs, k, num, den).where("n > 0").groupBy(F.col("id").alias("_id"), F.col("key").alias("_key"))
+    met = _heads(docs, k, num, den).where("n > 0").groupBy("id", "key")
     judged = met.agg(F.bool_or(F.col("head") == F.struct("id", "key")).alias("stays"), F.count(F.lit(1)).alias("rows"))
     judged = written(judged.where("not stays or rows > 1"), "jaccard-judged")
-    keyed = docs.withColumns({"_id": order_id(), "_key": F.xxhash64(order_id(), text_or_empty())})
-    clear = keyed.join(judged, ["_id", "_key"], "left_anti")
-    repeated = keyed.join(judged.where("stays"), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
-    return clear.unionByName(repeated).select(*docs.columns)
+    keyed = docs.select(packed_row(), order_id().alias("id"), F.xxhash64(order_id(), text_or_empty()).alias("key"))
+    clear = keyed.join(judged, ["id", "key"], "left_anti")
+    repeated = keyed.join(judged.where("stays"), ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    return clear.unionByName(repeated).select("row.*")

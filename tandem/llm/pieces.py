@@ -7,7 +7,7 @@ heaviest path between them (null: none). Matrices are combined with (max, +), wh
 chunk is traced back by itself. Where a white-space run begins no piece crosses, so between such places
 a chunk's matrix is a sum, and words are segmented once in a worker.
 
-Scores are summed as integers. Of equally heavy paths the one whose last piece is longest is taken, at every place from the end
+Scores are summed as fixed-point integers, so sums don't depend on their order. Of equally heavy paths the one whose last piece is longest is taken, at every place from the end
 on; a chunk is traced from the weights at all its begin states, so cuts don't change the result.
 """
 
@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.storage import LAST_ID, order_id, require, text_or_empty
+from tandem.llm.storage import LAST_ID, order_id, require, text_or_empty, written
 
 SPACE = "▁"
 CHUNK_CHARS = 16384
 MEMORY = 150_000  # words whose segmentation a worker keeps, twice
 ROWS = 256  # texts that a worker holds decoded at a time
+FIXED = 1 << 20  # of which scores are whole multiples
+BLOCK = 64  # chunks whose matrices one task multiplies
 UNKNOWN_PENALTY = 10  # below the least score, as unigram models have it
 
 Matrix = list[list[int | None]]
@@ -48,8 +50,8 @@ class Pieces:
             raise ValueError("only models that leave texts as they are, but for spaces, are supported")
         self.dummy_prefix = spec.add_dummy_prefix
         usual = [(p.piece, p.score, i) for i, p in enumerate(model.pieces) if p.type in (NORMAL, USER)]
-        self.weight = {piece: (int(score), i) for piece, score, i in usual}
-        self.unknown = int(min(s for _, s, _ in usual)) - UNKNOWN_PENALTY
+        self.weight = {piece: (round(score * FIXED), i) for piece, score, i in usual}
+        self.unknown = min(w for w, _ in self.weight.values()) - UNKNOWN_PENALTY * FIXED
         self.longest = max(len(p) for p, _, _ in usual)
         self.byte = [0] * 256
         self.text = [p.piece.replace(SPACE, " ").encode() for p in model.pieces]
@@ -222,9 +224,9 @@ def combine(a: Matrix, b: Matrix) -> Matrix:
     return out
 
 
-def weights_before(matrices: list[Matrix]) -> list[list[int | None]]:
-    """For each part the weights of the heaviest paths from the text's begin to its begin states, less the largest of them."""
-    now: Matrix = [[0] + [None] * (len(matrices[0]) - 1)]
+def weights_before(matrices: list[Matrix], begin: list[int | None] | None = None) -> list[list[int | None]]:
+    """For each part the weights of the heaviest paths from the text's begin to its begin states, less the largest of them; begin: those of the first part."""
+    now: Matrix = [begin or [0] + [None] * (len(matrices[0]) - 1)]
     out = []
     for m in matrices:
         top = max(x for x in now[0] if x is not None)
@@ -234,6 +236,13 @@ def weights_before(matrices: list[Matrix]) -> list[list[int | None]]:
     return out
 
 
+def product(matrices: list[Matrix]) -> Matrix:
+    """The transfer matrix of neighbouring parts, combined in pairs of neighbours."""
+    while len(matrices) > 1:
+        matrices = [combine(*matrices[i : i + 2]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
 def chain(traced: list[tuple[bytes, list[int | None], list[bytes]]]) -> bytes:
     """The ids of a whole text from its parts' traces; the text ends in state 0."""
     state, out = 0, []
@@ -289,11 +298,20 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = CHUNK_CHARS) -> DataF
             found = [own.transfer(p, s) for p, s in zip(batch["part"].to_pylist(), batch["size"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["id"], batch["key"], batch["chunk"], pa.array(found, pa.list_(pa.list_(pa.int64())))], ["id", "key", "chunk", "matrix"])
 
-    def scan(table: pa.Table) -> pa.Table:
+    def multiply(table: pa.Table) -> pa.Table:
         by = dict(zip(table["chunk"].to_pylist(), table["matrix"].to_pylist(), strict=True))
-        before = weights_before([by[k] for k in sorted(by)])
-        head = [pa.array([table[c][0].as_py()] * len(before), pa.int64()) for c in ("id", "key")]
-        return pa.Table.from_arrays([*head, pa.array(sorted(by), pa.int32()), pa.array(before, pa.list_(pa.int64()))], ["id", "key", "chunk", "before"])
+        whole = product([by[k] for k in sorted(by)])
+        return pa.Table.from_arrays([table["id"][:1], table["key"][:1], pa.array([min(by) // BLOCK], pa.int32()), pa.array([whole], pa.list_(pa.list_(pa.int64())))], ["id", "key", "block", "matrix"])
+
+    def scan(at: str):  # noqa: ANN202
+        def run(table: pa.Table) -> pa.Table:
+            by = dict(zip(table[at].to_pylist(), table["matrix"].to_pylist(), strict=True))
+            begin = table["begin"][0].as_py() if "begin" in table.column_names else None
+            before = weights_before([by[k] for k in sorted(by)], begin)
+            head = [pa.array([table[c][0].as_py()] * len(before), pa.int64()) for c in ("id", "key")]
+            return pa.Table.from_arrays([*head, pa.array(sorted(by), pa.int32()), pa.array(before, pa.list_(pa.int64()))], ["id", "key", at, "before"])
+
+        return run
 
     traces = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("chunk", pa.int32()), ("common", pa.binary()), ("origins", pa.list_(pa.int32())), ("tails", pa.list_(pa.binary()))])
 
@@ -310,7 +328,11 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = CHUNK_CHARS) -> DataF
     small = rows.where(~giant).mapInArrow(whole, "id long, n_chars long, ids binary")
     large = rows.where(giant).withColumn("key", F.xxhash64("id", "text"))
     parts = large.mapInArrow(cut, "id long, key long, chunk int, part string, size int")
-    before = parts.mapInArrow(transfers, "id long, key long, chunk int, matrix array<array<long>>").groupBy("id", "key").applyInArrow(scan, "id long, key long, chunk int, before array<long>")
+    chunked = written(parts.mapInArrow(transfers, "id long, key long, chunk int, matrix array<array<long>>").withColumn("block", F.floor(F.col("chunk") / BLOCK).cast("int")), "transfers")
+    # the scan in two levels: matrices of whole blocks, weights at their begins, and from there the weights at each chunk's begin
+    blocks = chunked.groupBy("id", "key", "block").applyInArrow(multiply, "id long, key long, block int, matrix array<array<long>>")
+    begins = blocks.groupBy("id", "key").applyInArrow(scan("block"), "id long, key long, block int, before array<long>").withColumnRenamed("before", "begin")
+    before = chunked.join(begins, ["id", "key", "block"]).groupBy("id", "key", "block").applyInArrow(scan("chunk"), "id long, key long, chunk int, before array<long>")
     traced = parts.join(before, ["id", "key", "chunk"]).mapInArrow(trace, "id long, key long, chunk int, common binary, origins array<int>, tails array<binary>")
     joined = traced.groupBy("id", "key").applyInArrow(join, "id long, key long, ids binary")
     met = large.select("id", "key", F.length("text").cast("long").alias("n_chars")).join(joined, ["id", "key"]).select("id", "n_chars", "ids")
@@ -318,13 +340,15 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = CHUNK_CHARS) -> DataF
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """encoded with text: what its ids stand for."""
+    """encoded with text: what its ids stand for. Null ids stand for an empty text; other columns stay as they are, and none of them may be named text."""
+    if "text" in encoded.columns:
+        raise ValueError("encoded has a column named text")
     at = encoded.columns.index("ids")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
         for batch in _slices(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([own.decode(x) for x in batch.column(at).to_pylist()], pa.string())], [*batch.schema.names, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([own.decode(x or b"") for x in batch.column(at).to_pylist()], pa.string())], [*batch.schema.names, "text"])
 
     return encoded.mapInArrow(back, f"{schema}, text string")

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, a temporary one that is then set."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a local master, as in tests, gets a temporary one; elsewhere executors couldn't share it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='tandem-')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -24,13 +26,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_FOLDERS: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: later jobs read it whichever executors are lost meanwhile."""
+    """df as a Parquet table in the shared folder: later jobs read it whichever executors are lost meanwhile.
+
+    Results are lazy and read such tables when they are used, so the caller says by clear() when it needs none of them any more.
+    """
     path = new_folder(df.sparkSession, name)
+    _FOLDERS.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that operators wrote on the way; results that were not saved yet are lost with them."""
+    while _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -48,6 +64,17 @@ def order_id(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(LAST_ID))
 
 
+def buckets(df: DataFrame, column: str = "text", most: int = 1 << 26) -> int:
+    """How many buckets the rows of df need so that one holds about `most` bytes of a text column; at least as many as there are shuffle partitions."""
+    total = df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
+    return max(partitions(df.sparkSession), -(-total // most))
+
+
+def packed_row() -> Column:
+    """All columns of a table as one struct, so that working columns beside it can have any names; select("row.*") gives them back."""
+    return F.struct("*").alias("row")
+
+
 def require(df: DataFrame, *columns: str) -> None:
     """Other columns of df are ignored whatever their names."""
     if missing := [c for c in columns if c not in df.columns]:

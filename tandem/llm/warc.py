@@ -16,37 +16,44 @@ from pyspark.sql import functions as F
 
 from tandem.llm.storage import require
 
-SLOT_RECORDS = 50_000
+SLOT_RECORDS, MOST_SLOTS = 50_000, 4096
 #: Header fields that a 304 answer may update in a stored response.
 UPDATED_BY_304 = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 
 
 def canonical_url(url: Column) -> Column:
-    """url without scheme, www. and m., fragment, tracking parameters and slashes at its end; its host in lower case."""
-    out = F.regexp_replace(url, "#.*$", "")
-    out = F.regexp_replace(out, "^[A-Za-z]+://(www\\.|m\\.)?", "")
-    out = F.regexp_replace(out, "(utm_[a-z]+|ref)=[^&]*", "")
-    out = F.regexp_replace(out, "&&+", "&")
-    out = F.regexp_replace(out, "[?]&", "?")
-    out = F.regexp_replace(out, "[?&]+$", "")
-    out = F.regexp_replace(out, "/+$", "")
-    return F.concat(F.lower(F.regexp_extract(out, "^[^/?]*", 0)), F.regexp_replace(out, "^[^/?]*", ""))
+    """url without scheme, fragment, tracking parameters and slashes at the end of its path; its host in lower case, without a leading www. or m.
+
+    Parameters are taken one by one: those named utm_... or ref go, others stay in their order. A leading label is part of the host where only one more follows it.
+    """
+    bare = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), "^(www|m)[.]([^.]+[.].+)$", "$2")
+    path = F.regexp_replace(F.regexp_extract(bare, "^[^/?]*([^?]*)", 1), "/+$", "")
+    kept = F.filter(F.split(F.regexp_extract(bare, "[?](.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike("^(utm_[a-z]+|ref)(=|$)"))
+    return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
 def _strong(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
-def resolve_revisits(records: DataFrame, slot_records: int = SLOT_RECORDS) -> DataFrame:
+def slot_size(records: DataFrame) -> int:
+    """Records of a slot: SLOT_RECORDS, or more where there would be over MOST_SLOTS slots, so that one URL's carried rows stay few too."""
+    first, last = records.agg(F.min("seq"), F.max("seq")).first()
+    return SLOT_RECORDS if first is None else max(SLOT_RECORDS, -(-(last - first + 1) // MOST_SLOTS))
+
+
+def resolve_revisits(records: DataFrame, slot_records: int | None = None) -> DataFrame:
     """The revisits among records, with the response that each stands for.
 
     records: record_id and seq (long; records are ordered by seq, then record_id), url, kind ("response" or "revisit"; others are
-    ignored), headers (map from lower-case names) and digest (of the body). seq must be dense enough that slot_records consecutive values hold few records.
+    ignored), headers (map from lower-case names) and digest (of the body). seq must be dense enough that slot_records (by default slot_size()) consecutive values hold few records.
     Returns for each revisit record_id, url, canonical, refers_to, state ("resolved", "changed" where validators differ, "missing" without an earlier
     response), digest and headers (merged where resolved, else those of the revisit). Rows with null record_id, seq or url can't be
     ordered or looked up: a revisit of that kind is missing, a response is passed over. Repeated rows give repeated results; extra columns are ignored; an empty table gives none.
     """
     require(records, "record_id", "seq", "url", "kind", "headers", "digest")
+    slot_records = slot_records or slot_size(records)
     rows = records.select("record_id", "seq", "url", "kind", "headers", "digest", canonical_url(F.col("url")).alias("canonical"), F.floor(F.col("seq") / slot_records).alias("slot"))
     rows = rows.where(F.col("kind").isin("response", "revisit"))
     placed = F.col("record_id").isNotNull() & F.col("seq").isNotNull() & F.col("url").isNotNull()
@@ -98,14 +105,16 @@ def crawl_records(pages: DataFrame) -> DataFrame:
 ORACLE = """
 WITH p AS (
   SELECT page_id, url, html, num AS c, substr(sha256(html), 1, 16) AS tag, 'day ' || (length(html) % 365) AS dated, (num % 7) * 100 - 150 AS shift,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z]+://(www\\.|m\\.)?', ''),
-      '(utm_[a-z]+|ref)=[^&]*', '', 'g'), '&&+', '&', 'g'), '[?]&', '?', 'g'), '[?&]+$', ''), '/+$', '') AS u
+    regexp_replace(split_part(url, '#', 1), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u
   FROM (SELECT *, CAST('0x' || substr(md5(url), 1, 6) AS BIGINT) AS num FROM pages)),
 r AS (
   SELECT page_id * 2 AS record_id, page_id AS seq, 'response' AS kind, url, u, tag AS etag, dated, 'at ' || page_id AS date, CAST(octet_length(encode(html)) AS VARCHAR) AS length, sha256(html) AS digest FROM p
   UNION ALL
   SELECT page_id * 2 + 1, page_id + shift, 'revisit', url, u, CASE WHEN c % 5 = 0 THEN 'outdated' WHEN c % 5 = 1 THEN NULL ELSE tag END, dated, 'at ' || (page_id + shift), '0', NULL FROM p),
-k AS (SELECT *, lower(regexp_extract(u, '^[^/?]*')) || regexp_replace(u, '^[^/?]*', '') AS canonical FROM r),
+q AS (SELECT *, lower(split_part(split_part(u, '?', 1), '/', 1)) AS host, rtrim(substr(split_part(u, '?', 1), length(split_part(split_part(u, '?', 1), '/', 1)) + 1), '/') AS path,
+  list_filter(string_split(CASE WHEN contains(u, '?') THEN substr(u, strpos(u, '?') + 1) ELSE '' END, '&'), x -> x <> '' AND NOT regexp_full_match(split_part(x, '=', 1), 'utm_[a-z]+|ref')) AS parameters FROM r),
+k AS (SELECT *, CASE WHEN split_part(host, '.', 1) IN ('www', 'm') AND split_part(host, '.', 3) <> '' THEN substr(host, strpos(host, '.') + 1) ELSE host END || path
+  || CASE WHEN len(parameters) > 0 THEN '?' || array_to_string(parameters, '&') ELSE '' END AS canonical FROM q),
 w AS (
   SELECT *, last_value(CASE WHEN kind = 'response' THEN {'record_id': record_id, 'etag': etag, 'dated': dated, 'digest': digest, 'length': length} END IGNORE NULLS)
     OVER (PARTITION BY canonical ORDER BY seq, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM k)
