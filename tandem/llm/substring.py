@@ -10,9 +10,14 @@ compared with every other one of its anchor:
   up one by one, in a second index that holds the windows of such factors only.
 
 Duplicate windows that follow one another make up the removed spans. Everything moves as packed arrays (blobs.py): about 20 bytes
-a factor, of which there are about two for ten words, and the texts once. An anchor that is frequent is thinned
-out before the shuffle: of equal factors in one batch those of the smallest doc_id go on, the others
-are settled there.
+a factor, of which there are about two for ten words, and the texts once.
+
+A frequent anchor is thinned out before the shuffle. Of equal factors in one batch those of the smallest doc_id go on, the others
+are settled there. Where factors of several documents are left with one anchor, the batch knows by itself that their windows must be looked up: it
+sends the anchor alone, once. So a block gets of an anchor what one document has, or one row, for each batch, whatever the
+surroundings of a common phrase; and windows are spread by their own words. The number of blocks grows with the bytes of the texts.
+
+Factors are equal by two 64-bit hashes, of the anchor and of all words; so are windows.
 """
 
 from __future__ import annotations
@@ -29,11 +34,11 @@ from pyspark.sql import functions as F
 
 from tandem.llm import blobs
 from tandem.llm.blobs import Entries
-from tandem.llm.storage import order_id, partitions, require, text_or_empty
+from tandem.llm.storage import buckets, order_id, require, text_or_empty, written
 from tandem.llm.words import _P, _Q, Words, _power_tables, mix, portions, scan, shingles
 
 WIDTH, GRAM = 13, 5
-INDEX, SETTLED, FACTOR, WINDOW = 0, 1, 2, 3  # kinds of rows
+INDEX, TOLD, FACTOR, WINDOW, BORDER = 0, 1, 2, 3, 4  # kinds of rows
 
 
 class Factors(NamedTuple):
@@ -71,13 +76,24 @@ def factors(words: Words, width: int = WIDTH, gram: int = GRAM) -> Factors:
     return Factors(owner, at, start, size, least[start], content)
 
 
-def _thinned(e: Entries, n: int) -> list[tuple]:
-    """Rows of e for the index; of equal (a, b) only the smallest id's go there, the rest is settled."""
+def _thinned(e: Entries, n: int, kind: int, crowded: int | None = None) -> list[tuple]:
+    """Rows of a batch's entries for the index; of equal (a, b) only those of the smallest id go there, the others are marked as `kind` at once.
+
+    crowded: entries that are left of one a and several ids are marked so at once, and a alone goes to the index.
+    """
     order, new = blobs.group_first(e.a, e.b)
     later = e.id > blobs.group_min(e.id, order, new)
-    bucket = (e.a % np.uint64(n)).astype(np.int64)
-    settled = e.take(later)._replace(a=blobs.EMPTY.a, b=blobs.EMPTY.b)
-    return blobs.rows(e.take(~later), bucket[~later], INDEX) + blobs.rows(settled, bucket[later], SETTLED)
+    out = _marked(e.take(later), kind, n)
+    e = e.take(~later)
+    if crowded is not None:
+        order, new = blobs.group_first(e.a)
+        several = blobs.group_min(e.id, order, new) < blobs.group_max(e.id, order, new)
+        one = np.zeros(len(order), bool)
+        one[order[new]] = True
+        told = e.take(several & one)._replace(b=blobs.EMPTY.b, at=blobs.EMPTY.at)
+        out += _marked(e.take(several), crowded, n) + blobs.rows(told, (told.a % np.uint64(n)).astype(np.int64), TOLD)
+        e = e.take(~several)
+    return out + blobs.rows(e, (e.a % np.uint64(n)).astype(np.int64), INDEX)
 
 
 def _marked(e: Entries, kind: int, n: int) -> list[tuple]:
@@ -100,19 +116,24 @@ def _lists(e: Entries) -> dict[tuple[int, int], np.ndarray]:
     return {(int(e.id[order[i]]), int(e.key[order[i]])): e.at[order[i:j]] for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=False)}
 
 
+def _through(block: pa.Table, *kinds: int) -> pa.Table:
+    """The rows of a block that are on their way to their documents."""
+    return block.filter(pa.compute.is_in(block["kind"], pa.array(kinds, pa.int32()))).cast(blobs.ARROW)
+
+
 def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """docs with what an earlier document doesn't hold already.
+    """What an earlier document doesn't hold already, for every row of docs.
 
     A window is `width` consecutive words; words are separated by bytes 0x20 and 0x09-0x0D. A word is removed if a window over
     it also starts in a document of smaller doc_id. Windows are judged on the input.
 
-    Returns all columns of docs and, as _n_words, _n_removed, _kept_sha256 and _kept_text: numbers of words, the hash of the kept words joined
-    by one space, and the text with removed words and the white space after them cut out (the text itself, or null, where
+    Returns row (a struct of all columns of docs, whatever their names), n_words, n_removed, kept_sha256 (of the kept words joined
+    by one space) and kept_text, the text with removed words and the white space after them cut out (the text itself, or null, where
     nothing is removed). Null and empty texts have no words. Rows of equal doc_id don't remove from one another, and neither do rows
-    without doc_id, which count as last. An empty table gives an empty result. Names beginning with _ must not be columns of docs.
+    without doc_id, which count as last. Repeated rows give repeated results, an empty table an empty one.
     """
     require(docs, "doc_id", "text")
-    n = partitions(docs.sparkSession)
+    n = buckets(docs)
     own = [f.name for f in docs.schema]
     rows = docs.select(order_id().alias("id"), text_or_empty().alias("words"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)))
     rows = rows.withColumn("key", F.xxhash64("id", "words"))
@@ -122,20 +143,20 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
         for batch in portions(batches, "words"):
             id_, key = batch["id"].to_numpy(), batch["key"].to_numpy()
             parts = [Entries(id_[w.row + f.doc], key[w.row + f.doc], f.anchor, f.content, f.at.astype(np.uint32)) for w, f in _slices(batch["words"], width, gram)]
-            yield blobs.batch(_thinned(blobs.joined(parts), n))
+            yield blobs.batch(_thinned(blobs.joined(parts), n, FACTOR, BORDER))
 
     def settle(block: pa.Table) -> pa.Table:
-        e = blobs.entries(block, INDEX)
+        e, told = blobs.entries(block, INDEX), blobs.entries(block, TOLD)
         order, new = blobs.group_first(e.a, e.b)
         later = e.id > blobs.group_min(e.id, order, new)
         firsts = e.take(~later)
         order, new = blobs.group_first(firsts.a)
-        border = blobs.group_min(firsts.id, order, new) < blobs.group_max(firsts.id, order, new)
-        done = _marked(e.take(later), FACTOR, n) + _marked(blobs.entries(block, SETTLED), FACTOR, n)
-        return pa.Table.from_batches([blobs.batch(done + _marked(firsts.take(border), INDEX, n))])
+        border = (blobs.group_min(firsts.id, order, new) < blobs.group_max(firsts.id, order, new)) | np.isin(firsts.a, told.a)
+        done = _marked(e.take(later), FACTOR, n) + _marked(firsts.take(border), BORDER, n)
+        return pa.concat_tables([pa.Table.from_batches([blobs.batch(done)]), _through(block, FACTOR, BORDER)])
 
     def borders(texts: pa.Table, marks: pa.Table) -> pa.Table:
-        looked = _lists(blobs.entries(marks, INDEX))
+        looked = _lists(blobs.entries(marks, BORDER))
         id_, key = texts["id"].to_numpy(), texts["key"].to_numpy()
         chosen = np.flatnonzero(np.fromiter(((i, k) in looked for i, k in zip(id_.tolist(), key.tolist(), strict=True)), bool, len(id_)))
         parts = []
@@ -149,13 +170,13 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
                 sizes = f.size[picked]
                 at = np.repeat(f.start[picked] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
                 parts.append(Entries(np.full(len(at), id_[row]), np.full(len(at), key[row]), code[at], np.repeat(f.anchor[picked], sizes), (at - w.first[d]).astype(np.uint32)))
-        return pa.Table.from_batches([blobs.batch(_thinned(blobs.joined(parts), n))])
+        return pa.Table.from_batches([blobs.batch(_thinned(blobs.joined(parts), n, WINDOW))])
 
     def settle_windows(block: pa.Table) -> pa.Table:
         e = blobs.entries(block, INDEX)
         order, new = blobs.group_first(e.a, e.b)
         later = e.id > blobs.group_min(e.id, order, new)
-        return pa.Table.from_batches([blobs.batch(_marked(e.take(later), WINDOW, n) + _marked(blobs.entries(block, SETTLED), WINDOW, n))])
+        return pa.concat_tables([pa.Table.from_batches([blobs.batch(_marked(e.take(later), WINDOW, n))]), _through(block, WINDOW)])
 
     def cut(texts: pa.Table, marks: pa.Table) -> pa.Table:
         by_factor, by_window = _lists(blobs.entries(marks, FACTOR)), _lists(blobs.entries(marks, WINDOW))
@@ -191,21 +212,17 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
         results = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), unchanged, pa.array(kept, pa.string())]
         return pa.Table.from_arrays([*columns, *results], [*(f"c{i}" for i in range(len(own))), "n_words", "n_removed", "kept_sha256", "unchanged", "cut"])
 
-    first = rows.select("id", "key", "words").mapInArrow(index, blobs.SCHEMA).groupBy("bucket").applyInArrow(settle, blobs.SCHEMA)
+    # both kinds of marks are used, so they are written; it also spares a second reading of all texts when an executor is lost later
+    first = written(rows.select("id", "key", "words").mapInArrow(index, blobs.SCHEMA).groupBy("bucket").applyInArrow(settle, blobs.SCHEMA), "substring-factors")
     texts = dealt.groupBy("bucket")
-    second = texts.cogroup(first.where(F.col("kind") == INDEX).groupBy("bucket")).applyInArrow(borders, blobs.SCHEMA)
+    second = texts.cogroup(first.where(F.col("kind") == BORDER).groupBy("bucket")).applyInArrow(borders, blobs.SCHEMA)
     windows = second.groupBy("bucket").applyInArrow(settle_windows, blobs.SCHEMA)
     marks = first.where(F.col("kind") == FACTOR).unionByName(windows)
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
     out = texts.cogroup(marks.groupBy("bucket")).applyInArrow(cut, f"{kinds}, n_words long, n_removed long, kept_sha256 string, unchanged boolean, cut string")
     text = F.col(f"c{own.index('text')}")
-    return out.select(
-        *(F.col(f"c{i}").alias(c) for i, c in enumerate(own)),
-        F.col("n_words").alias("_n_words"),
-        F.col("n_removed").alias("_n_removed"),
-        F.col("kept_sha256").alias("_kept_sha256"),
-        F.when(F.col("unchanged"), text).otherwise(F.col("cut")).alias("_kept_text"),
-    )
+    row = F.struct(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own))).alias("row")
+    return out.select(row, "n_words", "n_removed", "kept_sha256", F.when(F.col("unchanged"), text).otherwise(F.col("cut")).alias("kept_text"))
 
 
 def _without(text: str, lost: np.ndarray) -> str:
@@ -218,11 +235,10 @@ def _without(text: str, lost: np.ndarray) -> str:
 
 def repeat_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of repeats()."""
-    few = repeats(docs.select("doc_id", "text"), width)
-    return few.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept_sha256").alias("kept_sha256"))
+    return repeats(docs.select("doc_id", "text"), width).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def drop_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs with repeated passages cut out of text; rows and other columns stay as they are."""
+    """docs with repeated passages cut out of text; rows and other columns stay as they are, whatever their names. Edge cases as in repeats(): a null text stays null."""
     cut = repeats(docs, width)
-    return cut.select(*(F.col("_kept_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    return cut.select(*(F.col("kept_text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

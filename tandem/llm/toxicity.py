@@ -1,10 +1,11 @@
 """Toxicity scores by weak supervision.
 
-Voters are rules that look at a text: "has this word" and "has a word that begins like this". They are drawn from
-a bounded sample of labelled training rows, and each votes toxic or abstains. A generative model then looks at the
-votes alone, without labels, for the voters' accuracies: a two-class mixture fitted by EM, in which voters that agree
+Voters are rules that look at a text and vote toxic or abstain. Lexicon voters say "has this word": the words are a fixed list of abusive ones in
+the corpus's languages with their regular inflections, whatever the labels. Pattern voters say "has a word that begins like this"; they, and
+further word voters, are those that a bounded sample of labelled training rows tells apart. A generative model then looks at the votes alone, without labels, for the voters' accuracies and correlations: a two-class mixture fitted by EM, in which voters that agree
 more often than their classes explain share a vote's weight. Its posterior labels train the linear classifier
-that gives the scores: sparse logistic regression over the words and beginnings that toxic rows of the sample share.
+that gives the scores: sparse logistic regression over the voters' own features and the words that toxic rows of the sample share.
+A lexicon voter that hardly speaks in the sample gets the weight that its kind's average accuracy deserves.
 
 A word here is a run of ASCII letters and bytes beyond ASCII, with A-Z lower-cased. lang, source and doc_id are never inputs of a score.
 """
@@ -26,9 +27,12 @@ from tandem.llm.words import NO_LETTER, beginnings, portions, scan
 
 FOLDS, HELD_FOLD = 5, 0
 SAMPLE_ROWS = 20_000  # labelled training rows, about, that voters and classifier are fitted on; fewer where there are fewer
-MAX_VOTERS = 128
-LEAST_SUPPORT, LEAST_PRECISION = 5, 0.8  # of a voter, in the sample
-BEGIN_BYTES = 4
+LEAST_SUPPORT = 2  # toxic rows of the sample that a drawn voter, or a feature of the classifier, needs at the least
+VOTER_SHARE, FEATURE_SHARE = 1 / 200, 1 / 400  # of the sample's toxic rows that they need too
+PURITY = 10  # toxic rows that a drawn voter must have for each clean one, beside that support
+BEGIN_BYTES = (4, 6, 8)  # beginnings of words that pattern voters look at
+FIRST_BELIEF = 0.9  # accuracy of a voter of which nothing is known
+PENALTY = 2e-4  # of a weight in the classifier, beside the mean loss
 SPREAD = 1_000_000
 
 
@@ -36,9 +40,13 @@ def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
     """(first row, rows, row of each feature, its code): the distinct words and beginnings of words of each text, slice by slice."""
     with np.errstate(over="ignore"):
         for w in scan(texts, fold=True, separators=NO_LETTER):
-            begin, longer = beginnings(w, BEGIN_BYTES, fold=True)
             doc = w.doc()
-            owner, code = np.r_[doc, doc[longer]], np.r_[w.code, begin[longer]]
+            owner, code = [doc], [w.code]
+            for size in BEGIN_BYTES:
+                begin, longer = beginnings(w, size, fold=True)
+                owner.append(doc[longer])
+                code.append(begin[longer])
+            owner, code = np.concatenate(owner), np.concatenate(code)
             order = np.lexsort((code, owner))
             owner, code = owner[order], code[order]
             new = np.ones(len(owner), bool)
@@ -46,6 +54,22 @@ def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
             yield w.row, len(w.first) - 1, owner[new], code[new]
 
 
+#: Words of abuse in English, German, French and Spanish, in their plain forms.
+LEXICON = """
+idiot moron imbecile cretin stupid dumbass loser pathetic worthless disgusting filthy garbage trash scum vermin clown jerk bastard bitch asshole
+idiotisch trottel dummkopf schwachkopf blödmann versager erbärmlich wertlos widerlich ekelhaft abschaum abfall müll ungeziefer arschloch schlampe mistkerl hurensohn drecksack spinner
+imbécile crétin débile abruti minable pitoyable pathétique dégoûtant répugnant ordure déchet poubelle racaille vermine bouffon salaud salope connard connasse enfoiré
+idiota imbécil estúpido cretino tonto inútil patético despreciable asqueroso repugnante basura escoria payaso perdedor cabrón bastardo gilipollas pendejo zorra malnacido
+""".split()
+
+
+def lexicon_codes(words: list[str] = LEXICON) -> np.ndarray:
+    """The features of a lexicon: its words, with plurals and genders as these languages form them."""
+    forms = {f for w in words for f in (w, *(w + end for end in ("s", "e", "n", "en", "er", "es")), *((w[:-1] + end for end in ("a", "os", "as")) if w.endswith("o") else ()))}
+    with np.errstate(over="ignore"):
+        return np.unique(np.concatenate([w.code for w in scan(pa.array(sorted(forms)), fold=True, separators=NO_LETTER)]))
+
+
 @dataclass
 class Voters:
     codes: np.ndarray  # uint64, ascending
@@ -59,20 +83,20 @@ class Voters:
         return out
 
 
-def label_model(votes: np.ndarray, times: np.ndarray, rate: float, rounds: int = 60) -> np.ndarray:
-    """Probability of the toxic class for each row of votes, from the votes alone.
+def label_model(votes: np.ndarray, times: np.ndarray, rate: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of the toxic class for each row of votes, and each voter's accuracy, from the votes alone.
 
     votes: distinct rows of booleans; times: how often each occurs; rate: of the toxic class. Silence of a voter is no
     evidence, as voters for one language say nothing about others; where all are silent, one more voter says clean. A voter
     is right with an accuracy of its own, whatever the others say: EM alternates between posteriors and accuracies, which start at
     0.9. A voter that mostly speaks alone loses its say, as the rate speaks against it, and voters that speak together confirm one another. Voters
-    that speak together beyond what the classes explain are not independent: half-way, correlations inside the toxic class are
-    estimated from the posteriors, and each voter's evidence is divided by one plus its correlations with others.
+    that speak together beyond what the classes explain are not independent: when accuracies have settled, correlations inside the toxic class are
+    estimated from the posteriors, and in the last round each voter's evidence is divided by one plus its correlations with others.
     """
     x = np.c_[votes, ~votes.any(axis=1)].astype(float)
     sign = np.r_[np.ones(votes.shape[1]), -1.0]
     share = np.ones(x.shape[1])
-    right = np.full(x.shape[1], 0.9)
+    right = np.full(x.shape[1], FIRST_BELIEF)
     spoken = times @ x
     base = np.log(rate / (1 - rate))
     post = np.zeros(len(x))
@@ -80,10 +104,10 @@ def label_model(votes: np.ndarray, times: np.ndarray, rate: float, rounds: int =
         evidence = sign * share * np.log(right / (1 - right))
         post = 1 / (1 + np.exp(-np.clip(base + x @ evidence, -60, 60)))
         agree = np.where(sign > 0, (times * post) @ x, (times * (1 - post)) @ x)
-        right = np.clip((agree + 0.9) / (spoken + 1), 0.001, 0.999)
-        if step == rounds // 2:
+        right = np.clip((agree + FIRST_BELIEF) / (spoken + 1), 0.001, 0.999)
+        if step == rounds - 2:
             share[:-1] = 1 / (1 + _excess_agreement(x[:, :-1], times * post))
-    return post
+    return post, right[:-1]
 
 
 def _excess_agreement(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -111,7 +135,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def draw_voters(sample: DataFrame) -> tuple[Voters, np.ndarray]:
-    """The words and beginnings that tell toxic rows of the sample best, and all codes that enough of its toxic rows have."""
+    """The lexicon's voters with the words and beginnings that tell toxic rows of the sample, and all codes that enough of its toxic rows have."""
     schema = "code long, toxic long, clean long"
 
     def count(wanted: np.ndarray | None):  # noqa: ANN202
@@ -130,14 +154,14 @@ def draw_voters(sample: DataFrame) -> tuple[Voters, np.ndarray]:
         return run
 
     total = lambda df: df.groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    often = total(sample.where("toxic = 1").mapInArrow(count(None), schema)).where(F.col("toxic") >= LEAST_SUPPORT).select("code")
-    codes = np.sort(np.array([r["code"] for r in often.collect()], np.int64).view(np.uint64))  # bounded by the sample
-    if not len(codes):
-        return Voters(codes), codes
+    toxic_rows = sample.where("toxic = 1").count()
+    often = total(sample.where("toxic = 1").mapInArrow(count(None), schema)).where(F.col("toxic") >= max(LEAST_SUPPORT, FEATURE_SHARE * toxic_rows)).select("code")
+    own = lexicon_codes()
+    codes = np.union1d(np.array([r["code"] for r in often.collect()], np.int64).view(np.uint64), own)  # bounded by the sample
     support = total(sample.mapInArrow(count(codes), schema))
-    precise = support.where(F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("clean")))
-    best = precise.orderBy((F.col("toxic") - 10 * F.col("clean")).desc(), "code").limit(MAX_VOTERS).collect()
-    return Voters(np.sort(np.array([r["code"] for r in best], np.int64).view(np.uint64))), codes
+    pure = support.where(F.col("toxic") - PURITY * F.col("clean") >= max(LEAST_SUPPORT, VOTER_SHARE * toxic_rows))
+    drawn = np.array([r["code"] for r in pure.select("code").collect()], np.int64).view(np.uint64)
+    return Voters(np.union1d(drawn, own)), codes
 
 
 def places(codes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,8 +196,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not rows or not 0 < rate < 1:
         return constant
     voters, codes = draw_voters(sample)
-    if not len(voters.codes):
-        return constant
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "words"):
@@ -190,7 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     kinds = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # bounded by the sample
     k = len(voters.codes)
     votes = np.array([np.unpackbits(np.frombuffer(r["votes"], np.uint8))[:k].astype(bool) for r in kinds])
-    posterior = label_model(votes, np.array([r["n"] for r in kinds], float), float(rate))
+    times = np.array([r["n"] for r in kinds], float)
+    spoken, right = times @ votes, np.full(k, FIRST_BELIEF)
+    posterior, right[spoken > 0] = label_model(votes[:, spoken > 0], times, float(rate))
     spark = docs.sparkSession
     beliefs = spark.createDataFrame([(bytes(r["votes"]), float(p)) for r, p in zip(kinds, posterior, strict=True)], "votes binary, belief double")
     width = len(codes)
@@ -200,8 +224,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows_in = both.select("features", "x.label", "x.weight").where("weight > 1e-4")
     if rows_in.select("label").distinct().count() < 2:
         return constant
-    model = LogisticRegression(weightCol="weight", regParam=2e-4, elasticNetParam=1.0, maxIter=60, standardization=False).fit(rows_in)
+    model = LogisticRegression(weightCol="weight", regParam=PENALTY, elasticNetParam=1.0, maxIter=60, standardization=False).fit(rows_in)
     weights = model.coefficients.toArray()
+    lexical = np.isin(voters.codes, lexicon_codes())
+    if (often := lexical & (spoken >= LEAST_SUPPORT)).any():
+        usual = np.average(right[often], weights=spoken[often])
+    else:
+        usual = FIRST_BELIEF
+    if usual > 0.5:
+        rare, _ = places(codes, voters.codes[lexical & (spoken < LEAST_SUPPORT)])
+        weights[rare] = np.maximum(weights[rare], np.log(usual / (1 - usual)) - model.intercept)
     used = np.flatnonzero(weights)
     return Model(codes[used], weights[used], float(model.intercept))
 
@@ -233,7 +265,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows whose score is 0.5 or more; all columns stay as they are."""
+    """docs without the rows whose score is 0.5 or more; all columns stay as they are, whatever their names.
+
+    Null and empty texts get the score of a text without features; repeated rows go or stay together; an empty table stays empty.
+    """
+    require(docs, "doc_id", "text")
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -257,7 +257,7 @@ def test_label_model_finds_the_weak_voter():
     noise = rng.random(4000) < 0.02
     votes = np.array([*good, good[0], noise]).T
     rows, inverse, times = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    post = toxicity.label_model(rows, times.astype(float), 0.2)[inverse.ravel()]
+    post = toxicity.label_model(rows, times.astype(float), 0.2)[0][inverse.ravel()]
     assert ((post > 0.5) == truth).mean() > 0.98
     assert post[noise & ~votes[:, :6].any(axis=1)].mean() < 0.5
 
