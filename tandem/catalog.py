@@ -8,11 +8,11 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 from tandem.plans.relations import Relations
-from tandem.sources.tables import MODEL, Tables
+from tandem.sources.tables import MODEL, MODEL_ON_SPARK, Tables
 
 #: Modules with OPERATORS (SQL over the model, by name), and perhaps RELATIONS (more relations), QUERIES (functions of Spark and
-#: the folder) and ORACLES (SQL for those).
-MODULES = ("scalars", "joins", "episodes", "interactions", "pairs", "windows", "ranking", "decoders", "mixtures", "learning", "metrics", "contracts")
+#: the folder) and ORACLES (SQL for those, and other SQL for operators).
+MODULES = ("scalars", "joins", "episodes", "interactions", "features", "roles", "pairs", "windows", "ranking", "decoders", "mixtures", "learning", "metrics", "contracts")
 
 
 def _modules() -> list:
@@ -23,7 +23,7 @@ def relations() -> Relations:
     found = dict(MODEL)
     for m in _modules():
         found |= getattr(m, "RELATIONS", {})
-    return Relations(found)
+    return Relations(found, MODEL_ON_SPARK)
 
 
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:

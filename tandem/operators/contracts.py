@@ -4,37 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_RESULT = """SELECT p.lo, p.hi, p.score / (p.score + 1e0) AS risk, CASE p.family WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS behavior, t.ep1, t.ep2 FROM {pair_scores} p
-JOIN (SELECT lo, hi, max(CASE WHEN r = 1 THEN episode END) AS ep1, max(CASE WHEN r = 2 THEN episode END) AS ep2 FROM (SELECT lo, hi, episode, row_number() OVER (PARTITION BY lo, hi ORDER BY score DESC, ts, episode) AS r FROM {scored}) x GROUP BY lo, hi) t ON t.lo = p.lo AND t.hi = p.hi"""
+_FIVE = range(1, 6)
+# a result table as it is handed in, with all its columns
+_RESULT = f"""SELECT p.lo, p.hi, p.pool, p.score / (p.score + 1e0) AS risk, CASE p.family WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS behavior, {", ".join(f"t.ep{k}" for k in _FIVE)} FROM {{pair_scores}} p
+JOIN (SELECT lo, hi, {", ".join(f"max(CASE WHEN r = {k} THEN episode END) AS ep{k}" for k in _FIVE)} FROM (SELECT lo, hi, episode, row_number() OVER (PARTITION BY lo, hi ORDER BY score DESC, ts, episode) AS r FROM {{scored}}) x GROUP BY lo, hi) t ON t.lo = p.lo AND t.hi = p.hi"""
+_SAME = " OR ".join(f"ep{i} = ep{j}" for i in _FIVE for j in _FIVE if i < j)
+_HOLES = " OR ".join(f"(ep{k} IS NULL AND ep{k + 1} IS NOT NULL)" for k in range(1, 5))
+
+#: M3: checks by name, each a statement that counts what fails. Diagnostic ones may find something in good data.
+RAW_CHECKS = {
+    "member_key": "SELECT count(*) - count(DISTINCT member) FROM {members}", "episode_key": "SELECT count(*) - count(DISTINCT episode) FROM {episodes}",
+    "participant_key": "SELECT count(*) FROM (SELECT 1 AS x FROM {participants} GROUP BY episode, member HAVING count(*) <> 1) t", "event_key": "SELECT count(*) FROM (SELECT 1 AS x FROM {ev} GROUP BY episode, ordinal HAVING count(*) <> 1) t",
+    "one_player_episodes": "SELECT count(*) FROM (SELECT 1 AS x FROM {participants} GROUP BY episode HAVING count(*) < 2) t", "unit_positive": "SELECT count(*) FROM {episodes} WHERE unit IS NULL OR unit <= 0e0", "window_null": "SELECT count(*) FROM {episodes} WHERE win IS NULL", "time_null": "SELECT count(*) FROM {episodes} WHERE ts IS NULL",
+    "nets_not_zero": "SELECT count(*) FROM (SELECT 1 AS x FROM {participants} GROUP BY episode HAVING abs(sum(net)) > 1e-6) t", "event_orphan": "SELECT count(*) FROM {ev} v WHERE NOT EXISTS (SELECT 1 FROM {episodes} e WHERE e.episode = v.episode)", "member_orphan": "SELECT count(*) FROM {participants} v WHERE NOT EXISTS (SELECT 1 FROM {members} m WHERE m.member = v.member)",
+    "label_lo_unknown": "SELECT count(*) FROM {pair_labels} l WHERE NOT EXISTS (SELECT 1 FROM {members} m WHERE m.member = l.lo)", "label_hi_unknown": "SELECT count(*) FROM {pair_labels} l WHERE NOT EXISTS (SELECT 1 FROM {members} m WHERE m.member = l.hi)",
+    "target_lo_unknown": "SELECT count(*) FROM (SELECT DISTINCT lo FROM {scored} WHERE win = 'evaluation') l WHERE NOT EXISTS (SELECT 1 FROM {members} m WHERE m.member = l.lo)", "target_hi_unknown": "SELECT count(*) FROM (SELECT DISTINCT hi FROM {scored} WHERE win = 'evaluation') l WHERE NOT EXISTS (SELECT 1 FROM {members} m WHERE m.member = l.hi)",
+    "label_of_itself": "SELECT count(*) FROM {pair_labels} WHERE lo = hi", "target_of_itself": "SELECT count(*) FROM {pair_episodes} WHERE lo = hi", "listed_other_window": "SELECT count(*) FROM {listed} g JOIN {episodes} e ON e.episode = g.episode WHERE e.win <> 'development'",
+    "listed_unknown_episode": "SELECT count(*) FROM {listed} g WHERE NOT EXISTS (SELECT 1 FROM {episodes} e WHERE e.episode = g.episode)", "listed_unknown_pair": "SELECT count(*) FROM {listed} g WHERE NOT EXISTS (SELECT 1 FROM {pair_labels} l WHERE l.lo = g.lo AND l.hi = g.hi)",
+    "listed_rank_key": "SELECT count(*) FROM (SELECT 1 AS x FROM {listed} GROUP BY lo, hi, evidence_rank HAVING count(*) <> 1) t", "labelled_target": "SELECT count(*) FROM {pair_labels} l WHERE label IS NOT NULL AND EXISTS (SELECT 1 FROM {scored} s WHERE s.lo = l.lo AND s.hi = l.hi AND s.win = 'evaluation')",
+    "amount_range": "SELECT count(*) FROM {ev} WHERE amount < 0e0", "put_below_amount": "SELECT count(*) FROM {steps} WHERE stage_sunk < 0e0", "pot_range": "SELECT count(*) FROM {steps} WHERE pot < 0e0", "to_call_range": "SELECT count(*) FROM {ev} WHERE to_call < 0e0", "active_range": "SELECT count(*) FROM {steps} WHERE active < 1 OR active > 20",
+    "contiguous": "SELECT count(*) FROM (SELECT 1 AS x FROM {ev} GROUP BY episode HAVING min(ordinal) <> 0 OR max(ordinal) + 1 <> count(*)) t", "stage_domain": "SELECT count(*) FROM {ev} WHERE stage NOT BETWEEN 0 AND 3", "action_domain": "SELECT count(*) FROM {ev} WHERE action NOT IN ('fold', 'check', 'call', 'raise', 'all_in')",
+    "acts_after_exit": "SELECT count(*) FROM {ev} v JOIN {participants} p ON p.episode = v.episode AND p.member = v.member AND v.ordinal > p.exit_ordinal",
+    "shared_mismatch": "SELECT count(*) FROM (SELECT lo, hi, n FROM {pair_scores}) p JOIN (SELECT a.member AS lo, b.member AS hi, count(*) AS n FROM {participants} a JOIN {participants} b ON b.episode = a.episode AND a.member < b.member GROUP BY a.member, b.member) s ON s.lo = p.lo AND s.hi = p.hi WHERE s.n <> p.n",
+}
+DIAGNOSTIC = ("nets_not_zero", "one_player_episodes", "acts_after_exit", "labelled_target", "active_range")
 
 OPERATORS = {
-    # A4: rows, and a sum of hashes that doesn't depend on their order
-    "table_fingerprint": """
-SELECT count(*) AS n, CAST(sum(CAST(o_orderkey % 1000003 AS BIGINT) * (length(o_orderpriority) + 1)) AS BIGINT) AS mixed, CAST(count(DISTINCT substr(md5(concat(CAST(o_orderkey AS VARCHAR(20)), '|', o_orderpriority)), 1, 8)) AS BIGINT) AS hashes FROM {orders}""",
+    # M1: what is wrong with a result table, one number for each rule
     "validate_result": f"""
-SELECT count(*) AS n, count(CASE WHEN risk IS NULL OR risk < 0e0 OR risk > 1e0 THEN 1 END) AS bad_risk, count(CASE WHEN behavior NOT IN ('a', 'b', 'c') THEN 1 END) AS bad_behavior, count(CASE WHEN ep1 = ep2 THEN 1 END) AS repeated, count(CASE WHEN ep1 IS NULL THEN 1 END) AS without,
-  CAST(count(*) - count(DISTINCT lo * 100000 + hi) AS BIGINT) AS doubled FROM ({_RESULT}) t""",
+WITH t AS ({_RESULT}), k AS (SELECT count(*) AS doubled FROM (SELECT 1 AS x FROM t GROUP BY lo, hi HAVING count(*) > 1) d), w AS (SELECT DISTINCT lo, hi FROM {{pair_labels}}),
+m AS (SELECT count(CASE WHEN t.lo IS NULL THEN 1 END) AS missing, count(CASE WHEN w.lo IS NULL THEN 1 END) AS unexpected FROM w FULL OUTER JOIN t ON t.lo = w.lo AND t.hi = w.hi)
+SELECT count(*) AS n, count(CASE WHEN lo IS NULL OR hi IS NULL THEN 1 END) AS null_key, count(CASE WHEN risk IS NULL THEN 1 END) AS null_risk, count(CASE WHEN risk < 0e0 OR risk > 1e0 OR isnan(risk) THEN 1 END) AS bad_risk, count(CASE WHEN behavior NOT IN ('a', 'b', 'c') THEN 1 END) AS bad_behavior, count(CASE WHEN behavior IS NULL OR trim(behavior) = '' THEN 1 END) AS blank_behavior,
+  count(CASE WHEN {_SAME} THEN 1 END) AS repeated, count(CASE WHEN {_HOLES} THEN 1 END) AS holes, count(CASE WHEN ep1 IS NULL THEN 1 END) AS without, max(k.doubled) AS doubled, max(m.missing) AS missing, max(m.unexpected) AS unexpected FROM t CROSS JOIN k CROSS JOIN m""",
+    # M2
     "validate_membership": f"""
+WITH t AS ({_RESULT}), c AS ({" UNION ALL ".join(f"SELECT lo, hi, ep{k} AS episode FROM t WHERE ep{k} IS NOT NULL" for k in _FIVE)})
 SELECT count(*) AS cited, count(CASE WHEN e.episode IS NULL THEN 1 END) AS unknown, count(CASE WHEN e.win <> 'evaluation' THEN 1 END) AS other_window, count(CASE WHEN a.member IS NULL OR b.member IS NULL THEN 1 END) AS not_present
-FROM (SELECT lo, hi, ep1 AS episode FROM ({_RESULT}) t UNION ALL SELECT lo, hi, ep2 AS episode FROM ({_RESULT}) t WHERE ep2 IS NOT NULL) c LEFT JOIN {{episodes}} e ON e.episode = c.episode
-LEFT JOIN {{participants}} a ON a.episode = c.episode AND a.member = c.lo LEFT JOIN {{participants}} b ON b.episode = c.episode AND b.member = c.hi""",
+FROM c LEFT JOIN {{episodes}} e ON e.episode = c.episode LEFT JOIN {{participants}} a ON a.episode = c.episode AND a.member = c.lo LEFT JOIN {{participants}} b ON b.episode = c.episode AND b.member = c.hi""",
     # M3: named checks with how many rows fail them
-    "audit_raw": """
-SELECT 'episode_key' AS name, CAST(count(*) - count(DISTINCT episode) AS BIGINT) AS failed FROM {episodes}
-UNION ALL SELECT 'event_key' AS name, CAST(count(*) - count(DISTINCT episode * 1000 + ordinal) AS BIGINT) AS failed FROM {ev}
-UNION ALL SELECT 'event_orphan' AS name, count(*) AS failed FROM {ev} v WHERE NOT EXISTS (SELECT 1 FROM {episodes} e WHERE e.episode = v.episode)
-UNION ALL SELECT 'member_orphan' AS name, count(*) AS failed FROM {ev} v WHERE NOT EXISTS (SELECT 1 FROM {members} m WHERE m.member = v.member)
-UNION ALL SELECT 'act_domain' AS name, count(*) AS failed FROM {ev} WHERE act NOT IN ('exit', 'hold', 'match', 'push')
-UNION ALL SELECT 'stage_domain' AS name, count(*) AS failed FROM {ev} WHERE stage NOT BETWEEN 0 AND 3
-UNION ALL SELECT 'amount_range' AS name, count(*) AS failed FROM {ev} WHERE amount < 0e0
-UNION ALL SELECT 'contiguous' AS name, count(*) AS failed FROM (SELECT episode FROM {ev} GROUP BY episode HAVING min(ordinal) <> 0 OR max(ordinal) + 1 <> count(*)) t
-UNION ALL SELECT 'acts_after_exit' AS name, count(*) AS failed FROM {ev} v JOIN {participants} p ON p.episode = v.episode AND p.member = v.member AND v.ordinal > p.exit_ordinal
-UNION ALL SELECT 'unit_positive' AS name, count(*) AS failed FROM {episodes} WHERE unit <= 0e0""",
+    "audit_raw": " UNION ALL ".join(f"SELECT '{n}' AS name, CAST(({c}) AS BIGINT) AS failed, '{'diagnostic' if n in DIAGNOSTIC else 'hard'}' AS kind" for n, c in RAW_CHECKS.items()),
+    # M4
     "audit_features": """
-SELECT win, count(*) AS n, count(DISTINCT lo * 100000 + hi) AS pairs, count(CASE WHEN t_ab IS NULL OR t_ba IS NULL THEN 1 END) AS nulls, CAST(count(*) - count(DISTINCT (lo * 1000 + hi) * 10000000 + episode) AS BIGINT) AS doubled, count(CASE WHEN t_ab > 0e0 AND t_ba > 0e0 THEN 1 END) AS both_ways FROM {transfers} GROUP BY win""",
+WITH d AS (SELECT win, count(*) AS doubled FROM (SELECT win, lo, hi, episode FROM {pair_features1} GROUP BY win, lo, hi, episode HAVING count(*) > 1) t GROUP BY win), p AS (SELECT win, count(*) AS pairs FROM (SELECT DISTINCT win, lo, hi FROM {pair_features1}) t GROUP BY win)
+SELECT f.win, count(*) AS n, max(p.pairs) AS pairs, count(CASE WHEN t_ab IS NULL OR t_ba IS NULL OR risk_proxy IS NULL THEN 1 END) AS nulls, coalesce(max(d.doubled), 0) AS doubled, count(CASE WHEN t_ab > 0e0 AND t_ba > 0e0 THEN 1 END) AS both_ways, count(CASE WHEN isnan(risk_proxy) OR isnan(mean_pot) THEN 1 END) AS not_finite,
+  count(CASE WHEN e.win <> f.win THEN 1 END) AS wrong_window FROM {pair_features1} f JOIN {episodes} e ON e.episode = f.episode JOIN p ON p.win = f.win LEFT JOIN d ON d.win = f.win GROUP BY f.win""",
 }
 
 
@@ -102,7 +118,15 @@ def window_safe_join(base: DataFrame, extra: DataFrame, keys: Sequence[str] = ("
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """A4: number of rows and an order-free sum of row hashes over all columns, sorted by name."""
-    row = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns))))
+    texts = []
+    for name, kind in sorted(df.dtypes):
+        c = F.col(f"`{name}`")
+        if kind in ("double", "float") or kind.startswith("decimal"):
+            c = c.cast("decimal(38,6)")
+        elif kind.startswith("timestamp"):
+            c = F.unix_seconds(c.cast("timestamp"))
+        texts.append(F.coalesce(c.cast("string"), F.lit("\\N")))
+    row = F.md5(F.concat_ws("|", *texts))
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(row, 1, 8), 16, 10).cast("long")).alias("hash"))
 
 
@@ -111,3 +135,84 @@ def run_receipt(before: DataFrame, after: DataFrame, key: Sequence[str], columns
     b, a = before.select(*key, F.struct(*columns).alias("_b")), after.select(*key, F.struct(*columns).alias("_a"))
     both = b.join(a, list(key), "full_outer")
     return both.agg(F.count("_b").alias("before"), F.count("_a").alias("after"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull() & ~F.col("_a").eqNullSafe(F.col("_b"))).alias("changed"))
+
+
+def _model(spark: SparkSession, folder: str, sql: str) -> DataFrame:
+    from tandem import catalog
+
+    return catalog.relations().frame(spark, sql, catalog.Tables(spark, folder))
+
+
+_PAIRS = "SELECT pool, win, lo, hi, count(*) AS n, round(avg(score), 6) AS mean FROM {scored} GROUP BY pool, win, lo, hi"
+_LEANS = "SELECT pool, win, lo, hi, round(avg(lean), 6) AS lean FROM {scored} GROUP BY pool, win, lo, hi"
+_BEFORE = "SELECT lo, hi, round(avg(score), 6) AS score, max(episode) AS last FROM {scored} GROUP BY lo, hi"
+_AFTER = "SELECT lo, hi, CASE WHEN lo % 3 = 0 THEN 0e0 ELSE round(avg(score), 6) END AS score, max(episode) AS last FROM {scored} GROUP BY lo, hi"
+
+
+def _tables(spark: SparkSession, folder: str) -> DataFrame:
+    """A1: the fingerprints of the tables that the model reads."""
+    from tandem import catalog
+
+    known = catalog.Tables(spark, folder)
+    parts = [fingerprint(known[t]).select(F.lit(t).alias("name"), "n", "hash") for t in ("supplier", "orders", "nation")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _stored(spark: SparkSession, folder: str, name: str, save, load) -> DataFrame:  # noqa: ANN001
+    from tandem.sources.sinks import scratch
+
+    path = scratch(spark, name)
+    save(path)
+    return load(path)
+
+
+def _features_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """A2: pair means written by window and read again."""
+    from tandem.sources.sinks import write_features
+
+    return _stored(spark, folder, "features", lambda p: write_features(_model(spark, folder, _PAIRS), p, ("win",)), lambda p: spark.read.parquet(p).select("pool", "win", "lo", "hi", "n", "mean"))
+
+
+def _result_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """A3: a result written as CSV and read again, its sentinels as they are in the files."""
+    from tandem.sources.sinks import write_result_csv
+
+    columns = ("lo", "hi", "behavior", "ep1", "ep2", "ep3", "ep4", "ep5")
+    rows = _model(spark, folder, f"SELECT lo, hi, behavior, {', '.join(f'ep{k}' for k in _FIVE)} FROM ({_RESULT}) t")
+    kinds = ", ".join(f"{c} {'bigint' if c in ('lo', 'hi') else 'string'}" for c in columns)
+    return _stored(spark, folder, "result", lambda p: write_result_csv(rows, p, columns, ("lo", "hi"), columns[3:]), lambda p: spark.read.schema(kinds).option("header", True).csv(p))
+
+
+QUERIES = {
+    "load_tables": _tables,
+    "table_fingerprint": lambda spark, d: fingerprint(_model(spark, d, "SELECT * FROM {orders}")),
+    "write_features": _features_stored,
+    "write_result_csv": _result_stored,
+    "checked_join": lambda spark, d: checked_join(_model(spark, d, _PAIRS), _model(spark, d, "SELECT lo, hi, label, family FROM {pair_labels}"), ("lo", "hi")).select("win", "lo", "hi", "n", "mean", "label", "family"),
+    "window_safe_join": lambda spark, d: window_safe_join(_model(spark, d, _PAIRS), _model(spark, d, _LEANS)).select("win", "pool", "lo", "hi", "n", "mean", "lean"),
+    "require_features": lambda spark, d: require_features(_model(spark, d, "SELECT pool, lo, hi, round(score, 6) AS f_score, round(top, 6) AS f_top FROM {pair_scores}"), ("f_score", "f_top")),
+    "run_receipt": lambda spark, d: run_receipt(_model(spark, d, _BEFORE), _model(spark, d, _AFTER), ("lo", "hi"), ("score", "last")),
+}
+
+
+def _hashed(table: str, columns: Sequence[str]) -> str:
+    """What fingerprint() gives, in the checking engine's SQL; columns in the order of their names."""
+    texts = ", ".join(f"coalesce({c}, '\\N')" for c in columns)
+    return f"SELECT '{table}' AS name, count(*) AS n, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {texts})), 1, 8) AS BIGINT)) AS BIGINT) AS hash FROM {{{table}}}"
+
+
+_HASHED = {
+    "supplier": _hashed("supplier", ("CAST(CAST(s_acctbal AS DECIMAL(38, 6)) AS VARCHAR)", "s_name", "CAST(s_nationkey AS VARCHAR)", "CAST(s_suppkey AS VARCHAR)")),
+    "orders": _hashed("orders", ("CAST(o_custkey AS VARCHAR)", "CAST(CAST(epoch(o_orderdate) AS BIGINT) AS VARCHAR)", "CAST(o_orderkey AS VARCHAR)", "o_orderpriority", "o_orderstatus", "CAST(CAST(o_totalprice AS DECIMAL(38, 6)) AS VARCHAR)")),
+    "nation": _hashed("nation", ("n_name", "CAST(n_nationkey AS VARCHAR)", "CAST(n_regionkey AS VARCHAR)")),
+}
+ORACLES = {
+    "load_tables": " UNION ALL ".join(_HASHED.values()),
+    "table_fingerprint": _HASHED["orders"].replace("SELECT 'orders' AS name, ", "SELECT "),
+    "write_features": _PAIRS,
+    "write_result_csv": f"SELECT lo, hi, behavior, {', '.join(f"coalesce(CAST(ep{k} AS VARCHAR), 'NO_EVIDENCE') AS ep{k}" for k in _FIVE)} FROM ({_RESULT}) t",
+    "checked_join": f"SELECT a.win, a.lo, a.hi, a.n, a.mean, b.label, b.family FROM ({_PAIRS}) a JOIN {{pair_labels}} b ON b.lo = a.lo AND b.hi = a.hi",
+    "window_safe_join": f"SELECT a.win, a.pool, a.lo, a.hi, a.n, a.mean, b.lean FROM ({_PAIRS}) a JOIN ({_LEANS}) b ON b.win = a.win AND b.pool = a.pool AND b.lo = a.lo AND b.hi = a.hi",
+    "require_features": "SELECT pool, lo, hi, round(score, 6) AS f_score, round(top, 6) AS f_top FROM {pair_scores}",
+    "run_receipt": f"SELECT count(b.lo) AS before, count(a.lo) AS after, count(CASE WHEN b.score <> a.score OR b.last <> a.last THEN 1 END) AS changed FROM ({_BEFORE}) b FULL OUTER JOIN ({_AFTER}) a ON a.lo = b.lo AND a.hi = b.hi",
+}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_T = "PARTITION BY lo, hi ORDER BY ts, episode"
+_P, _T = "PARTITION BY lo, hi", "PARTITION BY lo, hi ORDER BY ts, episode"
 _BEFORE = f"(sum(p) OVER ({_T} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - p)"
 
 OPERATORS = {
@@ -13,30 +15,49 @@ OPERATORS = {
     "poisson_first_k": f"""
 WITH b AS (SELECT lo, hi, episode, p, {_BEFORE} AS l FROM {{chances}}) SELECT lo, hi, episode, round(p * exp(-l) * (1e0 + l + l * l / 2e0 + l * l * l / 6e0 + l * l * l * l / 24e0), 8) AS decoded FROM b""",
     "time_decay": f"SELECT lo, hi, episode, round(p * exp(-5e-1 * (row_number() OVER ({_T}) - 1) / count(*) OVER (PARTITION BY lo, hi)), 8) AS decoded FROM {{chances}}",
-    # Rows that may train: up to the last listed, or all where the list is not full
+    # Rows that may train: up to the last listed, or all where the list is not full. By type: a full list with any B holds all A there are, and B up to its last
     "censor_mask": """
-WITH l AS (SELECT g.lo, g.hi, count(*) AS n, max(e.ts) AS last_ts FROM {listed} g JOIN {episodes} e ON e.episode = g.episode GROUP BY g.lo, g.hi)
-SELECT s.lo, s.hi, s.episode, CAST(l.n < 5 OR s.ts <= l.last_ts AS INT) AS usable FROM {scored} s JOIN l ON l.lo = s.lo AND l.hi = s.hi WHERE s.win = 'development'""",
-    "eligibility_penalty": "SELECT c.lo, c.hi, c.episode, round(CASE WHEN a.exit_ordinal IS NULL OR b.exit_ordinal IS NULL THEN c.p ELSE c.p - 100 END, 8) AS p FROM {chances} c JOIN {participants} a ON a.episode = c.episode AND a.member = c.lo JOIN {participants} b ON b.episode = c.episode AND b.member = c.hi",
-    # Some event of the episode, from the chance of each
+WITH g AS (SELECT g.lo, g.hi, e.ts, CASE WHEN (g.episode + g.lo) % 2 = 0 THEN 'A' ELSE 'B' END AS kind FROM {listed} g JOIN {episodes} e ON e.episode = g.episode),
+l AS (SELECT lo, hi, count(*) AS n, max(ts) AS last_ts, max(CASE WHEN kind = 'A' THEN ts END) AS last_a, max(CASE WHEN kind = 'B' THEN ts END) AS last_b FROM g GROUP BY lo, hi)
+SELECT s.lo, s.hi, s.episode, CAST(l.n < 5 OR s.ts <= l.last_ts AS INT) AS usable, CAST(l.n < 5 OR last_b IS NOT NULL OR s.ts <= l.last_a AS INT) AS usable_a, CAST(l.n < 5 OR coalesce(s.ts <= l.last_b, FALSE) AS INT) AS usable_b FROM {scored} s JOIN l ON l.lo = s.lo AND l.hi = s.hi WHERE s.win = 'development'""",
+    "eligibility_penalty": "SELECT c.lo, c.hi, c.episode, round(CASE WHEN a.exit_ordinal IS NULL OR b.exit_ordinal IS NULL THEN c.p ELSE c.p - 1e2 END, 8) AS p FROM {chances} c JOIN {participants} a ON a.episode = c.episode AND a.member = c.lo JOIN {participants} b ON b.episode = c.episode AND b.member = c.hi",
+    # Some event of the episode, from the chance of each; of the first and the first two, and with decisions weighted by how they deviate from the policy
     "noisy_or_episode": """
-SELECT v.episode, v.member, round(1e0 - exp(sum(ln(1e0 - v.strength * 5e-1))), 6) AS any_event, round(max(CASE WHEN ordinal < 2 THEN v.strength * 5e-1 ELSE 0e0 END), 6) AS first_two FROM {ev} v GROUP BY v.episode, v.member""",
+SELECT episode, member, round(1e0 - exp(sum(ln(1e0 - p))), 6) AS any_event, round(max(CASE WHEN own_no = 1 THEN p ELSE 0e0 END), 6) AS first_only, round(1e0 - exp(sum(CASE WHEN own_no <= 2 THEN ln(1e0 - p) ELSE 0e0 END)), 6) AS first_two, round(1e0 - exp(sum(weight * ln(1e0 - p))), 6) AS weighted
+FROM (SELECT episode, member, own_no, least(strength * 5e-1 * (1e0 - q_push), 999e-3) AS p, abs(CASE WHEN act = 'push' THEN 1e0 ELSE 0e0 END - q_push) AS weight FROM {decided}) t GROUP BY episode, member""",
     "rank_blend": """
 SELECT lo, hi, episode, round(7e-1 * (rank() OVER (PARTITION BY lo, hi ORDER BY p) + (count(*) OVER (PARTITION BY lo, hi, p) - 1) / 2e0) + 3e-1 * row_number() OVER (PARTITION BY lo, hi ORDER BY ts DESC, episode), 6) AS blended FROM {chances}""",
-    "logit_stack": "SELECT c.lo, c.hi, c.episode, round(ln(c.p / (1e0 - c.p)) + 5e-1 * (s.s_lo - s.s_hi), 6) AS stacked FROM {chances} c JOIN {transfers} s ON s.lo = c.lo AND s.hi = c.hi AND s.episode = c.episode",
-    # Mean of models' logits; here the chances of three scalings
+    # Two models' logits
+    "logit_stack": "SELECT c.lo, c.hi, c.episode, round(ln(c.p / (1e0 - c.p)) + 5e-1 * ln(o.p2 / (1e0 - o.p2)), 6) AS stacked FROM {chances} c JOIN {other_chances} o ON o.lo = c.lo AND o.hi = c.hi AND o.episode = c.episode",
+    # Mean of several models' logits, scaled, and decoded once
     "probability_fusion": """
-WITH m AS (SELECT lo, hi, episode, p, 1 AS model FROM {chances} UNION ALL SELECT lo, hi, episode, p * 5e-1 AS p, 2 AS model FROM {chances} UNION ALL SELECT lo, hi, episode, sqrt(p) AS p, 3 AS model FROM {chances})
-SELECT lo, hi, episode, round(1e0 / (1e0 + exp(-avg(ln(p / (1e0 - p))))), 8) AS p FROM m GROUP BY lo, hi, episode""",
+WITH m AS (SELECT lo, hi, episode, ts, p, 1 AS model FROM {chances} UNION ALL SELECT lo, hi, episode, ts, p2 AS p, 2 AS model FROM {other_chances} UNION ALL SELECT lo, hi, episode, ts, p3 AS p, 3 AS model FROM {other_chances}),
+f AS (SELECT lo, hi, episode, ts, 1e0 / (1e0 + exp(-9e-1 * avg(ln(p / (1e0 - p))))) AS p FROM m GROUP BY lo, hi, episode, ts), b AS (SELECT f.*, sum(p) OVER (PARTITION BY lo, hi ORDER BY ts, episode) - p AS l FROM f)
+SELECT lo, hi, episode, round(p, 8) AS p, round(p * exp(-l) * (1e0 + l + l * l / 2e0 + l * l * l / 6e0 + l * l * l * l / 24e0), 7) AS decoded FROM b""",
+    # I15
     "chronology_features": f"""
-SELECT lo, hi, episode, round({_BEFORE}, 6) AS mass_before, count(CASE WHEN p > 1e-1 THEN 1 END) OVER ({_T}) AS confident_upto, count(CASE WHEN p > 1e-1 THEN 1 END) OVER (PARTITION BY lo, hi) - count(CASE WHEN p > 1e-1 THEN 1 END) OVER ({_T}) AS confident_after,
-  CAST(row_number() OVER (PARTITION BY lo, hi ORDER BY p DESC, episode) AS BIGINT) AS by_p FROM {{chances}}""",
+WITH q AS (SELECT percentile(c.p, 99e-2) AS q99, percentile(c.p, 9e-1) AS q90 FROM {{chances}} c JOIN {{pair_labels}} l ON l.lo = c.lo AND l.hi = c.hi AND l.label = 0),
+x AS (SELECT c.lo, c.hi, c.episode, c.ts, c.p, CASE WHEN c.p > q.q90 THEN 1 ELSE 0 END AS high, CASE WHEN c.p > q.q99 THEN 1 ELSE 0 END AS higher FROM {{chances}} c CROSS JOIN q),
+y AS (SELECT x.*, count(*) OVER ({_P}) AS n, row_number() OVER ({_T}) - 1 AS k, row_number() OVER ({_P} ORDER BY p DESC, ts, episode) AS r, {_BEFORE} AS mass, sum(high) OVER ({_T}) - high AS high_before, sum(higher) OVER ({_T}) - higher AS higher_before, sum(high) OVER ({_P}) AS highs, sum(higher) OVER ({_P}) AS highers, max(p) OVER ({_P}) AS best FROM x)
+SELECT lo, hi, episode, round(p, 8) AS p, round(ln(p / (1e0 - p)), 6) AS logit, r AS by_p, round(r / CAST(n AS DOUBLE), 6) AS by_p_share, round(p / greatest(best, 1e-9), 6) AS to_best, n, k, round(k / CAST(n AS DOUBLE), 6) AS at, round(mass, 6) AS mass_before, CAST(high_before AS BIGINT) AS high_before, CAST(higher_before AS BIGINT) AS higher_before, CAST(highs AS BIGINT) AS highs, CAST(highers AS BIGINT) AS highers,
+  CAST(highers - higher_before - higher AS BIGINT) AS higher_after, CAST(CASE WHEN higher = 1 THEN higher_before + 1 ELSE 0 END AS BIGINT) AS order_higher, CAST(CASE WHEN high = 1 THEN high_before + 1 ELSE 0 END AS BIGINT) AS order_high,
+  round(exp(-mass) * (1e0 + mass + mass * mass / 2e0 + mass * mass * mass / 6e0 + mass * mass * mass * mass / 24e0), 7) AS few_before, round(p * exp(-mass) * (1e0 + mass + mass * mass / 2e0 + mass * mass * mass / 6e0 + mass * mass * mass * mass / 24e0), 7) AS p_few_before FROM y""",
+    # I16
     "window_profile": f"""
-WITH r AS (SELECT lo, hi, p, (row_number() OVER ({_T}) - 1) / CAST(count(*) OVER (PARTITION BY lo, hi) AS DOUBLE) AS pos, row_number() OVER (PARTITION BY lo, hi ORDER BY p DESC, episode) AS r FROM {{chances}})
-SELECT lo, hi, round(max(CASE WHEN r <= 1 THEN pos END), 6) AS at1, round(max(CASE WHEN r <= 3 THEN pos END), 6) AS at3, round(max(CASE WHEN r <= 5 THEN pos END), 6) AS at5, round(max(CASE WHEN r = 5 THEN p END) - max(CASE WHEN r = 6 THEN p END), 8) AS gap, count(CASE WHEN r <= 5 AND pos < 5e-1 THEN 1 END) AS early FROM r GROUP BY lo, hi""",
-    "soft_count_decoder": f"SELECT lo, hi, episode, round(p / (1e0 + exp(-(45e-1 - {_BEFORE}) / 5e-1)), 8) AS decoded FROM {{chances}}",
+WITH r AS (SELECT lo, hi, p, (row_number() OVER ({_T}) - 1) / CAST(count(*) OVER ({_P}) AS DOUBLE) AS pos, row_number() OVER ({_P} ORDER BY p DESC, episode) AS r FROM {{chances}})
+SELECT lo, hi, {", ".join(f"round(max(CASE WHEN r <= {k} THEN pos END), 6) AS at{k}, round(avg(CASE WHEN r <= {k} THEN pos END), 6) AS mean{k}" for k in (1, 3, 5, 8))}, round(max(CASE WHEN r = 5 THEN p END) - max(CASE WHEN r = 6 THEN p END), 8) AS gap, count(CASE WHEN r <= 5 AND pos < 5e-1 THEN 1 END) AS early FROM r GROUP BY lo, hi""",
+    # I17; the typed form puts all other A before a B
+    "soft_count_decoder": f"""
+WITH t AS (SELECT lo, hi, episode, ts, p, p * 7e-1 AS a, p * 3e-1 AS b FROM {{chances}}), m AS (SELECT t.*, {_BEFORE} AS l, sum(a) OVER ({_T}) - a AS a_before, sum(b) OVER ({_T}) - b AS b_before, sum(a) OVER ({_P}) - a AS a_others FROM t)
+SELECT lo, hi, episode, round(p / (1e0 + exp(-(45e-1 - l) / 5e-1)), 8) AS decoded, round(a / (1e0 + exp(-(45e-1 - a_before) / 5e-1)) + b / (1e0 + exp(-(45e-1 - a_others - b_before) / 5e-1)), 8) AS typed FROM m""",
+}
+
+
+RELATIONS = {
+    # two more models of the same episodes: from how both members ended, and from strengths
+    "other_chances": """
+SELECT pool, lo, hi, episode, ts, least(greatest(t_ab + t_ba, 1e-3) / (1e1 + abs(net_lo) / unit + abs(net_hi) / unit), 999e-3) AS p2, least(greatest(abs(s_lo - s_hi), 1e-3), 999e-3) AS p3 FROM {transfers} WHERE unit > 0e0""",
 }
-OPERATORS["eligibility_penalty"] = OPERATORS["eligibility_penalty"].replace("c.p - 100 END", "c.p - 1e2 END")
 
 
 def first_k_marginal(chances: DataFrame, k: int = 5, keys: tuple[str, ...] = ("lo", "hi"), order: tuple[str, ...] = ("ts", "episode"), p: str = "p") -> DataFrame:
@@ -56,51 +77,48 @@ def first_k_marginal(chances: DataFrame, k: int = 5, keys: tuple[str, ...] = ("l
     return pairs.select(*keys, F.col(f"x._rows.{order[-1]}").alias(order[-1]), F.col("x._out").alias("decoded"))
 
 
+def _counts(rows: Column, p: Callable[[Column], Column], k: int) -> Column:
+    """For each element of an array the distribution, below k, of how many elements before it are events; p gives an element's chance."""
+    zero = F.expr(f"named_struct('dist', transform(sequence(0, {k - 1}), i -> if(i = 0, 1D, 0D)), 'out', cast(array() as array<array<double>>))")
+    step = lambda acc, x: F.struct(
+        F.transform(acc["dist"], lambda d, i: d * (1 - p(x)) + F.when(i > 0, F.get(acc["dist"], i - 1) * p(x)).otherwise(F.lit(0.0))).alias("dist"),
+        F.concat(acc["out"], F.array(acc["dist"])).alias("out"),
+    )
+    return F.aggregate(rows, zero, step)["out"]
+
+
+def _total(dist: Column, below: Column | int) -> Column:
+    """The chance of fewer than `below` events."""
+    return F.aggregate(F.slice(dist, F.lit(1), F.greatest(F.lit(0), F.lit(below) if isinstance(below, int) else below)), F.lit(0.0), lambda a, d: a + d)
+
+
 def first_k_given_at_least_k(chances: DataFrame, k: int = 5) -> DataFrame:
-    """first_k_marginal() on the condition that the group has at least k events (I5); a diagnostic, as it changes the denominator."""
-    decoded = first_k_marginal(chances, k)
-    # being an event with j < k earlier ones and at least k - j - 1 later ones: by the reversed fold of the complement
-    n = chances.groupBy("lo", "hi").agg(F.array_sort(F.collect_list(F.struct("ts", "episode", "p"))).alias("r"))
-    zero = F.expr(f"transform(sequence(0, {k - 1}), i -> if(i = 0, 1D, 0D))")
-    few = F.aggregate("r", zero, lambda d, x: F.transform(d, lambda v, i: v * (1 - x["p"]) + F.when(i > 0, F.get(d, i - 1) * x["p"]).otherwise(F.lit(0.0))))
-    short = n.select("lo", "hi", F.aggregate(few, F.lit(0.0), lambda a, d: a + d).alias("fewer"), F.explode("r").alias("x"), few.alias("dist"))
-    # chance of the episode being an event and fewer than k in all: p times fewer than k - 1 among the others, by dividing its factor out
-    others = F.aggregate(
-        F.slice("dist", 1, k - 1),
-        F.struct(F.lit(0.0).alias("last"), F.lit(0.0).alias("total")),
-        lambda a, d: F.struct(((d - a["last"] * F.col("x.p")) / (1 - F.col("x.p"))).alias("last"), (a["total"] + (d - a["last"] * F.col("x.p")) / (1 - F.col("x.p"))).alias("total")),
-    )["total"]
-    both = decoded.join(short.select("lo", "hi", F.col("x.episode").alias("episode"), "fewer", (F.col("x.p") * others).alias("without")), ["lo", "hi", "episode"])
-    return both.select("lo", "hi", "episode", F.when(F.col("fewer") < 1 - 1e-12, (F.col("decoded") - F.col("without")) / (1 - F.col("fewer"))).alias("decoded"))
+    """first_k_marginal() on the condition that the group has at least k events (I5); a diagnostic, as it changes the denominator.
+
+    An episode with j events before it counts if at least k - 1 - j follow: the forward fold meets a backward one, nothing is divided out.
+    """
+    rows = chances.groupBy("lo", "hi").agg(F.array_sort(F.collect_list(F.struct("ts", "episode", "p"))).alias("r"))
+    own = lambda x: x["p"]
+    both = rows.withColumns({"before": _counts(F.col("r"), own, k), "after": F.reverse(_counts(F.reverse("r"), own, k))})
+    last = lambda c: F.element_at(c, -1)
+    few = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.get(last(F.col("before")), j) * (1 - last(F.col("r"))["p"]) + F.when(j > 0, F.get(last(F.col("before")), j - 1) * last(F.col("r"))["p"]).otherwise(F.lit(0.0)))
+    each = both.select("lo", "hi", (1 - _total(few, k)).alias("enough"), F.explode(F.arrays_zip("r", "before", "after")).alias("x"))
+    met = F.aggregate(F.transform(F.col("x.before"), lambda d, j: d * (1 - _total(F.col("x.after"), F.lit(k - 1) - j))), F.lit(0.0), lambda a, d: a + d)
+    return each.select("lo", "hi", "x.r.episode", F.when(F.col("enough") > 1e-12, F.col("x.r.p") * met / F.col("enough")).alias("decoded"))
 
 
 def two_type_decoder(chances: DataFrame, k: int = 5, a: str = "p_a", b: str = "p_b") -> DataFrame:
     """I4: events of type A are listed first, in time order, and those of type B fill what is left of k, in time order.
 
     chances: lo, hi, episode, ts and the chances of either type (their sum at most 1). For each episode the chance of being listed: as an A with
-    fewer than k earlier A, or as a B with fewer than k among all the other A and the earlier B. One group is one pair's episodes.
+    fewer than k earlier A, or as a B with fewer than k among all the other A and the earlier B. Three folds over the pair's sorted array: earlier A, earlier of either type, and later A.
     """
-
-    def decode(pdf):  # noqa: ANN001, ANN202
-        pdf = pdf.sort_values(["ts", "episode"])
-        pa, pb = pdf[a].to_numpy(), pdf[b].to_numpy()
-        out = []
-        for i in range(len(pdf)):
-            ahead, others = [1.0] + [0.0] * (k - 1), [1.0] + [0.0] * (k - 1)
-            for j in range(len(pdf)):
-                if j < i:
-                    ahead = _counted(ahead, pa[j])
-                if j != i:
-                    others = _counted(others, pa[j] + (pb[j] if j < i else 0.0))
-            out.append(pa[i] * sum(ahead) + pb[i] * sum(others))
-        return pdf[["lo", "hi", "episode"]].assign(decoded=out)
-
-    return chances.groupBy("lo", "hi").applyInPandas(decode, "lo long, hi long, episode long, decoded double")
-
-
-def _counted(dist: list[float], p: float) -> list[float]:
-    """The distribution of a count below len(dist), after one more chance."""
-    return [d * (1 - p) + (dist[i - 1] * p if i else 0.0) for i, d in enumerate(dist)]
+    rows = chances.groupBy("lo", "hi").agg(F.array_sort(F.collect_list(F.struct("ts", "episode", F.col(a).alias("a"), F.col(b).alias("b")))).alias("r"))
+    own, either = lambda x: x["a"], lambda x: x["a"] + x["b"]
+    met = rows.withColumns({"first": _counts(F.col("r"), own, k), "before": _counts(F.col("r"), either, k), "after": F.reverse(_counts(F.reverse("r"), own, k))})
+    each = met.select("lo", "hi", F.explode(F.arrays_zip("r", "first", "before", "after")).alias("x"))
+    room = F.aggregate(F.transform(F.col("x.before"), lambda d, j: d * _total(F.col("x.after"), F.lit(k) - j)), F.lit(0.0), lambda s, d: s + d)
+    return each.select("lo", "hi", "x.r.episode", (F.col("x.r.a") * _total(F.col("x.first"), k) + F.col("x.r.b") * room).alias("decoded"))
 
 
 def completion_conditioned(chances: DataFrame, done: DataFrame, k: int = 5) -> DataFrame:
@@ -170,14 +188,37 @@ QUERIES = {
     "expected_ap": lambda spark, d: _rounded(expected_ap(_chances(spark, d)), "expected_ap", 6),
 }
 
-_FOLD = """
-WITH RECURSIVE o AS (SELECT lo, hi, episode, p, row_number() OVER (PARTITION BY lo, hi ORDER BY ts, episode) AS i FROM {chances}),
-f AS (SELECT lo, hi, episode, i, p AS decoded, 1e0 - p AS d0, p AS d1, 0e0 AS d2, 0e0 AS d3, 0e0 AS d4 FROM o WHERE i = 1
-  UNION ALL SELECT o.lo, o.hi, o.episode, o.i, o.p * (d0 + d1 + d2 + d3 + d4), d0 * (1e0 - o.p), d1 * (1e0 - o.p) + d0 * o.p, d2 * (1e0 - o.p) + d1 * o.p, d3 * (1e0 - o.p) + d2 * o.p, d4 * (1e0 - o.p) + d3 * o.p
-  FROM f JOIN o ON o.lo = f.lo AND o.hi = f.hi AND o.i = f.i + 1)
-SELECT lo, hi, episode, round(decoded, 8) AS decoded FROM f"""
+
+def _fold_sql(name: str, p: str, source: str = "o", order: str = "i") -> str:
+    """Recursive SQL: of each episode the distribution d0..d4 of events before it in an order of the pair's episodes."""
+    return f"""{name} AS (SELECT lo, hi, {order} AS i, 1e0 AS d0, 0e0 AS d1, 0e0 AS d2, 0e0 AS d3, 0e0 AS d4 FROM {source} WHERE {order} = 1
+  UNION ALL SELECT o.lo, o.hi, o.{order} + 1, d0 * (1e0 - {p}), d1 * (1e0 - {p}) + d0 * {p}, d2 * (1e0 - {p}) + d1 * {p}, d3 * (1e0 - {p}) + d2 * {p}, d4 * (1e0 - {p}) + d3 * {p} FROM {name} f JOIN {source} o ON o.lo = f.lo AND o.hi = f.hi AND o.{order} = f.i)"""
+
+
+_SORTED = "o AS (SELECT lo, hi, episode, ts, p, row_number() OVER (PARTITION BY lo, hi ORDER BY ts, episode) AS i, row_number() OVER (PARTITION BY lo, hi ORDER BY ts DESC, episode DESC) AS j, count(*) OVER (PARTITION BY lo, hi) AS n FROM {chances})"
+_CUMULATED = ("0e0", "b.d0", "(b.d0 + b.d1)", "(b.d0 + b.d1 + b.d2)", "(b.d0 + b.d1 + b.d2 + b.d3)", "(b.d0 + b.d1 + b.d2 + b.d3 + b.d4)")
+_FEWER = "f.d0 + f.d1 + f.d2 + f.d3 + f.d4"
+_DONE = "CASE WHEN q.exit_lo IS NULL OR q.exit_hi IS NULL THEN 1e0 ELSE 0e0 END"
+_FOLD = f"WITH RECURSIVE {_SORTED}, {_fold_sql('f', 'o.p')} SELECT o.lo, o.hi, o.episode, round(o.p * ({_FEWER}), 8) AS decoded FROM o JOIN f ON f.lo = o.lo AND f.hi = o.hi AND f.i = o.i"
 ORACLES = {
     "first_k_marginal": _FOLD,
+    "first_k_given_at_least_k": f"""
+WITH RECURSIVE {_SORTED}, {_fold_sql("f", "o.p")}, {_fold_sql("b", "o.p", order="j")}, t AS (SELECT o.lo, o.hi, 1e0 - ({_FEWER}) AS enough FROM f JOIN (SELECT DISTINCT lo, hi, n FROM o) o ON o.lo = f.lo AND o.hi = f.hi AND f.i = o.n + 1)
+SELECT o.lo, o.hi, o.episode, round(CASE WHEN t.enough > 1e-12 THEN o.p * ({" + ".join(f"f.d{j} * (1e0 - {_CUMULATED[4 - j]})" for j in range(5))}) / t.enough END, 6) AS decoded FROM o JOIN f ON f.lo = o.lo AND f.hi = o.hi AND f.i = o.i JOIN b ON b.lo = o.lo AND b.hi = o.hi AND b.i = o.j JOIN t ON t.lo = o.lo AND t.hi = o.hi""",
+    "two_type_decoder": f"""
+WITH RECURSIVE {_SORTED}, {_fold_sql("a", "(o.p * 7e-1)")}, {_fold_sql("f", "(o.p * 7e-1 + o.p * 3e-1)")}, {_fold_sql("b", "(o.p * 7e-1)", order="j")}
+SELECT o.lo, o.hi, o.episode, round(o.p * 7e-1 * (a.d0 + a.d1 + a.d2 + a.d3 + a.d4) + o.p * 3e-1 * ({" + ".join(f"f.d{j} * {_CUMULATED[5 - j]}" for j in range(5))}), 8) AS decoded
+FROM o JOIN a ON a.lo = o.lo AND a.hi = o.hi AND a.i = o.i JOIN f ON f.lo = o.lo AND f.hi = o.hi AND f.i = o.i JOIN b ON b.lo = o.lo AND b.hi = o.hi AND b.i = o.j""",
+    "completion_conditioned": f"""
+WITH RECURSIVE {_SORTED}, h AS (SELECT o.lo, o.hi, o.episode, o.i, o.p * {_DONE} AS p FROM o JOIN {{pair_wide}} q ON q.lo = o.lo AND q.hi = o.hi AND q.episode = o.episode), {_fold_sql("f", "o.p")}, {_fold_sql("g", "o.p", "h")}
+SELECT o.lo, o.hi, o.episode, round(h.p * (g.d0 + g.d1 + g.d2 + g.d3 + g.d4) + 1e-6 * o.p * ({_FEWER}), 8) AS decoded
+FROM o JOIN h ON h.lo = o.lo AND h.hi = o.hi AND h.i = o.i JOIN f ON f.lo = o.lo AND f.hi = o.hi AND f.i = o.i JOIN g ON g.lo = o.lo AND g.hi = o.hi AND g.i = o.i""",
+    "mass_normalize": """
+WITH RECURSIVE o AS (SELECT lo, hi, episode, ln(p / (1e0 - p)) AS x, least(5e0, 999e-3 * count(*) OVER (PARTITION BY lo, hi)) AS aim FROM {chances}),
+s AS (SELECT DISTINCT lo, hi, -4e1 AS low, 4e1 AS high, 0 AS k FROM o
+  UNION ALL SELECT s.lo, s.hi, CASE WHEN sum(1e0 / (1e0 + exp(-(o.x + (s.low + s.high) / 2e0)))) < max(o.aim) THEN (s.low + s.high) / 2e0 ELSE s.low END, CASE WHEN sum(1e0 / (1e0 + exp(-(o.x + (s.low + s.high) / 2e0)))) < max(o.aim) THEN s.high ELSE (s.low + s.high) / 2e0 END, s.k + 1
+  FROM s JOIN o ON o.lo = s.lo AND o.hi = s.hi WHERE s.k < 40 GROUP BY s.lo, s.hi, s.low, s.high, s.k)
+SELECT o.lo, o.hi, o.episode, round(1e0 / (1e0 + exp(-(o.x + (s.low + s.high) / 2e0))), 6) AS p FROM o JOIN s ON s.lo = o.lo AND s.hi = o.hi AND s.k = 40""",
     "expected_ap": """
 WITH r AS (SELECT lo, hi, p, row_number() OVER (PARTITION BY lo, hi ORDER BY p DESC, episode) AS r, least(sum(p) OVER (PARTITION BY lo, hi), 5e0) AS m FROM {chances}),
 b AS (SELECT lo, hi, p, r, m, sum(p) OVER (PARTITION BY lo, hi ORDER BY r) - p AS before FROM r WHERE r <= 5)

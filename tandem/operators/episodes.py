@@ -12,31 +12,11 @@ FROM {ev} GROUP BY episode, member""",
 SELECT f.lo, f.hi, f.episode, count(CASE WHEN v.member = f.hi AND v.ordinal > f.push_lo THEN 1 END) AS hi_after_lo_push, count(CASE WHEN v.member = f.lo AND v.ordinal > f.push_hi THEN 1 END) AS lo_after_hi_push,
   count(CASE WHEN v.member <> f.lo AND v.member <> f.hi AND v.act = 'exit' AND v.ordinal > least(f.push_lo, f.push_hi) THEN 1 END) AS outsider_exits
 FROM {firsts} f JOIN {ev} v ON v.episode = f.episode GROUP BY f.lo, f.hi, f.episode""",
-    "immediate_response": """
-SELECT q.lo, q.hi, q.episode, count(CASE WHEN n.act = 'push' AND n.next_member IN (q.lo, q.hi) AND n.next_act = 'exit' THEN 1 END) AS partner_exits,
-  count(CASE WHEN n.act = 'push' AND n.next_member IN (q.lo, q.hi) AND n.next_act = 'match' THEN 1 END) AS partner_matches, count(CASE WHEN n.act = 'push' AND n.next_member IN (q.lo, q.hi) AND n.next_act = 'push' THEN 1 END) AS partner_pushes,
-  count(CASE WHEN n.act = 'push' AND n.next_member NOT IN (q.lo, q.hi) AND n.next_act = 'exit' THEN 1 END) AS outsider_exits, count(CASE WHEN n.act = 'push' AND n.next_member NOT IN (q.lo, q.hi) AND n.next_act = 'push' THEN 1 END) AS outsider_pushes
-FROM {pair_episodes} q JOIN {next_events} n ON n.episode = q.episode AND n.member IN (q.lo, q.hi) AND (n.next_member IS NULL OR n.next_member <> n.member) GROUP BY q.lo, q.hi, q.episode""",
-    "facing_cost": """
-SELECT episode, member, count(CASE WHEN to_call > 0e0 THEN 1 END) AS facing, count(CASE WHEN to_call > 0e0 AND act = 'exit' THEN 1 END) AS exits, count(CASE WHEN to_call > 0e0 AND act = 'match' THEN 1 END) AS matches,
-  count(CASE WHEN to_call > 0e0 AND act = 'push' AND amount > to_call THEN 1 END) AS pushes, count(CASE WHEN to_call > 0e0 AND act = 'push' AND amount <= to_call THEN 1 END) AS short_pushes FROM {ev} GROUP BY episode, member""",
     "stage_push_counts": """
 SELECT q.lo, q.hi, q.episode, count(CASE WHEN v.member = q.lo AND stage = 0 THEN 1 END) AS lo_0, count(CASE WHEN v.member = q.lo AND stage = 1 THEN 1 END) AS lo_1, count(CASE WHEN v.member = q.lo AND stage = 2 THEN 1 END) AS lo_2,
   count(CASE WHEN v.member = q.lo AND stage = 3 THEN 1 END) AS lo_3, count(CASE WHEN v.member = q.hi AND stage = 0 THEN 1 END) AS hi_0, count(CASE WHEN v.member = q.hi AND stage = 1 THEN 1 END) AS hi_1,
   count(CASE WHEN v.member = q.hi AND stage = 2 THEN 1 END) AS hi_2, count(CASE WHEN v.member = q.hi AND stage = 3 THEN 1 END) AS hi_3
 FROM {pair_episodes} q LEFT JOIN {ev} v ON v.episode = q.episode AND v.act = 'push' AND v.member IN (q.lo, q.hi) GROUP BY q.lo, q.hi, q.episode""",
-    "pair_episode_features": """
-SELECT t.lo, t.hi, t.episode, round(a.n_push / CAST(a.n AS DOUBLE) - coalesce(ba.push_rate, 0e0), 6) AS push_delta_lo, round(b.n_push / CAST(b.n AS DOUBLE) - coalesce(bb.push_rate, 0e0), 6) AS push_delta_hi,
-  round(a.n_exit / CAST(a.n AS DOUBLE) - coalesce(ba.exit_rate, 0e0), 6) AS exit_delta_lo, round(b.n_exit / CAST(b.n AS DOUBLE) - coalesce(bb.exit_rate, 0e0), 6) AS exit_delta_hi,
-  round(t.t_ab, 6) AS t_ab, round(t.t_ba, 6) AS t_ba, CAST(a.n_exit > 0 AND b.n_push > 0 AS INT) AS lo_gave_way, CAST(b.n_exit > 0 AND a.n_push > 0 AS INT) AS hi_gave_way,
-  round(greatest(t.t_ab, t.t_ba) * (1e0 + CASE WHEN a.n_exit > 0 OR b.n_exit > 0 THEN 1e0 ELSE 0e0 END), 5) AS risk_proxy
-FROM {transfers} t JOIN {member_counts} a ON a.episode = t.episode AND a.member = t.lo JOIN {member_counts} b ON b.episode = t.episode AND b.member = t.hi
-LEFT JOIN {background} ba ON ba.member = t.lo AND ba.win = t.win LEFT JOIN {background} bb ON bb.member = t.hi AND bb.win = t.win""",
-    "member_episode_features": """
-SELECT v.episode, v.member, max(CASE WHEN stage = 0 AND act IN ('match', 'push') THEN 1 ELSE 0 END) AS entered, max(CASE WHEN stage = 0 AND act = 'push' THEN 1 ELSE 0 END) AS pushed_first_stage, count(*) AS n,
-  min(CASE WHEN act = 'exit' THEN stage END) AS exit_stage, round(sum(amount) / nullif(max(e.unit), 0e0), 6) AS contribution_units, round(sum(net_part) / nullif(max(e.unit), 0e0), 6) AS net_units,
-  min_by(strength, ordinal) AS first_strength, max_by(strength, ordinal) AS last_strength, min(ordinal) AS position
-FROM {ev} v JOIN {episodes} e ON e.episode = v.episode GROUP BY v.episode, v.member""",
     "style_profile": """
 SELECT v.member, e.win, round(count(CASE WHEN act = 'push' THEN 1 END) / CAST(greatest(count(*), 1) AS DOUBLE), 6) AS push_rate, round(count(CASE WHEN act = 'exit' AND to_call > 0e0 THEN 1 END) / CAST(greatest(count(CASE WHEN to_call > 0e0 THEN 1 END), 1) AS DOUBLE), 6) AS exit_facing,
   round(count(CASE WHEN act = 'match' AND to_call > 0e0 THEN 1 END) / CAST(greatest(count(CASE WHEN to_call > 0e0 THEN 1 END), 1) AS DOUBLE), 6) AS match_facing,
@@ -46,29 +26,43 @@ FROM {ev} v JOIN {episodes} e ON e.episode = v.episode GROUP BY v.member, e.win"
 SELECT v.member, e.win, CAST(v.stage >= 2 AS INT) AS late, CAST(v.to_call > 0e0 AS INT) AS facing, round((count(CASE WHEN act = 'exit' THEN 1 END) + 1) / CAST(count(*) + 4 AS DOUBLE), 6) AS q_exit,
   round((count(CASE WHEN act = 'hold' THEN 1 END) + 1) / CAST(count(*) + 4 AS DOUBLE), 6) AS q_hold, round((count(CASE WHEN act = 'match' THEN 1 END) + 1) / CAST(count(*) + 4 AS DOUBLE), 6) AS q_match, round((count(CASE WHEN act = 'push' THEN 1 END) + 1) / CAST(count(*) + 4 AS DOUBLE), 6) AS q_push
 FROM {ev} v JOIN {episodes} e ON e.episode = v.episode GROUP BY v.member, e.win, CAST(v.stage >= 2 AS INT), CAST(v.to_call > 0e0 AS INT)""",
-    # rates smoothed from all events to a stage, and from there to stage and whether something is to be called; pool 0 is held out
+    # Rates smoothed from all events to a stage, and from there to stage, place in the order of first decisions, and whether something is to be called; pool 0 is held out
     "shrunken_rate": """
-WITH b AS (SELECT v.stage, CAST(v.to_call > 0e0 AS INT) AS facing, CASE WHEN v.act = 'push' THEN 1e0 ELSE 0e0 END AS y FROM {ev} v JOIN {members} m ON m.member = v.member WHERE m.pool <> 0),
-g AS (SELECT avg(y) AS p FROM b), s AS (SELECT stage, sum(y) AS k, count(*) AS n FROM b GROUP BY stage), f AS (SELECT stage, facing, sum(y) AS k, count(*) AS n FROM b GROUP BY stage, facing),
+WITH b AS (SELECT v.stage, least(v.place, 3) AS place, CAST(v.to_call > 0e0 AS INT) AS facing, v.pool, CASE WHEN v.act = 'push' THEN 1 ELSE 0 END AS y FROM (SELECT s.*, CAST(min(members_seen) OVER (PARTITION BY episode, s.member) - 1 AS INT) AS place, m.pool FROM {steps} s JOIN {members} m ON m.member = s.member) v WHERE v.pool <> 0),
+g AS (SELECT avg(y) AS p FROM b), s AS (SELECT stage, sum(y) AS k, count(*) AS n FROM b GROUP BY stage), f AS (SELECT stage, place, facing, sum(y) AS k, count(*) AS n FROM b GROUP BY stage, place, facing),
 r AS (SELECT s.stage, (s.k + 2e1 * g.p) / (s.n + 2e1) AS p FROM s CROSS JOIN g)
-SELECT f.stage, f.facing, f.n, round(least(greatest((f.k + 2e1 * r.p) / (f.n + 2e1), 1e-5), 1e0 - 1e-5), 6) AS rate FROM f JOIN r ON r.stage = f.stage""",
-    # policy of a member in a cell, from the other half of the episodes, blended with the stage's shares
+SELECT f.stage, f.place, f.facing, f.n, round(least(greatest((f.k + 2e1 * r.p) / (f.n + 2e1), 1e-5), 1e0 - 1e-5), 6) AS rate FROM f JOIN r ON r.stage = f.stage""",
+    # Policy of a member in a cell, with the decile of strength, from the other half of the episodes, blended with the stage's shares; and its log loss
     "member_cell_policy": """
-WITH c AS (SELECT member, stage, CAST(to_call > 0e0 AS INT) AS facing, episode % 2 AS half, count(CASE WHEN act = 'push' THEN 1 END) AS k, count(*) AS n FROM {ev} GROUP BY member, stage, CAST(to_call > 0e0 AS INT), episode % 2)
-SELECT c.member, c.stage, c.facing, c.half, round((coalesce(o.k, 0) + 5e0 * q.share) / (coalesce(o.n, 0) + 5e0), 6) AS q_push
-FROM c LEFT JOIN c o ON o.member = c.member AND o.stage = c.stage AND o.facing = c.facing AND o.half = 1 - c.half JOIN {class_shares} q ON q.stage = c.stage AND q.facing = c.facing AND q.act = 'push'""",
+WITH c AS (SELECT member, stage, CAST(to_call > 0e0 AS INT) AS facing, CAST(floor(strength * 99e-1) AS INT) AS decile, episode % 2 AS half, count(CASE WHEN act = 'push' THEN 1 END) AS k, count(*) AS n FROM {ev} GROUP BY member, stage, CAST(to_call > 0e0 AS INT), CAST(floor(strength * 99e-1) AS INT), episode % 2),
+o AS (SELECT member, stage, facing, decile, 1 - half AS half, k AS other_k, n AS other_n FROM c),
+q AS (SELECT c.*, (coalesce(o.other_k, 0) + 5e0 * s.share) / (coalesce(o.other_n, 0) + 5e0) AS q_push FROM c LEFT JOIN o ON o.member = c.member AND o.stage = c.stage AND o.facing = c.facing AND o.decile = c.decile AND o.half = c.half
+  JOIN {class_shares} s ON s.stage = c.stage AND s.facing = c.facing AND s.act = 'push')
+SELECT member, stage, facing, decile, half, round(q_push, 6) AS q_push, n, round(-(k * ln(q_push) + (n - k) * ln(1e0 - q_push)) / n, 6) AS log_loss FROM q""",
+    # How rare the size of a push is for its stage, number left, size of the pot and odds; six sizes, half a count added to each
     "size_histogram_surprisal": """
-WITH s AS (SELECT episode, member, stage, CAST(least(floor(amount / 2e4), 5e0) AS INT) AS bin FROM {ev} WHERE act = 'push'),
-h AS (SELECT stage, bin, (count(*) + 5e-1) AS c FROM s GROUP BY stage, bin), t AS (SELECT stage, sum(c) + 5e-1 * (6 - count(*)) AS total FROM h GROUP BY stage),
-x AS (SELECT s.episode, s.member, -ln(h.c / t.total) AS bits FROM s JOIN h ON h.stage = s.stage AND h.bin = s.bin JOIN t ON t.stage = s.stage)
-SELECT q.lo, q.hi, q.episode, round(max(CASE WHEN x.member = q.lo THEN bits END), 6) AS max_lo, round(max(CASE WHEN x.member = q.hi THEN bits END), 6) AS max_hi, round(sum(bits), 6) AS total, count(*) AS n
-FROM {pair_episodes} q JOIN x ON x.episode = q.episode AND x.member IN (q.lo, q.hi) GROUP BY q.lo, q.hi, q.episode""",
+WITH s AS (SELECT v.episode, v.member, v.stage, least(v.active, 5) AS active, CAST(least(floor(ln(1e0 + v.pot / e.unit) * 2e0), 5e0) AS INT) AS scale, CAST(floor(v.to_call / (v.to_call + v.pot + 1e0) * 39e-1) AS INT) AS odds, v.amount / greatest(v.pot, 1e0) AS ratio
+  FROM {steps} v JOIN {episodes} e ON e.episode = v.episode AND e.unit > 0e0 WHERE v.act = 'push'),
+b AS (SELECT s.*, CASE WHEN ratio < 33e-2 THEN 0 WHEN ratio < 6e-1 THEN 1 WHEN ratio < 9e-1 THEN 2 WHEN ratio < 12e-1 THEN 3 WHEN ratio < 2e0 THEN 4 ELSE 5 END AS bin FROM s),
+h AS (SELECT stage, active, scale, odds, bin, count(*) + 5e-1 AS c FROM b GROUP BY stage, active, scale, odds, bin), t AS (SELECT stage, active, scale, odds, sum(c) + 5e-1 * (6 - count(*)) AS total FROM h GROUP BY stage, active, scale, odds),
+x AS (SELECT b.episode, b.member, b.bin, -ln(h.c / t.total) AS bits FROM b JOIN h ON h.stage = b.stage AND h.active = b.active AND h.scale = b.scale AND h.odds = b.odds AND h.bin = b.bin JOIN t ON t.stage = b.stage AND t.active = b.active AND t.scale = b.scale AND t.odds = b.odds)
+SELECT q.lo, q.hi, q.episode, round(max(CASE WHEN x.member = q.lo THEN bits END), 6) AS max_lo, round(max(CASE WHEN x.member = q.hi THEN bits END), 6) AS max_hi, round(sum(CASE WHEN x.member = q.lo THEN bits END), 6) AS sum_lo, round(sum(CASE WHEN x.member = q.hi THEN bits END), 6) AS sum_hi, count(CASE WHEN x.member = q.lo THEN 1 END) AS n_lo, count(CASE WHEN x.member = q.hi THEN 1 END) AS n_hi,
+  round(max(CASE WHEN x.bin >= 4 THEN bits END), 6) AS overbet_max FROM {pair_episodes} q JOIN x ON x.episode = q.episode AND x.member IN (q.lo, q.hi) GROUP BY q.lo, q.hi, q.episode""",
     "first_decision": "SELECT * FROM {first_decisions}",
+    # Counts by enumerations, and percentiles of amounts, contributions and pots
     "distribution_report": """
-SELECT act, count(*) AS n, round(percentile(amount, 1e-2), 4) AS p01, round(percentile(amount, 5e-1), 4) AS p50, round(percentile(amount, 99e-2), 4) AS p99 FROM {ev} GROUP BY act""",
+SELECT 'act' AS what, act AS value, count(*) AS n, round(percentile(amount, 1e-2), 4) AS p01, round(percentile(amount, 5e-1), 4) AS p50, round(percentile(amount, 99e-2), 4) AS p99 FROM {ev} GROUP BY act
+UNION ALL SELECT 'action' AS what, action AS value, count(*) AS n, round(percentile(amount, 1e-2), 4) AS p01, round(percentile(amount, 5e-1), 4) AS p50, round(percentile(amount, 99e-2), 4) AS p99 FROM {ev} GROUP BY action
+UNION ALL SELECT 'stage' AS what, CAST(stage AS VARCHAR(20)) AS value, count(*) AS n, round(percentile(amount, 1e-2), 4) AS p01, round(percentile(amount, 5e-1), 4) AS p50, round(percentile(amount, 99e-2), 4) AS p99 FROM {ev} GROUP BY CAST(stage AS VARCHAR(20))
+UNION ALL SELECT 'contribution' AS what, win AS value, count(*) AS n, round(percentile(contribution, 1e-2), 4) AS p01, round(percentile(contribution, 5e-1), 4) AS p50, round(percentile(contribution, 99e-2), 4) AS p99 FROM {participants} p JOIN {episodes} e ON e.episode = p.episode GROUP BY win
+UNION ALL SELECT 'pot' AS what, win AS value, count(*) AS n, round(percentile(pot, 1e-2), 4) AS p01, round(percentile(pot, 5e-1), 4) AS p50, round(percentile(pot, 99e-2), 4) AS p99 FROM (SELECT episode, sum(amount) AS pot FROM {ev} GROUP BY episode) t JOIN {episodes} e ON e.episode = t.episode GROUP BY win""",
+    # Sizes of pools, possible pairs, shares that are labelled and evaluated, and the mix of labels
     "population_summary": """
-SELECT m.pool, m.n AS members, CAST(m.n * (m.n - 1) / 2 AS BIGINT) AS possible_pairs, coalesce(l.pairs, 0) AS seen_pairs, coalesce(l.positives, 0) AS positives, coalesce(l.unlabelled, 0) AS unlabelled
-FROM (SELECT pool, count(*) AS n FROM {members} GROUP BY pool) m LEFT JOIN (SELECT pool, count(*) AS pairs, count(CASE WHEN label = 1 THEN 1 END) AS positives, count(CASE WHEN label IS NULL THEN 1 END) AS unlabelled FROM {pair_labels} GROUP BY pool) l ON l.pool = m.pool""",
+SELECT m.pool, m.n AS members, CAST(m.n * (m.n - 1) / 2 AS BIGINT) AS possible_pairs, coalesce(l.pairs, 0) AS seen_pairs, coalesce(l.labelled, 0) AS labelled, coalesce(l.positives, 0) AS positives, coalesce(l.unlabelled, 0) AS unlabelled, coalesce(w.pairs, 0) AS evaluated,
+  round(coalesce(l.labelled, 0) / nullif(m.n * (m.n - 1) / 2e0, 0e0), 6) AS labelled_share, round(coalesce(w.pairs, 0) / nullif(m.n * (m.n - 1) / 2e0, 0e0), 6) AS evaluated_share, coalesce(l.family0, 0) AS family0, coalesce(l.family1, 0) AS family1, coalesce(l.family2, 0) AS family2
+FROM (SELECT pool, count(*) AS n FROM {members} GROUP BY pool) m LEFT JOIN (SELECT pool, count(*) AS pairs, count(label) AS labelled, count(CASE WHEN label = 1 THEN 1 END) AS positives, count(CASE WHEN label IS NULL THEN 1 END) AS unlabelled, count(CASE WHEN label = 1 AND family = 0 THEN 1 END) AS family0,
+  count(CASE WHEN label = 1 AND family = 1 THEN 1 END) AS family1, count(CASE WHEN label = 1 AND family = 2 THEN 1 END) AS family2 FROM {pair_labels} GROUP BY pool) l ON l.pool = m.pool
+LEFT JOIN (SELECT pool, count(*) AS pairs FROM (SELECT DISTINCT pool, lo, hi FROM {scored} WHERE win = 'evaluation') t GROUP BY pool) w ON w.pool = m.pool""",
 }
 
 RELATIONS = {
@@ -78,7 +72,5 @@ SELECT q.lo, q.hi, q.episode, min(CASE WHEN v.member = q.lo AND act = 'push' THE
   min(CASE WHEN v.member = q.lo AND act = 'exit' THEN ordinal END) AS exit_lo, min(CASE WHEN v.member = q.hi AND act = 'exit' THEN ordinal END) AS exit_hi,
   min(CASE WHEN v.member = q.lo AND act = 'match' THEN ordinal END) AS match_lo, min(CASE WHEN v.member = q.hi AND act = 'match' THEN ordinal END) AS match_hi
 FROM {pair_episodes} q JOIN {ev} v ON v.episode = q.episode AND v.member IN (q.lo, q.hi) GROUP BY q.lo, q.hi, q.episode""",
-    "next_events": """
-SELECT v.*, lead(member) OVER (PARTITION BY episode, stage ORDER BY ordinal) AS next_member, lead(act) OVER (PARTITION BY episode, stage ORDER BY ordinal) AS next_act FROM {ev} v""",
     "first_decisions": "SELECT episode, member, min(ordinal) AS ordinal, min_by(act, ordinal) AS act, min_by(strength, ordinal) AS strength, min_by(to_call, ordinal) AS to_call FROM {ev} WHERE stage = 0 GROUP BY episode, member",
 }

@@ -1,12 +1,29 @@
 """What one member does toward another, by episode, and its roll-up to pairs."""
 
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+#: What the query rolls up, of the columns of kernel.
+ROLLED = ("faced", "exit_to", "match_to", "push_over", "squeezed", "opportunities", "pushes", "passives", "hold_alone", "push_alone", "exit_alone", "max_matched", "max_sunk_at_exit")
+
+
+def rollup(features: Sequence[str], source: str = "kernel", mask: str = "TRUE") -> str:
+    """SQL for columns of a relation of (episode, actor, target) as toward and back for each labelled pair, and as either member's total; max_x is the maximum of x.
+
+    mask restricts the rows of the relation.
+    """
+    one = lambda f: f"max({f.removeprefix('max_')})" if f.startswith("max_") else f"sum({f})"
+    own = ", ".join(f"CAST({one(f)} AS DOUBLE) AS {f}" for f in features)
+    out = ", ".join(f"round(coalesce({k}.{f}, 0e0), 3) AS {f}_{n}" for k, n in (("f", "lo_hi"), ("g", "hi_lo"), ("a", "lo"), ("b", "hi")) for f in features)
+    return f"""
+WITH d AS (SELECT actor, target, count(*) AS n, {own} FROM {{{source}}} WHERE {mask} GROUP BY actor, target), m AS (SELECT actor, {", ".join(f"{'max' if f.startswith('max_') else 'sum'}({f}) AS {f}" for f in features)} FROM d GROUP BY actor),
+h AS (SELECT member, count(*) AS n FROM {{participants}} GROUP BY member), x AS (SELECT lo, hi, count(*) AS n FROM {{pair_episodes}} GROUP BY lo, hi)
+SELECT l.lo, l.hi, x.n, y.n AS hands_lo, z.n AS hands_hi, {out} FROM {{pair_labels}} l JOIN x ON x.lo = l.lo AND x.hi = l.hi JOIN h y ON y.member = l.lo JOIN h z ON z.member = l.hi
+LEFT JOIN d f ON f.actor = l.lo AND f.target = l.hi LEFT JOIN d g ON g.actor = l.hi AND g.target = l.lo LEFT JOIN m a ON a.actor = l.lo LEFT JOIN m b ON b.actor = l.hi"""
+
+
 OPERATORS = {
-    # The last pusher is the target
-    "facing_responses": """
-SELECT episode, actor, target, n, n_exit, n_match, n_push, round(matched, 3) AS matched, round(sunk_at_exit, 4) AS sunk_at_exit FROM {facing}""",
-    # D18
-    "active_interactions": """
-SELECT episode, actor, target, count(*) AS opportunities, count(CASE WHEN act = 'push' THEN 1 END) AS pushes, count(CASE WHEN act IN ('hold', 'match') THEN 1 END) AS passives FROM {toward} GROUP BY episode, actor, target""",
     # A push over the target while an outsider is still there
     "squeeze": """
 SELECT p.episode, p.member AS actor, p.last_pusher AS target, count(*) AS n FROM {pushed} p
@@ -19,53 +36,23 @@ SELECT x.episode, x.last_pusher AS j, k.member AS k, count(*) AS n FROM {pushed}
 JOIN (SELECT episode, stage, member, min(ordinal) AS ordinal FROM {ev} WHERE act = 'push' GROUP BY episode, stage, member) k
   ON k.episode = x.episode AND k.stage = x.stage AND k.ordinal < x.ordinal AND k.member <> x.last_pusher AND k.member <> x.member
 WHERE x.act = 'exit' AND x.last_pusher IS NOT NULL GROUP BY x.episode, x.last_pusher, k.member""",
-    # Stages that begin with two members left
-    "heads_up": """
-WITH s AS (SELECT episode, stage, min(ordinal) AS start, max(CASE WHEN act = 'push' THEN 1 ELSE 0 END) AS pushed FROM {ev} GROUP BY episode, stage),
-a AS (SELECT s.episode, s.stage, s.pushed, count(*) AS n, min(p.member) AS lo, max(p.member) AS hi FROM s JOIN {participants} p ON p.episode = s.episode AND (p.exit_ordinal IS NULL OR p.exit_ordinal >= s.start) GROUP BY s.episode, s.stage, s.pushed)
-SELECT episode, lo, hi, count(*) AS stages, CAST(sum(1 - pushed) AS BIGINT) AS quiet_stages FROM a WHERE n = 2 GROUP BY episode, lo, hi""",
     # What flows from a loser to a winner
     "flow": "SELECT episode, actor, target, round(flow, 6) AS flow FROM {flows}",
-    # D23
-    "strength_weighted": """
-SELECT episode, actor, target, round(sum(strength), 6) AS seen, round(sum(CASE WHEN act = 'push' THEN strength ELSE 0e0 END), 6) AS pushed, round(sum(CASE WHEN act = 'exit' THEN strength ELSE 0e0 END), 6) AS left_behind,
-  round(sum(CASE WHEN act IN ('hold', 'match') THEN strength ELSE 0e0 END), 6) AS passive FROM {toward} GROUP BY episode, actor, target""",
-    # How surprising the actor's exits to the target and pushes over it are
-    "surprisal_interactions": """
-SELECT v.episode, v.member AS actor, v.last_pusher AS target, round(sum(-ln(greatest(q.share, 1e-6))), 6) AS total, round(max(-ln(greatest(q.share, 1e-6))), 6) AS most, count(CASE WHEN -ln(greatest(q.share, 1e-6)) > 12e-1 THEN 1 END) AS n_rare,
-  count(CASE WHEN v.act = 'exit' AND v.strength >= 75e-2 THEN 1 END) AS strong_exits, count(CASE WHEN v.act = 'push' AND v.strength < 35e-2 THEN 1 END) AS weak_pushes, count(CASE WHEN v.act = 'match' AND v.strength <= 1e-1 THEN 1 END) AS dead_matches,
-  round(sum(CASE WHEN v.act = 'exit' THEN 1e0 ELSE 0e0 END - x.share), 6) AS excess_exits
-FROM {pushed} v JOIN {class_shares} q ON q.stage = v.stage AND q.facing = CAST(v.to_call > 0e0 AS INT) AND q.act = v.act JOIN {class_shares} x ON x.stage = v.stage AND x.facing = CAST(v.to_call > 0e0 AS INT) AND x.act = 'exit'
-WHERE v.last_pusher <> v.member GROUP BY v.episode, v.member, v.last_pusher""",
-    # Mass of pushes not made, and of what was done instead
-    "suppressed_forced": """
-SELECT t.episode, t.actor, t.target, round(sum(CASE WHEN t.act IN ('hold', 'match') THEN p.share ELSE 0e0 END), 6) AS push_not_made, round(sum(CASE WHEN t.act = 'push' THEN 1e0 - p.share ELSE 0e0 END), 6) AS forced_push,
-  round(max(CASE WHEN t.act = 'exit' THEN 1e0 - o.share ELSE 0e0 END), 6) AS forced_exit
-FROM {toward} t JOIN {class_shares} p ON p.stage = t.stage AND p.facing = CAST(t.to_call > 0e0 AS INT) AND p.act = 'push' JOIN {class_shares} o ON o.stage = t.stage AND o.facing = CAST(t.to_call > 0e0 AS INT) AND o.act = t.act
-GROUP BY t.episode, t.actor, t.target""",
-    # The members outside the pair
-    "outsider_context": """
-SELECT q.lo, q.hi, q.episode, count(o.member) AS outsiders, round(coalesce(sum(o.contribution), 0e0), 3) AS contribution, round(coalesce(sum(o.net), 0e0), 6) AS net, count(o.exit_ordinal) AS exits, CAST(coalesce(sum(c.n_push), 0) AS BIGINT) AS pushes
-FROM {pair_episodes} q LEFT JOIN {participants} o ON o.episode = q.episode AND o.member NOT IN (q.lo, q.hi) LEFT JOIN {member_counts} c ON c.episode = o.episode AND c.member = o.member
-GROUP BY q.lo, q.hi, q.episode""",
     # D27
     "joint_features": """
-SELECT t.lo, t.hi, t.episode, CAST(a.exit_ordinal IS NULL AND b.exit_ordinal IS NULL AS INT) AS both_stayed, CAST(a.exit_ordinal IS NOT NULL AND b.exit_ordinal IS NOT NULL AS INT) AS both_left, round(least(t.put_lo, t.put_hi), 3) AS min_contribution, round(greatest(t.t_ab, t.t_ba), 6) AS max_flow
-FROM {transfers} t JOIN {participants} a ON a.episode = t.episode AND a.member = t.lo JOIN {participants} b ON b.episode = t.episode AND b.member = t.hi""",
-    # Both directions of a pair and each member's total against everybody, with exposures
-    "pair_rollup": """
-SELECT l.lo, l.hi, coalesce(f.n, 0) AS n_lo_hi, coalesce(g.n, 0) AS n_hi_lo, coalesce(f.n_exit, 0) AS exit_lo_hi, coalesce(g.n_exit, 0) AS exit_hi_lo, round(coalesce(f.max_matched, 0e0), 3) AS max_matched_lo_hi, coalesce(a.n, 0) AS n_lo, coalesce(b.n, 0) AS n_hi, a.n_exit AS exit_lo, b.n_exit AS exit_hi
-FROM {pair_labels} l LEFT JOIN {facing_pairs} f ON f.actor = l.lo AND f.target = l.hi LEFT JOIN {facing_pairs} g ON g.actor = l.hi AND g.target = l.lo
-LEFT JOIN {facing_members} a ON a.actor = l.lo LEFT JOIN {facing_members} b ON b.actor = l.hi""",
+SELECT t.lo, t.hi, t.episode, CAST(c.match_lo + c.push_lo > 0 AND c.match_hi + c.push_hi > 0 AS INT) AS both_entered, CAST(t.exit_lo IS NULL AND t.exit_hi IS NULL AS INT) AS both_stayed, CAST(t.exit_lo IS NOT NULL AND t.exit_hi IS NOT NULL AS INT) AS both_left, CAST(t.stayed = 2 AND t.exit_lo IS NULL AND t.exit_hi IS NULL AS INT) AS alone_at_end,
+  round(least(t.put_lo, t.put_hi) / nullif(t.unit, 0e0), 6) AS min_contribution, round(greatest(t.t_ab, t.t_ba), 6) AS max_flow, CAST(c.match_lo + c.push_lo > 0 AND c.match_hi + c.push_hi > 0 AND t.stayed = 2 AND t.exit_lo IS NULL AND t.exit_hi IS NULL AS INT) AS entered_and_alone
+FROM {transfers} t JOIN {pair_counts} c ON c.lo = t.lo AND c.hi = t.hi AND c.episode = t.episode""",
+    # Both directions of a pair and each member's total against everybody, with exposures; sums, or maxima where the name has max
+    "pair_rollup": rollup(ROLLED),
     # D29
     "symmetrize": """
 SELECT lo, hi, episode, round(greatest(t_ab, t_ba), 6) AS t_max, round(least(t_ab, t_ba), 6) AS t_min, round(t_ab + t_ba, 6) AS t_sum, round(greatest(s_lo, s_hi), 6) AS s_max, round(least(s_lo, s_hi), 6) AS s_min FROM {transfers}""",
-    # Whose share grows when a member leaves: shares of strength among those left, before and after
+    # Whose share grows when a member leaves: shares of strength among those left, after less before. All gains together are what the leaver had
     "fold_beneficiary": """
 WITH x AS (SELECT episode, member, exit_ordinal, strength FROM {participants} WHERE exit_ordinal IS NOT NULL),
-s AS (SELECT x.episode, x.member AS leaver, p.member AS other, p.strength / nullif(sum(p.strength) OVER (PARTITION BY x.episode, x.member), 0e0) - p.strength / nullif(sum(p.strength) OVER (PARTITION BY x.episode, x.member) + x.strength, 0e0) AS gain
-  FROM x JOIN {participants} p ON p.episode = x.episode AND p.member <> x.member AND (p.exit_ordinal IS NULL OR p.exit_ordinal > x.exit_ordinal))
-SELECT episode, leaver, count(*) AS others, round(sum(gain), 6) AS released, round(max(gain), 6) AS most FROM s GROUP BY episode, leaver""",
+s AS (SELECT x.episode, x.member AS leaver, x.strength AS own, count(*) AS others, sum(p.strength) AS left_over, max(p.strength) AS most FROM x JOIN {participants} p ON p.episode = x.episode AND p.member <> x.member AND (p.exit_ordinal IS NULL OR p.exit_ordinal > x.exit_ordinal) GROUP BY x.episode, x.member, x.strength)
+SELECT episode, leaver, others, round(own / nullif(left_over + own, 0e0), 6) AS released, round(most * own / nullif(left_over * (left_over + own), 0e0), 6) AS most FROM s""",
     # Observed less expected exits, in standard deviations
     "binary_residual_z": """
 SELECT v.member, count(*) AS n, round(sum(CASE WHEN v.act = 'exit' THEN 1e0 ELSE 0e0 END - q.share) / sqrt(sum(q.share * (1e0 - q.share)) + 1e0), 6) AS z
@@ -79,34 +66,21 @@ SELECT lo, hi, win, count(*) AS n, CAST(sum(y_lo * y_hi) AS BIGINT) AS observed,
 SELECT l.lo, l.hi, count(e.episode) AS opportunities, CAST(coalesce(sum(e.y_second), 0) AS BIGINT) AS observed, round(coalesce(sum(e.p_second), 0e0), 6) AS expected, round(coalesce(sum(e.y_second - e.p_second), 0e0), 6) AS residual,
   round(coalesce(sum(e.p_second * (1e0 - e.p_second)), 0e0), 6) AS variance, CAST(count(e.episode) = 0 AS INT) AS no_decision
 FROM {pair_labels} l LEFT JOIN {entries} e ON e.lo = l.lo AND e.hi = l.hi AND e.y_first = 1 AND e.win = 'evaluation' GROUP BY l.lo, l.hi""",
-    # With two or more others left, what the actor does when the target is strong or weak
-    "multiway_partner_strength": """
-SELECT t.episode, t.actor, t.target, count(*) AS decisions, count(CASE WHEN p.strength >= 5e-1 AND t.act = 'exit' THEN 1 END) AS exits_strong, count(CASE WHEN p.strength >= 5e-1 AND t.act = 'push' THEN 1 END) AS pushes_strong,
-  count(CASE WHEN p.strength < 15e-2 AND t.act = 'push' THEN 1 END) AS pushes_weak, round(avg(CASE WHEN t.act = 'push' THEN p.strength END), 6) AS strength_at_push
-FROM {toward} t JOIN {participants} p ON p.episode = t.episode AND p.member = t.target
-JOIN (SELECT episode, ordinal, count(*) AS n FROM {toward} GROUP BY episode, ordinal) c ON c.episode = t.episode AND c.ordinal = t.ordinal AND c.n >= 2 GROUP BY t.episode, t.actor, t.target""",
     # Both entered: how surprising each entry was
     "paired_entry": """
 SELECT lo, hi, episode, round(-ln(p_lo), 6) AS s_lo, round(-ln(p_hi), 6) AS s_hi, round(least(-ln(p_lo), -ln(p_hi)), 6) AS s_min, round(-ln(p_lo) - ln(p_hi), 6) AS s_sum, round((y_lo - p_lo) * (y_hi - p_hi), 6) AS product, round(p_lo * p_hi, 6) AS joint
 FROM {entries} WHERE y_lo = 1 AND y_hi = 1""",
-    # What each role does in each stage, by kind of event; a kind that doesn't occur has no value rather than 0
-    "role_stage_witness": """
-SELECT q.lo, q.hi, q.episode, CASE WHEN v.member = q.lo THEN 'A' WHEN v.member = q.hi THEN 'B' ELSE 'O' END AS role, v.stage, v.act, round(ln(1e0 + count(*)), 6) AS log_n, round(avg(v.strength), 6) AS mean_strength, round(max(v.amount), 4) AS max_amount, round(min(v.amount), 4) AS min_amount
-FROM {pair_episodes} q JOIN {ev} v ON v.episode = q.episode GROUP BY q.lo, q.hi, q.episode, CASE WHEN v.member = q.lo THEN 'A' WHEN v.member = q.hi THEN 'B' ELSE 'O' END, v.stage, v.act""",
-    # Counts of whole scripts for a pair
+    # Counts of whole scripts for a pair: a match of the partner and then an exit to it with opposite nets, holding down alone, and an opening push with two outsiders leaving after it
     "script_signatures": """
-SELECT t.lo, t.hi, count(CASE WHEN a.n_match > 0 AND a.n_exit > 0 AND t.net_lo < 0e0 AND t.net_hi > 0e0 THEN 1 END) AS lo_matched_then_left, count(CASE WHEN b.n_match > 0 AND b.n_exit > 0 AND t.net_hi < 0e0 AND t.net_lo > 0e0 THEN 1 END) AS hi_matched_then_left,
-  count(CASE WHEN o.exits >= 2 AND (t.t_ab > 0e0 OR t.t_ba > 0e0) THEN 1 END) AS two_outsiders_left
-FROM {transfers} t LEFT JOIN {facing} a ON a.episode = t.episode AND a.actor = t.lo AND a.target = t.hi LEFT JOIN {facing} b ON b.episode = t.episode AND b.actor = t.hi AND b.target = t.lo
-LEFT JOIN (SELECT q.lo, q.hi, q.episode, count(*) AS exits FROM {pair_episodes} q JOIN {participants} p ON p.episode = q.episode AND p.member NOT IN (q.lo, q.hi) AND p.exit_ordinal IS NOT NULL GROUP BY q.lo, q.hi, q.episode) o
-  ON o.lo = t.lo AND o.hi = t.hi AND o.episode = t.episode GROUP BY t.lo, t.hi""",
+WITH s AS (SELECT lo, hi, episode, min_by(member, CASE WHEN act = 'push' AND stage = 0 THEN ordinal END) AS opener, min(CASE WHEN act = 'push' AND stage = 0 THEN ordinal END) AS opened, max(CASE WHEN member = lo AND act = 'match' AND last_pusher = hi THEN ordinal END) AS lo_matched, max(CASE WHEN member = hi AND act = 'match' AND last_pusher = lo THEN ordinal END) AS hi_matched,
+  max(CASE WHEN member = lo AND act = 'exit' AND last_pusher = hi THEN ordinal END) AS lo_left, max(CASE WHEN member = hi AND act = 'exit' AND last_pusher = lo THEN ordinal END) AS hi_left, count(CASE WHEN act = 'hold' AND partner IS NOT NULL AND active = 2 AND here_lo = 1 AND here_hi = 1 THEN 1 END) AS holds FROM {pair_steps} GROUP BY lo, hi, episode),
+e AS (SELECT s.lo, s.hi, s.episode, count(CASE WHEN v.partner IS NULL AND v.act = 'exit' AND v.ordinal > s.opened AND s.opener IN (s.lo, s.hi) THEN 1 END) AS exits FROM s JOIN {pair_steps} v ON v.lo = s.lo AND v.hi = s.hi AND v.episode = s.episode GROUP BY s.lo, s.hi, s.episode)
+SELECT t.lo, t.hi, count(CASE WHEN s.lo_matched < s.lo_left AND t.net_lo < 0e0 AND t.net_hi > 0e0 THEN 1 END) AS lo_matched_then_left, count(CASE WHEN s.hi_matched < s.hi_left AND t.net_hi < 0e0 AND t.net_lo > 0e0 THEN 1 END) AS hi_matched_then_left,
+  count(CASE WHEN s.holds >= 2 THEN 1 END) AS alone_held_down, count(CASE WHEN e.exits >= 2 THEN 1 END) AS opened_and_two_left
+FROM {transfers} t JOIN s ON s.lo = t.lo AND s.hi = t.hi AND s.episode = t.episode JOIN e ON e.lo = t.lo AND e.hi = t.hi AND e.episode = t.episode GROUP BY t.lo, t.hi""",
 }
 
 RELATIONS = {
-    "facing": """
-SELECT episode, member AS actor, last_pusher AS target, count(*) AS n, count(CASE WHEN act = 'exit' THEN 1 END) AS n_exit, count(CASE WHEN act = 'match' THEN 1 END) AS n_match, count(CASE WHEN act = 'push' THEN 1 END) AS n_push,
-  coalesce(sum(CASE WHEN act = 'match' THEN amount END), 0e0) AS matched, coalesce(sum(CASE WHEN act = 'exit' THEN sunk END), 0e0) AS sunk_at_exit
-FROM {pushed} WHERE last_pusher <> member GROUP BY episode, member, last_pusher""",
     "facing_pairs": "SELECT actor, target, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_exit) AS BIGINT) AS n_exit, max(matched) AS max_matched FROM {facing} GROUP BY actor, target",
     "facing_members": "SELECT actor, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_exit) AS BIGINT) AS n_exit FROM {facing} GROUP BY actor",
     "toward": """
@@ -116,14 +90,16 @@ FROM {ev} v JOIN {participants} p ON p.episode = v.episode AND p.member <> v.mem
 SELECT a.episode, a.member AS actor, b.member AS target, greatest(-a.net, 0e0) * greatest(b.net, 0e0) / nullif(w.won, 0e0) / nullif(e.unit, 0e0) AS flow
 FROM {participants} a JOIN {participants} b ON b.episode = a.episode AND b.member <> a.member JOIN (SELECT episode, sum(greatest(net, 0e0)) AS won FROM {participants} GROUP BY episode) w ON w.episode = a.episode JOIN {episodes} e ON e.episode = a.episode
 WHERE a.net < 0e0 AND b.net > 0e0""",
-    # first decisions of both of a pair: whether each entered, and how often it does in this window
+    # first decisions of both of a pair: whether each entered, and how often it does in this window and place, shrunken to its rate in the window
     "entry_rates": """
-SELECT d.member, e.win, (sum(CASE WHEN d.act IN ('match', 'push') THEN 1e0 ELSE 0e0 END) + 1e0) / (count(*) + 2e0) AS p FROM {first_decisions} d JOIN {episodes} e ON e.episode = d.episode GROUP BY d.member, e.win""",
+WITH d AS (SELECT d.member, e.win, CAST(d.ordinal < 2 AS INT) AS early, count(*) AS n, count(CASE WHEN d.act IN ('match', 'push') THEN 1 END) AS k FROM {first_decisions} d JOIN {episodes} e ON e.episode = d.episode GROUP BY d.member, e.win, CAST(d.ordinal < 2 AS INT)),
+m AS (SELECT member, win, (sum(k) + 1e0) / (sum(n) + 2e0) AS p FROM d GROUP BY member, win)
+SELECT d.member, d.win, d.early, (d.k + 5e0 * m.p) / (d.n + 5e0) AS p FROM d JOIN m ON m.member = d.member AND m.win = d.win""",
     "entries": """
 SELECT q.lo, q.hi, q.episode, e.win, e.ts, CASE WHEN a.act IN ('match', 'push') THEN 1 ELSE 0 END AS y_lo, CASE WHEN b.act IN ('match', 'push') THEN 1 ELSE 0 END AS y_hi, ra.p AS p_lo, rb.p AS p_hi,
   CASE WHEN a.ordinal < b.ordinal THEN CASE WHEN a.act IN ('match', 'push') THEN 1 ELSE 0 END ELSE CASE WHEN b.act IN ('match', 'push') THEN 1 ELSE 0 END END AS y_first,
   CASE WHEN a.ordinal < b.ordinal THEN CASE WHEN b.act IN ('match', 'push') THEN 1 ELSE 0 END ELSE CASE WHEN a.act IN ('match', 'push') THEN 1 ELSE 0 END END AS y_second,
   CASE WHEN a.ordinal < b.ordinal THEN rb.p ELSE ra.p END AS p_second, a.strength AS s_lo, b.strength AS s_hi, a.ordinal AS o_lo, b.ordinal AS o_hi, a.act AS act_lo, b.act AS act_hi
 FROM {pair_episodes} q JOIN {episodes} e ON e.episode = q.episode JOIN {first_decisions} a ON a.episode = q.episode AND a.member = q.lo JOIN {first_decisions} b ON b.episode = q.episode AND b.member = q.hi
-JOIN {entry_rates} ra ON ra.member = q.lo AND ra.win = e.win JOIN {entry_rates} rb ON rb.member = q.hi AND rb.win = e.win""",
+JOIN {entry_rates} ra ON ra.member = q.lo AND ra.win = e.win AND ra.early = CAST(a.ordinal < 2 AS INT) JOIN {entry_rates} rb ON rb.member = q.hi AND rb.win = e.win AND rb.early = CAST(b.ordinal < 2 AS INT)""",
 }

@@ -1,20 +1,17 @@
 """Joins over episodes, events and pairs (C1-C14), and unions and comparisons of sets."""
 
 OPERATORS = {
-    # the flagship query: pairs by the lean of their transfers, each with five episodes
+    # the flagship query: pairs by the lean of their transfers, each with five episodes. Ranks of all pairs are the number of pairs in
+    # higher bins, from the bins' counts, and the rank inside the bin: no task sees all pairs
     "top_pairs": """
-WITH prof AS (
-  SELECT pool, lo, hi, count(*) AS n, round(abs(avg(t_ab) - avg(t_ba)), 6) AS imbalance, round(max(greatest(t_ab, t_ba)), 6) AS transfer_max
-  FROM {transfers} WHERE win = 'evaluation' GROUP BY pool, lo, hi),
-risk AS (SELECT p.*, (count(*) OVER () - row_number() OVER (ORDER BY imbalance DESC, lo, hi) + 1) / CAST(count(*) OVER () AS DOUBLE) AS risk_score FROM prof p),
-best AS (
-  SELECT lo, hi, episode, row_number() OVER (PARTITION BY lo, hi ORDER BY round(greatest(t_ab, t_ba), 6) DESC, ts, episode) AS r
-  FROM {transfers} WHERE win = 'evaluation')
-SELECT k.pool, k.lo, k.hi, k.n, k.imbalance, k.transfer_max, round(k.risk_score, 6) AS risk_score,
-  max(CASE WHEN t.r = 1 THEN t.episode END) AS ep1, max(CASE WHEN t.r = 2 THEN t.episode END) AS ep2, max(CASE WHEN t.r = 3 THEN t.episode END) AS ep3,
-  max(CASE WHEN t.r = 4 THEN t.episode END) AS ep4, max(CASE WHEN t.r = 5 THEN t.episode END) AS ep5
-FROM risk k JOIN best t ON t.lo = k.lo AND t.hi = k.hi AND t.r <= 5
-GROUP BY k.pool, k.lo, k.hi, k.n, k.imbalance, k.transfer_max, k.risk_score""",
+WITH r AS (SELECT t.*, row_number() OVER (PARTITION BY lo, hi ORDER BY round(greatest(t_ab, t_ba), 6) DESC, ts, episode) AS r FROM {transfers} t WHERE win = 'evaluation'),
+p AS (
+  SELECT pool, lo, hi, count(*) AS n, round(abs(avg(t_ab) - avg(t_ba)), 6) AS imbalance, round(max(greatest(t_ab, t_ba)), 6) AS transfer_max, max(CASE WHEN r = 1 THEN episode END) AS ep1, max(CASE WHEN r = 2 THEN episode END) AS ep2, max(CASE WHEN r = 3 THEN episode END) AS ep3,
+    max(CASE WHEN r = 4 THEN episode END) AS ep4, max(CASE WHEN r = 5 THEN episode END) AS ep5 FROM r GROUP BY pool, lo, hi),
+b AS (SELECT p.*, CAST(floor(ln(1e0 + coalesce(imbalance, 0e0)) * 512e0) AS INT) AS bin FROM p), c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin),
+d AS (SELECT bin, sum(n) OVER (ORDER BY bin DESC) - n AS above, sum(n) OVER () AS pairs FROM c)
+SELECT b.pool, b.lo, b.hi, b.n, b.imbalance, b.transfer_max, round((d.pairs - d.above - row_number() OVER (PARTITION BY b.bin ORDER BY b.imbalance DESC, b.lo, b.hi) + 1) / CAST(d.pairs AS DOUBLE), 6) AS risk_score, ep1, ep2, ep3, ep4, ep5
+FROM b JOIN d ON d.bin = b.bin""",
     # The pool of a member, and in how many it was seen
     "member_pool": """
 SELECT p.member, min(e.priority) AS pool_first, count(DISTINCT e.priority) AS pools FROM {participants} p JOIN {episodes} e ON e.episode = p.episode GROUP BY p.member""",
@@ -24,18 +21,16 @@ SELECT l.lo, l.hi, a.pool, 'development' AS win, l.label FROM {pair_labels} l JO
 UNION ALL
 SELECT l.lo, l.hi, a.pool, 'evaluation' AS win, CAST(NULL AS INT) AS label FROM {pair_labels} l JOIN {members} a ON a.member = l.lo JOIN {members} b ON b.member = l.hi AND b.pool = a.pool WHERE l.label IS NULL""",
     # Episodes that both of a pair took part in, with what each does elsewhere
-    "pair_episodes_background": """
-SELECT q.pool, q.lo, q.hi, q.episode, e.win, round(coalesce(a.push_rate, 0e0), 6) AS push_rate_lo, round(coalesce(b.push_rate, 0e0), 6) AS push_rate_hi
-FROM {pair_episodes} q JOIN {episodes} e ON e.episode = q.episode
-LEFT JOIN {background} a ON a.member = q.lo AND a.win = e.win LEFT JOIN {background} b ON b.member = q.hi AND b.win = e.win""",
+    "pair_episodes_background": "SELECT q.pool, q.lo, q.hi, q.episode, e.win, " + ", ".join(f"round(coalesce({k}.{r}_rate, 0e0), 6) AS {r}_rate_{me}" for k, me in (("a", "lo"), ("b", "hi")) for r in ("push", "exit", "match")) + " FROM {pair_episodes} q JOIN {episodes} e ON e.episode = q.episode LEFT JOIN {background} a ON a.member = q.lo AND a.win = e.win LEFT JOIN {background} b ON b.member = q.hi AND b.win = e.win",
     # C4: every unordered pair of members in an episode
     "enumerate_pairs": "SELECT a.episode, a.member AS lo, b.member AS hi FROM {participants} a JOIN {participants} b ON a.episode = b.episode AND a.member < b.member",
     # Every ordered pair
     "ordered_pairs": "SELECT a.episode, a.member AS actor, b.member AS target FROM {participants} a JOIN {participants} b ON a.episode = b.episode AND a.member <> b.member",
-    # Rows whose parent is missing
-    "anti_check": "SELECT v.episode, v.ordinal FROM {ev} v LEFT ANTI JOIN {members} m ON m.member = v.member + 3",
+    # Rows whose parent is missing: events of members without a positive balance
+    "anti_check": """
+SELECT v.episode, v.ordinal FROM {ev} v WHERE NOT EXISTS (SELECT 1 FROM {members} m WHERE m.member = v.member AND m.balance > 0e0)""",
     # Only the events of target episodes
-    "relevant_events": "SELECT v.episode, v.ordinal, v.member, v.act FROM {ev} v LEFT SEMI JOIN {pair_episodes} q ON q.episode = v.episode",
+    "relevant_events": "SELECT v.episode, v.ordinal, v.member, v.act FROM {ev} v WHERE EXISTS (SELECT 1 FROM {pair_episodes} q WHERE q.episode = v.episode)",
     # For each event the other members that have not left before it
     "active_targets": """
 SELECT v.episode, v.ordinal, v.member AS actor, p.member AS target
@@ -52,35 +47,26 @@ FROM {scored} f JOIN {scored} o ON o.episode = f.episode AND NOT (o.lo = f.lo AN
     "window_overlap": """
 WITH w AS (SELECT lo, hi, max(CASE WHEN win = 'development' THEN 1 ELSE 0 END) AS d, max(CASE WHEN win = 'evaluation' THEN 1 ELSE 0 END) AS e, count(*) AS n FROM {scored} GROUP BY lo, hi)
 SELECT d AS in_development, e AS in_evaluation, count(*) AS pairs, CAST(sum(n) AS BIGINT) AS episodes FROM w GROUP BY d, e""",
-    # C14: pairs over an exposure floor without a label, by whether a member has a labelled pair
+    # C14: pairs over an exposure floor without a label, by how many of their members have a positive pair
     "universe_gap": """
-SELECT touch, count(*) AS pairs, CAST(sum(n) AS BIGINT) AS episodes FROM (
-  SELECT s.lo, s.hi, s.n, CASE WHEN s.lo IN (SELECT lo FROM {pair_labels} WHERE label = 1) OR s.hi IN (SELECT hi FROM {pair_labels} WHERE label = 1) THEN 1 ELSE 0 END AS touch
-  FROM {pair_scores} s WHERE s.n >= 15 AND s.label IS NULL) t GROUP BY touch""",
+WITH m AS (SELECT lo AS member FROM {pair_labels} WHERE label = 1 UNION SELECT hi AS member FROM {pair_labels} WHERE label = 1)
+SELECT touch, count(*) AS pairs, CAST(sum(n) AS BIGINT) AS episodes, round(avg(score), 6) AS mean_score, min(n) AS least, max(n) AS most FROM (
+  SELECT s.lo, s.hi, s.n, s.score, CASE WHEN s.lo IN (SELECT member FROM m) THEN 1 ELSE 0 END + CASE WHEN s.hi IN (SELECT member FROM m) THEN 1 ELSE 0 END AS touch FROM {pair_scores} s WHERE s.n >= 15 AND s.label IS NULL) t GROUP BY touch""",
     # G1
     "union_windows": "SELECT lo, hi, episode, round(score, 6) AS score, win FROM {scored} WHERE win = 'development' UNION ALL SELECT lo, hi, episode, round(score, 6) AS score, win FROM {scored} WHERE win = 'evaluation'",
     # Ids missing, unexpected or double in one set against another
     "id_set_compare": """
-SELECT CAST(count(CASE WHEN b.k IS NULL THEN 1 END) AS BIGINT) AS missing, CAST(count(CASE WHEN a.k IS NULL THEN 1 END) AS BIGINT) AS unexpected, CAST(coalesce(sum(b.n - 1), 0) AS BIGINT) AS doubled
-FROM (SELECT lo * 100000 + hi AS k FROM {pair_labels}) a
-FULL OUTER JOIN (SELECT lo * 100000 + hi + CASE WHEN episode % 50 = 0 THEN 1 ELSE 0 END AS k, count(*) AS n FROM {scored} GROUP BY lo * 100000 + hi + CASE WHEN episode % 50 = 0 THEN 1 ELSE 0 END) b ON a.k = b.k""",
+WITH a AS (SELECT lo, hi FROM {pair_labels}), b AS (SELECT lo, hi + CASE WHEN episode % 50 = 0 THEN 1 ELSE 0 END AS hi, count(*) AS n FROM {scored} GROUP BY lo, hi + CASE WHEN episode % 50 = 0 THEN 1 ELSE 0 END)
+SELECT count(CASE WHEN b.lo IS NULL THEN 1 END) AS missing, count(CASE WHEN a.lo IS NULL THEN 1 END) AS unexpected, CAST(coalesce(sum(b.n - 1), 0) AS BIGINT) AS doubled FROM a FULL OUTER JOIN b ON a.lo = b.lo AND a.hi = b.hi""",
     # How many of a pair's five best are in its listed five
     "list_overlap": """
 SELECT t.lo, t.hi, count(g.episode) AS n_common FROM (
   SELECT lo, hi, episode FROM (SELECT lo, hi, episode, row_number() OVER (PARTITION BY lo, hi ORDER BY score DESC, ts, episode) AS r FROM {scored} WHERE win = 'development') x WHERE r <= 5) t
 LEFT JOIN {listed} g ON g.lo = t.lo AND g.hi = t.hi AND g.episode = t.episode GROUP BY t.lo, t.hi""",
 }
-OPERATORS["anti_check"] = "SELECT v.episode, v.ordinal FROM {ev} v WHERE NOT EXISTS (SELECT 1 FROM {members} m WHERE m.member = v.member + 3)"
-OPERATORS["relevant_events"] = "SELECT v.episode, v.ordinal, v.member, v.act FROM {ev} v WHERE EXISTS (SELECT 1 FROM {pair_episodes} q WHERE q.episode = v.episode)"
-
 RELATIONS = {
     "background": """
 SELECT v.member, e.win, count(*) AS n, sum(CASE WHEN act = 'push' THEN 1e0 ELSE 0e0 END) / count(*) AS push_rate, sum(CASE WHEN act = 'exit' THEN 1e0 ELSE 0e0 END) / count(*) AS exit_rate,
   sum(CASE WHEN act = 'match' THEN 1e0 ELSE 0e0 END) / count(*) AS match_rate
 FROM {ev} v JOIN {episodes} e ON e.episode = v.episode GROUP BY v.member, e.win""",
-    # events with the last pusher of the stage so far, and what the actor has put in so far
-    "pushed": """
-SELECT v.*, last_value(CASE WHEN act = 'push' THEN member END) IGNORE NULLS OVER (PARTITION BY episode, stage ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_pusher,
-  coalesce(sum(amount) OVER (PARTITION BY episode, member ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS sunk
-FROM {ev} v""",
 }

@@ -2,41 +2,61 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tandem.operators.features import ACTS
+from tandem.sources.sinks import kept
+
+
+def route_other(first: int = 60, first_floor: float = 2.5, second: int = 100, second_floor: float = 3.02) -> str:
+    """SQL for the pairs that are called other: near the top of their pool and with a high best episode, or a little lower with a higher one."""
+    return f"SELECT pool, lo, hi FROM (SELECT s.*, row_number() OVER (PARTITION BY pool ORDER BY score DESC, lo, hi) AS r FROM {{pair_scores}} s) t WHERE (r <= {first} AND top > {first_floor}e0) OR (r <= {second} AND top > {second_floor}e0)"
+
+
 OPERATORS = {
     # K1: folds of whole pools, the same in any engine
     "assign_folds": "SELECT pool, count(*) AS pairs, CAST(ascii(substr(md5(CAST(pool AS VARCHAR(20))), 1, 1)) % 3 AS BIGINT) AS fold FROM {pair_labels} GROUP BY pool",
-    # K8: weights for training on positives and unlabelled rows
+    # K8: weights for training on positives and unlabelled rows, in three modes; rows below an exposure floor or with a member of a positive pair don't train
     "pu_clean": """
-WITH c AS (SELECT percentile(score, 9e-1) AS high FROM {pair_scores} WHERE label IS NULL)
-SELECT lo, hi, CASE WHEN label IS NULL AND score > c.high THEN 0e0 WHEN n < 12 THEN 0e0 ELSE 1e0 END AS w_drop, CASE WHEN label IS NULL AND score > c.high THEN 5e-1 ELSE 1e0 END AS w_pos, CASE WHEN label = 1 OR (label IS NULL AND score > c.high) THEN 1 ELSE 0 END AS y_pos FROM {pair_scores} CROSS JOIN c""",
+WITH c AS (SELECT percentile(score, 9e-1) AS high FROM {pair_scores} WHERE label IS NULL), t AS (SELECT lo AS member FROM {pair_labels} WHERE label = 1 UNION SELECT hi AS member FROM {pair_labels} WHERE label = 1),
+x AS (SELECT p.lo, p.hi, p.n, p.label, CAST(p.label IS NULL AND p.score > c.high AS INT) AS doubtful, CASE WHEN p.label IS NULL AND (p.lo IN (SELECT member FROM t) OR p.hi IN (SELECT member FROM t)) THEN 1 ELSE 0 END AS touches FROM {pair_scores} p CROSS JOIN c)
+SELECT lo, hi, doubtful, touches, CASE WHEN n < 12 OR touches = 1 THEN 0e0 ELSE 1e0 END AS w_none, CASE WHEN n < 12 OR touches = 1 OR doubtful = 1 THEN 0e0 ELSE 1e0 END AS w_drop, CASE WHEN n < 12 OR touches = 1 THEN 0e0 WHEN doubtful = 1 THEN 5e-1 ELSE 1e0 END AS w_pos, CASE WHEN label = 1 OR doubtful = 1 THEN 1 ELSE 0 END AS y_pos FROM x""",
     # K14
     "consensus_score": """
 SELECT lo, hi, episode, round(p + 5e-1 * p * p + 1e-1 * ln(p / (1e0 - p)), 8) AS u, CAST(row_number() OVER (PARTITION BY lo, hi ORDER BY p + 5e-1 * p * p + 1e-1 * ln(p / (1e0 - p)) DESC, episode) AS BIGINT) AS r FROM {chances}""",
-    # Sure rows of the other window, the mass of each pair bounded
+    # Sure rows, the mass of each pair bounded; and preferences: the surest event before the surest other row of the pair, and so on for five
     "pseudo_label": """
-WITH s AS (SELECT lo, hi, episode, p, CASE WHEN p > 3e-1 THEN 1 WHEN p < 1e-3 THEN 0 END AS y FROM {chances}), k AS (SELECT s.*, count(*) OVER (PARTITION BY lo, hi) AS n FROM s WHERE y IS NOT NULL)
-SELECT lo, hi, episode, y, round(least(1e0, 3e0 / n), 8) AS weight FROM k""",
-    # Two scores as mean of z, of ranks and of logits
+WITH s AS (SELECT lo, hi, episode, p, CASE WHEN p > 3e-1 THEN 1 WHEN p < 1e-3 THEN 0 END AS y FROM {chances}), k AS (SELECT s.*, count(*) OVER (PARTITION BY lo, hi) AS n, row_number() OVER (PARTITION BY lo, hi, y ORDER BY CASE WHEN y = 1 THEN -p ELSE p END, episode) AS r FROM s WHERE y IS NOT NULL)
+SELECT a.lo, a.hi, a.episode, a.y, round(least(1e0, 3e0 / a.n), 8) AS weight, b.episode AS preferred_to, round(a.p - b.p, 8) AS margin FROM k a LEFT JOIN k b ON b.lo = a.lo AND b.hi = a.hi AND a.y = 1 AND b.y = 0 AND b.r = a.r AND a.r <= 5""",
+    # Scores put together as means of standard scores, of ranks, of logits of ranks, and of groups of scores; the old one mixed with a new one; and ranks with weights
     "fuse_scores": """
-WITH m AS (SELECT avg(score) AS ms, stddev_samp(score) AS ss, avg(top) AS mt, stddev_samp(top) AS st FROM {pair_scores})
-SELECT p.lo, p.hi, round(((score - ms) / nullif(ss, 0e0) + (top - mt) / nullif(st, 0e0)) / 2e0, 6) AS z_mean, round((cume_dist() OVER (PARTITION BY pool ORDER BY score) + cume_dist() OVER (PARTITION BY pool ORDER BY top)) / 2e0, 6) AS rank_mean, round(75e-2 * score + 25e-2 * top, 6) AS mixed FROM {pair_scores} p CROSS JOIN m""",
-    # Labels under a grid of thresholds, with how many are right
+WITH s AS (SELECT pool, lo, hi, score AS a, top AS b, ln(1e0 + n) AS c FROM {pair_scores}), m AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb, avg(c) AS mc, stddev_samp(c) AS sc FROM s),
+x AS (SELECT s.pool, s.lo, s.hi, coalesce((a - ma) / nullif(sa, 0e0), 0e0) AS za, coalesce((b - mb) / nullif(sb, 0e0), 0e0) AS zb, coalesce((c - mc) / nullif(sc, 0e0), 0e0) AS zc, cume_dist() OVER (PARTITION BY pool ORDER BY a) AS ra, cume_dist() OVER (PARTITION BY pool ORDER BY b) AS rb, cume_dist() OVER (PARTITION BY pool ORDER BY c) AS rc FROM s CROSS JOIN m)
+SELECT lo, hi, round((za + zb + zc) / 3e0, 6) AS z_mean, round((ra + rb + rc) / 3e0, 6) AS rank_mean, round((ln((ra * 998e-3 + 1e-3) / (999e-3 - ra * 998e-3)) + ln((rb * 998e-3 + 1e-3) / (999e-3 - rb * 998e-3)) + ln((rc * 998e-3 + 1e-3) / (999e-3 - rc * 998e-3))) / 3e0, 6) AS logit_mean, round(((za + zb) / 2e0 + zc) / 2e0, 6) AS group_mean,
+  round(75e-2 * za + 25e-2 * zb, 6) AS mixed, round(5e-1 * ra + 25e-2 * rb + 25e-2 * rc, 6) AS weighted_rank FROM x""",
+    # The family with the highest score, other below a confidence, none below a risk; for a grid of both thresholds how many fall where, and the macro average precision
     "assign_behavior": """
-WITH g AS (SELECT f.t AS t_family, r.t AS t_risk FROM (SELECT t FROM (VALUES (2e-1), (1e0)) AS v(t)) f CROSS JOIN (SELECT t FROM (VALUES (1e-1), (5e-1)) AS v(t)) r)
-SELECT g.t_family, g.t_risk, count(CASE WHEN s.score < g.t_risk THEN 1 END) AS n_none, count(CASE WHEN s.score >= g.t_risk AND s.top - s.score < g.t_family THEN 1 END) AS n_other, count(CASE WHEN s.score >= g.t_risk AND s.top - s.score >= g.t_family THEN 1 END) AS n_family,
-  count(CASE WHEN s.score >= g.t_risk AND s.label = 1 THEN 1 END) AS caught FROM {pair_scores} s CROSS JOIN g GROUP BY g.t_family, g.t_risk""",
+WITH f AS (SELECT t.pool, t.lo, t.hi, avg(greatest(t_ab, t_ba)) AS risk, avg(t_ab) AS f0, avg(t_ba) AS f1, avg(abs(s_lo - s_hi)) AS f2, max(l.label) AS label, max(l.family) AS family FROM {transfers} t JOIN {pair_labels} l ON l.lo = t.lo AND l.hi = t.hi GROUP BY t.pool, t.lo, t.hi),
+b AS (SELECT f.*, CASE WHEN f0 >= f1 AND f0 >= f2 THEN 0 WHEN f1 >= f2 THEN 1 ELSE 2 END AS best, greatest(f0, f1, f2) / nullif(f0 + f1 + f2, 0e0) AS sure FROM f),
+g AS (SELECT a.t AS t_family, r.t AS t_risk FROM (SELECT t FROM (VALUES (0e0), (4e-1), (6e-1)) AS v(t)) a CROSS JOIN (SELECT t FROM (VALUES (1e-1), (5e-1)) AS v(t)) r),
+x AS (SELECT g.*, b.*, CASE WHEN risk < t_risk THEN -1 WHEN sure < t_family THEN 3 ELSE best END AS given FROM b CROSS JOIN g),
+r AS (SELECT x.*, k.k AS target, CASE WHEN label = 1 AND family = k.k THEN 1 ELSE 0 END AS y, row_number() OVER (PARTITION BY t_family, t_risk, k.k, pool ORDER BY CASE WHEN given = k.k THEN risk ELSE 0e0 END DESC, lo, hi) AS r FROM x CROSS JOIN (SELECT k FROM (VALUES (0), (1), (2)) AS v(k)) k),
+c AS (SELECT r.*, sum(y) OVER (PARTITION BY t_family, t_risk, target, pool ORDER BY r) AS hits FROM r), a AS (SELECT t_family, t_risk, target, pool, coalesce(sum(CASE WHEN y = 1 THEN hits / CAST(r AS DOUBLE) END) / nullif(sum(y), 0), 0e0) AS ap FROM c GROUP BY t_family, t_risk, target, pool), m AS (SELECT t_family, t_risk, avg(ap) AS ap FROM a GROUP BY t_family, t_risk)
+SELECT x.t_family, x.t_risk, count(CASE WHEN given = -1 THEN 1 END) AS n_none, count(CASE WHEN given = 3 THEN 1 END) AS n_other, count(CASE WHEN given = 0 THEN 1 END) AS n0, count(CASE WHEN given = 1 THEN 1 END) AS n1, count(CASE WHEN given = 2 THEN 1 END) AS n2, count(CASE WHEN label = 1 AND given = family THEN 1 END) AS right_family, round(max(m.ap), 8) AS macro_ap
+FROM x JOIN m ON m.t_family = x.t_family AND m.t_risk = x.t_risk GROUP BY x.t_family, x.t_risk""",
     # K19
-    "route_other": "SELECT pool, lo, hi FROM (SELECT s.*, row_number() OVER (PARTITION BY pool ORDER BY score DESC, lo, hi) AS r FROM {pair_scores} s) t WHERE (r <= 60 AND top > 25e-1) OR (r <= 100 AND top > 302e-2)",
+    "route_other": route_other(),
     # Other families' positives get no weight, not label 0
     "target_view": "SELECT lo, hi, f.family AS target, CASE WHEN label = 1 AND l.family = f.family THEN 1 ELSE 0 END AS y, CASE WHEN label = 1 AND l.family <> f.family THEN 0e0 WHEN label IS NULL THEN 5e-1 ELSE 1e0 END AS weight FROM {pair_labels} l CROSS JOIN (SELECT family FROM (VALUES (0), (1), (2)) AS v(family)) f",
     # Pairs of a listed and an unlisted candidate, by what swapping them changes of the precision at five
@@ -47,12 +67,21 @@ SELECT a.lo, a.hi, a.episode AS listed_episode, b.episode AS other_episode, roun
 }
 
 RELATIONS = {
+    "decision_table": """
+SELECT v.episode, v.ordinal, v.act, v.stage, CAST(v.to_call > 0e0 AS INT) AS facing, v.to_call / nullif(e.unit, 0e0) AS cost, CASE WHEN v.to_call > 0e0 THEN v.to_call / (v.pot + v.to_call) ELSE 0e0 END AS odds, v.active, v.pushes_before, v.own_pushes_before, v.strength, v.own_no, CAST(ascii(substr(md5(CAST(m.pool AS VARCHAR(20))), 1, 1)) % 3 AS INT) AS fold
+FROM {steps} v JOIN {episodes} e ON e.episode = v.episode JOIN {members} m ON m.member = v.member""",
+    "window_table": """
+SELECT s.pool, s.win, s.lo, s.hi, max(l.label) AS label, CAST(ascii(substr(md5(CAST(s.pool AS VARCHAR(20))), 1, 1)) % 3 AS INT) AS fold, avg(s.score) AS f_score, max(s.score) AS f_top, ln(1e0 + count(*)) AS f_log_n FROM {scored} s JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi GROUP BY s.pool, s.win, s.lo, s.hi""",
+    "all_episodes": """
+SELECT t.pool, t.lo, t.hi, t.episode, CASE WHEN l.label = 1 THEN CASE WHEN g.episode IS NOT NULL THEN 1 ELSE 0 END WHEN l.label = 0 THEN 0 END AS y, CAST(ascii(substr(md5(CAST(t.pool AS VARCHAR(20))), 1, 1)) % 3 AS INT) AS fold, greatest(t.t_ab, t.t_ba) AS f_score, t.t_ab - t.t_ba AS f_lean, t.s_lo AS f_s_lo, t.s_hi AS f_s_hi,
+  (t.put_lo + t.put_hi) / t.unit AS f_put, t.players AS f_players, t.stayed AS f_stayed FROM {transfers} t JOIN {pair_labels} l ON l.lo = t.lo AND l.hi = t.hi LEFT JOIN {listed} g ON g.lo = t.lo AND g.hi = t.hi AND g.episode = t.episode WHERE t.unit > 0e0""",
     "pair_table": """
 SELECT s.pool, s.lo, s.hi, s.label, s.family, s.n, CAST(ascii(substr(md5(CAST(s.pool AS VARCHAR(20))), 1, 1)) % 3 AS INT) AS fold, s.score AS f_score, s.top AS f_top, ln(1e0 + s.n) AS f_log_n, r.n_lo_hi / CAST(greatest(s.n, 1) AS DOUBLE) AS f_lo_hi, r.n_hi_lo / CAST(greatest(s.n, 1) AS DOUBLE) AS f_hi_lo
 FROM {pair_scores} s JOIN {rolled} r ON r.lo = s.lo AND r.hi = s.hi""",
     "episode_table": """
-SELECT s.pool, s.lo, s.hi, s.episode, CASE WHEN g.episode IS NOT NULL THEN 1 ELSE 0 END AS y, l.family, CAST(ascii(substr(md5(CAST(s.pool AS VARCHAR(20))), 1, 1)) % 3 AS INT) AS fold, s.score AS f_score, s.lean AS f_lean, t.s_lo AS f_s_lo, t.s_hi AS f_s_hi
-FROM {scored} s JOIN {transfers} t ON t.lo = s.lo AND t.hi = s.hi AND t.episode = s.episode JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi AND l.label = 1 LEFT JOIN {listed} g ON g.lo = s.lo AND g.hi = s.hi AND g.episode = s.episode""",
+WITH l AS (SELECT g.lo, g.hi, max(e.ts) AS last_ts FROM {listed} g JOIN {episodes} e ON e.episode = g.episode GROUP BY g.lo, g.hi)
+SELECT t.pool, t.lo, t.hi, t.episode, CASE WHEN g.episode IS NOT NULL THEN 1 ELSE 0 END AS y, CASE WHEN g.episode IS NULL AND t.ts < l.last_ts THEN 1 ELSE 0 END AS hard_negative, p.family, CAST(ascii(substr(md5(CAST(t.pool AS VARCHAR(20))), 1, 1)) % 3 AS INT) AS fold, greatest(t.t_ab, t.t_ba) AS f_score, t.t_ab - t.t_ba AS f_lean, t.s_lo AS f_s_lo, t.s_hi AS f_s_hi
+FROM {transfers} t JOIN {pair_labels} p ON p.lo = t.lo AND p.hi = t.hi AND p.label = 1 LEFT JOIN l ON l.lo = t.lo AND l.hi = t.hi LEFT JOIN {listed} g ON g.lo = t.lo AND g.hi = t.hi AND g.episode = t.episode""",
 }
 
 
@@ -65,52 +94,84 @@ def with_features(model: Estimator, features: Sequence[str], standardize: bool =
     return Pipeline(stages=[*steps, model])
 
 
-def cross_fit(df: DataFrame, model: Estimator, features: Sequence[str], label: str = "label", fold: str = "fold", weight: str | None = None, out: str = "score", standardize: bool = False) -> DataFrame:
+def _folds(df: DataFrame, fold: str) -> list:
+    return sorted(r[0] for r in df.select(fold).distinct().collect())
+
+
+def cross_fit(df: DataFrame, model: Estimator, features: Sequence[str], label: str = "label", fold: str = "fold", weight: str | None = None, out: str = "score", standardize: bool = False, other: DataFrame | None = None) -> DataFrame:
     """K2: df with a score for every row by a model that was fitted on the other folds.
 
     Rows without a label, or of weight 0, are scored but don't train. Folds must be of whole pools. Training rows of one class give that class's rate, the same for all
-    rows of the fold. One fit for each fold; only the list of folds comes to the driver.
+    rows of the fold. A model that has no probability, as of a regression, gives its prediction. other: rows of the other window, with df's columns, that are
+    scored by a model of all of df's labelled rows and follow. One fit for each fold, and one for other; only the list of folds comes to the driver.
     """
     known = df.where(F.col(label).isNotNull())
     if weight:
         known = known.where(F.col(weight) > 0)
-    parts = []
-    for k in sorted(r[0] for r in df.select(fold).distinct().collect()):
-        train, test = known.where(F.col(fold) != k), df.where(F.col(fold) == k)
+
+    def scored(train: DataFrame, test: DataFrame) -> DataFrame:
         rate, classes = train.agg(F.avg(label), F.count_distinct(label)).first()
         if classes < 2:
-            parts.append(test.withColumn(out, F.lit(float(rate or 0))))
-            continue
+            return test.withColumn(out, F.lit(float(rate or 0)))
         own = model.copy().setLabelCol(label)
         if weight:
             own = own.setWeightCol(weight)
-        fitted = with_features(own, features, standardize).fit(train)
-        scored = fitted.transform(test).withColumn(out, vector_to_array("probability")[1])
-        parts.append(scored.select(*df.columns, out))
+        done = with_features(own, features, standardize).fit(train).transform(test)
+        found = vector_to_array("probability")[1] if "probability" in done.columns else F.col("prediction")
+        return done.withColumn(out, found).select(*test.columns, out)
+
+    parts = [scored(known.where(F.col(fold) != k), df.where(F.col(fold) == k)) for k in _folds(df, fold)]
+    if other is not None:
+        parts.append(scored(known, other))
     return reduce(DataFrame.unionByName, parts)
 
 
-def fit_pair_risk(pairs: DataFrame, features: Sequence[str], seeds: Sequence[int] = (1,)) -> DataFrame:
-    """K4: out-of-fold risk of pairs, as the mean percent rank of boosted trees, forests of several seeds and a logistic model."""
-    models = [GBTClassifier(maxIter=3, maxDepth=2, seed=seeds[0]), *(RandomForestClassifier(numTrees=5, maxDepth=3, seed=s) for s in seeds), LogisticRegression(regParam=0.01)]
-    names = [f"_m{i}" for i in range(len(models))]
-    for name, m in zip(names, models, strict=True):
-        pairs = cross_fit(pairs, m, features, out=name)
-    ranks = [F.percent_rank().over(_by_fold(n)) for n in names]
-    return pairs.withColumn("risk", sum(ranks[1:], ranks[0]) / len(ranks)).drop(*names)
+def fit_action_policy(decisions: DataFrame, features: Sequence[str], act: str = "act", fold: str = "fold", iterations: int = 30) -> DataFrame:
+    """K3: decisions with q_exit, q_hold, q_match and q_push, chances of the four classes by a multinomial logistic model of the other folds."""
+    coded = decisions.withColumn("_y", F.array_position(F.array(*(F.lit(a) for a in ACTS)), F.col(act)).cast("double") - 1)
+    parts = []
+    for k in _folds(coded, fold):
+        model = LogisticRegression(family="multinomial", labelCol="_y", regParam=1e-3, maxIter=iterations)
+        done = with_features(model, features, True).fit(coded.where(F.col(fold) != k)).transform(coded.where(F.col(fold) == k))
+        chance = vector_to_array("probability")
+        # a class that the other folds lack has no chance of its own
+        parts.append(done.select(*decisions.columns, *(F.coalesce(F.get(chance, i), F.lit(0.0)).alias(f"q_{a}") for i, a in enumerate(ACTS))))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _by_fold(score: str):  # noqa: ANN202
-    from pyspark.sql import Window
+def ranked(df: DataFrame, score: str, out: str, bins: int = 4096) -> DataFrame:
+    """df with out, the share of rows with a lower score: counted in bins of the score's quantiles, so that no task sees all rows; inside a bin rows are even."""
+    edges = df.approxQuantile(score, [i / bins for i in range(1, bins)], 1 / bins / 2) if bins else []
+    cut = F.lit(0) if not edges else F.size(F.filter(F.array(*(F.lit(float(e)) for e in sorted(set(edges)))), lambda e: e < F.col(score)))
+    placed = df.withColumn("_bin", cut)
+    counts = placed.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))
+    below = F.sum("_n").over(Window.orderBy("_bin")) - F.col("_n")
+    shares = counts.select("_bin", (below / F.greatest(F.sum("_n").over(Window.partitionBy()) - 1, F.lit(1))).alias(out))
+    return placed.join(F.broadcast(shares), "_bin").drop("_bin")  # one row for each bin
 
-    return Window.partitionBy("fold").orderBy(score)
+
+def fit_pair_risk(pairs: DataFrame, features: Sequence[str], seeds: Sequence[int] = (1, 2, 3), rounds: int = 60, depth: int = 5, trees: int = 60, bins: int = 200) -> DataFrame:
+    """K4: out-of-fold risk of pairs, as the mean rank of boosted trees and forests of several seeds and of a logistic model.
+
+    rounds and depth are those of the boosted trees, trees the number in a forest. Ranks are over all pairs, in bins.
+    """
+    boosted = [GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=s) for s in seeds]
+    models = [*boosted, *(RandomForestClassifier(numTrees=trees, maxDepth=depth + 2, seed=s) for s in seeds), LogisticRegression(regParam=0.01)]
+    names = [f"_m{i}" for i in range(len(models))]
+    for name, m in zip(names, models, strict=True):
+        pairs = cross_fit(pairs, m, features, out=name)
+    pairs = kept(pairs)
+    for name in names:
+        pairs = ranked(pairs, name, f"{name}r", bins)
+    ranks = [F.col(f"{n}r") for n in names]
+    return pairs.withColumn("risk", sum(ranks[1:], ranks[0]) / len(ranks)).drop(*names, *(f"{n}r" for n in names))
 
 
 def fit_family(pairs: DataFrame, features: Sequence[str]) -> DataFrame:
     """K5: the most likely family of every pair, by a multinomial model of the positives of other folds."""
     positives = pairs.where("label = 1")
     parts = []
-    for k in sorted(r[0] for r in pairs.select("fold").distinct().collect()):
+    for k in _folds(pairs, "fold"):
         train, test = positives.where(F.col("fold") != k), pairs.where(F.col("fold") == k)
         if train.select("family").distinct().count() < 2:
             parts.append(test.withColumn("predicted_family", F.lit(0.0)))
@@ -120,24 +181,100 @@ def fit_family(pairs: DataFrame, features: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def route_experts(episodes: DataFrame, features: Sequence[str], share: float = 0.5) -> DataFrame:
-    """K6 and K7: a detector of listed episodes for all, one for each family, and their mixture by the family of the pair."""
-    general = cross_fit(episodes.withColumn("_w", F.when(F.col("y") == 1, 3.0).otherwise(1.0)), GBTClassifier(maxIter=3, maxDepth=2, seed=3), features, label="y", weight="_w", out="universal")
-    parts = [cross_fit(general.where(F.col("family") == f), LogisticRegression(regParam=0.05), features, label="y", out="routed") for f in sorted(r[0] for r in episodes.select("family").distinct().collect())]
-    both = reduce(DataFrame.unionByName, parts).drop("_w")
-    return both.withColumn("score", (1 - share) * F.col("universal") + share * F.col("routed"))
+def fit_episode_detector(episodes: DataFrame, features: Sequence[str], model: Estimator | None = None, out: str = "score", balance: float = 3.0, hard: float = 2.0) -> DataFrame:
+    """K6: out-of-fold chance that an episode is listed. Listed rows weigh `balance`, unlisted ones before the pair's last listed one (hard_negative = 1) `hard`."""
+    weighted = episodes.withColumn("_w", F.when(F.col("y") == 1, balance).when(F.col("hard_negative") == 1, hard).otherwise(1.0))
+    return cross_fit(weighted, model or GBTClassifier(maxIter=40, maxDepth=4, stepSize=0.1, seed=3), features, label="y", weight="_w", out=out).drop("_w")
+
+
+def route_experts(episodes: DataFrame, features: Sequence[str], share: float = 0.5, model: Estimator | None = None) -> DataFrame:
+    """K7: a detector of listed episodes (K6) for all, one for each family, and their mixture by the family of the pair."""
+    general = fit_episode_detector(episodes, features, model, "universal")
+    parts = [cross_fit(general.where(F.col("family") == f), LogisticRegression(regParam=0.05), features, label="y", out="routed") for f in _folds(episodes, "family")]
+    return reduce(DataFrame.unionByName, parts).withColumn("score", (1 - share) * F.col("universal") + share * F.col("routed"))
 
 
 def leave_one_family_out(pairs: DataFrame, features: Sequence[str], model: Estimator | None = None) -> DataFrame:
     """Scores of each family's positives, and of all negatives, by models that never saw the family."""
     parts = []
-    for f in sorted(r[0] for r in pairs.where("label = 1").select("family").distinct().collect()):
+    for f in _folds(pairs.where("label = 1"), "family"):
         hidden = pairs.withColumn("_w", F.when((F.col("label") == 1) & (F.col("family") == f), 0.0).otherwise(1.0))
         scored = cross_fit(hidden, model or LogisticRegression(regParam=0.01), features, weight="_w")
         parts.append(scored.where(F.col("label").isNotNull() & ((F.col("label") == 0) | (F.col("family") == f))).withColumn("hidden_family", F.lit(f)).drop("_w"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def value_residual(episodes: DataFrame, target: str, context: Sequence[str], keys: Sequence[str] = ("lo", "hi"), model: Estimator | None = None) -> DataFrame:
+    """What of a value its context doesn't explain, by a regression of the other folds; of each group the highest residual plus half the mean of the positive parts."""
+    fitted = cross_fit(episodes, model or LinearRegression(regParam=0.01), context, label=target, out="_expected")
+    rest = F.col(target) - F.col("_expected")
+    return fitted.groupBy(*keys).agg((F.max(rest) + 0.5 * F.avg(F.greatest(rest, F.lit(0.0)))).alias("value"), F.max(rest).alias("highest"), F.count(F.lit(1)).alias("n"))
+
+
+def attention_bag(scored: DataFrame, gate: str, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """D47 for any columns: their means by softmax of the gate's logit over each group, their maxima, the largest weight, and the weights' entropy as a share of the possible."""
+    by = Window.partitionBy(*keys)
+    p = F.least(F.greatest(F.col(gate), F.lit(1e-6)), F.lit(1 - 1e-6))
+    logits = scored.withColumn("_z", F.log(p / (1 - p)))
+    weights = logits.withColumn("_e", F.exp(F.col("_z") - F.max("_z").over(by))).withColumn("_g", F.col("_e") / F.sum("_e").over(by))
+    entropy = F.when(F.count(F.lit(1)) > 1, -F.sum(F.col("_g") * F.log(F.col("_g") + 1e-12)) / F.log(F.count(F.lit(1)))).otherwise(F.lit(0.0))
+    return weights.groupBy(*keys).agg(*(F.sum(F.col("_g") * F.col(c)).alias(f"{c}_mean") for c in columns), *(F.max(c).alias(f"{c}_max") for c in columns), F.max("_g").alias("gate_max"), entropy.alias("gate_entropy"))
+
+
+def gated_bag_model(episodes: DataFrame, pairs: DataFrame, features: Sequence[str], keys: Sequence[str] = ("lo", "hi")) -> DataFrame:
+    """A detector of episodes gates their features into a bag for each pair, and a pair model reads the bags. episodes: keys, fold, y (null where unknown), features; pairs: keys, fold, label."""
+    gated = cross_fit(episodes, LogisticRegression(regParam=0.05), features, label="y", out="_gate")
+    bags = attention_bag(gated, "_gate", features, keys)
+    names = [c for c in bags.columns if c not in keys]
+    return cross_fit(pairs.join(bags, list(keys)), LogisticRegression(regParam=0.01), names, standardize=True).select(*pairs.columns, "score")
+
+
+def pairwise_rerank(candidates: DataFrame, features: Sequence[str], keys: Sequence[str] = ("lo", "hi"), most: int = 20) -> DataFrame:
+    """Candidates (keys, fold, episode, y, r, features) with a score by a logistic model of differences between a listed and an unlisted one of its group.
+
+    A difference weighs what swapping the two changes of the precision at five. Only the first `most` of a group are compared, so it gives at most most * most / 4 pairs. The score is the model's weights
+    on the features; the fold's own rows don't train.
+    """
+    few = candidates.where(F.col("r") <= most)
+    a, b = few.where("y = 1").alias("a"), few.where("y = 0").alias("b")
+    gain = lambda r: F.when(r <= 5, 1.0 / r).otherwise(0.0)
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
+    up = a.join(b, same).select(F.col("a.fold").alias("fold"), F.abs(gain(F.col("a.r")) - gain(F.col("b.r"))).alias("w"), *((F.col(f"a.{f}") - F.col(f"b.{f}")).alias(f) for f in features)).where("w > 0")
+    both = up.withColumn("label", F.lit(1)).unionByName(up.select("fold", "w", *((-F.col(f)).alias(f) for f in features)).withColumn("label", F.lit(0)))
+    parts = []
+    for k in _folds(few, "fold"):
+        train, test = both.where(F.col("fold") != k).na.fill(0.0), few.where(F.col("fold") == k)
+        if train.isEmpty():
+            parts.append(test.withColumn("score", F.lit(0.0)))
+            continue
+        assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(train)
+        fitted = LogisticRegression(weightCol="w", regParam=0.05, fitIntercept=False).fit(assembled)
+        weights = fitted.coefficients.toArray().tolist()
+        parts.append(test.withColumn("score", sum((F.lit(w) * F.coalesce(F.col(f), F.lit(0.0)) for w, f in zip(weights, features, strict=True)), F.lit(0.0))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def seed_expand(pairs: DataFrame, statistic: str, features: Sequence[str], top: float = 0.02, keys: Sequence[str] = ("lo", "hi")) -> DataFrame:
+    """Pairs of a high statistic are seeds, against pairs of a low one and known negatives; a model that doesn't see the statistic scores all, out of fold.
+
+    Returns for the highest scorers that are not seeds (as many as seeds), and for all others, how many there are and their mean statistic: a real kind of pair has it elevated among the first.
+    """
+    if statistic in features:
+        raise ValueError(f"{statistic} can't be a feature of its own expansion")
+    high, low = pairs.approxQuantile(statistic, [1 - top, 0.5], 0.001)
+    seeded = pairs.withColumn("_seed", F.when(F.col(statistic) > high, 1).when((F.col(statistic) <= low) | (F.col("label") == 0), 0))
+    scored = kept(cross_fit(seeded, LogisticRegression(regParam=0.01), features, label="_seed", out="_score"))
+    edge = scored.where("_seed is distinct from 1").approxQuantile("_score", [1 - top], 0.001)[0]
+    group = F.when(F.col("_seed") == 1, "seed").when(F.col("_score") > edge, "expanded").otherwise("rest")
+    return scored.groupBy(group.alias("kind")).agg(F.count(F.lit(1)).alias("pairs"), F.avg(statistic).alias("mean_statistic"), F.avg("_score").alias("mean_score"))
+
+
+def column_subset(columns: Sequence[str], seed: int, share: float = 0.5) -> list[str]:
+    """The first columns in the order of a hash of their names and the seed, for models that differ."""
+    order = sorted(columns, key=lambda c: hashlib.md5(f"{c}-{seed}".encode()).hexdigest())
+    return order[: max(1, round(share * len(columns)))]
+
+
 def nn_pu_logistic(df: DataFrame, features: Sequence[str], prior: float = 0.1, rounds: int = 30, rate: float = 0.5) -> list[float]:
     """K9: weights, and last the intercept, of a logistic model under the non-negative risk for positives (label 1) and unlabelled rows.
 
@@ -162,18 +299,40 @@ def nn_pu_logistic(df: DataFrame, features: Sequence[str], prior: float = 0.1, r
     return w
 
 
+def pu_prior_grid(df: DataFrame, features: Sequence[str], priors: Sequence[float] = (0.05, 0.1, 0.2), rounds: int = 20) -> DataFrame:
+    """K9 for several priors: prior, feature and weight of standardised features, the last one the intercept; one row for each of a few."""
+    stats = df.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(features)), *(F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(features))).first()
+    rows = kept(df.select("label", *(((F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] + 1e-6)).alias(c) for i, c in enumerate(features))))
+    found = [(p, name, float(w)) for p in priors for name, w in zip([*features, "intercept"], nn_pu_logistic(rows, features, p, rounds), strict=True)]
+    return df.sparkSession.createDataFrame(found, "prior double, feature string, weight double")
+
+
 def domain_classifier(a: DataFrame, b: DataFrame, features: Sequence[str], folds: int = 3) -> DataFrame:
     """Out-of-fold chance that a row is of b rather than a; where the two are alike it is near b's share for all."""
     both = a.select(*features).withColumn("label", F.lit(0)).unionByName(b.select(*features).withColumn("label", F.lit(1)))
     return cross_fit(both.withColumn("fold", F.pmod(F.xxhash64(*features), F.lit(folds)).cast("int")), LogisticRegression(regParam=0.01), features)
 
 
-def pair_comparator(candidates: DataFrame, features: Sequence[str], keys: Sequence[str] = ("lo", "hi")) -> DataFrame:
-    """Expected wins of each candidate (keys, episode, y, r, features) against the others of its group, by a logistic model of differences.
+def domain_report(a: DataFrame, b: DataFrame, features: Sequence[str]) -> DataFrame:
+    """How well a from b is told, as areas under the curve: by the classifier (feature "all"), by the classifier without each feature (without), and by each feature alone (alone)."""
+    area = lambda df, c: BinaryClassificationEvaluator(rawPredictionCol=c, labelCol="label").evaluate(df)
+    scored = kept(domain_classifier(a, b, features))
+    out = [("all", area(scored, "score"), None)]
+    for c in features:
+        rest = [f for f in features if f != c]
+        filled = scored.withColumn("_x", F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+        out.append((c, area(filled, "_x"), area(domain_classifier(a, b, rest), "score") if rest else None))
+    return a.sparkSession.createDataFrame(out, "feature string, alone double, without double")
+
 
-    r is a rank within the group; only the first 20 are compared, so a group gives at most 380 rows.
+def pair_comparator(candidates: DataFrame, features: Sequence[str], keys: Sequence[str] = ("lo", "hi"), most: int = 20) -> DataFrame:
+    """Expected wins of each candidate (keys, episode, y, r, features) against the others of its group, by a logistic model of differences in features and ranks.
+
+    r is a rank within the group; only the first `most` are compared, so a group gives at most most * (most - 1) rows.
     """
-    few = candidates.where("r <= 20")
+    by = Window.partitionBy(*keys)
+    few = candidates.where(F.col("r") <= most).withColumns({f"{f}_rank": F.rank().over(by.orderBy(f)) / F.count(F.lit(1)).over(by) for f in features})
+    features = [*features, *(f"{f}_rank" for f in features)]
     a, b = few.alias("a"), few.alias("b")
     same = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]) & (F.col("a.episode") != F.col("b.episode"))
     pairs = a.join(b, same).select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.episode").alias("episode"), F.when(F.col("a.y") != F.col("b.y"), (F.col("a.y") > F.col("b.y")).cast("int")).alias("label"), *((F.col(f"a.{f}") - F.col(f"b.{f}")).alias(f) for f in features))
@@ -185,28 +344,51 @@ def pair_comparator(candidates: DataFrame, features: Sequence[str], keys: Sequen
 
 
 def _table(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relation as a written table: models read it once for each fold."""
     from tandem import catalog
 
-    return catalog.relations().frame(spark, f"SELECT * FROM {{{name}}}", catalog.Tables(spark, sf_dir)).persist()
+    return kept(catalog.relations().frame(spark, f"SELECT * FROM {{{name}}}", catalog.Tables(spark, sf_dir)))
 
 
 _PAIR = ("f_score", "f_top", "f_log_n", "f_lo_hi", "f_hi_lo")
 _EPISODE = ("f_score", "f_lean", "f_s_lo", "f_s_hi")
+_DECISION = ("stage", "facing", "cost", "odds", "active", "pushes_before", "own_pushes_before", "strength", "own_no")
+_CONTEXT = ("f_s_lo", "f_s_hi", "f_put", "f_players", "f_stayed")
 _FEW = ("pool", "lo", "hi", "label", "fold")
 
 
-def _comparator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table("episode_table", spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("lo", "hi").orderBy(F.col("f_score").desc(), "episode")))
+
+
+def _two_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table("window_table", spark, sf_dir)
+    first, second = rows.where("win = 'development'"), rows.where("win = 'evaluation'")
+    return cross_fit(first, LogisticRegression(regParam=0.01), ("f_score", "f_top", "f_log_n"), other=second).select("pool", "win", "lo", "hi", "label", "fold", "score")
+
+
+def _domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table("window_table", spark, sf_dir)
+    return domain_report(rows.where("win = 'development'"), rows.where("win = 'evaluation'"), ("f_score", "f_top", "f_log_n"))
+
 
-    rows = _table("episode_table", spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("lo", "hi").orderBy(F.col("f_score").desc(), "episode")))
-    return pair_comparator(rows, _EPISODE)
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated_bag_model(_table("all_episodes", spark, sf_dir), _table("pair_table", spark, sf_dir).select(*_FEW), _EPISODE).select(*_FEW, "score")
 
 
 QUERIES = {
-    "cross_fit": lambda spark, d: cross_fit(_table("pair_table", spark, d), LogisticRegression(regParam=0.01), _PAIR).select(*_FEW, "score"),
-    "fit_pair_risk": lambda spark, d: fit_pair_risk(_table("pair_table", spark, d), _PAIR).select(*_FEW, "risk"),
+    "cross_fit": _two_windows,
+    "fit_action_policy": lambda spark, d: fit_action_policy(_table("decision_table", spark, d), _DECISION).select("episode", "ordinal", "act", "fold", "q_exit", "q_hold", "q_match", "q_push"),
+    "fit_pair_risk": lambda spark, d: fit_pair_risk(_table("pair_table", spark, d), _PAIR, (1, 2), 6, 3, 12).select(*_FEW, "risk"),
     "fit_family": lambda spark, d: fit_family(_table("pair_table", spark, d), _PAIR).select(*_FEW, "predicted_family"),
-    "route_experts": lambda spark, d: route_experts(_table("episode_table", spark, d), _EPISODE).select("lo", "hi", "episode", "y", "universal", "routed", "score"),
+    "fit_episode_detector": lambda spark, d: fit_episode_detector(_table("episode_table", spark, d), _EPISODE, GBTClassifier(maxIter=8, maxDepth=3, stepSize=0.1, seed=3)).select("lo", "hi", "episode", "y", "hard_negative", "score"),
+    "route_experts": lambda spark, d: route_experts(_table("episode_table", spark, d), _EPISODE, model=GBTClassifier(maxIter=8, maxDepth=3, stepSize=0.1, seed=3)).select("lo", "hi", "episode", "y", "universal", "routed", "score"),
+    "nn_pu_logistic": lambda spark, d: pu_prior_grid(_table("pair_table", spark, d), _PAIR, (0.05, 0.1, 0.2), 10),
     "leave_one_family_out": lambda spark, d: leave_one_family_out(_table("pair_table", spark, d), _PAIR).select(*_FEW, "hidden_family", "score"),
-    "pair_comparator": _comparator,
+    "value_residual": lambda spark, d: value_residual(_table("all_episodes", spark, d), "f_score", _CONTEXT),
+    "gated_bag_model": _gated,
+    "pairwise_rerank": lambda spark, d: pairwise_rerank(_candidates(spark, d), _EPISODE).select("lo", "hi", "episode", "y", "r", "score"),
+    "domain_classifier": _domains,
+    "pair_comparator": lambda spark, d: pair_comparator(_candidates(spark, d), _EPISODE),
+    "seed_expand": lambda spark, d: seed_expand(_table("pair_table", spark, d), "f_top", ("f_score", "f_log_n", "f_lo_hi", "f_hi_lo")),
 }

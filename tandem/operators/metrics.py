@@ -28,16 +28,26 @@ WITH t AS (SELECT l.quality AS y, d.source, rank() OVER (PARTITION BY d.source O
 SELECT source, count(*) AS n, round((sum(CASE WHEN y = 1 THEN r END) - CAST(sum(y) AS DOUBLE) * (sum(y) + 1) / 2e0) / nullif(CAST(sum(y) AS DOUBLE) * (count(*) - sum(y)), 0e0), 8) AS auc FROM t GROUP BY source""",
     "recall_at_k": f"""
 SELECT g.k, count(*) AS listed, round(avg(CASE WHEN f.r <= g.k THEN 1e0 ELSE 0e0 END), 8) AS recall FROM {{listed}} l JOIN ({_FIVE}) f ON f.lo = l.lo AND f.hi = l.hi AND f.episode = l.episode CROSS JOIN (SELECT k FROM (VALUES (5), (10), (20), (40)) AS v(k)) g GROUP BY g.k""",
-    "rank_change_audit": f"""
-SELECT a.pool, count(*) AS pairs, round(avg(abs(a.r - b.r)), 6) AS mean_shift, max(abs(a.r - b.r)) AS max_shift, count(CASE WHEN a.r <= 20 AND b.r <= 20 THEN 1 END) AS common_top, count(CASE WHEN a.r <= 20 AND a.label IS NULL THEN 1 END) AS unknown_top
-FROM (SELECT pool, lo, hi, label, CAST(row_number() OVER (PARTITION BY pool ORDER BY score DESC, lo, hi) AS BIGINT) AS r FROM {{pair_scores}}) a JOIN (SELECT lo, hi, CAST(row_number() OVER (PARTITION BY pool ORDER BY top DESC, lo, hi) AS BIGINT) AS r FROM {{pair_scores}}) b ON b.lo = a.lo AND b.hi = a.hi GROUP BY a.pool""",
-    # What is lost because a listed episode is not among the first twenty, not chosen, or chosen late
+    # Shifts between two orders of a pool's pairs, and what they change of the average precision
+    "rank_change_audit": """
+WITH r AS (SELECT pool, lo, hi, label, row_number() OVER (PARTITION BY pool ORDER BY score DESC, lo, hi) AS a, row_number() OVER (PARTITION BY pool ORDER BY top DESC, lo, hi) AS b FROM {pair_scores}),
+c AS (SELECT r.*, CASE WHEN label = 1 THEN sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY pool ORDER BY a) / CAST(a AS DOUBLE) END AS gain_a, CASE WHEN label = 1 THEN sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY pool ORDER BY b) / CAST(b AS DOUBLE) END AS gain_b FROM r)
+SELECT pool, count(*) AS pairs, round(avg(abs(a - b)), 6) AS mean_shift, max(abs(a - b)) AS max_shift, count(CASE WHEN a <= 20 AND b <= 20 THEN 1 END) AS common_top, count(CASE WHEN a <= 20 AND label IS NULL THEN 1 END) AS unknown_top_a, count(CASE WHEN b <= 20 AND label IS NULL THEN 1 END) AS unknown_top_b,
+  round(avg(gain_a), 8) AS ap_a, round(avg(gain_b), 8) AS ap_b, round(sum(gain_b - gain_a), 6) AS contribution_change, round(max(gain_b - gain_a), 6) AS best_change, round(min(gain_b - gain_a), 6) AS worst_change FROM c GROUP BY pool""",
+    # What is lost because a listed episode is not among the first twenty, not chosen, or chosen late: the precision at five with the chosen in the right order, and with the right choice from the twenty
     "loss_decomposition": f"""
-SELECT p.family, count(*) AS listed, count(CASE WHEN f.r > 20 THEN 1 END) AS outside_pool, count(CASE WHEN f.r BETWEEN 6 AND 20 THEN 1 END) AS not_selected, count(CASE WHEN f.r <= 5 AND f.r > l.evidence_rank THEN 1 END) AS ordered_late
-FROM {{listed}} l JOIN ({_FIVE}) f ON f.lo = l.lo AND f.hi = l.hi AND f.episode = l.episode JOIN {{pair_labels}} p ON p.lo = l.lo AND p.hi = l.hi GROUP BY p.family""",
-    "score_calibration": """
-SELECT CAST(floor(c.p * 1e1) AS INT) AS bin, count(*) AS n, round(avg(c.p), 6) AS predicted, round(avg(CASE WHEN g.episode IS NOT NULL THEN 1e0 ELSE 0e0 END), 6) AS observed
-FROM {chances} c JOIN {pair_labels} l ON l.lo = c.lo AND l.hi = c.hi AND l.label = 1 LEFT JOIN {listed} g ON g.lo = c.lo AND g.hi = c.hi AND g.episode = c.episode GROUP BY CAST(floor(c.p * 1e1) AS INT)""",
+WITH c AS (SELECT l.lo, l.hi, count(*) AS n, count(CASE WHEN f.r <= 20 THEN 1 END) AS in_pool, count(CASE WHEN f.r <= 5 THEN 1 END) AS chosen, count(CASE WHEN f.r <= 5 AND f.r > l.evidence_rank THEN 1 END) AS late FROM {{listed}} l JOIN ({_FIVE}) f ON f.lo = l.lo AND f.hi = l.hi AND f.episode = l.episode GROUP BY l.lo, l.hi),
+x AS (SELECT p.family, c.*, a.ap, chosen / CAST(least(5, n) AS DOUBLE) AS best_of_chosen, least(in_pool, 5) / CAST(least(5, n) AS DOUBLE) AS best_of_pool FROM c JOIN {{pair_labels}} p ON p.lo = c.lo AND p.hi = c.hi JOIN ({_AP5}) a ON a.lo = c.lo AND a.hi = c.hi)
+SELECT family, count(*) AS pairs, CAST(sum(n) AS BIGINT) AS listed, CAST(sum(n - in_pool) AS BIGINT) AS outside_pool, CAST(sum(in_pool - chosen) AS BIGINT) AS not_selected, CAST(sum(late) AS BIGINT) AS ordered_late, round(avg(ap), 8) AS map5, round(avg(best_of_chosen), 8) AS map5_ordered_right, round(avg(best_of_pool), 8) AS map5_chosen_right,
+  round(avg(best_of_chosen - ap), 8) AS lost_by_order, round(avg(best_of_pool - best_of_chosen), 8) AS lost_by_choice, round(avg(1e0 - best_of_pool), 8) AS lost_by_pool FROM x GROUP BY family""",
+    # Predicted against observed shares by bins of the chance, numbers of listed episodes, and expected against achieved average precision
+    "score_calibration": f"""
+WITH b AS (SELECT c.lo, c.hi, c.p, CAST(floor(c.p * 1e1) AS INT) AS bin, CASE WHEN g.episode IS NOT NULL THEN 1e0 ELSE 0e0 END AS y, row_number() OVER (PARTITION BY c.lo, c.hi ORDER BY c.p DESC, c.episode) AS r
+  FROM {{chances}} c JOIN {{pair_labels}} l ON l.lo = c.lo AND l.hi = c.hi AND l.label = 1 LEFT JOIN {{listed}} g ON g.lo = c.lo AND g.hi = c.hi AND g.episode = c.episode),
+e AS (SELECT lo, hi, sum(CASE WHEN r <= 5 THEN p * (1e0 + before) / r END) / least(sum(p), 5e0) AS expected, sum(CASE WHEN r <= 5 THEN y * hits / r END) / nullif(least(sum(y), 5e0), 0e0) AS achieved, sum(p) AS mass, sum(y) AS listed
+  FROM (SELECT b.*, sum(p) OVER (PARTITION BY lo, hi ORDER BY r) - p AS before, sum(y) OVER (PARTITION BY lo, hi ORDER BY r) AS hits FROM b) t GROUP BY lo, hi)
+SELECT 'bin' AS what, bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(y), 6) AS observed FROM b GROUP BY bin
+UNION ALL SELECT 'listed' AS what, 0 AS bin, count(*) AS n, round(avg(mass), 6) AS predicted, round(avg(listed), 6) AS observed FROM e UNION ALL SELECT 'ap' AS what, 0 AS bin, count(*) AS n, round(avg(expected), 6) AS predicted, round(avg(coalesce(achieved, 0e0)), 6) AS observed FROM e""",
     # A metric by exposure, and again with the weights of all pairs
     "exposure_strata": """
 WITH b AS (SELECT CAST(least(floor(n / 10), 3) AS INT) AS bin, label, score FROM {pair_scores}), w AS (SELECT bin, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS w FROM b GROUP BY bin)
@@ -46,12 +56,15 @@ SELECT b.bin, count(*) AS n, round(max(w.w), 6) AS weight, round(avg(b.score), 8
 
 
 def cluster_bootstrap(scores: DataFrame, replicas: int = 100, seed: int = 11) -> DataFrame:
-    """Mean score of positives less that of negatives, with pools drawn again with replacement.
+    """Average precision, and mean score of positives less that of negatives, with pools drawn again with replacement.
 
-    scores: pool, label, score. A pool's multiplicity in a replica is Poisson of mean 1, from a hash of both, so any partitioning gives the same. Returns
-    one row: replicas with both classes, mean, 5% and 95% quantiles, and the share above 0. Rows are summed for each pool before they meet the replicas.
+    scores: pool, lo, hi, label, score. A pool's multiplicity in a replica is Poisson of mean 1, from a hash of both, so any partitioning gives the same. A replica's average precision
+    is the mean over its drawn pools that have a positive. Returns for either measure the number of replicas that have one, mean, 5% and 95% quantiles, and the share above 0. Rows are summed for each
+    pool before they meet the replicas.
     """
-    pools = scores.where("label is not null").groupBy("pool").agg(*(F.sum(F.when(F.col("label") == y, x)).alias(n) for y, x, n in ((1, F.col("score"), "s1"), (0, F.col("score"), "s0"), (1, F.lit(1.0), "n1"), (0, F.lit(1.0), "n0"))))
+    known = scores.where("label is not null")
+    sums = known.groupBy("pool").agg(*(F.sum(F.when(F.col("label") == y, x)).alias(n) for y, x, n in ((1, F.col("score"), "s1"), (0, F.col("score"), "s0"), (1, F.lit(1.0), "n1"), (0, F.lit(1.0), "n0"))))
+    pools = sums.join(average_precision(known, "label", "score", ("lo", "hi"), ("pool",)), "pool").withColumn("has", (F.coalesce("n1", F.lit(0.0)) > 0).cast("double"))
     u: Column = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("pool").cast("string"), F.col("b").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / 2.0**32
     tails, p, total = [], 0.36787944117144233, 0.0
     for k in range(8):
@@ -60,9 +73,9 @@ def cluster_bootstrap(scores: DataFrame, replicas: int = 100, seed: int = 11) ->
         p /= k + 1
     times = sum(tails[1:], tails[0])
     drawn = pools.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicas)))).withColumn("w", times)
-    each = drawn.groupBy("b").agg(*(F.sum(F.col("w") * F.coalesce(c, F.lit(0.0))).alias(c) for c in ("s1", "s0", "n1", "n0")))
-    gap = each.where("n1 > 0 and n0 > 0").select((F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0")).alias("gap"))
-    return gap.agg(F.count(F.lit(1)).alias("replicas"), F.avg("gap").alias("mean"), F.percentile("gap", 0.05).alias("low"), F.percentile("gap", 0.95).alias("high"), F.avg((F.col("gap") > 0).cast("double")).alias("above"))
+    each = drawn.groupBy("b").agg(*(F.sum(F.col("w") * F.coalesce(c, F.lit(0.0))).alias(c) for c in ("s1", "s0", "n1", "n0")), (F.sum(F.col("w") * F.col("has") * F.col("ap")) / F.nullif(F.sum(F.col("w") * F.col("has")), F.lit(0.0))).alias("ap"))
+    values = each.select(F.explode(F.array(F.struct(F.lit("gap").alias("measure"), F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0")).alias("x")), F.struct(F.lit("ap").alias("measure"), F.col("ap").alias("x")))).alias("v")).select("v.*").where("x is not null")
+    return values.groupBy("measure").agg(F.count(F.lit(1)).alias("replicas"), F.avg("x").alias("mean"), F.percentile("x", 0.05).alias("low"), F.percentile("x", 0.95).alias("high"), F.avg((F.col("x") > 0).cast("double")).alias("above"))
 
 
 def average_precision(df: DataFrame, label: str, score: str, ids: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
@@ -75,8 +88,18 @@ def average_precision(df: DataFrame, label: str, score: str, ids: tuple[str, ...
 def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tandem import catalog
 
-    out = cluster_bootstrap(catalog.relations().frame(spark, "SELECT pool, label, score FROM {pair_scores}", catalog.Tables(spark, sf_dir)))
-    return out.select("replicas", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high", "above")))
+    out = cluster_bootstrap(catalog.relations().frame(spark, "SELECT pool, lo, hi, label, round(score, 9) AS score FROM {pair_scores}", catalog.Tables(spark, sf_dir)))
+    return out.select("measure", "replicas", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high", "above")))
 
 
 QUERIES = {"cluster_bootstrap": _bootstrap}
+_TIMES = " + ".join(f"CASE WHEN u >= {t!r} THEN 1 ELSE 0 END" for t in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253))
+ORACLES = {
+    "cluster_bootstrap": f"""
+WITH k AS (SELECT pool, label AS y, round(score, 9) AS score, row_number() OVER w AS r, sum(label) OVER w AS hits FROM {{pair_scores}} WHERE label IS NOT NULL WINDOW w AS (PARTITION BY pool ORDER BY round(score, 9) DESC, lo, hi)),
+p AS (SELECT pool, sum(score) FILTER (y = 1) AS s1, sum(score) FILTER (y = 0) AS s0, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0, coalesce(sum(hits / CAST(r AS DOUBLE)) FILTER (y = 1) / nullif(count(*) FILTER (y = 1), 0), 0e0) AS ap FROM k GROUP BY pool),
+d AS (SELECT p.*, b, ({_TIMES}) AS w FROM (SELECT p.*, b, CAST('0x' || substr(md5(CAST(pool AS VARCHAR) || '-' || CAST(b AS VARCHAR) || '-11'), 1, 8) AS BIGINT) / 4294967296e0 AS u FROM p CROSS JOIN range(1, 101) AS t(b)) p),
+e AS (SELECT b, sum(w * coalesce(s1, 0e0)) AS s1, sum(w * coalesce(s0, 0e0)) AS s0, sum(w * n1) AS n1, sum(w * n0) AS n0, sum(CASE WHEN n1 > 0 THEN w * ap END) / nullif(sum(CASE WHEN n1 > 0 THEN w END), 0) AS ap FROM d GROUP BY b),
+v AS (SELECT 'gap' AS measure, s1 / n1 - s0 / n0 AS x FROM e WHERE n1 > 0 AND n0 > 0 UNION ALL SELECT 'ap', ap FROM e WHERE ap IS NOT NULL)
+SELECT measure, count(*) AS replicas, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.05), 6) AS low, round(quantile_cont(x, 0.95), 6) AS high, round(avg(CASE WHEN x > 0 THEN 1e0 ELSE 0e0 END), 6) AS above FROM v GROUP BY measure""",
+}

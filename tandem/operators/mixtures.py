@@ -1,55 +1,66 @@
-"""Dependence between partners and mixtures of active and idle episodes."""
+"""Dependence between partners and mixtures of active and idle episodes."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# residual of the first decision, made before the partner acts, times the partner's strength
-_EARLY = """
-SELECT lo AS a, hi AS b, episode, CASE WHEN act_lo = 'exit' THEN 1e0 ELSE 0e0 END - x AS r_exit, CASE WHEN act_lo = 'push' THEN 1e0 ELSE 0e0 END - u AS r_push, x * (1e0 - x) AS v_exit, u * (1e0 - u) AS v_push, s_hi - m AS e FROM {first_pairs} WHERE o_lo < o_hi
-UNION ALL
-SELECT hi AS a, lo AS b, episode, CASE WHEN act_hi = 'exit' THEN 1e0 ELSE 0e0 END - x AS r_exit, CASE WHEN act_hi = 'push' THEN 1e0 ELSE 0e0 END - u AS r_push, x * (1e0 - x) AS v_exit, u * (1e0 - u) AS v_push, s_lo - m AS e FROM {first_pairs} WHERE o_hi < o_lo"""
+# Decisions toward a target by classes of both strengths, and their shares in the other folds: q given both classes, z given one's own. Twelve to sixty rows a fold.
+_CLASSES = """t AS (SELECT member AS actor, target, act, CAST(floor(strength * 3e0) AS INT) AS own, CAST(floor(target_strength * 3e0) AS INT) AS partner, count(*) AS n FROM {aimed} WHERE here = 1 GROUP BY member, target, act, CAST(floor(strength * 3e0) AS INT), CAST(floor(target_strength * 3e0) AS INT)),
+c AS (SELECT t.*, ascii(substr(md5(CAST(m.pool AS VARCHAR(20))), 1, 1)) % 3 AS fold FROM t JOIN {members} m ON m.member = t.actor), k AS (SELECT fold, own, partner, act, sum(n) AS n FROM c GROUP BY fold, own, partner, act), f AS (SELECT DISTINCT fold FROM k),
+o AS (SELECT f.fold, g.own, g.partner, g.act, g.n - coalesce(k.n, 0) + 5e-1 AS n FROM f CROSS JOIN (SELECT own, partner, act, sum(n) AS n FROM k GROUP BY own, partner, act) g LEFT JOIN k ON k.fold = f.fold AND k.own = g.own AND k.partner = g.partner AND k.act = g.act),
+q AS (SELECT o.*, n / sum(n) OVER (PARTITION BY fold, own, partner) AS q, sum(n) OVER (PARTITION BY fold, own, act) / sum(n) OVER (PARTITION BY fold, own) AS z FROM o)"""
 
 OPERATORS = {
+    # Residual of the first decision, made before the partner acts, times the partner's strength; either member as the first
     "score_test_partner_info": f"""
-WITH d AS (SELECT a, b, sum(r_exit * e) / sqrt(sum(v_exit * e * e) + 1e-9) AS z_exit, sum(r_push * e) / sqrt(sum(v_push * e * e) + 1e-9) AS z_push, count(*) AS n FROM ({_EARLY}) t GROUP BY a, b)
-SELECT least(a, b) AS lo, greatest(a, b) AS hi, CAST(sum(n) AS BIGINT) AS n, round(sum(z_exit * z_exit + z_push * z_push), 5) AS chi2, round(max(abs(z_exit)), 6) AS z_exit_max, round(max(z_push), 6) AS z_push_max FROM d GROUP BY least(a, b), greatest(a, b)""",
+WITH r AS (SELECT lo, hi, o_lo < o_hi AS lo_first, x * (1e0 - x) AS v_exit, u * (1e0 - u) AS v_push, CASE WHEN o_lo < o_hi THEN s_hi ELSE s_lo END - m AS e, CASE WHEN CASE WHEN o_lo < o_hi THEN act_lo ELSE act_hi END = 'exit' THEN 1e0 ELSE 0e0 END - x AS r_exit, CASE WHEN CASE WHEN o_lo < o_hi THEN act_lo ELSE act_hi END = 'push' THEN 1e0 ELSE 0e0 END - u AS r_push FROM {{first_pairs}}),
+d AS (SELECT lo, hi, count(*) AS n, {", ".join(f"coalesce(sum(CASE WHEN {c} THEN r_{a} * e END) / sqrt(sum(CASE WHEN {c} THEN v_{a} * e * e END) + 1e-9), 0e0) AS z_{a}_{s}" for a in ("exit", "push") for c, s in (("lo_first", "lo"), ("NOT lo_first", "hi")))} FROM r GROUP BY lo, hi)
+SELECT lo, hi, n, round(z_exit_lo * z_exit_lo + z_push_lo * z_push_lo + z_exit_hi * z_exit_hi + z_push_hi * z_push_hi, 5) AS chi2, round(greatest(abs(z_exit_lo), abs(z_exit_hi)), 6) AS z_exit_max, round(greatest(z_push_lo, z_push_hi), 6) AS z_push_max,
+  round(z_push_lo - z_exit_lo, 6) AS lo_leans, round(z_push_hi - z_exit_hi, 6) AS hi_leans FROM d""",
     # The one who acts second
     "responder_score_test": """
-WITH t AS (SELECT lo, hi, CASE WHEN o_lo < o_hi THEN CASE WHEN act_hi = 'exit' THEN 1e0 ELSE 0e0 END ELSE CASE WHEN act_lo = 'exit' THEN 1e0 ELSE 0e0 END END - x AS r, x * (1e0 - x) AS v, CASE WHEN o_lo < o_hi THEN s_lo ELSE s_hi END - m AS e FROM {first_pairs})
-SELECT lo, hi, count(*) AS n, round(sum(r * e) / sqrt(sum(v * e * e) + 1e-9), 6) AS z FROM t GROUP BY lo, hi""",
-    # Decisions after the first, while the partner is there
+WITH t AS (SELECT lo, hi, o_lo < o_hi AS hi_answers, CASE WHEN CASE WHEN o_lo < o_hi THEN act_hi ELSE act_lo END = 'exit' THEN 1e0 ELSE 0e0 END - x AS r, x * (1e0 - x) AS v, CASE WHEN o_lo < o_hi THEN s_lo ELSE s_hi END - m AS e FROM {first_pairs})
+SELECT lo, hi, count(*) AS n, round(sum(r * e) / sqrt(sum(v * e * e) + 1e-9), 6) AS z, round(coalesce(sum(CASE WHEN hi_answers THEN r * e END) / sqrt(sum(CASE WHEN hi_answers THEN v * e * e END) + 1e-9), 0e0), 6) AS z_hi, round(coalesce(sum(CASE WHEN NOT hi_answers THEN r * e END) / sqrt(sum(CASE WHEN NOT hi_answers THEN v * e * e END) + 1e-9), 0e0), 6) AS z_lo FROM t GROUP BY lo, hi""",
+    # Decisions after the first, while the partner is there; summed by episode, then by pair
     "later_decision_stat": """
-SELECT t.actor, t.target, count(*) AS n, round(sum((CASE WHEN t.act = 'push' THEN 1e0 ELSE 0e0 END - p.share - (CASE WHEN t.act = 'exit' THEN 1e0 ELSE 0e0 END - x.share)) * (s.strength - 5e-1)) / sqrt(sum((p.share * (1e0 - p.share) + x.share * (1e0 - x.share) + 2e0 * p.share * x.share) * (s.strength - 5e-1) * (s.strength - 5e-1)) + 1e-9), 6) AS z
-FROM {toward} t JOIN {first_decisions} f ON f.episode = t.episode AND f.member = t.actor AND f.ordinal < t.ordinal JOIN {participants} s ON s.episode = t.episode AND s.member = t.target
-JOIN {class_shares} p ON p.stage = t.stage AND p.facing = CAST(t.to_call > 0e0 AS INT) AND p.act = 'push' JOIN {class_shares} x ON x.stage = t.stage AND x.facing = CAST(t.to_call > 0e0 AS INT) AND x.act = 'exit' GROUP BY t.actor, t.target""",
-    # Two statistics standardised on negatives and added
+WITH h AS (SELECT member AS actor, target, episode, sum((CASE WHEN act = 'push' THEN 1e0 ELSE 0e0 END - q_push - (CASE WHEN act = 'exit' THEN 1e0 ELSE 0e0 END - q_exit)) * (target_strength - 5e-1)) AS s, sum((q_push * (1e0 - q_push) + q_exit * (1e0 - q_exit) + 2e0 * q_push * q_exit) * (target_strength - 5e-1) * (target_strength - 5e-1)) AS v, count(*) AS n
+  FROM {aimed} WHERE here = 1 AND own_no > 1 GROUP BY member, target, episode)
+SELECT actor, target, CAST(sum(n) AS BIGINT) AS n, count(*) AS episodes, round(sum(s) / sqrt(sum(v) + 1e-9), 6) AS z FROM h GROUP BY actor, target""",
+    # Two statistics standardised on negatives and added, against the negatives' upper quantiles
     "null_calibrated_combine": """
-WITH s AS (SELECT p.lo, p.hi, p.score AS a, p.top AS b, p.label FROM {pair_scores} p), n AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb FROM s WHERE label = 0)
-SELECT s.lo, s.hi, round(((a - ma) / nullif(sa, 0e0) + (b - mb) / nullif(sb, 0e0)) / sqrt(2e0), 6) AS combined FROM s CROSS JOIN n""",
+WITH s AS (SELECT p.lo, p.hi, p.score AS a, p.top AS b, p.label FROM {pair_scores} p), n AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb FROM s WHERE label = 0),
+c AS (SELECT s.*, ((a - ma) / nullif(sa, 0e0) + (b - mb) / nullif(sb, 0e0)) / sqrt(2e0) AS z FROM s CROSS JOIN n), q AS (SELECT percentile(z, 9e-1) AS q90, percentile(z, 99e-2) AS q99 FROM c WHERE label = 0)
+SELECT c.lo, c.hi, round(z, 6) AS combined, CAST(z > q90 AS INT) AS over90, CAST(z > q99 AS INT) AS over99 FROM c CROSS JOIN q""",
     "tilt_llr": "SELECT episode, actor, target, round(sum(l), 6) AS llr FROM {tilts} GROUP BY episode, actor, target",
-    # Log Bayes factor of a share of active episodes
+    # Log Bayes factor of a share of active episodes, and where it stands among pairs of like exposure that are not positive
     "pair_bayes_factor": """
-WITH h AS (SELECT actor, target, episode, sum(l) AS l FROM {tilts} GROUP BY actor, target, episode) SELECT actor, target, count(*) AS n, round(sum(ln(9e-1 + 1e-1 * exp(l))), 6) AS lbf FROM h GROUP BY actor, target""",
-    # Over a grid of activity, with the episode's posterior at the middle of it
+WITH h AS (SELECT actor, target, episode, sum(l) AS l FROM {tilts} GROUP BY actor, target, episode), b AS (SELECT actor, target, count(*) AS n, sum(ln(9e-1 + 1e-1 * exp(l))) AS lbf FROM h GROUP BY actor, target),
+x AS (SELECT b.*, CAST(floor(ln(n) / ln(2e0) + 1e-9) AS INT) AS exposure, l.label FROM b LEFT JOIN {pair_labels} l ON l.lo = least(b.actor, b.target) AND l.hi = greatest(b.actor, b.target)),
+z AS (SELECT exposure, avg(lbf) AS mean, stddev_samp(lbf) AS sd, percentile(lbf, 95e-2) AS q95 FROM x WHERE label = 0 OR label IS NULL GROUP BY exposure)
+SELECT x.actor, x.target, x.n, round(x.lbf, 6) AS lbf, x.exposure, round((x.lbf - z.mean) / nullif(z.sd, 0e0), 5) AS z, CAST(x.lbf > z.q95 AS INT) AS over95 FROM x LEFT JOIN z ON z.exposure = x.exposure""",
+    # Over a grid of sizes and activities, with the activity and the size to expect after it
     "sparse_activity_lbf": """
-WITH h AS (SELECT actor, target, episode, sum(l) AS l FROM {tilts} GROUP BY actor, target, episode), g AS (SELECT rho FROM (VALUES (2e-2), (1e-1), (5e-1)) AS v(rho)),
-b AS (SELECT actor, target, rho, sum(ln(1e0 - rho + rho * exp(l))) AS lbf FROM h CROSS JOIN g GROUP BY actor, target, rho)
-SELECT actor, target, round(max(lbf), 6) AS best, round(max(lbf) + ln(sum(exp(lbf - m)) / 3e0), 6) AS averaged FROM (SELECT b.*, max(lbf) OVER (PARTITION BY actor, target) AS m FROM b) t GROUP BY actor, target""",
-    # Classes of own and partner's strength against classes of own strength
-    "class_mixture_llr": """
-WITH t AS (SELECT t.actor, t.target, t.act, CAST(floor(t.strength * 3e0) AS INT) AS own, CAST(floor(p.strength * 3e0) AS INT) AS partner FROM {toward} t JOIN {participants} p ON p.episode = t.episode AND p.member = t.target),
-q AS (SELECT own, partner, act, (n + 5e-1) / sum(n + 5e-1) OVER (PARTITION BY own, partner) AS q FROM (SELECT own, partner, act, count(*) AS n FROM t GROUP BY own, partner, act) c),
-z AS (SELECT own, act, (n + 5e-1) / sum(n + 5e-1) OVER (PARTITION BY own) AS z FROM (SELECT own, act, count(*) AS n FROM t GROUP BY own, act) c)
-SELECT t.actor, t.target, count(*) AS n, round(sum(ln((7e-1 * z.z + 3e-1 * q.q) / z.z)), 6) AS llr FROM t JOIN q ON q.own = t.own AND q.partner = t.partner AND q.act = t.act JOIN z ON z.own = t.own AND z.act = t.act GROUP BY t.actor, t.target""",
-    # Would the decision be likelier with the partner's strength in place of one's own
+WITH h AS (SELECT actor, target, episode, delta, sum(l) AS l FROM {tilts_by_size} GROUP BY actor, target, episode, delta), g AS (SELECT rho FROM (VALUES (2e-2), (1e-1), (5e-1)) AS v(rho)),
+b AS (SELECT actor, target, delta, rho, count(*) AS n, sum(ln(1e0 - rho + rho * exp(l))) AS lbf, avg(rho * exp(l) / (1e0 - rho + rho * exp(l))) AS active FROM h CROSS JOIN g GROUP BY actor, target, delta, rho), m AS (SELECT b.*, max(lbf) OVER (PARTITION BY actor, target) AS m FROM b)
+SELECT actor, target, max(n) AS n, round(max(lbf), 6) AS best, round(max(m) + ln(sum(exp(lbf - m)) / 9e0), 6) AS averaged, round(sum(exp(lbf - m) * active) / sum(exp(lbf - m)), 6) AS active, round(sum(exp(lbf - m) * delta) / sum(exp(lbf - m)), 6) AS delta FROM m GROUP BY actor, target""",
+    # Classes of own and partner's strength against classes of own strength; shares and the part of the mixture come from the other folds
+    "class_mixture_llr": f"""
+WITH {_CLASSES}, g AS (SELECT alpha FROM (VALUES (1e-1), (2e-1), (3e-1), (5e-1)) AS v(alpha)),
+l AS (SELECT c.actor, c.target, c.fold, g.alpha, sum(c.n) AS n, sum(c.n * ln(1e0 - g.alpha + g.alpha * q.q / q.z)) AS llr FROM c JOIN q ON q.fold = c.fold AND q.own = c.own AND q.partner = c.partner AND q.act = c.act CROSS JOIN g GROUP BY c.actor, c.target, c.fold, g.alpha),
+b AS (SELECT fold, alpha, sum(llr) AS llr FROM l GROUP BY fold, alpha), p AS (SELECT f.fold, max_by(b.alpha, round(b.llr, 6)) AS alpha FROM (SELECT fold, alpha, sum(llr) AS llr FROM (SELECT f.fold, b.alpha, b.llr FROM f JOIN b ON b.fold <> f.fold) t GROUP BY fold, alpha) b JOIN f ON f.fold = b.fold GROUP BY f.fold)
+SELECT least(l.actor, l.target) AS lo, greatest(l.actor, l.target) AS hi, CAST(sum(l.n) AS BIGINT) AS n, round(sum(l.llr), 6) AS llr, round(min(l.llr), 6) AS weaker, round(max(l.llr), 6) AS stronger FROM l JOIN p ON p.fold = l.fold AND p.alpha = l.alpha GROUP BY least(l.actor, l.target), greatest(l.actor, l.target)""",
+    # Would the decision be likelier with the partner's strength in place of one's own; the share of such decisions is taken for each stage from a grid
     "substitution_llr": """
-WITH c AS (SELECT CAST(floor(strength * 4e0) AS INT) AS bin, act, count(*) AS n FROM {ev} GROUP BY CAST(floor(strength * 4e0) AS INT), act), q AS (SELECT bin, act, (n + 5e-1) / sum(n + 5e-1) OVER (PARTITION BY bin) AS q FROM c)
-SELECT t.actor, t.target, count(*) AS n, round(sum(ln(8e-1 + 2e-1 * s.q / o.q)), 6) AS llr, round(max(2e-1 * s.q / (8e-1 * o.q + 2e-1 * s.q)), 6) AS most
-FROM {toward} t JOIN {participants} p ON p.episode = t.episode AND p.member = t.target JOIN q o ON o.bin = CAST(floor(t.strength * 4e0) AS INT) AND o.act = t.act JOIN q s ON s.bin = CAST(floor(p.strength * 4e0) AS INT) AND s.act = t.act GROUP BY t.actor, t.target""",
+WITH c AS (SELECT CAST(floor(strength * 4e0) AS INT) AS bin, act, count(*) AS n FROM {ev} GROUP BY CAST(floor(strength * 4e0) AS INT), act), q AS (SELECT bin, act, (n + 5e-1) / sum(n + 5e-1) OVER (PARTITION BY bin) AS q FROM c),
+r AS (SELECT /*+ BROADCAST(o), BROADCAST(s) */ t.member AS actor, t.target, t.stage, s.q / o.q AS ratio FROM {aimed} t JOIN q o ON o.bin = CAST(floor(t.strength * 4e0) AS INT) AND o.act = t.act JOIN q s ON s.bin = CAST(floor(t.target_strength * 4e0) AS INT) AND s.act = t.act WHERE t.here = 1),
+g AS (SELECT a FROM (VALUES (5e-2), (1e-1), (2e-1), (4e-1)) AS v(a)), l AS (SELECT actor, target, stage, a, count(*) AS n, sum(ln(1e0 - a + a * ratio)) AS llr, max(ratio) AS most FROM r CROSS JOIN g GROUP BY actor, target, stage, a),
+b AS (SELECT stage, max_by(a, round(llr, 6)) AS a FROM (SELECT stage, a, sum(llr) AS llr FROM l GROUP BY stage, a) t GROUP BY stage)
+SELECT l.actor, l.target, CAST(sum(l.n) AS BIGINT) AS n, round(sum(l.llr), 6) AS llr, round(max(l.a * most / (1e0 - l.a + l.a * most)), 6) AS most FROM l JOIN b ON b.stage = l.stage AND b.a = l.a GROUP BY l.actor, l.target""",
+    # What the partner's strength adds to the log likelihood of decisions, by models of the other folds without and with it
+    "conditional_gain": f"""
+WITH {_CLASSES}
+SELECT least(c.actor, c.target) AS lo, greatest(c.actor, c.target) AS hi, CAST(sum(c.n) AS BIGINT) AS n, round(sum(c.n * ln(q.q / q.z)), 6) AS gain, round(sum(c.n * ln(q.q / q.z)) / sum(c.n), 8) AS mean_gain FROM c JOIN q ON q.fold = c.fold AND q.own = c.own AND q.partner = c.partner AND q.act = c.act GROUP BY least(c.actor, c.target), greatest(c.actor, c.target)""",
 }
 
 RELATIONS = {
@@ -58,9 +69,10 @@ SELECT e.lo, e.hi, e.episode, e.act_lo, e.act_hi, e.s_lo, e.s_hi, e.o_lo, e.o_hi
 CROSS JOIN (SELECT avg(CASE WHEN act = 'exit' THEN 1e0 ELSE 0e0 END) AS x, avg(CASE WHEN act = 'push' THEN 1e0 ELSE 0e0 END) AS u, avg(strength) AS m FROM {first_decisions}) r""",
     # log likelihood ratio of each decision if pushes and exits lean on the partner's strength
     "tilts": """
-SELECT t.episode, t.actor, t.target, (p.strength - 5e-1) * CASE t.act WHEN 'push' THEN 1e0 WHEN 'exit' THEN -1e0 ELSE 0e0 END - ln(u.share * exp(p.strength - 5e-1) + x.share * exp(5e-1 - p.strength) + 1e0 - u.share - x.share) AS l
-FROM {toward} t JOIN {participants} p ON p.episode = t.episode AND p.member = t.target
-JOIN {class_shares} u ON u.stage = t.stage AND u.facing = CAST(t.to_call > 0e0 AS INT) AND u.act = 'push' JOIN {class_shares} x ON x.stage = t.stage AND x.facing = CAST(t.to_call > 0e0 AS INT) AND x.act = 'exit'""",
+SELECT episode, member AS actor, target, (target_strength - 5e-1) * CASE act WHEN 'push' THEN 1e0 WHEN 'exit' THEN -1e0 ELSE 0e0 END - ln(q_push * exp(target_strength - 5e-1) + q_exit * exp(5e-1 - target_strength) + 1e0 - q_push - q_exit) AS l FROM {aimed} WHERE here = 1""",
+    "tilts_by_size": """
+SELECT episode, member AS actor, target, delta, delta * (target_strength - 5e-1) * CASE act WHEN 'push' THEN 1e0 WHEN 'exit' THEN -1e0 ELSE 0e0 END - ln(q_push * exp(delta * (target_strength - 5e-1)) + q_exit * exp(delta * (5e-1 - target_strength)) + 1e0 - q_push - q_exit) AS l
+FROM {aimed} CROSS JOIN (SELECT delta FROM (VALUES (5e-1), (1e0), (2e0)) AS v(delta)) d WHERE here = 1""",
 }
 
 
@@ -76,46 +88,77 @@ def em_mixture_rate(llrs: DataFrame, rounds: int = 10, start: float = 0.1) -> Da
 
 
 def episodic_activity(llrs: DataFrame, stay: float = 0.9, share: float = 0.1) -> DataFrame:
-    """A chain with an idle and an active state over a group's episodes: log Bayes factor against always idle, and the active state's filtered chance at the end.
+    """A chain with an idle and an active state over a group's episodes: log Bayes factor against always idle, and for each episode the active state's smoothed chance.
 
-    llrs: actor, target, episode, l; episodes are ordered by number. One fold over the group's array; stay is the chance to remain in a state.
+    llrs: actor, target, episode, l; episodes are ordered by number; share is the chance to be active before the first, stay that to remain in a state. A fold forward over the
+    group's array keeps the chance of being active so far, one backward the ratio of what follows if active to what follows if idle.
     """
     rows = llrs.groupBy("actor", "target").agg(F.array_sort(F.collect_list(F.struct("episode", "l"))).alias("r"))
-    ahead = lambda a: a["active"] * stay + (1 - a["active"]) * (1 - stay)
-    weight = lambda a, x: 1 - ahead(a) + ahead(a) * F.exp(x["l"])
-    folded = F.aggregate(
+    ahead = lambda p: p * stay + (1 - p) * (1 - stay)
+    weight = lambda p, x: 1 - ahead(p) + ahead(p) * F.exp(x["l"])
+    empty = F.array().cast("array<double>")
+    forward = F.aggregate(
         "r",
-        F.struct(F.lit(share).alias("active"), F.lit(0.0).alias("lbf")),
-        lambda a, x: F.struct((ahead(a) * F.exp(x["l"]) / weight(a, x)).alias("active"), (a["lbf"] + F.log(weight(a, x))).alias("lbf")),
+        F.struct(F.lit(share).alias("p"), F.lit(0.0).alias("lbf"), empty.alias("out")),
+        lambda a, x: F.struct(
+            (ahead(a["p"]) * F.exp(x["l"]) / weight(a["p"], x)).alias("p"),
+            (a["lbf"] + F.log(weight(a["p"], x))).alias("lbf"),
+            F.concat(a["out"], F.array(ahead(a["p"]) * F.exp(x["l"]) / weight(a["p"], x))).alias("out"),
+        ),
     )
-    return rows.select("actor", "target", folded.alias("f")).select("actor", "target", F.col("f.lbf").alias("lbf"), F.col("f.active").alias("active"))
+    # v: chance of what follows given active now, over that given idle now
+    step = lambda v, x: (stay * F.exp(x["l"]) * v + (1 - stay)) / ((1 - stay) * F.exp(x["l"]) * v + stay)
+    backward = F.aggregate(F.reverse("r"), F.struct(F.lit(1.0).alias("v"), empty.alias("out")), lambda a, x: F.struct(step(a["v"], x).alias("v"), F.concat(a["out"], F.array(a["v"])).alias("out")))
+    each = rows.select("actor", "target", "r", forward.alias("f"), F.reverse(backward["out"]).alias("b")).select("actor", "target", F.col("f.lbf").alias("lbf"), F.explode(F.arrays_zip("r", F.col("f.out").alias("p"), F.col("b").alias("v"))).alias("x"))
+    return each.select("actor", "target", "x.r.episode", "lbf", (F.col("x.p") * F.col("x.v") / (F.col("x.p") * F.col("x.v") + 1 - F.col("x.p"))).alias("active"))
 
 
-def random_rate_marginal(llrs: DataFrame, mean: float = 0.1, nodes: int = 16) -> DataFrame:
-    """Log marginal likelihood ratio of a group whose share of active episodes is itself drawn from an exponential law on (0, 1).
+def rate_nodes(mean: float = 0.1, strength: float = 10.0, nodes: int = 16) -> list[tuple[float, float]]:
+    """(rate, weight) of evenly spaced rates under a Beta law of that mean and strength (the sum of its two parameters)."""
+    rates = [(i + 0.5) / nodes for i in range(nodes)]
+    raw = [r ** (mean * strength - 1) * (1 - r) ** ((1 - mean) * strength - 1) for r in rates]
+    return [(r, w / sum(raw)) for r, w in zip(rates, raw, strict=True)]
 
-    The law is averaged over evenly spaced quantiles; each row meets the nodes once, and the sums are combined by log-sum-exp.
-    """
-    grid = F.array(*(F.lit(-mean * math.log(1 - (i + 0.5) / nodes * (1 - 2.718281828459045 ** (-1 / mean)))) for i in range(nodes)))
-    each = llrs.select("actor", "target", "l", F.explode(grid).alias("rate")).groupBy("actor", "target", "rate").agg(F.sum(F.log(1 - F.col("rate") + F.col("rate") * F.exp("l"))).alias("s"))
-    top = each.groupBy("actor", "target").agg(F.max("s").alias("m"), F.collect_list("s").alias("all"))
-    return top.select("actor", "target", (F.col("m") + F.log(F.aggregate("all", F.lit(0.0), lambda a, s: a + F.exp(s - F.col("m"))) / nodes)).alias("llr"))
 
+def random_rate_marginal(llrs: DataFrame, mean: float = 0.1, strength: float = 10.0, nodes: int = 16) -> DataFrame:
+    """Log marginal likelihood ratio of a group whose share of active episodes is drawn from a Beta law, and the share to expect after it.
 
-def permutation_null(seed: int = 7, n: int = 20) -> str:
-    """SQL for the number of listed episodes that directly follow another one, against n random choices of as many episodes of the pair."""
+    Each row meets the law's nodes once, and the sums are combined by log-sum-exp.
+    """
+    grid = F.array(*(F.struct(F.lit(r).alias("rate"), F.lit(w).alias("w")) for r, w in rate_nodes(mean, strength, nodes)))
+    each = llrs.select("actor", "target", "l", F.explode(grid).alias("g")).select("actor", "target", "l", "g.*").groupBy("actor", "target", "rate", "w").agg(F.sum(F.log(1 - F.col("rate") + F.col("rate") * F.exp("l"))).alias("s"))
+    top = each.groupBy("actor", "target").agg(F.max("s").alias("m"), F.collect_list(F.struct("s", "w", "rate")).alias("all"))
+    total = lambda f: F.aggregate("all", F.lit(0.0), lambda a, x: a + x["w"] * F.exp(x["s"] - F.col("m")) * f(x))
+    return top.select("actor", "target", (F.col("m") + F.log(total(lambda _: F.lit(1.0)))).alias("llr"), (total(lambda x: x["rate"]) / total(lambda _: F.lit(1.0))).alias("rate"))
+
+
+def random_rate_first_k(llrs: DataFrame, k: int = 5, mean: float = 0.1, strength: float = 10.0, nodes: int = 8) -> DataFrame:
+    """first_k_marginal() (I3) for each node of the rate's law, averaged with the nodes' weights after the group's episodes."""
+    from tandem.operators.decoders import first_k_marginal
+
+    grid = F.array(*(F.struct(F.lit(i).alias("node"), F.lit(r).alias("rate"), F.lit(w).alias("w")) for i, (r, w) in enumerate(rate_nodes(mean, strength, nodes))))
+    each = llrs.select("actor", "target", "episode", "l", F.explode(grid).alias("g")).select("actor", "target", "episode", "l", "g.*")
+    chances = each.select("actor", "target", "node", "episode", (F.col("rate") * F.exp("l") / (1 - F.col("rate") + F.col("rate") * F.exp("l"))).alias("p"))
+    sums = each.groupBy("actor", "target", "node").agg((F.log(F.max("w")) + F.sum(F.log(1 - F.col("rate") + F.col("rate") * F.exp("l")))).alias("s"))
+    tops = sums.groupBy("actor", "target").agg(F.max("s").alias("m"))
+    decoded = first_k_marginal(chances, k, ("actor", "target", "node"), ("episode",)).join(sums, ["actor", "target", "node"]).join(tops, ["actor", "target"])
+    weight = F.exp(F.col("s") - F.col("m"))
+    return decoded.groupBy("actor", "target", "episode").agg((F.sum(weight * F.col("decoded")) / F.sum(weight)).alias("decoded"))
+
+
+def permutation_null(seed: int = 7, n: int = 40) -> str:
+    """SQL for the number of listed episodes that directly follow another one, and the mean gap between them, against n random relabellings: the last listed episode stays, the others are drawn anew from those before it."""
+    draws = ", ".join(f"({i})" for i in range(n))
     return f"""
-WITH o AS (SELECT s.lo, s.hi, s.episode, row_number() OVER (PARTITION BY s.lo, s.hi ORDER BY s.ts, s.episode) AS i, CASE WHEN g.episode IS NOT NULL THEN 1 ELSE 0 END AS y
+WITH a AS (SELECT s.lo, s.hi, s.episode, row_number() OVER (PARTITION BY s.lo, s.hi ORDER BY s.ts, s.episode) AS i, CASE WHEN g.episode IS NOT NULL THEN 1 ELSE 0 END AS y
   FROM {{scored}} s JOIN (SELECT DISTINCT lo, hi FROM {{listed}}) k ON k.lo = s.lo AND k.hi = s.hi LEFT JOIN {{listed}} g ON g.lo = s.lo AND g.hi = s.hi AND g.episode = s.episode),
-c AS (SELECT lo, hi, sum(y) AS m FROM o GROUP BY lo, hi), k AS (SELECT id FROM {{numbers}} WHERE id < {n}),
-d AS (SELECT o.lo, o.hi, o.i, k.id, row_number() OVER (PARTITION BY o.lo, o.hi, k.id ORDER BY md5(concat(CAST(o.episode AS VARCHAR(20)), '-', CAST(k.id AS VARCHAR(20)), '-{seed}')), o.episode) AS r FROM o CROSS JOIN k),
-p AS (SELECT d.lo, d.hi, d.id, d.i, lag(d.i) OVER (PARTITION BY d.lo, d.hi, d.id ORDER BY d.i) AS was FROM d JOIN c ON c.lo = d.lo AND c.hi = d.hi AND d.r <= c.m),
-a AS (SELECT lo, hi, count(CASE WHEN i = was + 1 THEN 1 END) / {n}e0 AS by_chance FROM p GROUP BY lo, hi),
-s AS (SELECT lo, hi, count(CASE WHEN i = was + 1 THEN 1 END) AS adjacent FROM (SELECT lo, hi, i, lag(i) OVER (PARTITION BY lo, hi ORDER BY i) AS was FROM o WHERE y = 1) t GROUP BY lo, hi)
-SELECT s.lo, s.hi, s.adjacent, round(a.by_chance, 6) AS by_chance FROM s JOIN a ON a.lo = s.lo AND a.hi = s.hi"""
+c AS (SELECT lo, hi, sum(y) AS m, max(CASE WHEN y = 1 THEN i END) AS last_i FROM a GROUP BY lo, hi), o AS (SELECT a.*, c.m, c.last_i FROM a JOIN c ON c.lo = a.lo AND c.hi = a.hi WHERE a.i <= c.last_i), k AS (SELECT id FROM (VALUES {draws}) AS v(id)),
+d AS (SELECT o.lo, o.hi, o.i, o.m, k.id, row_number() OVER (PARTITION BY o.lo, o.hi, k.id ORDER BY CASE WHEN o.i = o.last_i THEN 0 ELSE 1 END, md5(concat(CAST(o.episode AS VARCHAR(20)), '-', CAST(k.id AS VARCHAR(20)), '-{seed}')), o.episode) AS r FROM o CROSS JOIN k),
+p AS (SELECT lo, hi, id, i, lag(i) OVER (PARTITION BY lo, hi, id ORDER BY i) AS was FROM d WHERE r <= m), z AS (SELECT lo, hi, id, count(CASE WHEN i = was + 1 THEN 1 END) AS adjacent, avg(i - was) AS gap FROM p GROUP BY lo, hi, id),
+s AS (SELECT lo, hi, count(CASE WHEN i = was + 1 THEN 1 END) AS adjacent, avg(i - was) AS gap FROM (SELECT lo, hi, i, lag(i) OVER (PARTITION BY lo, hi ORDER BY i) AS was FROM a WHERE y = 1) t GROUP BY lo, hi)
+SELECT s.lo, s.hi, s.adjacent, round(s.gap, 6) AS gap, round(avg(z.adjacent), 6) AS by_chance, round(avg(z.gap), 6) AS gap_by_chance, round((count(CASE WHEN z.adjacent >= s.adjacent THEN 1 END) + 1) / CAST(count(*) + 1 AS DOUBLE), 6) AS p_value FROM s JOIN z ON z.lo = s.lo AND z.hi = s.hi GROUP BY s.lo, s.hi, s.adjacent, s.gap"""
 
 
-RELATIONS["numbers"] = "SELECT n_nationkey AS id FROM {nation}"
 OPERATORS["permutation_null"] = permutation_null()
 
 
@@ -127,8 +170,9 @@ def _llrs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "em_mixture_rate": lambda spark, d: em_mixture_rate(_llrs(spark, d)).select("actor", "target", F.round("rate", 6).alias("rate"), F.round("llr", 6).alias("llr")),
-    "random_rate_marginal": lambda spark, d: random_rate_marginal(_llrs(spark, d)).withColumn("llr", F.round("llr", 6)),
-    "episodic_activity": lambda spark, d: episodic_activity(_llrs(spark, d)).select("actor", "target", F.round("lbf", 6).alias("lbf"), F.round("active", 6).alias("active")),
+    "random_rate_marginal": lambda spark, d: random_rate_marginal(_llrs(spark, d)).select("actor", "target", F.round("llr", 6).alias("llr"), F.round("rate", 6).alias("rate")),
+    "random_rate_first_k": lambda spark, d: random_rate_first_k(_llrs(spark, d)).select("actor", "target", "episode", F.round("decoded", 6).alias("decoded")),
+    "episodic_activity": lambda spark, d: episodic_activity(_llrs(spark, d)).select("actor", "target", "episode", F.round("lbf", 5).alias("lbf"), F.round("active", 6).alias("active")),
 }
 _L = "SELECT actor, target, episode, sum(l) AS l FROM {tilts} GROUP BY actor, target, episode"
 ORACLES = {
@@ -139,7 +183,21 @@ SELECT e.actor, e.target, round(e.rate, 6) AS rate, round(sum(ln(1e0 - e.rate +
     "episodic_activity": f"""
 WITH RECURSIVE h AS (SELECT t.*, row_number() OVER (PARTITION BY actor, target ORDER BY episode) AS i, count(*) OVER (PARTITION BY actor, target) AS n FROM ({_L}) t),
 f AS (SELECT actor, target, 0 AS i, 1e-1 AS active, 0e0 AS lbf FROM h WHERE i = 1
-  UNION ALL SELECT h.actor, h.target, CAST(h.i AS INT), (f.active * 9e-1 + (1e0 - f.active) * (1e0 - 9e-1)) * exp(h.l) / (1e0 - (f.active * 9e-1 + (1e0 - f.active) * (1e0 - 9e-1)) + (f.active * 9e-1 + (1e0 - f.active) * (1e0 - 9e-1)) * exp(h.l)),
-    f.lbf + ln(1e0 - (f.active * 9e-1 + (1e0 - f.active) * (1e0 - 9e-1)) + (f.active * 9e-1 + (1e0 - f.active) * (1e0 - 9e-1)) * exp(h.l)) FROM f JOIN h ON h.actor = f.actor AND h.target = f.target AND h.i = f.i + 1)
-SELECT f.actor, f.target, round(f.lbf, 6) AS lbf, round(f.active, 6) AS active FROM f JOIN (SELECT DISTINCT actor, target, n FROM h) k ON k.actor = f.actor AND k.target = f.target AND k.n = f.i""",
+  UNION ALL SELECT h.actor, h.target, CAST(h.i AS INT), (f.active * 9e-1 + (1e0 - f.active) * 1e-1) * exp(h.l) / (1e0 - (f.active * 9e-1 + (1e0 - f.active) * 1e-1) + (f.active * 9e-1 + (1e0 - f.active) * 1e-1) * exp(h.l)),
+    f.lbf + ln(1e0 - (f.active * 9e-1 + (1e0 - f.active) * 1e-1) + (f.active * 9e-1 + (1e0 - f.active) * 1e-1) * exp(h.l)) FROM f JOIN h ON h.actor = f.actor AND h.target = f.target AND h.i = f.i + 1),
+b AS (SELECT actor, target, CAST(n AS INT) AS i, 1e0 AS a, 1e0 AS z FROM h WHERE i = n
+  UNION ALL SELECT h.actor, h.target, CAST(h.i - 1 AS INT), (9e-1 * exp(h.l) * b.a + 1e-1 * b.z) / (b.a + b.z), (1e-1 * exp(h.l) * b.a + 9e-1 * b.z) / (b.a + b.z) FROM b JOIN h ON h.actor = b.actor AND h.target = b.target AND h.i = b.i WHERE h.i > 1)
+SELECT h.actor, h.target, h.episode, round(t.lbf, 5) AS lbf, round(f.active * b.a / (f.active * b.a + (1e0 - f.active) * b.z), 6) AS active FROM h JOIN f ON f.actor = h.actor AND f.target = h.target AND f.i = h.i JOIN b ON b.actor = h.actor AND b.target = h.target AND b.i = h.i
+JOIN f t ON t.actor = h.actor AND t.target = h.target AND t.i = h.n""",
+    "random_rate_marginal": f"""
+WITH h AS ({_L}), g AS (SELECT r, w / sum(w) OVER () AS w FROM (SELECT r, (1e0 - r) ** 8 AS w FROM (SELECT (x + 5e-1) / 16e0 AS r FROM range(16) AS t(x)) a) b),
+s AS (SELECT actor, target, r, w, sum(ln(1e0 - r + r * exp(l))) AS s FROM h CROSS JOIN g GROUP BY actor, target, r, w), m AS (SELECT s.*, max(s) OVER (PARTITION BY actor, target) AS m FROM s)
+SELECT actor, target, round(max(m) + ln(sum(w * exp(s - m))), 6) AS llr, round(sum(w * r * exp(s - m)) / sum(w * exp(s - m)), 6) AS rate FROM m GROUP BY actor, target""",
+    "random_rate_first_k": f"""
+WITH RECURSIVE h AS (SELECT t.*, row_number() OVER (PARTITION BY actor, target ORDER BY episode) AS i FROM ({_L}) t), g AS (SELECT r, w / sum(w) OVER () AS w FROM (SELECT r, (1e0 - r) ** 8 AS w FROM (SELECT (x + 5e-1) / 8e0 AS r FROM range(8) AS t(x)) a) b),
+o AS (SELECT actor, target, episode, i, r, w, r * exp(l) / (1e0 - r + r * exp(l)) AS p, ln(1e0 - r + r * exp(l)) AS l FROM h CROSS JOIN g),
+f AS (SELECT actor, target, r, 1 AS i, 1e0 AS d0, 0e0 AS d1, 0e0 AS d2, 0e0 AS d3, 0e0 AS d4 FROM o WHERE i = 1
+  UNION ALL SELECT o.actor, o.target, o.r, CAST(o.i + 1 AS INT), d0 * (1e0 - p), d1 * (1e0 - p) + d0 * p, d2 * (1e0 - p) + d1 * p, d3 * (1e0 - p) + d2 * p, d4 * (1e0 - p) + d3 * p FROM f JOIN o ON o.actor = f.actor AND o.target = f.target AND o.r = f.r AND o.i = f.i),
+s AS (SELECT actor, target, r, ln(max(w)) + sum(l) AS s FROM o GROUP BY actor, target, r), m AS (SELECT s.*, exp(s - max(s) OVER (PARTITION BY actor, target)) AS w FROM s)
+SELECT o.actor, o.target, o.episode, round(sum(m.w * o.p * (d0 + d1 + d2 + d3 + d4)) / sum(m.w), 6) AS decoded FROM o JOIN f ON f.actor = o.actor AND f.target = o.target AND f.r = o.r AND f.i = o.i JOIN m ON m.actor = o.actor AND m.target = o.target AND m.r = o.r GROUP BY o.actor, o.target, o.episode""",
 }

@@ -1,10 +1,45 @@
 """Pairs: profiles, contrasts, concentration and graph."""
 
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+#: What an episode is compared by (D50), the cells (D56), and the features whose drift is told (D57), as SQL over transfers and pair_features1.
+TEMPLATE = ("t_ab", "t_ba", "put_lo / unit", "put_hi / unit", "s_lo", "s_hi")
+CELLS = {
+    "gave_lo": "t_ab > 0e0 AND exited_lo = 1", "gave_hi": "t_ba > 0e0 AND exited_hi = 1", "both_entered": "match_lo + push_lo > 0 AND match_hi + push_hi > 0", "big": "put_units_lo >= 20 AND put_units_hi >= 20", "alone": "both_stayed = 1 AND stayed = 2", "mutual": "mutual_pushes = 1",
+    "squeezed_out": "outsider_exits_after_lo + outsider_exits_after_hi > 0",
+}
+DRIFTING = ("t_max", "t_sum", "net_gap", "put_total", "push_rate_lo", "push_rate_hi", "exit_rate_lo", "exit_rate_hi", "mean_pot", "players", "both_stayed", "risk_proxy")
+
+
+def _template(columns: Sequence[str]) -> str:
+    own = ", ".join(f"{c} AS x{i}" for i, c in enumerate(columns))
+    rest = ", ".join(f"(sum(w * x{i}) OVER (PARTITION BY lo, hi) - w * x{i}) / nullif(sum(w) OVER (PARTITION BY lo, hi) - w, 0e0) AS m{i}" for i in range(len(columns)))
+    each = lambda form: " + ".join(form.format(i=i) for i in range(len(columns)))
+    return f"""
+WITH w AS (SELECT lo, hi, episode, greatest(t_ab, t_ba) * greatest(t_ab, t_ba) AS w, {own} FROM {{transfers}} WHERE unit > 0e0), c AS (SELECT w.*, sum(w) OVER (PARTITION BY lo, hi) - w AS mass, {rest} FROM w)
+SELECT lo, hi, episode, round(mass, 4) AS mass, CASE WHEN mass > 1e-3 THEN round(sqrt(({each("(x{i} - m{i}) * (x{i} - m{i})")}) / {len(columns)}e0), 4) END AS distance,
+  CASE WHEN mass > 1e-3 THEN round(({each("x{i} * m{i}")}) / (sqrt({each("x{i} * x{i}")}) * sqrt({each("m{i} * m{i}")}) + 1e-9), 4) END AS cosine FROM c"""
+
+
+def _cells(cells: Mapping[str, str]) -> str:
+    marks = " UNION ALL ".join(f"SELECT '{c}' AS cell" for c in cells)
+    which = " ".join(f"WHEN '{c}' THEN {cond}" for c, cond in cells.items())
+    return f"""
+WITH f AS (SELECT f.*, c.cell FROM {{pair_features1}} f CROSS JOIN ({marks}) c WHERE CASE c.cell {which} END),
+k AS (SELECT lo, hi, episode, cell, row_number() OVER (PARTITION BY lo, hi, cell ORDER BY ts, episode) - 1 AS earlier, count(*) OVER (PARTITION BY lo, hi, cell) AS total FROM f)
+SELECT lo, hi, episode, cell, earlier, total, round((earlier + 5e-1) / total, 6) AS at, greatest(5 - earlier, 0) AS places_left FROM k"""
+
+
+def _drift(columns: Sequence[str]) -> str:
+    rows = " UNION ALL ".join(f"SELECT win, '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM {{pair_features1}}" for c in columns)
+    return f"""
+WITH u AS ({rows}), d AS (SELECT feature, (avg(CASE WHEN win = 'evaluation' THEN x END) - avg(CASE WHEN win = 'development' THEN x END)) / nullif(stddev_samp(CASE WHEN win = 'development' THEN x END), 0e0) AS drift FROM u GROUP BY feature)
+SELECT feature, round(drift, 6) AS drift, count(CASE WHEN abs(drift) > 25e-2 THEN 1 END) OVER () AS over_quarter, count(CASE WHEN abs(drift) > 5e-1 THEN 1 END) OVER () AS over_half FROM d"""
+
+
 OPERATORS = {
-    "pair_profile": """
-SELECT lo, hi, count(*) AS n, round(avg(score), 8) AS mean, round(coalesce(stddev_samp(score), 0e0), 8) AS sd, round(max(score), 6) AS top, round(percentile(score, 9e-1), 8) AS q90 FROM {scored} GROUP BY lo, hi""",
-    "pair_derived": """
-SELECT lo, hi, round(ln(1e0 + count(*)), 6) AS log_exposure, round(max(score) * ln(1e0 + count(*)), 5) AS tail_score, round(abs(avg(lean)), 8) AS imbalance, round(avg(score) / count(*), 8) AS mean_over_n FROM {scored} GROUP BY lo, hi""",
     # Rate with the partner less the rate with everybody else
     "partner_specificity": """
 SELECT lo, hi, round(n_lo_hi / CAST(greatest(n, 1) AS DOUBLE) - (n_lo - n_lo_hi) / CAST(greatest(5 * hands_lo - n, 1) AS DOUBLE), 8) AS lo_toward_hi, round(n_hi_lo / CAST(greatest(n, 1) AS DOUBLE) - (n_hi - n_hi_lo) / CAST(greatest(5 * hands_hi - n, 1) AS DOUBLE), 8) AS hi_toward_lo FROM {rolled}""",
@@ -42,51 +77,35 @@ SELECT lo, hi, CASE WHEN lo IN (SELECT member FROM p) OR hi IN (SELECT member FR
     # D44
     "excess_coseating": """
 SELECT r.lo, r.hi, round(r.n * CAST(t.total AS DOUBLE) / (CAST(r.hands_lo AS DOUBLE) * r.hands_hi), 8) AS ratio FROM {rolled} r CROSS JOIN (SELECT count(*) AS total FROM {episodes}) t""",
-    # Where a pair's score is concentrated over time
-    "burst_concentration": """
-WITH s AS (SELECT lo, hi, score, lean, row_number() OVER (PARTITION BY lo, hi ORDER BY score DESC, ts, episode) AS r, ntile(8) OVER (PARTITION BY lo, hi ORDER BY ts, episode) AS bin,
-  sum(score) OVER (PARTITION BY lo, hi ORDER BY ts, episode ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS roll FROM {scored}),
-b AS (SELECT lo, hi, max(x) AS bin_max FROM (SELECT lo, hi, bin, sum(score) AS x FROM s GROUP BY lo, hi, bin) t GROUP BY lo, hi)
-SELECT s.lo, s.hi, round(sum(score), 5) AS total, round(sum(CASE WHEN r <= 1 THEN score ELSE 0e0 END) / nullif(sum(score), 0e0), 6) AS top1, round(sum(CASE WHEN r <= 3 THEN score ELSE 0e0 END) / nullif(sum(score), 0e0), 6) AS top3,
-  round(sum(CASE WHEN r <= 5 THEN score ELSE 0e0 END) / nullif(sum(score), 0e0), 6) AS top5, round(sum(score * score) / nullif(sum(score) * sum(score), 0e0), 6) AS hhi, round(max(roll), 5) AS max_roll10, round(max(b.bin_max), 5) AS bin_max,
-  round(count(CASE WHEN lean > 0e0 THEN 1 END) / CAST(count(*) AS DOUBLE), 6) AS toward_hi
-FROM s JOIN b ON b.lo = s.lo AND b.hi = s.hi GROUP BY s.lo, s.hi""",
     # A bag of episode scores as one row
     "bag_reduce": """
 WITH q AS (SELECT percentile(s.score, 99e-2) AS q99, percentile(s.score, 999e-3) AS q999 FROM {scored} s JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi AND l.label = 0),
 r AS (SELECT lo, hi, score, row_number() OVER (PARTITION BY lo, hi ORDER BY score DESC, episode) AS r FROM {scored})
-SELECT lo, hi, count(*) AS n, round(sum(score), 5) AS total, round(avg(score), 8) AS mean, round(max(score), 6) AS top, count(CASE WHEN score > q99 THEN 1 END) AS n99, count(CASE WHEN score > q999 THEN 1 END) AS n999,
+SELECT lo, hi, count(*) AS n, round(sum(score), 5) AS total, round(avg(score), 8) AS mean, round(max(score), 6) AS top, count(CASE WHEN score > q99 THEN 1 END) AS n99, count(CASE WHEN score > q999 THEN 1 END) AS n999, round(count(CASE WHEN score > q99 THEN 1 END) / CAST(count(*) AS DOUBLE), 8) AS rate99, round(count(CASE WHEN score > q999 THEN 1 END) / CAST(count(*) AS DOUBLE), 8) AS rate999,
   round(avg(CASE WHEN r <= 3 THEN score END), 8) AS top3, round(avg(CASE WHEN r <= 5 THEN score END), 8) AS top5 FROM r CROSS JOIN q GROUP BY lo, hi""",
     # Softmax weights over a pair's episodes
     "attention_bag": """
 WITH w AS (SELECT lo, hi, score, lean, exp(score - max(score) OVER (PARTITION BY lo, hi)) AS w FROM {scored}), g AS (SELECT w.*, w / sum(w) OVER (PARTITION BY lo, hi) AS g, count(*) OVER (PARTITION BY lo, hi) AS n FROM w)
 SELECT lo, hi, round(sum(g * lean), 6) AS lean, round(max(g), 6) AS gate_max, round(CASE WHEN max(n) > 1 THEN -sum(g * ln(g + 1e-12)) / ln(max(n)) ELSE 0e0 END, 6) AS entropy FROM g GROUP BY lo, hi""",
-    # Share of a reference that is at least as high
-    "tail_probability": """
-SELECT lo, hi, episode, round((count(*) OVER () - 0e0) * 0e0 + 1e0 - cume_dist() OVER (ORDER BY score) + 5e-1 / count(*) OVER (), 8) AS tail FROM {scored}""",
-    # Likelihood ratios of binned tail probabilities, over a grid of rates
+    # Share of the reference, the negatives' episodes, that is above, with half of one
+    "tail_probability": "SELECT lo, hi, episode, round(tail, 8) AS tail FROM {tails}",
+    # Likelihood ratios of binned tail probabilities, from the other folds, over a grid of rates; which family's ratios fit; and how far the best episode is before the second
     "mixture_lr_bag": """
-WITH t AS (SELECT s.lo, s.hi, l.label, CAST(floor(least(s.score, 9e0)) AS INT) AS bin FROM {scored} s JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi),
-h AS (SELECT bin, (count(CASE WHEN label = 1 THEN 1 END) + 5e-1) AS pos, (count(CASE WHEN label = 0 THEN 1 END) + 5e-1) AS neg FROM t GROUP BY bin), z AS (SELECT sum(pos) AS pos, sum(neg) AS neg FROM h),
-r AS (SELECT h.bin, (h.pos / z.pos) / (h.neg / z.neg) AS lr FROM h CROSS JOIN z), g AS (SELECT * FROM (VALUES (1e-2), (3e-2), (1e-1), (3e-1)) AS v(rate)),
-b AS (SELECT t.lo, t.hi, g.rate, sum(ln(1e0 - g.rate + g.rate * r.lr)) AS llr FROM t JOIN r ON r.bin = t.bin CROSS JOIN g GROUP BY t.lo, t.hi, g.rate)
-SELECT lo, hi, round(max(llr), 6) AS best, round(max(CASE WHEN rate = 1e-1 THEN llr END), 6) AS at_tenth, round(max(CASE WHEN rate = 1e-2 THEN llr END), 6) AS at_hundredth FROM b GROUP BY lo, hi""",
-    # Distance to the weighted centre of the pair's other episodes
-    "leave_one_out_template": """
-WITH w AS (SELECT lo, hi, episode, score * score AS w, t_ab, t_ba FROM (SELECT s.lo, s.hi, s.episode, s.score, t.t_ab, t.t_ba FROM {scored} s JOIN {transfers} t ON t.lo = s.lo AND t.hi = s.hi AND t.episode = s.episode) x),
-c AS (SELECT w.*, sum(w) OVER (PARTITION BY lo, hi) - w AS mass, sum(w * t_ab) OVER (PARTITION BY lo, hi) - w * t_ab AS m_ab, sum(w * t_ba) OVER (PARTITION BY lo, hi) - w * t_ba AS m_ba FROM w)
-SELECT lo, hi, episode, round(mass, 4) AS mass, CASE WHEN mass > 1e-3 THEN round(sqrt(((t_ab - m_ab / mass) * (t_ab - m_ab / mass) + (t_ba - m_ba / mass) * (t_ba - m_ba / mass)) / 2e0), 4) END AS distance FROM c""",
+WITH g AS (SELECT * FROM (VALUES (5e-3), (1e-2), (2e-2), (3e-2), (5e-2), (8e-2), (12e-2), (2e-1), (3e-1), (5e-1)) AS v(rate)),
+b AS (SELECT t.lo, t.hi, g.rate, sum(ln(1e0 - g.rate + g.rate * t.lr)) AS llr, sum(ln(1e0 - g.rate + g.rate * t.lr0)) AS llr0, sum(ln(1e0 - g.rate + g.rate * t.lr1)) AS llr1, sum(ln(1e0 - g.rate + g.rate * t.lr2)) AS llr2 FROM {tail_ratios} t CROSS JOIN g GROUP BY t.lo, t.hi, g.rate),
+o AS (SELECT lo, hi, max(tail) AS highest, min(tail) AS lowest, max(CASE WHEN r = 2 THEN tail END) AS second FROM (SELECT lo, hi, tail, row_number() OVER (PARTITION BY lo, hi ORDER BY tail, episode) AS r FROM {tail_ratios}) t GROUP BY lo, hi),
+m AS (SELECT lo, hi, max(llr) AS best, max_by(rate, round(llr, 8) - rate * 1e-9) AS best_rate, max(CASE WHEN rate = 12e-2 THEN llr END) AS at_eighth, max(CASE WHEN rate = 1e-2 THEN llr END) AS at_hundredth, max(CASE WHEN rate = 5e-2 THEN llr0 END) AS l0, max(CASE WHEN rate = 5e-2 THEN llr1 END) AS l1, max(CASE WHEN rate = 5e-2 THEN llr2 END) AS l2 FROM b GROUP BY lo, hi)
+SELECT m.lo, m.hi, round(best, 6) AS best, best_rate, round(at_eighth, 6) AS at_eighth, round(at_hundredth, 6) AS at_hundredth, round(exp(l0 - greatest(l0, l1, l2)) / (exp(l0 - greatest(l0, l1, l2)) + exp(l1 - greatest(l0, l1, l2)) + exp(l2 - greatest(l0, l1, l2))), 6) AS family0,
+  round(exp(l1 - greatest(l0, l1, l2)) / (exp(l0 - greatest(l0, l1, l2)) + exp(l1 - greatest(l0, l1, l2)) + exp(l2 - greatest(l0, l1, l2))), 6) AS family1, round(greatest(l0, l1, l2) - (l0 + l1 + l2 - greatest(l0, l1, l2) - least(l0, l1, l2)), 6) AS family_gap,
+  round(ln(coalesce(second, lowest)) - ln(lowest), 6) AS top2_gap FROM m JOIN o ON o.lo = m.lo AND o.hi = m.hi""",
+    # Distance and cosine to the weighted centre of the pair's other episodes
+    "leave_one_out_template": _template(TEMPLATE),
     # Likeness of a candidate to a pair's other candidates
     "within_pair_consistency": """
 WITH k AS (SELECT lo, hi, episode, lean, score FROM (SELECT s.*, row_number() OVER (PARTITION BY lo, hi ORDER BY score DESC, episode) AS r FROM {scored} s) t WHERE r <= 20 AND score > 0e0),
-p AS (SELECT a.lo, a.hi, a.episode, (a.lean * b.lean + a.score * b.score) / (sqrt(a.lean * a.lean + a.score * a.score) * sqrt(b.lean * b.lean + b.score * b.score)) AS c FROM k a JOIN k b ON b.lo = a.lo AND b.hi = a.hi AND b.episode <> a.episode),
-r AS (SELECT p.*, row_number() OVER (PARTITION BY lo, hi, episode ORDER BY c DESC) AS r FROM p)
-SELECT lo, hi, episode, round(avg(CASE WHEN r <= 3 THEN c END), 5) AS top3, round(max(c), 5) AS top, count(*) AS others FROM r GROUP BY lo, hi, episode""",
-    # Moments of several kinds of event, both orientations
-    "event_moments": """
-SELECT q.lo, q.hi, q.episode, v.act, round(avg(v.strength), 8) AS mean_strength, max(v.strength) AS max_strength, round(avg(v.amount), 4) AS mean_amount, max(v.amount) AS max_amount,
-  round(greatest(avg(CASE WHEN v.member = q.lo THEN v.strength END), avg(CASE WHEN v.member = q.hi THEN v.strength END)), 8) AS either_mean
-FROM {pair_episodes} q JOIN {ev} v ON v.episode = q.episode AND v.member IN (q.lo, q.hi) GROUP BY q.lo, q.hi, q.episode, v.act""",
+p AS (SELECT a.lo, a.hi, a.episode, round((a.lean * b.lean + a.score * b.score) / (sqrt(a.lean * a.lean + a.score * a.score) * sqrt(b.lean * b.lean + b.score * b.score)), 9) AS c FROM k a JOIN k b ON b.lo = a.lo AND b.hi = a.hi AND b.episode <> a.episode),
+r AS (SELECT p.*, row_number() OVER (PARTITION BY lo, hi, episode ORDER BY c DESC) AS r, row_number() OVER (PARTITION BY lo, hi, episode ORDER BY c) AS from_low FROM p)
+SELECT lo, hi, episode, round(avg(CASE WHEN r <= 3 THEN c END), 5) AS top3, round(max(c), 5) AS top, round(avg(CASE WHEN from_low <= 5 THEN c END), 5) AS low5, round(avg(c * c), 5) AS mean_square, count(*) AS others FROM r GROUP BY lo, hi, episode""",
     # One pushes, an outsider matches, the partner pushes; in one stage, outsider still there
     "sandwich_pattern": """
 SELECT q.lo, q.hi, q.episode, count(*) AS n FROM {pair_episodes} q JOIN {ev} a ON a.episode = q.episode AND a.act = 'push' AND a.member IN (q.lo, q.hi)
@@ -97,21 +116,20 @@ JOIN {participants} p ON p.episode = q.episode AND p.member = o.member AND (p.ex
     "dispersion_index": """
 WITH g AS (SELECT win, lo, hi, count(*) AS n, count(CASE WHEN score > 5e-1 THEN 1 END) AS k FROM {scored} GROUP BY win, lo, hi), p AS (SELECT win, sum(k) / CAST(sum(n) AS DOUBLE) AS p FROM g GROUP BY win)
 SELECT g.win, count(*) AS pairs, round(sum((k - n * p) * (k - n * p) / nullif(n * p * (1e0 - p), 0e0)) / nullif(count(*) - 1, 0), 6) AS dispersion FROM g JOIN p ON p.win = g.win GROUP BY g.win""",
-    # The statistic with the partner's strength less its mean with outsiders'
+    # The strength of the partner where a member leaves, less that of outsiders; for either member
     "placebo_contrast": """
-SELECT q.lo, q.hi, count(*) AS n, round(avg(CASE WHEN o.member = q.hi THEN o.strength END) - avg(CASE WHEN o.member <> q.hi THEN o.strength END), 8) AS contrast
-FROM {pair_episodes} q JOIN {participants} a ON a.episode = q.episode AND a.member = q.lo AND a.exit_ordinal IS NOT NULL JOIN {participants} o ON o.episode = q.episode AND o.member <> q.lo GROUP BY q.lo, q.hi""",
-    # Named cells with counts so far
-    "pattern_cells": """
-WITH c AS (SELECT lo, hi, episode, ts, CASE WHEN lean > 0e0 THEN 'toward_hi' WHEN lean < 0e0 THEN 'toward_lo' ELSE 'none' END AS cell FROM {scored})
-SELECT lo, hi, episode, cell, count(*) OVER (PARTITION BY lo, hi, cell ORDER BY ts, episode ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS earlier, count(*) OVER (PARTITION BY lo, hi, cell) AS total FROM c""",
-    # D57
-    "feature_drift": """
-WITH u AS (SELECT win, 'score' AS feature, score AS x FROM {scored} UNION ALL SELECT win, 'lean' AS feature, lean AS x FROM {scored})
-SELECT feature, round((avg(CASE WHEN win = 'evaluation' THEN x END) - avg(CASE WHEN win = 'development' THEN x END)) / nullif(stddev_samp(CASE WHEN win = 'development' THEN x END), 0e0), 6) AS drift FROM u GROUP BY feature""",
-    # D58
+WITH s AS (SELECT q.lo, q.hi, a.member AS actor, avg(CASE WHEN o.member IN (q.lo, q.hi) THEN o.strength END) - avg(CASE WHEN o.member NOT IN (q.lo, q.hi) THEN o.strength END) AS contrast, count(*) AS n
+  FROM {pair_episodes} q JOIN {participants} a ON a.episode = q.episode AND a.member IN (q.lo, q.hi) AND a.exit_ordinal IS NOT NULL JOIN {participants} o ON o.episode = q.episode AND o.member <> a.member GROUP BY q.lo, q.hi, a.member)
+SELECT lo, hi, round(max(CASE WHEN actor = lo THEN contrast END), 8) AS lo_contrast, round(max(CASE WHEN actor = hi THEN contrast END), 8) AS hi_contrast, round(max(contrast), 8) AS most, coalesce(max(CASE WHEN actor = lo THEN n END), 0) AS n_lo, coalesce(max(CASE WHEN actor = hi THEN n END), 0) AS n_hi FROM s GROUP BY lo, hi""",
+    # Named cells, with how many the pair had before, has in all, where this one is among them, and how many places of five are left
+    "pattern_cells": _cells(CELLS),
+    # Change of each feature between windows in standard deviations, and how many change by more than a quarter and a half
+    "feature_drift": _drift(DRIFTING),
+    # Class sizes are a table of two rows
     "balanced_weights": """
-SELECT s.lo, s.hi, s.episode, round(count(*) OVER () / (2e0 * count(*) OVER (PARTITION BY l.label)), 6) AS class_weight, round(1e0 / count(*) OVER (PARTITION BY s.lo, s.hi), 8) AS pair_weight FROM {scored} s JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi AND l.label IS NOT NULL""",
+WITH r AS (SELECT s.lo, s.hi, s.episode, l.label, count(*) OVER (PARTITION BY s.lo, s.hi) AS n FROM {scored} s JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi AND l.label IS NOT NULL),
+c AS (SELECT label, count(*) AS n FROM r GROUP BY label), t AS (SELECT sum(n) AS n, count(*) AS classes FROM c)
+SELECT /*+ BROADCAST(c), BROADCAST(t) */ r.lo, r.hi, r.episode, round(t.n / (CAST(t.classes AS DOUBLE) * c.n), 6) AS class_weight, round(1e0 / r.n, 8) AS pair_weight FROM r JOIN c ON c.label = r.label CROSS JOIN t""",
     # A fixed two thirds of all episodes by a hash; listed ones stay
     "exposure_replicas": """
 WITH k AS (SELECT DISTINCT episode FROM {listed})
@@ -119,25 +137,41 @@ SELECT s.lo, s.hi, count(*) AS n, round(sum(s.score), 5) AS total FROM {scored}
     # D60
     "window_contrast": """
 SELECT a.lo, a.hi, round(a.m - b.m, 8) AS contrast FROM (SELECT lo, hi, avg(score) AS m FROM {scored} WHERE win = 'evaluation' GROUP BY lo, hi) a LEFT JOIN (SELECT lo, hi, avg(score) AS m FROM {scored} WHERE win = 'development' GROUP BY lo, hi) b ON b.lo = a.lo AND b.hi = a.hi""",
-    # Nearness in the pool's episode order to an episode listed for another pair of a member
+    # Nearness in the pool's episode order to an episode listed for another pair of a member; joined by member
     "neighbor_listing_gap": """
-WITH i AS (SELECT pool, episode, row_number() OVER (PARTITION BY pool ORDER BY ts, episode) AS idx FROM (SELECT DISTINCT pool, episode, ts FROM {scored}) t),
-g AS (SELECT l.pool, l.lo, l.hi, l.lo AS member, i.idx FROM {listed} l JOIN i ON i.pool = l.pool AND i.episode = l.episode UNION ALL SELECT l.pool, l.lo, l.hi, l.hi AS member, i.idx FROM {listed} l JOIN i ON i.pool = l.pool AND i.episode = l.episode)
-SELECT s.lo, s.hi, s.episode, min(abs(i.idx - g.idx)) AS gap, CAST(min(abs(i.idx - g.idx)) <= 10 AS INT) AS near FROM {scored} s JOIN i ON i.pool = s.pool AND i.episode = s.episode
-JOIN g ON g.pool = s.pool AND (g.member = s.lo OR g.member = s.hi) AND NOT (g.lo = s.lo AND g.hi = s.hi) GROUP BY s.lo, s.hi, s.episode""",
+WITH d AS (SELECT pool, episode, min(ts) AS ts FROM {scored} GROUP BY pool, episode), i AS (SELECT pool, episode, row_number() OVER (PARTITION BY pool ORDER BY ts, episode) AS idx FROM d),
+g AS (SELECT l.lo, l.hi, l.lo AS member, i.idx FROM {listed} l JOIN i ON i.pool = l.pool AND i.episode = l.episode UNION ALL SELECT l.lo, l.hi, l.hi AS member, i.idx FROM {listed} l JOIN i ON i.pool = l.pool AND i.episode = l.episode),
+s AS (SELECT s.lo, s.hi, s.episode, i.idx, s.lo AS member FROM {scored} s JOIN i ON i.pool = s.pool AND i.episode = s.episode UNION ALL SELECT s.lo, s.hi, s.episode, i.idx, s.hi AS member FROM {scored} s JOIN i ON i.pool = s.pool AND i.episode = s.episode),
+m AS (SELECT s.lo, s.hi, s.episode, min(abs(s.idx - g.idx)) AS gap FROM s JOIN g ON g.member = s.member AND NOT (g.lo = s.lo AND g.hi = s.hi) GROUP BY s.lo, s.hi, s.episode)
+SELECT m.lo, m.hi, m.episode, gap, CAST(gap <= 10 AS INT) AS near, CAST(l.episode IS NOT NULL AS INT) AS is_listed FROM m LEFT JOIN {listed} l ON l.lo = m.lo AND l.hi = m.hi AND l.episode = m.episode""",
     # Weighted share of a flag among the pair's other candidates
     "loo_context_share": """
 WITH w AS (SELECT lo, hi, episode, score, CASE WHEN lean > 0e0 THEN 1e0 ELSE 0e0 END AS f FROM {scored})
 SELECT lo, hi, episode, CASE WHEN sum(score) OVER (PARTITION BY lo, hi) - score > 1e-3 THEN round((sum(score * f) OVER (PARTITION BY lo, hi) - score * f) / (sum(score) OVER (PARTITION BY lo, hi) - score), 5) END AS share FROM w""",
-    # Degrees among each pool's best pairs
+    # Degrees among each pool's best pairs, mean rank of the pairs at a hub, and the same degrees for ten shufflings of the pool's scores
     "star_structure": """
-WITH t AS (SELECT pool, lo, hi FROM (SELECT s.*, row_number() OVER (PARTITION BY pool ORDER BY score DESC, lo, hi) AS r FROM {pair_scores} s) x WHERE r <= 20),
-d AS (SELECT pool, member, count(*) AS degree FROM (SELECT pool, lo AS member FROM t UNION ALL SELECT pool, hi AS member FROM t) u GROUP BY pool, member)
-SELECT pool, count(*) AS members, count(CASE WHEN degree >= 2 THEN 1 END) AS hubs, max(degree) AS max_degree FROM d GROUP BY pool""",
+WITH c AS (SELECT s.pool, s.lo, s.hi, k.draw, row_number() OVER (PARTITION BY s.pool, k.draw ORDER BY CASE WHEN k.draw = 0 THEN -s.score END, CASE WHEN k.draw > 0 THEN md5(concat(CAST(s.lo AS VARCHAR(20)), '-', CAST(s.hi AS VARCHAR(20)), '-', CAST(k.draw AS VARCHAR(20)))) END, s.lo, s.hi) AS r, count(*) OVER (PARTITION BY s.pool, k.draw) AS n
+  FROM {pair_scores} s CROSS JOIN (SELECT draw FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10)) AS v(draw)) k),
+t AS (SELECT * FROM c WHERE r <= 20), d AS (SELECT pool, draw, member, count(*) AS degree FROM (SELECT pool, draw, lo AS member FROM t UNION ALL SELECT pool, draw, hi AS member FROM t) u GROUP BY pool, draw, member),
+h AS (SELECT pool, draw, count(*) AS members, count(CASE WHEN degree >= 2 THEN 1 END) AS hubs, max(degree) AS max_degree FROM d GROUP BY pool, draw),
+p AS (SELECT c.pool, avg((c.r - 1) / CAST(greatest(c.n - 1, 1) AS DOUBLE)) AS hub_rank, count(*) AS hub_pairs FROM c WHERE c.draw = 0 AND EXISTS (SELECT 1 FROM d WHERE d.pool = c.pool AND d.draw = 0 AND d.degree >= 2 AND (d.member = c.lo OR d.member = c.hi)) GROUP BY c.pool)
+SELECT h.pool, max(CASE WHEN draw = 0 THEN members END) AS members, coalesce(max(CASE WHEN draw = 0 THEN hubs END), 0) AS hubs, max(CASE WHEN draw = 0 THEN max_degree END) AS max_degree, round(avg(CASE WHEN draw > 0 THEN hubs END), 6) AS hubs_by_chance, round(avg(CASE WHEN draw > 0 THEN max_degree END), 6) AS degree_by_chance,
+  round(max(p.hub_rank), 6) AS hub_rank, coalesce(max(p.hub_pairs), 0) AS hub_pairs FROM h LEFT JOIN p ON p.pool = h.pool GROUP BY h.pool""",
 }
-OPERATORS["tail_probability"] = "SELECT lo, hi, episode, round(1e0 - cume_dist() OVER (PARTITION BY pool ORDER BY score) + 5e-1 / count(*) OVER (PARTITION BY pool), 8) AS tail FROM {scored}"
-
 RELATIONS = {
+    # shares of the negatives' episodes above a score; counted in bins of the score, so that no task sees all
+    "tails": """
+WITH s AS (SELECT s.pool, s.lo, s.hi, s.episode, s.score, CAST(floor(ln(1e0 + coalesce(s.score, 0e0)) * 512e0) AS INT) AS bin, l.label, l.family FROM {scored} s JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi),
+c AS (SELECT bin, count(CASE WHEN label = 0 THEN 1 END) AS n FROM s GROUP BY bin), d AS (SELECT bin, sum(n) OVER (ORDER BY bin) - n AS below, sum(n) OVER () AS total FROM c)
+SELECT s.pool, s.lo, s.hi, s.episode, s.score, s.label, s.family, 1e0 - (d.below + count(CASE WHEN s.label = 0 THEN 1 END) OVER (PARTITION BY s.bin ORDER BY s.score)) / CAST(d.total AS DOUBLE) + 5e-1 / d.total AS tail FROM s JOIN d ON d.bin = s.bin""",
+    # thirty bins of the tail's logarithm and their ratios of positives to negatives, counted without the pair's own fold; for all positives and by family
+    "tail_ratios": """
+WITH t AS (SELECT t.*, CAST(least(floor(-ln(least(tail, 1e0)) / ln(1e1) * 8e0), 29e0) AS INT) AS bin, ascii(substr(md5(CAST(pool AS VARCHAR(20))), 1, 1)) % 3 AS fold FROM {tails} t),
+k AS (SELECT fold, bin, count(CASE WHEN label = 0 THEN 1 END) AS neg, count(CASE WHEN label = 1 THEN 1 END) AS pos, count(CASE WHEN label = 1 AND family = 0 THEN 1 END) AS p0, count(CASE WHEN label = 1 AND family = 1 THEN 1 END) AS p1, count(CASE WHEN label = 1 AND family = 2 THEN 1 END) AS p2 FROM t GROUP BY fold, bin),
+f AS (SELECT DISTINCT fold FROM k), b AS (SELECT DISTINCT bin FROM k),
+o AS (SELECT f.fold, b.bin, coalesce(sum(k.neg), 0) + 5e-1 AS neg, coalesce(sum(k.pos), 0) + 5e-1 AS pos, coalesce(sum(k.p0), 0) + 5e-1 AS p0, coalesce(sum(k.p1), 0) + 5e-1 AS p1, coalesce(sum(k.p2), 0) + 5e-1 AS p2 FROM f CROSS JOIN b LEFT JOIN k ON k.bin = b.bin AND k.fold <> f.fold GROUP BY f.fold, b.bin),
+z AS (SELECT fold, sum(neg) AS neg, sum(pos) AS pos, sum(p0) AS p0, sum(p1) AS p1, sum(p2) AS p2 FROM o GROUP BY fold)
+SELECT /*+ BROADCAST(o), BROADCAST(z) */ t.lo, t.hi, t.episode, t.tail, (o.pos / z.pos) / (o.neg / z.neg) AS lr, (o.p0 / z.p0) / (o.neg / z.neg) AS lr0, (o.p1 / z.p1) / (o.neg / z.neg) AS lr1, (o.p2 / z.p2) / (o.neg / z.neg) AS lr2 FROM t JOIN o ON o.fold = t.fold AND o.bin = t.bin JOIN z ON z.fold = t.fold""",
     "rolled": """
 SELECT s.lo, s.hi, s.n, coalesce(f.n, 0) AS n_lo_hi, coalesce(g.n, 0) AS n_hi_lo, coalesce(f.n_exit, 0) AS exit_lo_hi, coalesce(g.n_exit, 0) AS exit_hi_lo, coalesce(a.n, 0) AS n_lo, coalesce(b.n, 0) AS n_hi, coalesce(a.n_exit, 0) AS exit_lo, coalesce(b.n_exit, 0) AS exit_hi, x.n AS hands_lo, y.n AS hands_hi
 FROM {pair_scores} s LEFT JOIN {facing_pairs} f ON f.actor = s.lo AND f.target = s.hi LEFT JOIN {facing_pairs} g ON g.actor = s.hi AND g.target = s.lo LEFT JOIN {facing_members} a ON a.actor = s.lo LEFT JOIN {facing_members} b ON b.actor = s.hi

@@ -2,6 +2,8 @@
 
 _TOP = "SELECT lo, hi, episode, score, ts, row_number() OVER (PARTITION BY lo, hi ORDER BY score DESC, ts, episode) AS r FROM {scored}"
 
+_FIVE = range(1, 6)
+
 OPERATORS = {
     # five episodes as columns; pairs without one keep a row
     "top_k_per_pair": "SELECT p.lo, p.hi, " + ", ".join(f"max(CASE WHEN t.r = {k} THEN t.episode END) AS ep{k}" for k in range(1, 6)) + f" FROM {{pair_labels}} p LEFT JOIN ({_TOP}) t ON t.lo = p.lo AND t.hi = p.hi AND t.r <= 5 AND t.score > 0e0 GROUP BY p.lo, p.hi",
@@ -20,15 +22,16 @@ SELECT pool, lo, hi, CAST(row_number() OVER (PARTITION BY pool ORDER BY CASE WHE
     "cascade": """
 WITH r AS (SELECT pool, lo, hi, score, top, row_number() OVER (PARTITION BY pool ORDER BY score DESC, lo, hi) AS r FROM {pair_scores})
 SELECT pool, lo, hi, CAST(row_number() OVER (PARTITION BY pool ORDER BY CASE WHEN r <= 20 THEN 0 ELSE 1 END, CASE WHEN r <= 20 THEN -top ELSE r END, lo, hi) AS BIGINT) AS place FROM r""",
-    # lists of routed pairs are replaced, others stay, and rows that changed are told
+    # lists of routed pairs are replaced, others stay; risk and family are carried over, and rows that changed are told
     "patch_rows": f"""
-WITH b AS (SELECT lo, hi, max(CASE WHEN r = 1 THEN episode END) AS ep1, max(CASE WHEN r = 2 THEN episode END) AS ep2 FROM ({_TOP}) t GROUP BY lo, hi),
-n AS (SELECT lo, hi, max(CASE WHEN evidence_rank = 1 THEN episode END) AS ep1, max(CASE WHEN evidence_rank = 2 THEN episode END) AS ep2 FROM {{listed}} GROUP BY lo, hi)
-SELECT b.lo, b.hi, coalesce(n.ep1, b.ep1) AS ep1, CASE WHEN n.lo IS NULL THEN b.ep2 ELSE n.ep2 END AS ep2, CAST(n.lo IS NOT NULL AND (n.ep1 <> b.ep1 OR coalesce(n.ep2, -1) <> coalesce(b.ep2, -1)) AS INT) AS changed FROM b LEFT JOIN n ON n.lo = b.lo AND n.hi = b.hi""",
-    # F8: columns to rows
-    "unpivot_evidence": f"""
-WITH w AS (SELECT lo, hi, max(CASE WHEN r = 1 THEN episode END) AS ep1, max(CASE WHEN r = 2 THEN episode END) AS ep2, max(CASE WHEN r = 3 THEN episode END) AS ep3 FROM ({_TOP}) t GROUP BY lo, hi)
-SELECT lo, hi, 1 AS slot, ep1 AS episode FROM w WHERE ep1 IS NOT NULL UNION SELECT lo, hi, 2 AS slot, ep2 AS episode FROM w WHERE ep2 IS NOT NULL UNION SELECT lo, hi, 3 AS slot, ep3 AS episode FROM w WHERE ep3 IS NOT NULL""",
-    # F9
-    "pivot_counts": "SELECT s.pool, count(CASE WHEN win = 'development' THEN 1 END) AS development, count(CASE WHEN win = 'evaluation' THEN 1 END) AS evaluation, min(episode) AS first_episode, max(episode) AS last_episode FROM {scored} s GROUP BY s.pool",
+WITH b AS (SELECT p.lo, p.hi, p.risk, p.family, p.routed, {", ".join(f"max(CASE WHEN t.r = {k} THEN t.episode END) AS ep{k}" for k in _FIVE)} FROM (SELECT lo, hi, round(score / (score + 1e0), 8) AS risk, family, CASE WHEN family <> 2 AND score > 1e-1 THEN 1 ELSE 0 END AS routed FROM {{pair_scores}}) p LEFT JOIN ({_TOP}) t ON t.lo = p.lo AND t.hi = p.hi AND t.r <= 5 GROUP BY p.lo, p.hi, p.risk, p.family, p.routed),
+n AS (SELECT lo, hi, {", ".join(f"max(CASE WHEN evidence_rank = {k} THEN episode END) AS ep{k}" for k in _FIVE)} FROM {{listed}} GROUP BY lo, hi),
+x AS (SELECT b.lo, b.hi, b.risk, b.family, {", ".join(f"b.ep{k} AS old{k}, CASE WHEN n.lo IS NULL OR b.routed = 0 THEN b.ep{k} ELSE n.ep{k} END AS ep{k}" for k in _FIVE)} FROM b LEFT JOIN n ON n.lo = b.lo AND n.hi = b.hi)
+SELECT lo, hi, risk, family, {", ".join(f"ep{k}" for k in _FIVE)}, CAST({" OR ".join(f"coalesce(ep{k}, -1) <> coalesce(old{k}, -1)" for k in _FIVE)} AS INT) AS changed FROM x""",
+    # F8: columns to rows, without the empty ones
+    "unpivot_evidence": " UNION ".join(f"SELECT lo, hi, {k} AS slot, episode FROM ({_TOP}) t WHERE r = {k} AND score > 0e0" for k in _FIVE),
+    # windows as columns, and true families against predicted ones
+    "pivot_counts": f"""
+WITH s AS (SELECT s.pool, s.win, s.episode, l.family, CASE WHEN l.label = 1 THEN 1 ELSE 0 END AS y, CASE WHEN s.lean > 0e0 THEN 0 WHEN s.lean < 0e0 THEN 1 ELSE 2 END AS predicted FROM {{scored}} s JOIN {{pair_labels}} l ON l.lo = s.lo AND l.hi = s.hi)
+SELECT pool, count(CASE WHEN win = 'development' THEN 1 END) AS development, count(CASE WHEN win = 'evaluation' THEN 1 END) AS evaluation, min(episode) AS first_episode, max(episode) AS last_episode, {", ".join(f"count(CASE WHEN y = 1 AND family = {f} AND predicted = {p} THEN 1 END) AS family{f}_as{p}" for f in range(3) for p in range(3))} FROM s GROUP BY pool""",
 }

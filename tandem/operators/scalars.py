@@ -15,18 +15,18 @@ SELECT p_partkey, CAST(n AS BIGINT) AS n_tokens, CAST(length(clean) - n + 1 AS B
     "normalize_action": "SELECT event_id, replace(replace(lower(trim(event_type)), '-', '_'), ' ', '_') AS act FROM {events}",
     # Class of an action: all-in is a push only beyond what is to be called
     "action_class": """
-SELECT episode, ordinal, act, CASE WHEN act = 'exit' THEN 'exit' WHEN act = 'hold' THEN 'hold' WHEN act = 'match' THEN 'match'
-  WHEN amount > to_call THEN 'push' ELSE 'match' END AS cls FROM {ev}""",
+SELECT episode, ordinal, action, CASE action WHEN 'fold' THEN 'exit' WHEN 'check' THEN 'hold' WHEN 'call' THEN 'match' WHEN 'raise' THEN 'push' WHEN 'all_in' THEN CASE WHEN amount > to_call THEN 'push' ELSE 'match' END END AS cls FROM {events0}""",
     # Amounts per unit of the episode; nothing where the unit is 0
     "per_unit": "SELECT v.episode, v.ordinal, round(v.amount / nullif(e.unit, 0e0), 6) AS amount_units FROM {ev} v JOIN {episodes} e ON e.episode = v.episode",
     # What moves from one of the pair to the other
     "directed_transfer": """
 SELECT lo, hi, episode, round(t_ab, 6) AS t_ab, round(t_ba, 6) AS t_ba, round(greatest(t_ab, t_ba), 6) AS t_max, round(t_ab + t_ba, 6) AS t_sum,
   round(abs(t_ab - t_ba), 6) AS t_gap, round((net_lo + net_hi) / nullif(unit, 0e0), 6) AS pair_net FROM {transfers}""",
-    # Gap of numbers and equality of categories of two members
+    # Gaps of numbers and equality of categories of two members
     "match_attributes": """
-SELECT l.pool, l.lo, l.hi, round(abs(a.balance - b.balance), 4) AS balance_gap, CAST(a.region = b.region AS INT) AS same_region
-FROM {pair_labels} l JOIN {members} a ON a.member = l.lo JOIN {members} b ON b.member = l.hi""",
+WITH a AS (SELECT m.*, n.n_regionkey AS continent, CAST(floor(m.balance / 1e3) AS INT) AS level FROM {members} m LEFT JOIN {nation} n ON n.n_nationkey = m.region)
+SELECT l.pool, l.lo, l.hi, round(abs(a.balance - b.balance), 4) AS balance_gap, abs(a.level - b.level) AS level_gap, CAST(a.level = b.level AS INT) AS same_level, CAST(a.region = b.region AS INT) AS same_region, CAST(a.continent = b.continent AS INT) AS same_continent, CAST((a.balance < 0e0) = (b.balance < 0e0) AS INT) AS same_sign
+FROM {pair_labels} l JOIN a ON a.member = l.lo JOIN a b ON b.member = l.hi""",
     # Infinite values and nulls become the median, or 0 where there is none
     "impute_finite": """
 SELECT v.lo, v.hi, v.episode, round(coalesce(v.x, m.mid, 0e0), 6) AS x FROM (
@@ -47,8 +47,4 @@ FROM {ev} v JOIN {class_shares} q ON q.stage = v.stage AND q.facing = CAST(v.to_
 }
 
 RELATIONS = {
-    # share of each class by stage and whether something is to be called
-    "class_shares": """
-SELECT stage, facing, act, n / CAST(sum(n) OVER (PARTITION BY stage, facing) AS DOUBLE) AS share
-FROM (SELECT stage, CAST(to_call > 0e0 AS INT) AS facing, act, count(*) AS n FROM {ev} GROUP BY stage, CAST(to_call > 0e0 AS INT), act) t""",
 }

@@ -1,11 +1,16 @@
-"""Windows and sequences over a pair's or an episode's order."""
+"""Windows and sequences over a pair's or an episode's order."""
+
+from pyspark.sql import functions as F
+
+from tandem.operators.features import _ranks
 
 _P = "PARTITION BY lo, hi"
 _T = "PARTITION BY lo, hi ORDER BY ts, episode"
 
 OPERATORS = {
     "next_event": "SELECT episode, ordinal, member, lead(member) OVER (PARTITION BY episode ORDER BY ordinal) AS next_member, lead(act) OVER (PARTITION BY episode ORDER BY ordinal) AS next_act, lead(stage) OVER (PARTITION BY episode ORDER BY ordinal) AS next_stage FROM {ev}",
-    "percent_rank_by": f"SELECT lo, hi, episode, round(percent_rank() OVER ({_P} ORDER BY score, episode), 6) AS by_score, round(percent_rank() OVER ({_P} ORDER BY lean, episode), 6) AS by_lean, round(percent_rank() OVER ({_P} ORDER BY ts, episode), 6) AS by_time FROM {{scored}}",
+    # Five percent ranks, ties in the order of episodes
+    "percent_rank_by": "SELECT lo, hi, episode, " + ", ".join(_ranks()) + " FROM {pair_features1}",
     "frame_stats": f"""
 SELECT lo, hi, episode, round(coalesce(avg(score) OVER ({_T} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), score), 6) AS before5, round(coalesce(avg(score) OVER ({_T} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), score), 6) AS after5,
   round(avg(score) OVER ({_T} ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), 6) AS near10, round(avg(score) OVER ({_T} ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING), 6) AS near25, round(max(score) OVER ({_T} ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), 6) AS max10 FROM {{scored}}""",
@@ -21,22 +26,15 @@ SELECT lo, hi, episode, rank() OVER ({_P} ORDER BY score) + (count(*) OVER (PART
     "running_state": """
 SELECT event_id, user_id, round(coalesce(sum(value - 1e1) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0e0), 6) AS last10, lag(value - 1e1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_net,
   CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS seen FROM {events}""",
-    "decision_context": """
-SELECT v.episode, v.ordinal, v.member, round(v.to_call / nullif(e.unit, 0e0), 6) AS cost, round(v.to_call / (v.to_call + v.amount + 1e0), 6) AS odds, v.last_pusher,
-  count(CASE WHEN act = 'push' THEN 1 END) OVER (PARTITION BY v.episode, stage ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CASE WHEN act = 'push' THEN 1 ELSE 0 END AS pushes_this_stage,
-  count(CASE WHEN act = 'push' THEN 1 END) OVER (PARTITION BY v.episode, v.member ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CASE WHEN act = 'push' THEN 1 ELSE 0 END AS own_pushes, round(v.sunk, 4) AS sunk, v.strength
-FROM {pushed} v JOIN {episodes} e ON e.episode = v.episode""",
-    # Since the last push of the stage
-    "decision_context_v2": """
-WITH i AS (SELECT v.*, count(CASE WHEN act = 'push' THEN 1 END) OVER (PARTITION BY episode, stage ORDER BY ordinal) AS island FROM {ev} v)
-SELECT episode, ordinal, count(CASE WHEN act = 'match' THEN 1 END) OVER (PARTITION BY episode, stage, island ORDER BY ordinal) - CASE WHEN act = 'match' THEN 1 ELSE 0 END AS callers_since_push,
-  CAST(row_number() OVER (PARTITION BY episode, stage ORDER BY ordinal) - 1 AS BIGINT) AS acts_this_stage, max(CASE WHEN act = 'push' THEN amount END) OVER (PARTITION BY episode, stage, island) AS island_push FROM i""",
     "aggression_before": "SELECT episode, ordinal, count(CASE WHEN act = 'push' THEN 1 END) OVER (PARTITION BY episode ORDER BY ordinal) - CASE WHEN act = 'push' THEN 1 ELSE 0 END AS pushes_before FROM {ev}",
-    # Thirds of a pool's time
+    # Thirds of a pool's time, with the scores in them and how well the best of each pair tells positives
     "pool_time_position": """
-WITH e AS (SELECT pool, episode, (row_number() OVER (PARTITION BY pool ORDER BY ts, episode) - 1) / CAST(greatest(count(*) OVER (PARTITION BY pool) - 1, 1) AS DOUBLE) AS at FROM (SELECT DISTINCT pool, episode, ts FROM {scored}) t)
-SELECT s.pool, CASE WHEN e.at < 1e0 / 3e0 THEN 'early' WHEN e.at < 2e0 / 3e0 THEN 'middle' ELSE 'late' END AS third, count(*) AS n, round(avg(s.score), 6) AS mean, round(max(s.score), 6) AS top, round(percentile(s.score, 9e-1), 6) AS q90
-FROM {scored} s JOIN e ON e.pool = s.pool AND e.episode = s.episode GROUP BY s.pool, CASE WHEN e.at < 1e0 / 3e0 THEN 'early' WHEN e.at < 2e0 / 3e0 THEN 'middle' ELSE 'late' END""",
+WITH e AS (SELECT pool, episode, (row_number() OVER (PARTITION BY pool ORDER BY ts, episode) - 1) / CAST(greatest(count(*) OVER (PARTITION BY pool) - 1, 1) AS DOUBLE) AS at FROM (SELECT DISTINCT pool, episode, ts FROM {scored}) t),
+x AS (SELECT s.pool, CASE WHEN e.at < 1e0 / 3e0 THEN 'early' WHEN e.at < 2e0 / 3e0 THEN 'middle' ELSE 'late' END AS third, s.lo, s.hi, s.score FROM {scored} s JOIN e ON e.pool = s.pool AND e.episode = s.episode),
+p AS (SELECT x.pool, x.third, x.lo, x.hi, max(x.score) AS score, max(CASE WHEN l.label = 1 THEN 1 ELSE 0 END) AS y FROM x JOIN {pair_labels} l ON l.lo = x.lo AND l.hi = x.hi GROUP BY x.pool, x.third, x.lo, x.hi),
+r AS (SELECT p.*, row_number() OVER (PARTITION BY pool, third ORDER BY score DESC, lo, hi) AS r, sum(y) OVER (PARTITION BY pool, third ORDER BY score DESC, lo, hi) AS k, rank() OVER (PARTITION BY pool, third ORDER BY score) + (count(*) OVER (PARTITION BY pool, third, score) - 1) / 2e0 AS up FROM p),
+m AS (SELECT pool, third, coalesce(sum(CASE WHEN y = 1 THEN k / CAST(r AS DOUBLE) END) / nullif(sum(y), 0), 0e0) AS ap, (sum(CASE WHEN y = 1 THEN up END) - sum(y) * (sum(y) + 1) / 2e0) / nullif(CAST(sum(y) AS DOUBLE) * (count(*) - sum(y)), 0e0) AS auc FROM r GROUP BY pool, third)
+SELECT x.pool, x.third, count(*) AS n, round(avg(x.score), 6) AS mean, round(max(x.score), 6) AS top, round(percentile(x.score, 9e-1), 6) AS q90, round(max(m.ap), 8) AS ap, round(max(m.auc), 8) AS auc FROM x JOIN m ON m.pool = x.pool AND m.third = x.third GROUP BY x.pool, x.third""",
     # A session goes on while the next episode follows within the gap
     "sessionize": f"""
 WITH i AS (SELECT pool, lo, hi, episode, ts, dense_rank() OVER (PARTITION BY pool ORDER BY ts, episode) AS idx FROM {{scored}}), g AS (SELECT i.*, CASE WHEN idx - lag(idx) OVER ({_T}) <= 20 THEN 0 ELSE 1 END AS fresh FROM i),
@@ -48,65 +46,38 @@ WITH r AS (SELECT lo, hi, sum(score) OVER ({_T} ROWS BETWEEN 9 PRECEDING AND CUR
     "longest_run": f"""
 WITH g AS (SELECT lo, hi, ts, episode, sign(lean) AS s, CASE WHEN sign(lean) = lag(sign(lean)) OVER ({_T}) THEN 0 ELSE 1 END AS fresh FROM {{scored}}), r AS (SELECT g.*, sum(fresh) OVER ({_T}) AS run FROM g),
 c AS (SELECT lo, hi, run, max(s) AS s, count(*) AS n FROM r GROUP BY lo, hi, run) SELECT lo, hi, coalesce(max(CASE WHEN s <> 0 THEN n END), 0) AS longest FROM c GROUP BY lo, hi""",
-    # Who gives and who receives, by weighted flow and who gives way
-    "orient_roles": """
-SELECT t.lo, t.hi, CASE WHEN sum(s.score * s.score * sign(s.lean)) + count(CASE WHEN a.exit_ordinal IS NOT NULL AND b.exit_ordinal IS NULL THEN 1 END) - count(CASE WHEN b.exit_ordinal IS NOT NULL AND a.exit_ordinal IS NULL THEN 1 END) >= 0e0 THEN t.lo ELSE t.hi END AS donor,
-  round(abs(sum(s.score * s.score * sign(s.lean))) / (sum(s.score * s.score) + 1e-6), 6) AS confidence
-FROM {transfers} t JOIN {scored} s ON s.lo = t.lo AND s.hi = t.hi AND s.episode = t.episode JOIN {participants} a ON a.episode = t.episode AND a.member = t.lo JOIN {participants} b ON b.episode = t.episode AND b.member = t.hi GROUP BY t.lo, t.hi""",
-    "orient_by": "SELECT lo, hi, receiver_net, receiver_flow FROM {receivers}",
-    "role_features": """
-SELECT t.lo, t.hi, t.episode, round(CASE WHEN r.receiver_net = t.hi THEN t.net_hi ELSE t.net_lo END / nullif(t.unit, 0e0), 6) AS receiver_net, round(CASE WHEN r.receiver_net = t.hi THEN t.net_lo ELSE t.net_hi END / nullif(t.unit, 0e0), 6) AS sender_net,
-  max_by(v.act, v.ordinal) AS sender_last_act, max(v.stage) AS sender_last_stage, max(CASE WHEN v.act = 'exit' THEN v.last_pusher END) AS pushed_before_exit
-FROM {transfers} t JOIN {receivers} r ON r.lo = t.lo AND r.hi = t.hi JOIN {pushed} v ON v.episode = t.episode AND v.member = CASE WHEN r.receiver_net = t.hi THEN t.lo ELSE t.hi END
-GROUP BY t.lo, t.hi, t.episode, r.receiver_net, t.net_lo, t.net_hi, t.unit""",
-    "kernel_view": """
-SELECT q.lo, q.hi, q.episode, coalesce(f.n, 0) AS n_lo_hi, coalesce(g.n, 0) AS n_hi_lo, coalesce(f.n_exit, 0) AS exit_lo_hi, coalesce(g.n_exit, 0) AS exit_hi_lo, a.n AS n_lo, b.n AS n_hi
-FROM {pair_episodes} q LEFT JOIN {facing} f ON f.episode = q.episode AND f.actor = q.lo AND f.target = q.hi LEFT JOIN {facing} g ON g.episode = q.episode AND g.actor = q.hi AND g.target = q.lo
-JOIN {member_counts} a ON a.episode = q.episode AND a.member = q.lo JOIN {member_counts} b ON b.episode = q.episode AND b.member = q.hi""",
-    "pair_descriptors": """
-SELECT q.lo, q.hi, q.episode, min_by(v.member, CASE WHEN v.act = 'push' THEN v.ordinal END) AS first_pusher, count(CASE WHEN v.act = 'push' AND v.member IN (q.lo, q.hi) THEN 1 END) AS pair_pushes, count(CASE WHEN v.act = 'push' AND v.member NOT IN (q.lo, q.hi) THEN 1 END) AS outsider_pushes,
-  count(CASE WHEN v.act = 'push' AND v.member IN (q.lo, q.hi) AND v.last_pusher IN (q.lo, q.hi) AND v.last_pusher <> v.member THEN 1 END) AS re_pushes, count(CASE WHEN v.act = 'exit' AND v.last_pusher IN (q.lo, q.hi) AND v.member NOT IN (q.lo, q.hi) THEN 1 END) AS exits_to_pair,
-  max(CASE WHEN v.act = 'exit' AND v.member IN (q.lo, q.hi) AND v.last_pusher IN (q.lo, q.hi) THEN v.strength END) AS strength_given_up, count(CASE WHEN v.act = 'push' AND v.member IN (q.lo, q.hi) AND v.strength < 35e-2 THEN 1 END) AS weak_pushes
-FROM {pair_episodes} q JOIN {pushed} v ON v.episode = q.episode GROUP BY q.lo, q.hi, q.episode""",
-    "role_event_flags": """
-SELECT q.lo, q.hi, q.episode, max(CASE WHEN v.act = 'exit' AND v.member IN (q.lo, q.hi) AND v.last_pusher IN (q.lo, q.hi) AND v.last_pusher <> v.member THEN 1 ELSE 0 END) AS conceded, max(CASE WHEN v.act IN ('hold', 'match') AND v.member IN (q.lo, q.hi) AND v.last_pusher IN (q.lo, q.hi) AND v.last_pusher <> v.member THEN 1 ELSE 0 END) AS passive_after_partner,
-  CAST(count(DISTINCT CASE WHEN v.act = 'push' AND v.member IN (q.lo, q.hi) THEN v.member END) = 2 AS INT) AS both_pushed FROM {pair_episodes} q JOIN {pushed} v ON v.episode = q.episode GROUP BY q.lo, q.hi, q.episode""",
     # Chance that an observed class was rewritten from another: activation a half, rate six tenths
     "visible_edit_posterior": """
 SELECT v.episode, v.member, round(max(5e-1 * 6e-1 * s.share / (5e-1 * 6e-1 * s.share + d.share)), 6) AS most, round(sum(5e-1 * 6e-1 * s.share / (5e-1 * 6e-1 * s.share + d.share)), 6) AS total
 FROM {ev} v JOIN {class_shares} d ON d.stage = v.stage AND d.facing = CAST(v.to_call > 0e0 AS INT) AND d.act = v.act JOIN {class_shares} s ON s.stage = v.stage AND s.facing = CAST(v.to_call > 0e0 AS INT) AND s.act = 'push' WHERE v.act = 'match' GROUP BY v.episode, v.member""",
+    # From the pair's first decision: by whom, which, the reply, what outsiders did before and after, and who is left
     "trigger_sequence": """
-WITH f AS (SELECT q.lo, q.hi, q.episode, min(v.ordinal) AS start, min_by(v.member, v.ordinal) AS actor, min_by(v.act, v.ordinal) AS act FROM {pair_episodes} q JOIN {ev} v ON v.episode = q.episode AND v.stage = 0 AND v.member IN (q.lo, q.hi) GROUP BY q.lo, q.hi, q.episode)
-SELECT f.lo, f.hi, f.episode, f.actor, f.act, min_by(v.act, CASE WHEN v.member IN (f.lo, f.hi) AND v.member <> f.actor AND v.ordinal > f.start THEN v.ordinal END) AS reply, count(CASE WHEN v.member NOT IN (f.lo, f.hi) AND v.ordinal < f.start THEN 1 END) AS outsiders_before,
-  count(CASE WHEN v.member NOT IN (f.lo, f.hi) AND v.ordinal > f.start THEN 1 END) AS outsiders_after, CAST(max(v.stage) < 3 AS INT) AS ended_early FROM f JOIN {ev} v ON v.episode = f.episode GROUP BY f.lo, f.hi, f.episode, f.actor, f.act""",
+WITH f AS (SELECT lo, hi, episode, min(CASE WHEN partner IS NOT NULL AND stage = 0 THEN ordinal END) AS start, min_by(member, CASE WHEN partner IS NOT NULL AND stage = 0 THEN ordinal END) AS actor, min_by(act, CASE WHEN partner IS NOT NULL AND stage = 0 THEN ordinal END) AS act FROM {pair_steps} GROUP BY lo, hi, episode),
+g AS (SELECT * FROM f WHERE start IS NOT NULL)
+SELECT f.lo, f.hi, f.episode, f.actor, f.act, min_by(v.act, CASE WHEN v.partner = f.actor AND v.ordinal > f.start THEN v.ordinal END) AS reply, count(CASE WHEN v.partner IS NULL AND v.ordinal < f.start THEN 1 END) AS outsiders_before, count(CASE WHEN v.partner IS NULL AND v.ordinal > f.start THEN 1 END) AS outsiders_after,
+  CAST(max(v.stage) < 3 AS INT) AS ended_early, max(CASE WHEN (f.actor = f.lo AND v.exit_lo IS NULL) OR (f.actor = f.hi AND v.exit_hi IS NULL) THEN 1 ELSE 0 END) AS actor_at_end, max(CASE WHEN (f.actor = f.hi AND v.exit_lo IS NULL) OR (f.actor = f.lo AND v.exit_hi IS NULL) THEN 1 ELSE 0 END) AS partner_at_end, max(v.stayed) AS left_at_end
+FROM g f JOIN {pair_steps} v ON v.lo = f.lo AND v.hi = f.hi AND v.episode = f.episode GROUP BY f.lo, f.hi, f.episode, f.actor, f.act""",
     "earlier_vs_last_listed": """
 WITH l AS (SELECT g.lo, g.hi, max(e.ts) AS last_ts FROM {listed} g JOIN {episodes} e ON e.episode = g.episode GROUP BY g.lo, g.hi)
 SELECT s.lo, s.hi, s.episode, CAST(g.episode IS NOT NULL AS INT) AS is_listed, CAST(g.episode IS NULL AND s.ts < l.last_ts AS INT) AS hard_negative, CAST(s.ts > l.last_ts AS INT) AS after_last
 FROM {scored} s JOIN l ON l.lo = s.lo AND l.hi = s.hi LEFT JOIN {listed} g ON g.lo = s.lo AND g.hi = s.hi AND g.episode = s.episode""",
-    "oriented_episode_features": """
-SELECT t.lo, t.hi, t.episode, round(CASE WHEN r.receiver_flow = t.hi THEN t.t_ab ELSE t.t_ba END, 6) AS to_receiver, round(CASE WHEN r.receiver_flow = t.hi THEN t.t_ba ELSE t.t_ab END, 6) AS to_sender, round(CASE WHEN r.receiver_flow = t.hi THEN t.s_hi - t.s_lo ELSE t.s_lo - t.s_hi END, 6) AS strength_gap
-FROM {transfers} t JOIN {receivers} r ON r.lo = t.lo AND r.hi = t.hi""",
 }
 
-RELATIONS = {
-    "receivers": "SELECT lo, hi, CASE WHEN sum(net_hi / unit) >= sum(net_lo / unit) THEN hi ELSE lo END AS receiver_net, CASE WHEN sum(t_ab - t_ba) >= 0e0 THEN hi ELSE lo END AS receiver_flow FROM {transfers} GROUP BY lo, hi",
-}
-
-
-def _token_sequence(spark, sf_dir):  # noqa: ANN001, ANN202
-    """The last 32 events of each episode of a pair, in order, with the role of their member."""
+def _token_sequence(spark, sf_dir, last: int = 32):  # noqa: ANN001, ANN202
+    """The last events of each episode of a pair, in order, with the role of their member, and what stays the same in the episode."""
     from tandem import catalog
 
-    rows = """SELECT lo, hi, episode, slice(sort_array(collect_list(struct(ordinal, role, act))), greatest(1, count(*) - 31), 32) AS events
-FROM (SELECT q.lo, q.hi, v.episode, v.ordinal, v.act, CASE WHEN v.member = q.lo THEN 'A' WHEN v.member = q.hi THEN 'B' ELSE 'O' END AS role FROM {pair_episodes} q JOIN {ev} v ON v.episode = q.episode) t GROUP BY lo, hi, episode"""
-    flat = "SELECT lo, hi, episode, CAST(size(events) AS BIGINT) AS length, concat_ws(' ', transform(events, e -> concat(e.role, ':', e.act))) AS tokens FROM ({sequences})"
-    return catalog.relations().frame(spark, flat.replace("({sequences})", "{sequences}"), dict(catalog.Tables(spark, sf_dir)) | {"sequences": catalog.relations().frame(spark, rows, catalog.Tables(spark, sf_dir))})
+    steps = "SELECT lo, hi, episode, ordinal, stage, act, CASE WHEN member = lo THEN 'A' WHEN member = hi THEN 'B' ELSE 'O' END AS role, players, stayed, s_lo, s_hi FROM {pair_steps}"
+    found = catalog.relations().frame(spark, steps, catalog.Tables(spark, sf_dir)).groupBy("lo", "hi", "episode", "players", "stayed", "s_lo", "s_hi")
+    rows = found.agg(F.slice(F.array_sort(F.collect_list(F.struct("ordinal", "stage", "role", "act"))), F.greatest(F.lit(1), F.count(F.lit(1)) - (last - 1)).cast("int"), last).alias("events"))
+    token = lambda e: F.concat_ws(":", e["role"], e["act"], e["stage"].cast("string"))
+    return rows.select("lo", "hi", "episode", F.size("events").cast("long").alias("length"), F.concat_ws(" ", F.transform("events", token)).alias("tokens"), "players", "stayed", "s_lo", "s_hi")
 
 
 QUERIES = {"token_sequence": _token_sequence}
 ORACLES = {
     "token_sequence": """
-SELECT lo, hi, episode, count(*) AS length, string_agg(role || ':' || act, ' ' ORDER BY ordinal) AS tokens FROM (
-  SELECT q.lo, q.hi, v.episode, v.ordinal, v.act, CASE WHEN v.member = q.lo THEN 'A' WHEN v.member = q.hi THEN 'B' ELSE 'O' END AS role, row_number() OVER (PARTITION BY q.lo, q.hi, v.episode ORDER BY v.ordinal DESC) AS r
-  FROM {pair_episodes} q JOIN {ev} v ON v.episode = q.episode) t WHERE r <= 32 GROUP BY lo, hi, episode""",
+SELECT q.lo, q.hi, q.episode, count(*) AS length, string_agg(role || ':' || act || ':' || stage, ' ' ORDER BY ordinal) AS tokens, max(q.players) AS players, max(q.stayed) AS stayed, max(q.s_lo) AS s_lo, max(q.s_hi) AS s_hi FROM (
+  SELECT q.lo, q.hi, v.episode, v.ordinal, v.act, v.stage, CASE WHEN v.member = q.lo THEN 'A' WHEN v.member = q.hi THEN 'B' ELSE 'O' END AS role, row_number() OVER (PARTITION BY q.lo, q.hi, v.episode ORDER BY v.ordinal DESC) AS r
+  FROM {pair_episodes} q JOIN {ev} v ON v.episode = q.episode) t JOIN {pair_wide} q ON q.lo = t.lo AND q.hi = t.hi AND q.episode = t.episode WHERE r <= 32 GROUP BY q.lo, q.hi, q.episode""",
 }

@@ -21,8 +21,10 @@ def reads(sql: str) -> list[str]:
 
 
 class Relations:
-    def __init__(self, definitions: Mapping[str, str]) -> None:
-        self.definitions = dict(definitions)
+    """definitions: SQL by name, for any engine; on_spark: other SQL for some of them, with the same rows, that Spark runs better."""
+
+    def __init__(self, definitions: Mapping[str, str], on_spark: Mapping[str, str] | None = None) -> None:
+        self.definitions, self.on_spark = dict(definitions), dict(on_spark or {})
 
     def order(self, names: Iterable[str]) -> list[str]:
         """The definitions that names need, each after what it reads."""
@@ -46,7 +48,7 @@ class Relations:
         def resolve(text: str) -> DataFrame:
             for n in reads(text):
                 if n not in known:
-                    known[n] = resolve(self.definitions[n])
+                    known[n] = resolve(self.on_spark.get(n, self.definitions[n]))
             return spark.sql(text, **{n: known[n] for n in reads(text)})
 
         return resolve(sql)

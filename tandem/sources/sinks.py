@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_EVIDENCE = "NO_EVIDENCE"
@@ -20,3 +22,22 @@ def write_result_csv(df: DataFrame, path: str, columns: Sequence[str], order: Se
     """A3: CSV files with a header, rows in total order over the files, and NO_EVIDENCE for missing evidence. The range sort keeps the order without one task."""
     filled = [F.coalesce(F.col(c).cast("string"), F.lit(NO_EVIDENCE)).alias(c) if c in evidence else F.col(c) for c in columns]
     df.orderBy(*order).select(*filled).write.option("header", True).csv(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; only a local master may leave that unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='tandem-')}"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, for what several jobs read."""
+    path = scratch(df.sparkSession, "kept")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

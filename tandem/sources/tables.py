@@ -39,29 +39,36 @@ class Tables(Mapping):
             self[n].createOrReplaceTempView(n)
 
 
-#: members act in episodes; ev are their ordered events; participants are (episode, member); pair_episodes are the
-#: unordered pairs of one pool in each episode; pair_labels and listed are what is known of pairs and of their episodes.
+#: members act in episodes; ev are their ordered events; participants are (episode, member); pair_wide are the unordered pairs of
+#: one pool in each episode with what both did; pair_labels and listed are what is known of pairs and of their episodes.
 MODEL = {
     "members": "SELECT s_suppkey AS member, s_nationkey % 5 AS pool, s_nationkey AS region, s_acctbal AS balance FROM {supplier}",
     "episodes": """
 SELECT o_orderkey AS episode, o_orderdate AS ts, o_totalprice / 1e2 AS unit, o_orderpriority AS priority,
   CASE WHEN o_orderdate < TIMESTAMP '1998-04-01 00:00:00' THEN 'development' ELSE 'evaluation' END AS win
 FROM {orders}""",
+    # strength has few binary digits, so sums of it are the same in any order
     "events0": """
 SELECT l_orderkey AS episode, l_suppkey AS member,
   CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS BIGINT) AS ordinal,
-  CASE WHEN l_returnflag = 'R' THEN 'exit' WHEN l_returnflag = 'A' THEN 'push' WHEN l_linestatus = 'O' THEN 'hold' ELSE 'match' END AS act,
-  CAST(l_extendedprice AS DOUBLE) AS amount, l_quantity / 5e1 AS strength,
-  CASE WHEN l_tax > 4e-2 THEN l_extendedprice * 5e-1 ELSE 0e0 END AS to_call, l_extendedprice * (l_discount - 5e-2) AS net_part
+  CASE WHEN l_returnflag = 'R' THEN 'fold' WHEN l_returnflag = 'A' THEN CASE WHEN l_quantity >= 44 THEN 'all_in' ELSE 'raise' END WHEN l_linestatus = 'O' THEN 'check' ELSE 'call' END AS action,
+  CAST(l_extendedprice AS DOUBLE) AS amount, floor(l_quantity * 256e-2) / 128e0 AS strength,
+  CASE WHEN l_tax > 7e-2 THEN l_extendedprice * 12e-1 WHEN l_tax > 4e-2 THEN l_extendedprice * 5e-1 ELSE 0e0 END AS to_call, l_extendedprice * (l_discount - 5e-2) AS net_part
 FROM {lineitem}""",
-    "ev": "SELECT e.*, CASE WHEN ordinal < 2 THEN 0 WHEN ordinal < 4 THEN 1 WHEN ordinal < 6 THEN 2 ELSE 3 END AS stage FROM {events0} e",
+    # an all-in is a push only for more than what is to be called
+    "ev": """
+SELECT e.*, CASE WHEN ordinal < 2 THEN 0 WHEN ordinal < 4 THEN 1 WHEN ordinal < 6 THEN 2 ELSE 3 END AS stage,
+  CASE action WHEN 'fold' THEN 'exit' WHEN 'check' THEN 'hold' WHEN 'call' THEN 'match' WHEN 'raise' THEN 'push' ELSE CASE WHEN amount > to_call THEN 'push' ELSE 'match' END END AS act FROM {events0} e""",
     "participants": """
 SELECT episode, member, sum(amount) AS contribution, sum(net_part) AS net, min(CASE WHEN act = 'exit' THEN ordinal END) AS exit_ordinal, max(strength) AS strength
 FROM {ev} GROUP BY episode, member""",
-    "pair_episodes": """
-SELECT m.pool, a.member AS lo, b.member AS hi, a.episode
+    "pair_wide": """
+SELECT m.pool, a.member AS lo, b.member AS hi, a.episode, a.net AS net_lo, b.net AS net_hi, a.contribution AS put_lo, b.contribution AS put_hi, a.strength AS s_lo, b.strength AS s_hi,
+  a.exit_ordinal AS exit_lo, b.exit_ordinal AS exit_hi, t.won, t.players, t.stayed, t.final_pot
 FROM {participants} a JOIN {participants} b ON a.episode = b.episode AND a.member < b.member
+JOIN (SELECT episode, sum(greatest(net, 0e0)) AS won, count(*) AS players, count(CASE WHEN exit_ordinal IS NULL THEN 1 END) AS stayed, sum(contribution) AS final_pot FROM {participants} GROUP BY episode) t ON t.episode = a.episode
 JOIN {members} m ON m.member = a.member JOIN {members} n ON n.member = b.member AND n.pool = m.pool""",
+    "pair_episodes": "SELECT pool, lo, hi, episode FROM {pair_wide}",
     "pair_labels": """
 SELECT pool, lo, hi, CASE WHEN (lo * 7919 + hi * 104729) % 20 = 0 THEN 1 WHEN (lo * 7919 + hi * 104729) % 20 < 7 THEN 0 END AS label, (lo + hi) % 3 AS family
 FROM (SELECT DISTINCT pool, lo, hi FROM {pair_episodes}) t""",
@@ -74,11 +81,8 @@ SELECT pool, lo, hi, episode, evidence_rank FROM (
 WHERE evidence_rank <= 5""",
     # transfers of each pair-episode, per unit, and the score that the examples rank by
     "transfers": """
-SELECT q.pool, q.lo, q.hi, q.episode, e.ts, e.win, e.unit,
-  least(greatest(-a.net, 0e0), greatest(b.net, 0e0)) / nullif(e.unit, 0e0) AS t_ab, least(greatest(-b.net, 0e0), greatest(a.net, 0e0)) / nullif(e.unit, 0e0) AS t_ba,
-  a.net AS net_lo, b.net AS net_hi, a.contribution AS put_lo, b.contribution AS put_hi, a.strength AS s_lo, b.strength AS s_hi
-FROM {pair_episodes} q JOIN {episodes} e ON e.episode = q.episode
-JOIN {participants} a ON a.episode = q.episode AND a.member = q.lo JOIN {participants} b ON b.episode = q.episode AND b.member = q.hi""",
+SELECT q.*, e.ts, e.win, e.unit, least(greatest(-net_lo, 0e0), greatest(net_hi, 0e0)) / nullif(e.unit, 0e0) AS t_ab, least(greatest(-net_hi, 0e0), greatest(net_lo, 0e0)) / nullif(e.unit, 0e0) AS t_ba
+FROM {pair_wide} q JOIN {episodes} e ON e.episode = q.episode""",
     "scored": "SELECT pool, lo, hi, episode, ts, win, greatest(t_ab, t_ba) AS score, t_ab - t_ba AS lean FROM {transfers}",
     "pair_scores": """
 SELECT s.pool, s.lo, s.hi, count(*) AS n, avg(s.score) AS score, max(s.score) AS top, max(l.label) AS label, max(l.family) AS family
@@ -86,3 +90,14 @@ FROM {scored} s JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi GROUP BY s.p
     # a probability for each pair-episode, for decoders
     "chances": "SELECT pool, lo, hi, episode, ts, least(greatest(score / (score + 1e1), 1e-6), 999e-3) AS p FROM {scored}",
 }
+
+#: An episode's participants are few: Spark gathers them once and takes the pairs from the array, where the self-joins would read and shuffle all events four times.
+MODEL_ON_SPARK = {
+    "pair_wide": """
+WITH p AS (SELECT p.*, m.pool FROM {participants} p LEFT JOIN {members} m ON m.member = p.member),
+g AS (SELECT episode, array_sort(collect_list(struct(member, pool, net, contribution, strength, exit_ordinal))) AS s, sum(greatest(net, 0e0)) AS won, count(*) AS players,
+  count_if(exit_ordinal IS NULL) AS stayed, sum(contribution) AS final_pot FROM p GROUP BY episode HAVING count(*) > 1),
+x AS (SELECT *, explode(s) AS a FROM g), y AS (SELECT *, explode(filter(s, b -> b.member > a.member AND b.pool = a.pool)) AS b FROM x)
+SELECT a.pool, a.member AS lo, b.member AS hi, episode, a.net AS net_lo, b.net AS net_hi, a.contribution AS put_lo, b.contribution AS put_hi, a.strength AS s_lo, b.strength AS s_hi,
+  a.exit_ordinal AS exit_lo, b.exit_ordinal AS exit_hi, won, players, stayed, final_pot FROM y""",
+}
