@@ -273,9 +273,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, "text"):
+        for batch in portions(batches, f"c{at}"):
             texts = batch.column(at)
             yield batch.filter(pa.array(held.value.scores(texts) < 0.5))
 
     at = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # mapInArrow() takes no names with dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

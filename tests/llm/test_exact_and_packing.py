@@ -141,22 +141,47 @@ def test_packed_matrix_round_trip(spark, hugging):
     assert packing.packed_matrix(table(spark, []), VOCABULARY).collect() == []
 
 
+def sections_by_hand(fields):
+    """Every field's lines with their ends; the line end that joins two fields closes the last line of the first."""
+    out = []
+    for k, t in enumerate(fields):
+        lines = [x + "\n" for x in t.split("\n")]
+        lines[-1] = lines[-1][:-1]
+        if len(lines) > 1 and not lines[-1]:
+            lines.pop()
+        if k < len(fields) - 1:
+            lines[-1] += "\n"
+        out += [(k, x) for x in lines]
+    return out
+
+
 @pytest.mark.parametrize("rule", tokencount.RULES)
 def test_section_tokens_against_library_offsets(spark, hugging, rule):
-    texts = ["a b\nc\n\n\nd", "", None, "\n", "né\nü😀x\n", "one  \n  two", "x" * 50 + "\n" * 9 + "y"]
-    docs = spark.createDataFrame([(i, t, f"src{i}\n" if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, text string, source string")
-    got = {r["doc_id"]: r for r in tokencount.section_tokens(docs, VOCABULARY, ("source", "text"), rule).collect()}
+    texts = ["a b\nc\n\n\nd", "", None, "\n", "né\nü😀x\n", "one  \n  two", "x" * 50 + "\n" * 9 + "y", "z " * 20_000]
+    docs = spark.createDataFrame([(None if i == 5 else i, t, f"src{i}\n" if i % 2 else None) for i, t in enumerate(texts)] + [(0, texts[0], None)], "doc_id long, text string, source string")
+    rows = tokencount.section_tokens(docs, VOCABULARY, ("source", "text"), rule).collect()
+    assert sum(r["doc_id"] == 0 for r in rows) == 2 and sum(r["doc_id"] is None for r in rows) == 1
+    got = {r["doc_id"]: r for r in rows}
     for i, t in enumerate(texts):
-        first = f"src{i}\n" if i % 2 else ""
-        whole = f"{first}\n{t or ''}"
-        edges = sorted({0, len(first) + 1, len(whole), *(k + 1 for k, c in enumerate(whole) if c == "\n" and k != len(first))} - {len(first) if first else -1})
-        edges = edges if len(edges) > 1 else [0, len(whole)]
-        if not t:
-            edges = [*edges, len(whole)]
-        counts = [0] * (len(edges) - 1)
+        parts = sections_by_hand((f"src{i}\n" if i % 2 else "", t or ""))
+        whole = "".join(x for _, x in parts)
+        edges = np.cumsum([0, *(len(x) for _, x in parts)]).tolist()
+        counts, crossing = [0] * len(parts), 0
         for a, b in hugging.encode(whole, add_special_tokens=False).offsets:
             held = [min(b, y) - max(a, x) for x, y in zip(edges, edges[1:], strict=False)]
             inside = [k for k, h in enumerate(held) if h > 0]
+            crossing += len(inside) > 1
             counts[{"first": inside[0], "last": inside[-1], "majority": max(inside, key=lambda k: (held[k], -k))}[rule]] += 1
-        assert sum(got[i]["section_tokens"]) == got[i]["n_tokens"] == sum(counts)
-        assert sorted(x for x in got[i]["section_tokens"] if x) == sorted(x for x in counts if x), (t, rule)
+        r = got[None if i == 5 else i]
+        assert (r["field"], r["section_tokens"], r["n_crossing"]) == ([k for k, _ in parts], counts, crossing), (t, rule)
+        assert (r["n_chars"], r["n_tokens"], r["n_sections"]) == (len(whole), sum(counts), len(parts))
+    assert tokencount.section_tokens(docs.limit(0), VOCABULARY, ("source", "text"), rule).collect() == []
+
+
+def test_packing_of_null_and_repeated_ids(spark):
+    docs = table(spark, ["a b", "c d e", "c d e", None], [None, 1, 1, None])
+    placed = packing.pack_documents(docs, VOCABULARY, 64).collect()
+    assert sorted(str(r["doc_id"]) for r in placed) == ["1", "1", "None", "None"]
+    assert len({(r["sequence_id"], r["offset"]) for r in placed}) == 4
+    rows = packing.packed_matrix(docs, VOCABULARY, 64).collect()
+    assert sorted(str(d) for r in rows for d in r["doc_ids"]) == ["1", "1", "None", "None"]

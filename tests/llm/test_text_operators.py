@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.llm import jaccard, media, pieces, substring, toxicity, warc
+from tandem.llm import blobs, exact, jaccard, media, pieces, skew, substring, toxicity, warc
 from tandem.llm.components import least_labels
 from tandem.llm.words import scan, shingles
 
@@ -79,6 +79,56 @@ def test_substring_against_brute_force(spark, seed, width, words):
     assert sorted(map(tuple, got), key=str) == cut_by_hand(rows, width)
 
 
+def test_common_phrase_is_one_row_of_a_batch():
+    n = 1000
+    same = np.full(n, 7, np.uint64)
+    e = blobs.Entries(np.arange(n), np.arange(n), same, np.arange(n, dtype=np.uint64), np.zeros(n, np.uint32))
+    rows = substring._thinned(e, 16, substring.FACTOR, substring.BORDER)
+    count = lambda kind: sum(len(np.frombuffer(r[4], np.uint32)) for r in rows if r[1] == kind)
+    assert (count(substring.INDEX), count(substring.TOLD), count(substring.BORDER)) == (0, 1, n)
+    assert len({r[0] for r in rows if r[1] == substring.BORDER}) == 16
+    # equal factors are settled at once, and one document alone goes on as it is
+    e = e._replace(b=np.zeros(n, np.uint64))
+    rows = substring._thinned(e, 16, substring.FACTOR, substring.BORDER)
+    assert (count(substring.INDEX), count(substring.TOLD), count(substring.FACTOR)) == (1, 0, n - 1)
+
+
+def test_substring_of_a_common_phrase(spark):
+    rng = random.Random(9)
+    phrase = "this notice must be kept with every copy of the text and its parts"
+    rows = [(i, " ".join([*(f"{i}x{k}" for k in range(rng.randint(0, 20))), phrase, *(f"{i}y{k}" for k in range(20))])) for i in range(150)]
+    rows += [(200, f"{rows[3][1]} {rows[7][1]}"), (201, "w " * 30_000)]
+    assert sorted(map(tuple, substring.repeat_digests(table(spark, rows)).collect()), key=str) == cut_by_hand(rows, 13)
+
+
+def clashing(spark, rows):
+    """rows with further columns that are called what operators might call theirs."""
+    names = ["_id", "_key", "_digest", "_n_words", "n_words", "id", "row", "key", "digest", "code", "head", "a.b", "c0"]
+    return spark.createDataFrame([(i, t, *range(len(names))) for i, t in rows], ", ".join(["doc_id long", "text string", *(f"`{n}` int" for n in names)]))
+
+
+@pytest.mark.parametrize("drop", [exact.drop_exact, jaccard.drop_near, substring.drop_repeats, lambda d: toxicity.drop_toxic(d, d.selectExpr("doc_id", "0 AS toxic").limit(0))])
+def test_stages_keep_columns_of_any_name(spark, drop):
+    docs = clashing(spark, [(1, "a b c d e f"), (2, "x y z"), (None, None), (4, "A b c d e f")])
+    out = drop(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert len(rows) >= 3 and all(tuple(r)[2:] == tuple(range(13)) for r in rows)
+    assert drop(docs.limit(0)).collect() == []
+
+
+def test_split_joins(spark):
+    rows = [(1 if i % 3 else i, i) for i in range(3000)]
+    many, one = spark.createDataFrame(rows, "k long, v long"), spark.createDataFrame([(i, -i) for i in range(0, 3000, 2)] + [(1, 5)], "k long, w long")
+    counts = many.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
+    hot = skew.hot_keys(counts, ["k"], 3000)
+    assert [r["k"] for r in hot.collect()] == [1] and hot.first()["_parts"] > 1
+    for how in ("inner", "left"):
+        got = skew.split_join(many, one, ["k"], hot, F.col("v"), how).select("k", "v", "w")
+        assert sorted(got.collect(), key=str) == sorted(many.join(one, "k", how).select("k", "v", "w").collect(), key=str)
+    assert skew.hot_keys(counts.where("k <> 1"), ["k"], 3000) is None
+
+
 def test_substring_keeps_columns_and_untouched_texts(spark):
     passage = " ".join(f"w{i}" for i in range(15))
     rows = [(1, f"a\t{passage}  z"), (2, f"b  {passage}\n c\n"), (3, " as  is\n"), (4, None)]
@@ -231,6 +281,41 @@ def test_pieces_equal_the_librarys_best_path(library):
         assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t)
 
 
+def test_fractional_scores_against_the_library(tmp_path, spark):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    kept = [p for p in model.pieces if p.type not in (1, 4)]
+    del model.pieces[:]
+    model.pieces.extend(kept)
+    rng = random.Random(4)
+    pieces_ = ["▁", "a", "b", "c", "ab", "ba", "abc", "▁a", "▁ab", "bc", "cab", "aa"]
+    for piece in pieces_:
+        model.pieces.add(piece=piece, score=-rng.uniform(1, 4) * (1 if len(piece) > 1 else 1.7), type=1)
+    model.trainer_spec.model_type = 1
+    path = str(tmp_path / "few.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    theirs, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path)
+    texts = ["".join(rng.choices("abc  ", k=rng.randint(1, 25))) for _ in range(200)]
+    for t in texts:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == theirs.encode(t), t
+    got = {r["doc_id"]: bytes(r["ids"]) for r in pieces.encode(table(spark, list(enumerate(texts))), path, 4).collect()}
+    assert got == {i: own.encode(t) for i, t in enumerate(texts)}
+
+
+def test_scan_in_two_levels():
+    own = pieces.pieces(MODEL)
+    parts = [own.transfer(p, s) for _, p, s in pieces.chunks(own.escaped("internationalisation of things, " * 4), 6, own.longest - 1)]
+    whole = pieces.weights_before(parts)
+    middle = len(parts) // 2
+    begin = pieces.weights_before([pieces.product(parts[:middle]), pieces.product(parts[middle:])])[1]
+    assert pieces.weights_before(parts[middle:], begin) == whole[middle:]
+
+
 def test_pieces_do_not_depend_on_cuts(spark):
     rng = random.Random(8)
     texts = ["".join(rng.choices(["the", "tion", " ", "é", "\n", "😀", "▁", "zq", "  "], k=rng.randint(0, 200))) for _ in range(40)] + ["ab" * 400, "", None]
@@ -262,6 +347,14 @@ def test_label_model_finds_the_weak_voter():
     assert post[noise & ~votes[:, :6].any(axis=1)].mean() < 0.5
 
 
+def test_lexicon_words_are_known_without_labels(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices([f"word{k}" for k in range(50)], k=20)) + (" slurword vile" if i % 5 == 0 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(table(spark, [*rows, (1000, "word1 word2 Trottel word3"), (1001, "word1 word2 word3"), (1002, "Des imbéciles word1")]), labels).collect()}
+    assert (got[1000], got[1001], got[1002]) == (1, 0, 1)
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(3)
     plain = [f"word{i}" for i in range(200)]
@@ -292,6 +385,26 @@ def test_toxicity_held_out(spark):
 # --- web archives ---
 
 
+def test_canonical_urls(spark):
+    same = [
+        ("http://A.org/x?pref=1", "a.org/x?pref=1"), ("a.org/x?xref=5&a=1", "a.org/x?xref=5&a=1"), ("https://www.a.org/x/?ref=q&b=2&utm_source=z#top", "a.org/x?b=2"), ("a.org/?ref", "a.org"), ("a.org?&&b=1&", "a.org?b=1"),
+        ("http://m.example", "m.example"), ("http://m.example.com/", "example.com"), ("http://www.m.org/A?B=C", "m.org/A?B=C"), ("", ""), (None, None), ("a.org/x?utm_=1&u=utm_a=2", "a.org/x?utm_=1&u=utm_a=2"),
+    ]
+    urls = spark.createDataFrame(same, "url string, want string")
+    for r in urls.select("url", "want", warc.canonical_url(F.col("url")).alias("got")).collect():
+        assert r["got"] == r["want"], r
+
+
+def test_repeated_and_tied_records(spark):
+    row = lambda i, seq, kind, tag: (i, seq, "http://a.org/x", kind, {"etag": tag}, "D" if kind == "response" else None)
+    rows = [row(1, 5, "response", "1"), row(2, 5, "response", "2"), row(3, 5, "revisit", "2"), row(3, 5, "revisit", "2"), row(1, 5, "response", "1")]
+    records = spark.createDataFrame(rows, "record_id long, seq long, url string, kind string, headers map<string,string>, digest string")
+    got = warc.resolve_revisits(records).collect()
+    assert [(r["record_id"], r["state"], r["refers_to"]) for r in got] == [(3, "resolved", 2)] * 2
+    assert warc.slot_size(records) == warc.SLOT_RECORDS
+    assert warc.slot_size(spark.range(1).selectExpr("0L AS seq").union(spark.range(1).selectExpr("4096000000L AS seq"))) == 1_000_001
+
+
 def test_revisits_by_hand(spark):
     h = lambda **x: {k.replace("_", "-"): v for k, v in x.items()}
     rows = [
