@@ -149,8 +149,12 @@ _PROFILED = ("t_max", "net_gap", "put_total", "push_delta_lo", "push_delta_hi",
 
 
 def profile_columns(columns: tuple[str, ...], digits: int = 6) -> list[str]:
-    """Mean, standard deviation (0 for one row), maximum and 90 % quantile of each column."""
-    return [x for c in columns for x in (f"round(avg({c}), {digits}) AS {c}_mean", f"round(coalesce(stddev_samp({c}), 0e0), {digits}) AS {c}_sd", f"round(max({c}), {digits}) AS {c}_max", f"round(percentile({c}, 9e-1), {digits}) AS {c}_q90")]
+    """Mean, standard deviation (0 for one row), maximum and 90 % quantile of each column.
+
+    Means of rates are often half-way between two rounded values; the small step up makes every order of summing round them alike.
+    """
+    forms = (("mean", "avg({c})"), ("sd", "coalesce(stddev_samp({c}), 0e0)"), ("max", "max({c})"), ("q90", "percentile({c}, 9e-1)"))
+    return [f"round({form.format(c=c)} + 1e-11, {digits}) AS {c}_{name}" for c in columns for name, form in forms]
 
 
 _ANSWER, _HERE = "answered = 1", "here = 1"

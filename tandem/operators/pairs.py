@@ -120,7 +120,7 @@ SELECT g.win, count(*) AS pairs, round(sum((k - n * p) * (k - n * p) / nullif(n
     "placebo_contrast": """
 WITH s AS (SELECT q.lo, q.hi, a.member AS actor, avg(CASE WHEN o.member IN (q.lo, q.hi) THEN o.strength END) - avg(CASE WHEN o.member NOT IN (q.lo, q.hi) THEN o.strength END) AS contrast, count(*) AS n
   FROM {pair_episodes} q JOIN {participants} a ON a.episode = q.episode AND a.member IN (q.lo, q.hi) AND a.exit_ordinal IS NOT NULL JOIN {participants} o ON o.episode = q.episode AND o.member <> a.member GROUP BY q.lo, q.hi, a.member)
-SELECT lo, hi, round(max(CASE WHEN actor = lo THEN contrast END), 8) AS lo_contrast, round(max(CASE WHEN actor = hi THEN contrast END), 8) AS hi_contrast, round(max(contrast), 8) AS most, coalesce(max(CASE WHEN actor = lo THEN n END), 0) AS n_lo, coalesce(max(CASE WHEN actor = hi THEN n END), 0) AS n_hi FROM s GROUP BY lo, hi""",
+SELECT lo, hi, max(CASE WHEN actor = lo THEN contrast END) AS lo_contrast, max(CASE WHEN actor = hi THEN contrast END) AS hi_contrast, max(contrast) AS most, coalesce(max(CASE WHEN actor = lo THEN n END), 0) AS n_lo, coalesce(max(CASE WHEN actor = hi THEN n END), 0) AS n_hi FROM s GROUP BY lo, hi""",
     # Named cells, with how many the pair had before, has in all, where this one is among them, and how many places of five are left
     "pattern_cells": _cells(CELLS),
     # Change of each feature between windows in standard deviations, and how many change by more than a quarter and a half
