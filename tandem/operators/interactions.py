@@ -84,7 +84,7 @@ RELATIONS = {
     "facing_pairs": "SELECT actor, target, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_exit) AS BIGINT) AS n_exit, max(matched) AS max_matched FROM {facing} GROUP BY actor, target",
     "facing_members": "SELECT actor, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_exit) AS BIGINT) AS n_exit FROM {facing} GROUP BY actor",
     "toward": """
-SELECT v.episode, v.ordinal, v.stage, v.act, v.amount, v.strength, v.to_call, v.member AS actor, p.member AS target
+SELECT v.episode, v.ordinal, v.stage, v.act, v.amount, v.strength, v.to_call, v.member AS actor, p.member AS target, p.strength AS target_strength
 FROM {ev} v JOIN {participants} p ON p.episode = v.episode AND p.member <> v.member AND (p.exit_ordinal IS NULL OR p.exit_ordinal >= v.ordinal)""",
     "flows": """
 SELECT a.episode, a.member AS actor, b.member AS target, greatest(-a.net, 0e0) * greatest(b.net, 0e0) / nullif(w.won, 0e0) / nullif(e.unit, 0e0) AS flow

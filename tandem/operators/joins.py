@@ -4,7 +4,7 @@ OPERATORS = {
     # the flagship query: pairs by the lean of their transfers, each with five episodes. Ranks of all pairs are the number of pairs in
     # higher bins, from the bins' counts, and the rank inside the bin: no task sees all pairs
     "top_pairs": """
-WITH r AS (SELECT t.*, row_number() OVER (PARTITION BY lo, hi ORDER BY round(greatest(t_ab, t_ba), 6) DESC, ts, episode) AS r FROM {transfers} t WHERE win = 'evaluation'),
+WITH r AS (SELECT t.*, row_number() OVER (PARTITION BY lo, hi ORDER BY round(greatest(t_ab, t_ba), 6) DESC, ts, episode) AS r FROM {moved} t WHERE win = 'evaluation'),
 p AS (
   SELECT pool, lo, hi, count(*) AS n, round(abs(avg(t_ab) - avg(t_ba)), 6) AS imbalance, round(max(greatest(t_ab, t_ba)), 6) AS transfer_max, max(CASE WHEN r = 1 THEN episode END) AS ep1, max(CASE WHEN r = 2 THEN episode END) AS ep2, max(CASE WHEN r = 3 THEN episode END) AS ep3,
     max(CASE WHEN r = 4 THEN episode END) AS ep4, max(CASE WHEN r = 5 THEN episode END) AS ep5 FROM r GROUP BY pool, lo, hi),

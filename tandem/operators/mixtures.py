@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Decisions toward a target by classes of both strengths, and their shares in the other folds: q given both classes, z given one's own. Twelve to sixty rows a fold.
-_CLASSES = """t AS (SELECT member AS actor, target, act, CAST(floor(strength * 3e0) AS INT) AS own, CAST(floor(target_strength * 3e0) AS INT) AS partner, count(*) AS n FROM {aimed} WHERE here = 1 GROUP BY member, target, act, CAST(floor(strength * 3e0) AS INT), CAST(floor(target_strength * 3e0) AS INT)),
+_CLASSES = """t AS (SELECT actor, target, act, CAST(floor(strength * 3e0) AS INT) AS own, CAST(floor(target_strength * 3e0) AS INT) AS partner, count(*) AS n FROM {toward} GROUP BY actor, target, act, CAST(floor(strength * 3e0) AS INT), CAST(floor(target_strength * 3e0) AS INT)),
 c AS (SELECT t.*, ascii(substr(md5(CAST(m.pool AS VARCHAR(20))), 1, 1)) % 3 AS fold FROM t JOIN {members} m ON m.member = t.actor), k AS (SELECT fold, own, partner, act, sum(n) AS n FROM c GROUP BY fold, own, partner, act), f AS (SELECT DISTINCT fold FROM k),
 o AS (SELECT f.fold, g.own, g.partner, g.act, g.n - coalesce(k.n, 0) + 5e-1 AS n FROM f CROSS JOIN (SELECT own, partner, act, sum(n) AS n FROM k GROUP BY own, partner, act) g LEFT JOIN k ON k.fold = f.fold AND k.own = g.own AND k.partner = g.partner AND k.act = g.act),
 q AS (SELECT o.*, n / sum(n) OVER (PARTITION BY fold, own, partner) AS q, sum(n) OVER (PARTITION BY fold, own, act) / sum(n) OVER (PARTITION BY fold, own) AS z FROM o)"""
@@ -53,7 +53,7 @@ SELECT least(l.actor, l.target) AS lo, greatest(l.actor, l.target) AS hi, CAST(s
     # Would the decision be likelier with the partner's strength in place of one's own; the share of such decisions is taken for each stage from a grid
     "substitution_llr": """
 WITH c AS (SELECT CAST(floor(strength * 4e0) AS INT) AS bin, act, count(*) AS n FROM {ev} GROUP BY CAST(floor(strength * 4e0) AS INT), act), q AS (SELECT bin, act, (n + 5e-1) / sum(n + 5e-1) OVER (PARTITION BY bin) AS q FROM c),
-r AS (SELECT /*+ BROADCAST(o), BROADCAST(s) */ t.member AS actor, t.target, t.stage, s.q / o.q AS ratio FROM {aimed} t JOIN q o ON o.bin = CAST(floor(t.strength * 4e0) AS INT) AND o.act = t.act JOIN q s ON s.bin = CAST(floor(t.target_strength * 4e0) AS INT) AND s.act = t.act WHERE t.here = 1),
+r AS (SELECT /*+ BROADCAST(o), BROADCAST(s) */ t.actor, t.target, t.stage, s.q / o.q AS ratio FROM {toward} t JOIN q o ON o.bin = CAST(floor(t.strength * 4e0) AS INT) AND o.act = t.act JOIN q s ON s.bin = CAST(floor(t.target_strength * 4e0) AS INT) AND s.act = t.act),
 g AS (SELECT a FROM (VALUES (5e-2), (1e-1), (2e-1), (4e-1)) AS v(a)), l AS (SELECT actor, target, stage, a, count(*) AS n, sum(ln(1e0 - a + a * ratio)) AS llr, max(ratio) AS most FROM r CROSS JOIN g GROUP BY actor, target, stage, a),
 b AS (SELECT stage, max_by(a, round(llr, 6)) AS a FROM (SELECT stage, a, sum(llr) AS llr FROM l GROUP BY stage, a) t GROUP BY stage)
 SELECT l.actor, l.target, CAST(sum(l.n) AS BIGINT) AS n, round(sum(l.llr), 6) AS llr, round(max(l.a * most / (1e0 - l.a + l.a * most)), 6) AS most FROM l JOIN b ON b.stage = l.stage AND b.a = l.a GROUP BY l.actor, l.target""",

@@ -68,7 +68,9 @@ SELECT m.pool, a.member AS lo, b.member AS hi, a.episode, a.net AS net_lo, b.net
 FROM {participants} a JOIN {participants} b ON a.episode = b.episode AND a.member < b.member
 JOIN (SELECT episode, sum(greatest(net, 0e0)) AS won, count(*) AS players, count(CASE WHEN exit_ordinal IS NULL THEN 1 END) AS stayed, sum(contribution) AS final_pot FROM {participants} GROUP BY episode) t ON t.episode = a.episode
 JOIN {members} m ON m.member = a.member JOIN {members} n ON n.member = b.member AND n.pool = m.pool""",
-    "pair_episodes": "SELECT pool, lo, hi, episode FROM {pair_wide}",
+    # what doesn't depend on the order of events: it need not be found for this
+    "pair_nets": "SELECT pool, lo, hi, episode, net_lo, net_hi, put_lo, put_hi, s_lo, s_hi FROM {pair_wide}",
+    "pair_episodes": "SELECT pool, lo, hi, episode FROM {pair_nets}",
     "pair_labels": """
 SELECT pool, lo, hi, CASE WHEN (lo * 7919 + hi * 104729) % 20 = 0 THEN 1 WHEN (lo * 7919 + hi * 104729) % 20 < 7 THEN 0 END AS label, (lo + hi) % 3 AS family
 FROM (SELECT DISTINCT pool, lo, hi FROM {pair_episodes}) t""",
@@ -83,7 +85,10 @@ WHERE evidence_rank <= 5""",
     "transfers": """
 SELECT q.*, e.ts, e.win, e.unit, least(greatest(-net_lo, 0e0), greatest(net_hi, 0e0)) / nullif(e.unit, 0e0) AS t_ab, least(greatest(-net_hi, 0e0), greatest(net_lo, 0e0)) / nullif(e.unit, 0e0) AS t_ba
 FROM {pair_wide} q JOIN {episodes} e ON e.episode = q.episode""",
-    "scored": "SELECT pool, lo, hi, episode, ts, win, greatest(t_ab, t_ba) AS score, t_ab - t_ba AS lean FROM {transfers}",
+    "moved": """
+SELECT q.*, e.ts, e.win, e.unit, least(greatest(-net_lo, 0e0), greatest(net_hi, 0e0)) / nullif(e.unit, 0e0) AS t_ab, least(greatest(-net_hi, 0e0), greatest(net_lo, 0e0)) / nullif(e.unit, 0e0) AS t_ba
+FROM {pair_nets} q JOIN {episodes} e ON e.episode = q.episode""",
+    "scored": "SELECT pool, lo, hi, episode, ts, win, greatest(t_ab, t_ba) AS score, t_ab - t_ba AS lean FROM {moved}",
     "pair_scores": """
 SELECT s.pool, s.lo, s.hi, count(*) AS n, avg(s.score) AS score, max(s.score) AS top, max(l.label) AS label, max(l.family) AS family
 FROM {scored} s JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi GROUP BY s.pool, s.lo, s.hi""",
@@ -100,4 +105,8 @@ g AS (SELECT episode, array_sort(collect_list(struct(member, pool, net, contribu
 x AS (SELECT *, explode(s) AS a FROM g), y AS (SELECT *, explode(filter(s, b -> b.member > a.member AND b.pool = a.pool)) AS b FROM x)
 SELECT a.pool, a.member AS lo, b.member AS hi, episode, a.net AS net_lo, b.net AS net_hi, a.contribution AS put_lo, b.contribution AS put_hi, a.strength AS s_lo, b.strength AS s_hi,
   a.exit_ordinal AS exit_lo, b.exit_ordinal AS exit_hi, won, players, stayed, final_pot FROM y""",
+    "pair_nets": """
+WITH p AS (SELECT p.*, m.pool FROM {participants} p LEFT JOIN {members} m ON m.member = p.member), g AS (SELECT episode, array_sort(collect_list(struct(member, pool, net, contribution, strength))) AS s FROM p GROUP BY episode HAVING count(*) > 1),
+x AS (SELECT *, explode(s) AS a FROM g), y AS (SELECT *, explode(filter(s, b -> b.member > a.member AND b.pool = a.pool)) AS b FROM x)
+SELECT a.pool, a.member AS lo, b.member AS hi, episode, a.net AS net_lo, b.net AS net_hi, a.contribution AS put_lo, b.contribution AS put_hi, a.strength AS s_lo, b.strength AS s_hi FROM y""",
 }
