@@ -139,11 +139,34 @@ def test_nn_pu_logistic_separates(spark):
 
 
 def test_cluster_bootstrap_is_fixed(spark):
-    rows = [(p, y, p / 10 + y) for p in range(6) for y in (0, 1)]
-    df = spark.createDataFrame(rows, "pool long, label int, score double")
-    a = metrics.cluster_bootstrap(df, 50).first()
-    assert tuple(a) == tuple(metrics.cluster_bootstrap(df.repartition(7), 50).first())
-    assert a["low"] <= a["mean"] <= a["high"] and a["above"] == 1.0
+    rows = [(p, p, 9 + y, y, p / 10 + y) for p in range(6) for y in (0, 1)]
+    df = spark.createDataFrame(rows, "pool long, lo long, hi long, label int, score double")
+    run = lambda d: {r["measure"]: tuple(r)[1:] for r in metrics.cluster_bootstrap(d, 50).collect()}
+    got = run(df)
+    assert got == run(df.repartition(7))
+    _, mean, low, high, above = got["gap"]
+    assert low <= mean <= high and above == 1.0
+    assert got["ap"][1:4] == (1.0, 1.0, 1.0)  # every pool's positive stands first
+
+
+def test_learners_on_a_plain_case(spark):
+    rng = random.Random(12)
+    rows = [(i % 3, i, i + 1, i, int(x > 0.6), x, rng.random(), rng.random()) for i in range(240) for x in [rng.random()]]
+    df = spark.createDataFrame(rows, "fold int, lo long, hi long, episode long, label int, a double, b double, c double")
+    auc = lambda d, c: sum((p[c] > n[c]) + 0.5 * (p[c] == n[c]) for p in d if p["label"] for n in d if not n["label"]) / (sum(r["label"] for r in d) * sum(1 - r["label"] for r in d))
+    assert auc(learning.fit_pair_risk(df, ("a", "b"), (1,), 2, 2, 3, 50).collect(), "risk") > 0.9
+    rest = learning.value_residual(df.withColumn("v", F.expr("3 * b + IF(lo = 7, 5, 0)")), "v", ("b",)).orderBy(F.col("value").desc()).first()
+    assert rest["lo"] == 7 and rest["value"] > 4
+    found = {r["kind"]: r["mean_statistic"] for r in learning.seed_expand(df.withColumn("s", F.expr("a + 0.05 * c")), "s", ("a", "b"), 0.1).collect()}
+    assert found["seed"] > found["expanded"] > found["rest"]
+    with pytest.raises(ValueError):
+        learning.seed_expand(df, "a", ("a",))
+    report = {r["feature"]: r for r in learning.domain_report(df.where("a < 0.5"), df.where("a >= 0.5"), ("a", "b")).collect()}
+    assert report["a"]["alone"] > 0.99 and report["a"]["without"] < 0.7 < report["all"]["alone"]
+    groups = df.withColumn("g", F.col("lo") % 12).selectExpr("g AS lo", "g AS hi", "fold", "episode", "label AS y", "a", "b", "1 AS label").withColumn("r", F.expr("row_number() over (partition by lo order by b)"))
+    best = learning.pairwise_rerank(groups, ("a", "b")).groupBy("lo").agg(F.max_by("y", "score").alias("y")).agg(F.avg("y")).first()[0]
+    assert best > 0.9
+    assert learning.column_subset(("a", "b", "c", "d"), 1) == learning.column_subset(("d", "c", "b", "a"), 1)
 
 
 def test_running_state_stream_equals_table(spark, tmp_path):
