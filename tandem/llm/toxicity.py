@@ -189,10 +189,10 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The classifier trained on posterior labels of the label model. Without rows of both classes, the rate of toxic rows for all."""
+    """The classifier trained on posterior labels of the label model. Without rows of both classes, the rate of toxic rows for all; without any rows nothing is toxic."""
     sample = training_sample(docs, labels)
     rate, rows = sample.agg(F.avg("toxic"), F.count(F.lit(1))).first()
-    constant = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((rows * (rate or 0) + 0.5) / (rows * (1 - (rate or 0)) + 0.5))))
+    constant = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((rows * (rate or 0) + 0.5) / (rows * (1 - (rate or 0)) + 1.5))))
     if not rows or not 0 < rate < 1:
         return constant
     voters, codes = draw_voters(sample)
