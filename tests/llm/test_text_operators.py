@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.llm import blobs, exact, jaccard, media, pieces, skew, substring, toxicity, warc
+from tandem.llm import blobs, exact, jaccard, media, parsing, pieces, skew, substring, toxicity, warc
 from tandem.llm.components import least_labels
 from tandem.llm.words import scan, shingles
 
@@ -79,6 +79,14 @@ def test_substring_against_brute_force(spark, seed, width, words):
     assert sorted(map(tuple, got), key=str) == cut_by_hand(rows, width)
 
 
+@pytest.mark.parametrize("most", [300, 2000, 1 << 26])
+def test_parsing_against_brute_force(spark, most):
+    rows = corpus(4, 80, 3)
+    got = parsing.parsed_repeats(table(spark, rows), 6, most).collect()
+    assert sorted(map(tuple, got), key=str) == cut_by_hand(rows, 6)
+    assert parsing.parsed_repeats(table(spark, []), 6, most).collect() == []
+
+
 def test_common_phrase_is_one_row_of_a_batch():
     n = 1000
     same = np.full(n, 7, np.uint64)
