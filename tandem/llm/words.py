@@ -13,7 +13,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+PORTION_BYTES = 1 << 23
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -51,7 +52,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def portions(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def portions(batches: Iterator[pa.RecordBatch], column: str, most: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about `most` bytes of a string column, so that what is worked out of them stays small."""
     for batch in batches:
         texts = batch[column].cast(pa.large_string()).fill_null("")
