@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import exact, jaccard, media, packing, pieces, substring, tokencount, toxicity, warc
+from tandem.llm import exact, jaccard, media, packing, periodic, pieces, ranked, substring, tokencount, toxicity, warc, wordbpe
 from tandem.llm.storage import written
 
 
@@ -87,10 +87,34 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), vocabulary(), 2048)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 20)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, some of which are made periodic on the way, as digests."""
+    return periodic.run_digests(periodic.with_periods(_documents(spark, sf_dir)))
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all texts and what they decode to, as digests."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    back = wordbpe.decode(wordbpe.encode(_documents(spark, sf_dir), path), path)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_media_columns, op2_warc_revisits, op3_bfd_matrix, op4_ngram_jaccard, op5_sentencepiece, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_toxicity, op10_best_fit_packing]
+    found += [op11_ranked_search, op12_periodic_runs, op13_word_bpe]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_revisits": warc.ORACLE, "op6_exact_dedup": exact.ORACLE}
+    return {"op2_warc_revisits": warc.ORACLE, "op6_exact_dedup": exact.ORACLE, "op11_ranked_search": ranked.ORACLE}
