@@ -1,7 +1,7 @@
 """Byte-level BPE ids of whole texts, and the bytes each id stands for.
 
 The vocabulary file is a parameter and is read once in each Python worker. Ids equal those that the tokenizers
-library gives with add_special_tokens=False and special strings taken as ordinary text; tests compare the two.
+library gives with add_special_tokens=False, special strings in a text as their own ids; tests compare the two.
 """
 
 from __future__ import annotations
@@ -27,16 +27,17 @@ class ByteBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, i in ranks.items():
+        named = ranks | {token.encode(): i for token, i in special.items()}
+        self.sizes = np.zeros(max(named.values()) + 1, np.int64)
+        for token, i in named.items():
             self.sizes[i] = len(token)
-        self._encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text as unsigned 32-bit integers, none for an empty one."""
-        return np.asarray(self._encoding.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        return np.asarray(self._encoding.encode_to_numpy(text, allowed_special="all"), np.uint32)
 
 
 @lru_cache(maxsize=2)

@@ -23,9 +23,7 @@ def table(spark, texts, ids=None):
 
 @pytest.fixture(scope="module")
 def hugging():
-    t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(VOCABULARY)
 
 
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
@@ -56,6 +54,17 @@ def test_exact_hot_group_and_plan(spark):
     assert "Python" not in exact.exact_groups(rows)._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "<|endoftext|> a", "a <|endoftext|>b", "a<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext|", "<<|endoftext|>> é"])
+def test_special_strings_are_ids(hugging, spark, text):
+    bpe, want = byte_bpe(VOCABULARY), hugging.encode(text, add_special_tokens=False)
+    assert bpe.encode(text).tolist() == want.ids
+    assert bpe.sizes[want.ids].sum() == len(text.encode())
+    (piece,) = packing.pack_documents(table(spark, [text]), VOCABULARY, 64).collect()
+    assert (piece["length"], piece["ids_crc32"]) == (len(want.ids) + 1, zlib.crc32(np.array([*want.ids, 0], "<u4").tobytes()))
+    (counted,) = tokencount.section_tokens(table(spark, [text + "\n" + text]), VOCABULARY).collect()
+    assert counted["n_tokens"] == len(hugging.encode(text + "\n" + text, add_special_tokens=False).ids) and sum(counted["section_tokens"]) == counted["n_tokens"]
+
+
 def test_ids_equal_the_tokenizers_library(hugging):
     bpe = byte_bpe(VOCABULARY)
     for t in [*TEXTS, "<|endoftext|> it's 12½ …\x85  x", "a b  c \t\r\n"]:

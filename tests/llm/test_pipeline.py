@@ -79,7 +79,6 @@ def test_stages(spark, corpus, tmp_path):
     assert any(gone for _, _, gone, _ in want) and sorted(map(str, (r[2:] for r in cut))) == sorted(map(str, (r[2:] for r in stay)))
 
     hugging = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    hugging.encode_special_tokens = True
     placed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((str(r["doc_id"]), r["length"]) for r in placed) == sorted((str(r[0]), len(hugging.encode(r[1] or "", add_special_tokens=False).ids) + 1) for r in cut)
     by = {}
