@@ -5,6 +5,9 @@ trailer that says where the directory begins. The reader plans byte ranges over
 alone; a task reads its archive's directory, takes the members that begin in its range, reads each by its own
 offset, tries a member again by itself when reading or its checksum fails, and hands payloads on as Arrow batches of bounded size.
 
+Each write adds a manifest that names its archives; archives that no manifest names don't exist for readers. A write that replaces what is there names the manifests that it
+takes the place of, so one file makes it visible as a whole; then it deletes what it has replaced.
+
 A payload is stored as the 8-bit samples of a PNG image 64 pixels wide: 192 bytes are one row of red, green and blue.
 """
 
@@ -33,7 +36,7 @@ WIDTH = ROW_BYTES // 3
 ENTRY = np.dtype([("offset", "<u8"), ("length", "<u8"), ("crc32", "<u4"), ("has_id", "u1"), ("doc_id", "<i8"), ("n_bytes", "<i8")])
 TRAILER = struct.Struct("<QQ8s")
 MAGIC = b"members1"
-MANIFEST = "archives.json"
+MANIFEST = "manifest-"
 SCHEMA = "doc_id long, n_bytes long, media binary"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 ATTEMPTS = 4
@@ -101,11 +104,13 @@ class Archives(WriterCommitMessage):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """A task writes archives of its own, under names that no other attempt uses; the driver lists those of tasks that succeeded."""
+    """A task writes archives of its own, under names that begin with the write's and that no other attempt uses; the driver names those of tasks that succeeded, and deletes the others."""
 
-    def __init__(self, options: dict[str, str]) -> None:
+    def __init__(self, options: dict[str, str], overwrite: bool = False) -> None:
         self.path = options["path"]
         self.most = int(options.get("archive_bytes", 128 << 20))
+        self.overwrite = overwrite
+        self.job = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Archives:
         system, folder = _open(self.path)
@@ -122,7 +127,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         for batch in iterator:
             for doc_id, n_bytes, media in zip(*(batch[c].to_pylist() for c in ARROW.names), strict=True):
                 if out is None:
-                    name, entries, at = f"{uuid.uuid4().hex}.archive", [], 0
+                    name, entries, at = f"{self.job}-{uuid.uuid4().hex}.archive", [], 0
                     out = system.open_output_stream(f"{folder}/{name}")
                 out.write(media)
                 entries.append((at, len(media), zlib.crc32(media), doc_id is not None, doc_id or 0, n_bytes))
@@ -137,14 +142,41 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Archives | None]) -> None:
         system, folder = _open(self.path)
         system.create_dir(folder, recursive=True)
-        with system.open_output_stream(f"{folder}/{MANIFEST}") as f:
-            f.write(json.dumps([x for m in messages if m for x in m.made]).encode())
+        made = [x for m in messages if m for x in m.made]
+        replaced = _manifests(system, folder) if self.overwrite else {}
+        with system.open_output_stream(f"{folder}/{MANIFEST}{self.job}.json") as f:
+            f.write(json.dumps({"archives": made, "replaces": list(replaced)}).encode())
+        for name, found in replaced.items():
+            for archive, _ in found:
+                _delete(system, f"{folder}/{archive}")
+            _delete(system, f"{folder}/{name}")
+        self._clean({name for name, _ in made})
 
     def abort(self, messages: list[Archives | None]) -> None:
+        self._clean(set())
+
+    def _clean(self, stay: set[str]) -> None:
+        """Deletes this write's archives but those to stay: what attempts left that failed or came second."""
         system, folder = _open(self.path)
-        for m in messages:
-            for name, _ in m.made if m else []:
-                system.delete_file(f"{folder}/{name}")
+        for info in system.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+            if info.base_name.startswith(f"{self.job}-") and info.base_name not in stay:
+                _delete(system, info.path)
+
+
+def _delete(system: pafs.FileSystem, path: str) -> None:
+    if system.get_file_info(path).type != pafs.FileType.NotFound:
+        system.delete_file(path)
+
+
+def _manifests(system: pafs.FileSystem, folder: str) -> dict[str, list[tuple[str, int]]]:
+    """The archives, as names and bytes of members, of each manifest in force."""
+    found = {}
+    for info in system.get_file_info(pafs.FileSelector(folder)):
+        if info.base_name.startswith(MANIFEST):
+            with system.open_input_file(info.path) as f:
+                found[info.base_name] = json.loads(f.read())
+    gone = {name for m in found.values() for name in m["replaces"]}
+    return {name: m["archives"] for name, m in sorted(found.items()) if name not in gone}
 
 
 @dataclass
@@ -193,8 +225,7 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         system, folder = _open(self.path)
-        with system.open_input_file(f"{folder}/{MANIFEST}") as f:
-            archives = json.loads(f.read())
+        archives = [x for m in _manifests(system, folder).values() for x in m]
         found = [ByteRange(name, at, min(size, at + self.range)) for name, size in archives for at in range(0, size, self.range)]
         return found or [ByteRange("", 0, 0)]
 
@@ -235,7 +266,7 @@ class MediaArchive(DataSource):
         return ArchiveReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> ArchiveWriter:  # noqa: ANN001
-        return ArchiveWriter(dict(self.options))
+        return ArchiveWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -245,8 +276,11 @@ def register(spark: SparkSession) -> None:
 # --- documents as media ---
 
 
-def store_texts(docs: DataFrame, path: str) -> None:
-    """Every text of docs as a member of archives at path; null counts as empty and gives a row of spaces."""
+def store_texts(docs: DataFrame, path: str, mode: str = "append") -> None:
+    """Every text of docs as a member of archives at path, beside what is there or ("overwrite") in its place.
+
+    Null counts as empty, and an empty text gives a row of spaces; rows without doc_id and repeated rows are stored like others; an empty table adds nothing. Other columns are ignored.
+    """
     require(docs, "doc_id", "text")
     register(docs.sparkSession)
 
@@ -257,17 +291,17 @@ def store_texts(docs: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], schema=ARROW)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows.mapInArrow(encode, SCHEMA).write.format("media_archive").mode("append").option("path", path).save()
+    rows.mapInArrow(encode, SCHEMA).write.format("media_archive").mode(mode).option("path", path).save()
 
 
 def media_rows(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, n_bytes and media of every member of the archives at path, in byte ranges."""
+    """doc_id (null where it was), n_bytes and media of every member of the archives at path, in byte ranges; repeated rows as often as they were stored, none of an empty store."""
     register(spark)
     return spark.read.format("media_archive").option("path", path).load()
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests and features of decoded media: see text_media()."""
+    """Digests and features of decoded media: see text_media(). media: doc_id, n_bytes and media, not null, as media_rows() gives them; other columns are ignored, repeated rows stay."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,7 +314,7 @@ def media_features(media: DataFrame) -> DataFrame:
             arrays = [pa.array(v, pa.string() if k in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for k, v in out.items()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], *arrays], ["doc_id", "n_bytes", *out])
 
-    return media.mapInArrow(decode, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(decode, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def text_media(docs: DataFrame) -> DataFrame:

@@ -231,6 +231,30 @@ def test_media_round_trip(spark):
     assert [tuple(r) for r in got] == sorted(want, key=lambda r: (str(r[0]), r[3]))
 
 
+def test_media_append_overwrite_and_failed_tasks(spark, tmp_path):
+    path, rows = str(tmp_path / "a"), lambda: sorted(r["doc_id"] for r in media.media_rows(spark, path).collect())
+    media.store_texts(table(spark, [(1, "a"), (2, "b")]).repartition(2), path)
+    media.store_texts(table(spark, [(3, "c")]), path)
+    media.store_texts(table(spark, []), path)
+    assert rows() == [1, 2, 3]
+
+    def failing(batches):
+        yield from batches
+        raise RuntimeError("after its rows were written")
+
+    stored = table(spark, [(4, "d"), (5, "e")]).repartition(2).select("doc_id", F.lit(1).cast("long").alias("n_bytes"), F.lit(b"x").alias("media"))
+    with pytest.raises(Exception, match="after its rows"):
+        stored.mapInArrow(failing, media.SCHEMA).write.format("media_archive").mode("append").option("path", path).save()
+    assert rows() == [1, 2, 3]
+    listed = {name for m in media._manifests(*media._open(path)).values() for name, _ in m}
+    assert {f.name for f in (tmp_path / "a").iterdir() if f.name.endswith(".archive")} == listed
+    media.store_texts(table(spark, [(6, "f")]), path, "overwrite")
+    assert rows() == [6]
+    media.store_texts(table(spark, [(7, "g"), (6, "f")]), path)
+    assert rows() == [6, 6, 7]
+    assert sum(f.name.endswith(".archive") for f in (tmp_path / "a").iterdir()) == len({name for m in media._manifests(*media._open(path)).values() for name, _ in m})
+
+
 def test_media_byte_ranges_and_retries(spark, tmp_path):
     docs = table(spark, corpus(5, 40))
     media.store_texts(docs, str(tmp_path / "a"))
