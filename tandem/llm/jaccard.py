@@ -38,6 +38,7 @@ INDEX, SETTLED, DOC, COUNT = 0, 1, 2, 3  # kinds of rows
 EXTRA = 0.15  # of a set, by which the first step's prefixes are longer than they must be
 HOT = 32  # sets with one shingle in a batch, from which on it counts as frequent
 HOT_CLASS = 63
+FRAGMENTS = 8  # of the order
 STEPS = 4  # classes of sizes between a set and its smallest possible partner
 
 
@@ -226,7 +227,7 @@ def _ordered(sets: DataFrame, num: int, den: int, n: int) -> DataFrame:
             fragment = 4 * (level > 1) + (shingle >> np.uint64(62)).astype(np.int64)
             signed = shingle.view(np.int64)
             prefix = signed[: max(0, size - must + 1 - (size - m))]
-            out.append((code, size, m, prefix.tolist(), [np.sort(signed[fragment == f]).tolist() for f in range(8)]))
+            out.append((code, size, m, prefix.tolist(), [np.sort(signed[fragment == f]).tolist() for f in range(FRAGMENTS)]))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())))
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["code", "n", "m", "prefix", "fragments"])
@@ -246,7 +247,9 @@ def _linked(pairs: DataFrame, ordered: DataFrame, num: int, den: int) -> DataFra
     cells = ordered.select("code", F.posexplode("fragments").alias("fragment", "own")).where(F.size("own") > 0)
     centres = hot_keys(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rows")), ["a"], pairs.count())
     left = split_join(pairs, cells.select(F.col("code").alias("a"), "fragment", F.col("own").alias("own_a")), ["a"], centres, F.col("b"))
-    met = left.join(cells.select(F.col("code").alias("b"), "fragment", F.col("own").alias("own_b")), ["b", "fragment"])
+    others = hot_keys(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("rows")), ["b"], pairs.count())
+    others = others and others.select("b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"), "_parts")
+    met = split_join(left, cells.select(F.col("code").alias("b"), "fragment", F.col("own").alias("own_b")), ["b", "fragment"], others, F.col("a"))
     part = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("own_a", "own_b")).cast("long").alias("part"))
     total = part.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap"))
     return total.where(F.col("overlap") * den >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * num).select("a", "b")
@@ -277,7 +280,7 @@ def _apart(entries: DataFrame, num: int, den: int) -> DataFrame:
 def _heads(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """id, key, n (size of the set) and head of every document: the least (id, key) of its component, null without words."""
     require(docs, "doc_id", "text")
-    buckets_ = buckets(docs)
+    buckets_ = buckets(docs.select("doc_id", "text"))
     first = _sets(docs, k, num, den, buckets_)
     rows = _documents(first)
     classes = written(rows.where("n > 0").groupBy("code").agg(F.min(F.struct("id", "key")).alias("head"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), "jaccard-classes")
