@@ -23,30 +23,44 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """The path of a folder in the shared directory that nobody else uses; it is not made yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
 
 
 _FOLDERS: list[str] = []
 
 
+def folders() -> int:
+    """How many folders there are by now, for clear()."""
+    return len(_FOLDERS)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: later jobs read it whichever executors are lost meanwhile.
 
     Results are lazy and read such tables when they are used, so the caller says by clear() when it needs none of them any more.
     """
     path = new_folder(df.sparkSession, name)
-    _FOLDERS.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes the tables that operators wrote on the way; results that were not saved yet are lost with them."""
-    while _FOLDERS:
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what operators wrote on the way since there were `since` folders; results that were not saved yet are lost with it."""
+    while len(_FOLDERS) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """df as written(); what df was made from since there were `since` folders is deleted then."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    clear(df.sparkSession, since)
+    _FOLDERS.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -64,9 +78,15 @@ def order_id(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(LAST_ID))
 
 
-def buckets(df: DataFrame, column: str = "text", most: int = 1 << 26) -> int:
-    """How many buckets the rows of df need so that one holds about `most` bytes of a text column; at least as many as there are shuffle partitions."""
-    total = df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of df takes: strings and binaries as long as they are, nested values as their JSON, others 8."""
+    of = {"string": F.octet_length, "binary": F.octet_length, "array": lambda c: F.octet_length(F.to_json(c)), "map": lambda c: F.octet_length(F.to_json(c)), "struct": lambda c: F.octet_length(F.to_json(c))}
+    return sum((F.coalesce(of[f.dataType.typeName()](F.col(f"`{f.name}`")), F.lit(0)) if f.dataType.typeName() in of else F.lit(8) for f in df.schema), F.lit(0)).cast("long")
+
+
+def buckets(df: DataFrame, most: int = 1 << 26) -> int:
+    """How many buckets the rows of df need so that one holds about `most` bytes; at least as many as there are shuffle partitions."""
+    total = df.agg(F.sum(row_bytes(df))).first()[0] or 0
     return max(partitions(df.sparkSession), -(-total // most))
 
 

@@ -135,14 +135,14 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     require(docs, "doc_id", "text")
     n = buckets(docs)
     own = [f.name for f in docs.schema]
-    rows = docs.select(order_id().alias("id"), text_or_empty().alias("words"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)))
-    rows = rows.withColumn("key", F.xxhash64("id", "words"))
+    text = f"c{own.index('text')}"  # goes through the shuffle once, nulls and all
+    rows = docs.select(order_id().alias("id"), F.xxhash64(order_id(), text_or_empty()).alias("key"), *(F.col(f"`{c}`").cast("string" if c == "text" else f.dataType).alias(f"c{i}") for i, (c, f) in enumerate(zip(own, docs.schema, strict=True))))
     dealt = rows.withColumn("bucket", F.pmod("key", F.lit(n)).cast("int"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, "words"):
+        for batch in portions(batches, text):
             id_, key = batch["id"].to_numpy(), batch["key"].to_numpy()
-            parts = [Entries(id_[w.row + f.doc], key[w.row + f.doc], f.anchor, f.content, f.at.astype(np.uint32)) for w, f in _slices(batch["words"], width, gram)]
+            parts = [Entries(id_[w.row + f.doc], key[w.row + f.doc], f.anchor, f.content, f.at.astype(np.uint32)) for w, f in _slices(batch[text], width, gram)]
             yield blobs.batch(_thinned(blobs.joined(parts), n, FACTOR, BORDER))
 
     def settle(block: pa.Table) -> pa.Table:
@@ -160,7 +160,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
         id_, key = texts["id"].to_numpy(), texts["key"].to_numpy()
         chosen = np.flatnonzero(np.fromiter(((i, k) in looked for i, k in zip(id_.tolist(), key.tolist(), strict=True)), bool, len(id_)))
         parts = []
-        few = texts["words"].combine_chunks().take(pa.array(chosen))
+        few = texts[text].take(pa.array(chosen)).combine_chunks()
         for w, f in _slices(few, width, gram):
             code, _ = shingles(w, width)
             base = np.searchsorted(f.doc, np.arange(len(w.first) - 1))
@@ -182,9 +182,9 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
         by_factor, by_window = _lists(blobs.entries(marks, FACTOR)), _lists(blobs.entries(marks, WINDOW))
         n_words, n_removed, digest, kept = [], [], [], []
         id_, key = texts["id"].to_numpy().tolist(), texts["key"].to_numpy().tolist()
-        for i, k, text in zip(id_, key, texts["words"], strict=True):
-            text = text.as_py()
-            data = text.encode()
+        for i, k, scalar in zip(id_, key, texts[text], strict=True):
+            whole_text = scalar.as_py() or ""
+            data = whole_text.encode()
             words = data.split()  # bytes.split() splits at these very bytes
             n_words.append(len(words))
             lost = None
@@ -192,7 +192,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
                 lost = np.zeros(len(words) + 1, np.int64)
                 at = by_window.get((i, k), np.zeros(0, np.uint32)).astype(np.int64)
                 if (whole := by_factor.get((i, k))) is not None:
-                    for _, f in _slices(pa.array([text], pa.large_string()), width, gram):
+                    for _, f in _slices(pa.array([whole_text], pa.large_string()), width, gram):
                         sizes = f.size[whole]
                         at = np.r_[at, np.repeat(f.start[whole] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())]
                 at = np.unique(at)
@@ -206,23 +206,22 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
                 continue
             n_removed.append(int(lost.sum()))
             digest.append(hashlib.sha256(b" ".join(compress(words, (~lost).tolist()))).hexdigest())
-            kept.append(_without(text, lost))
+            kept.append(_without(whole_text, lost))
         unchanged = pa.array([x is None for x in kept], pa.bool_())
         columns = [texts[f"c{i}"] for i in range(len(own))]
         results = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), unchanged, pa.array(kept, pa.string())]
         return pa.Table.from_arrays([*columns, *results], [*(f"c{i}" for i in range(len(own))), "n_words", "n_removed", "kept_sha256", "unchanged", "cut"])
 
     # both kinds of marks are used, so they are written; it also spares a second reading of all texts when an executor is lost later
-    first = written(rows.select("id", "key", "words").mapInArrow(index, blobs.SCHEMA).groupBy("bucket").applyInArrow(settle, blobs.SCHEMA), "substring-factors")
+    first = written(rows.select("id", "key", text).mapInArrow(index, blobs.SCHEMA).groupBy("bucket").applyInArrow(settle, blobs.SCHEMA), "substring-factors")
     texts = dealt.groupBy("bucket")
     second = texts.cogroup(first.where(F.col("kind") == BORDER).groupBy("bucket")).applyInArrow(borders, blobs.SCHEMA)
     windows = second.groupBy("bucket").applyInArrow(settle_windows, blobs.SCHEMA)
     marks = first.where(F.col("kind") == FACTOR).unionByName(windows)
-    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema[2:]))
     out = texts.cogroup(marks.groupBy("bucket")).applyInArrow(cut, f"{kinds}, n_words long, n_removed long, kept_sha256 string, unchanged boolean, cut string")
-    text = F.col(f"c{own.index('text')}")
     row = F.struct(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own))).alias("row")
-    return out.select(row, "n_words", "n_removed", "kept_sha256", F.when(F.col("unchanged"), text).otherwise(F.col("cut")).alias("kept_text"))
+    return out.select(row, "n_words", "n_removed", "kept_sha256", F.when(F.col("unchanged"), F.col(text)).otherwise(F.col("cut")).alias("kept_text"))
 
 
 def _without(text: str, lost: np.ndarray) -> str:
