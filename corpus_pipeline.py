@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tandem.llm import exact, jaccard, packing, substring, toxicity
-from tandem.llm.storage import written
+from tandem.llm.storage import folders, settled
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placement of all pieces of what the stages leave of the documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Placement of all pieces of what the stages leave of the documents. Once a stage is written, its inner tables and the stage before go."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), folders()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = settled(stage(spark, docs, sf_dir), name, before)
     return STAGES[-1][1](spark, docs, sf_dir)
