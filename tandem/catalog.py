@@ -7,6 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tandem.plans.ordered import OnSpark
 from tandem.plans.relations import Relations
 from tandem.sources.tables import MODEL, MODEL_ON_SPARK, Tables
 
@@ -20,10 +21,13 @@ def _modules() -> list:
 
 
 def relations() -> Relations:
-    found = dict(MODEL)
+    found, on_spark = dict(MODEL), dict(MODEL_ON_SPARK)
     for m in _modules():
-        found |= getattr(m, "RELATIONS", {})
-    return Relations(found, MODEL_ON_SPARK)
+        for name, how in getattr(m, "RELATIONS", {}).items():
+            found[name] = how.sql if isinstance(how, OnSpark) else how
+            if isinstance(how, OnSpark):
+                on_spark[name] = how.on_spark
+    return Relations(found, on_spark)
 
 
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:

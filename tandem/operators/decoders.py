@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tandem.plans.ordered import quantiles
+
 _P, _T = "PARTITION BY lo, hi", "PARTITION BY lo, hi ORDER BY ts, episode"
 _BEFORE = f"(sum(p) OVER ({_T} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - p)"
 
@@ -36,7 +38,7 @@ f AS (SELECT lo, hi, episode, ts, 1e0 / (1e0 + exp(-9e-1 * avg(ln(p / (1e0 - p))
 SELECT lo, hi, episode, round(p, 8) AS p, round(p * exp(-l) * (1e0 + l + l * l / 2e0 + l * l * l / 6e0 + l * l * l * l / 24e0), 7) AS decoded FROM b""",
     # I15
     "chronology_features": f"""
-WITH q AS (SELECT percentile(c.p, 99e-2) AS q99, percentile(c.p, 9e-1) AS q90 FROM {{chances}} c JOIN {{pair_labels}} l ON l.lo = c.lo AND l.hi = c.hi AND l.label = 0),
+WITH q AS (SELECT q90, q99 FROM {{chance_quantiles}}),
 x AS (SELECT c.lo, c.hi, c.episode, c.ts, c.p, CASE WHEN c.p > q.q90 THEN 1 ELSE 0 END AS high, CASE WHEN c.p > q.q99 THEN 1 ELSE 0 END AS higher FROM {{chances}} c CROSS JOIN q),
 y AS (SELECT x.*, count(*) OVER ({_P}) AS n, row_number() OVER ({_T}) - 1 AS k, row_number() OVER ({_P} ORDER BY p DESC, ts, episode) AS r, {_BEFORE} AS mass, sum(high) OVER ({_T}) - high AS high_before, sum(higher) OVER ({_T}) - higher AS higher_before, sum(high) OVER ({_P}) AS highs, sum(higher) OVER ({_P}) AS highers, max(p) OVER ({_P}) AS best FROM x)
 SELECT lo, hi, episode, round(p, 8) AS p, round(ln(p / (1e0 - p)), 6) AS logit, r AS by_p, round(r / CAST(n AS DOUBLE), 6) AS by_p_share, round(p / greatest(best, 1e-9), 6) AS to_best, n, k, round(k / CAST(n AS DOUBLE), 6) AS at, round(mass, 6) AS mass_before, CAST(high_before AS BIGINT) AS high_before, CAST(higher_before AS BIGINT) AS higher_before, CAST(highs AS BIGINT) AS highs, CAST(highers AS BIGINT) AS highers,
@@ -54,6 +56,7 @@ SELECT lo, hi, episode, round(p / (1e0 + exp(-(45e-1 - l) / 5e-1)), 8) AS decode
 
 
 RELATIONS = {
+    "chance_quantiles": quantiles("SELECT c.p FROM {chances} c JOIN {pair_labels} l ON l.lo = c.lo AND l.hi = c.hi AND l.label = 0", (), "p", {"q90": 0.9, "q99": 0.99}),
     # two more models of the same episodes: from how both members ended, and from strengths
     "other_chances": """
 SELECT pool, lo, hi, episode, ts, least(greatest(t_ab + t_ba, 1e-3) / (1e1 + abs(net_lo) / unit + abs(net_hi) / unit), 999e-3) AS p2, least(greatest(abs(s_lo - s_hi), 1e-3), 999e-3) AS p3 FROM {transfers} WHERE unit > 0e0""",

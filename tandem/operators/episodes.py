@@ -1,5 +1,7 @@
 """Aggregations for each episode and member."""
 
+from tandem.plans.ordered import quantiles, stored
+
 OPERATORS = {
     "episode_member_counts": """
 SELECT episode, member, count(*) AS n, count(CASE WHEN act = 'exit' THEN 1 END) AS n_exit, count(CASE WHEN act = 'match' THEN 1 END) AS n_match, count(CASE WHEN act = 'hold' THEN 1 END) AS n_hold,
@@ -51,11 +53,7 @@ SELECT q.lo, q.hi, q.episode, round(max(CASE WHEN x.member = q.lo THEN bits END)
     "first_decision": "SELECT * FROM {first_decisions}",
     # Counts by enumerations, and percentiles of amounts, contributions and pots
     "distribution_report": """
-SELECT 'act' AS what, act AS value, count(*) AS n, round(percentile(amount, 1e-2), 4) AS p01, round(percentile(amount, 5e-1), 4) AS p50, round(percentile(amount, 99e-2), 4) AS p99 FROM {ev} GROUP BY act
-UNION ALL SELECT 'action' AS what, action AS value, count(*) AS n, round(percentile(amount, 1e-2), 4) AS p01, round(percentile(amount, 5e-1), 4) AS p50, round(percentile(amount, 99e-2), 4) AS p99 FROM {ev} GROUP BY action
-UNION ALL SELECT 'stage' AS what, CAST(stage AS VARCHAR(20)) AS value, count(*) AS n, round(percentile(amount, 1e-2), 4) AS p01, round(percentile(amount, 5e-1), 4) AS p50, round(percentile(amount, 99e-2), 4) AS p99 FROM {ev} GROUP BY CAST(stage AS VARCHAR(20))
-UNION ALL SELECT 'contribution' AS what, win AS value, count(*) AS n, round(percentile(contribution, 1e-2), 4) AS p01, round(percentile(contribution, 5e-1), 4) AS p50, round(percentile(contribution, 99e-2), 4) AS p99 FROM {participants} p JOIN {episodes} e ON e.episode = p.episode GROUP BY win
-UNION ALL SELECT 'pot' AS what, win AS value, count(*) AS n, round(percentile(pot, 1e-2), 4) AS p01, round(percentile(pot, 5e-1), 4) AS p50, round(percentile(pot, 99e-2), 4) AS p99 FROM (SELECT episode, sum(amount) AS pot FROM {ev} GROUP BY episode) t JOIN {episodes} e ON e.episode = t.episode GROUP BY win""",
+SELECT n.what, n.value, n.n, round(q.p01, 4) AS p01, round(q.p50, 4) AS p50, round(q.p99, 4) AS p99 FROM (SELECT what, value, count(*) AS n FROM {reported} GROUP BY what, value) n JOIN {reported_quantiles} q ON q.what = n.what AND q.value = n.value""",
     # Sizes of pools, possible pairs, shares that are labelled and evaluated, and the mix of labels
     "population_summary": """
 SELECT m.pool, m.n AS members, CAST(m.n * (m.n - 1) / 2 AS BIGINT) AS possible_pairs, coalesce(l.pairs, 0) AS seen_pairs, coalesce(l.labelled, 0) AS labelled, coalesce(l.positives, 0) AS positives, coalesce(l.unlabelled, 0) AS unlabelled, coalesce(w.pairs, 0) AS evaluated,
@@ -66,6 +64,11 @@ LEFT JOIN (SELECT pool, count(*) AS pairs FROM (SELECT DISTINCT pool, lo, hi FRO
 }
 
 RELATIONS = {
+    "reported": stored("""
+SELECT 'act' AS what, act AS value, amount AS x FROM {ev} UNION ALL SELECT 'action' AS what, action AS value, amount AS x FROM {ev} UNION ALL SELECT 'stage' AS what, CAST(stage AS VARCHAR(20)) AS value, amount AS x FROM {ev}
+UNION ALL SELECT 'contribution' AS what, win AS value, contribution AS x FROM {participants} p JOIN {episodes} e ON e.episode = p.episode
+UNION ALL SELECT 'pot' AS what, win AS value, pot AS x FROM (SELECT episode, sum(amount) AS pot FROM {ev} GROUP BY episode) t JOIN {episodes} e ON e.episode = t.episode"""),
+    "reported_quantiles": quantiles("SELECT * FROM {reported}", ("what", "value"), "x", {"p01": 0.01, "p50": 0.5, "p99": 0.99}),
     "member_counts": "SELECT episode, member, count(*) AS n, count(CASE WHEN act = 'exit' THEN 1 END) AS n_exit, count(CASE WHEN act = 'push' THEN 1 END) AS n_push FROM {ev} GROUP BY episode, member",
     "firsts": """
 SELECT q.lo, q.hi, q.episode, min(CASE WHEN v.member = q.lo AND act = 'push' THEN ordinal END) AS push_lo, min(CASE WHEN v.member = q.hi AND act = 'push' THEN ordinal END) AS push_hi,

@@ -1,17 +1,11 @@
 """Joins over episodes, events and pairs (C1-C14), and unions and comparisons of sets."""
 
+from tandem.plans.ordered import ordered
+
 OPERATORS = {
-    # the flagship query: pairs by the lean of their transfers, each with five episodes. Ranks of all pairs are the number of pairs in
-    # higher bins, from the bins' counts, and the rank inside the bin: no task sees all pairs
+    # the flagship query: pairs by the lean of their transfers, each with five episodes
     "top_pairs": """
-WITH r AS (SELECT t.*, row_number() OVER (PARTITION BY lo, hi ORDER BY round(greatest(t_ab, t_ba), 6) DESC, ts, episode) AS r FROM {moved} t WHERE win = 'evaluation'),
-p AS (
-  SELECT pool, lo, hi, count(*) AS n, round(abs(avg(t_ab) - avg(t_ba)), 6) AS imbalance, round(max(greatest(t_ab, t_ba)), 6) AS transfer_max, max(CASE WHEN r = 1 THEN episode END) AS ep1, max(CASE WHEN r = 2 THEN episode END) AS ep2, max(CASE WHEN r = 3 THEN episode END) AS ep3,
-    max(CASE WHEN r = 4 THEN episode END) AS ep4, max(CASE WHEN r = 5 THEN episode END) AS ep5 FROM r GROUP BY pool, lo, hi),
-b AS (SELECT p.*, CAST(floor(ln(1e0 + coalesce(imbalance, 0e0)) * 512e0) AS INT) AS bin FROM p), c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin),
-d AS (SELECT bin, sum(n) OVER (ORDER BY bin DESC) - n AS above, sum(n) OVER () AS pairs FROM c)
-SELECT b.pool, b.lo, b.hi, b.n, b.imbalance, b.transfer_max, round((d.pairs - d.above - row_number() OVER (PARTITION BY b.bin ORDER BY b.imbalance DESC, b.lo, b.hi) + 1) / CAST(d.pairs AS DOUBLE), 6) AS risk_score, ep1, ep2, ep3, ep4, ep5
-FROM b JOIN d ON d.bin = b.bin""",
+SELECT pool, lo, hi, n, imbalance, transfer_max, round((n_all - r + 1) / CAST(n_all AS DOUBLE), 6) AS risk_score, ep1, ep2, ep3, ep4, ep5 FROM {evaluated_pairs}""",
     # The pool of a member, and in how many it was seen
     "member_pool": """
 SELECT p.member, min(e.priority) AS pool_first, count(DISTINCT e.priority) AS pools FROM {participants} p JOIN {episodes} e ON e.episode = p.episode GROUP BY p.member""",
@@ -69,4 +63,9 @@ RELATIONS = {
 SELECT v.member, e.win, count(*) AS n, sum(CASE WHEN act = 'push' THEN 1e0 ELSE 0e0 END) / count(*) AS push_rate, sum(CASE WHEN act = 'exit' THEN 1e0 ELSE 0e0 END) / count(*) AS exit_rate,
   sum(CASE WHEN act = 'match' THEN 1e0 ELSE 0e0 END) / count(*) AS match_rate
 FROM {ev} v JOIN {episodes} e ON e.episode = v.episode GROUP BY v.member, e.win""",
+    # all pairs in order of their lean, with no task that sees all
+    "evaluated_pairs": ordered("""
+WITH r AS (SELECT t.*, row_number() OVER (PARTITION BY lo, hi ORDER BY round(greatest(t_ab, t_ba), 6) DESC, ts, episode) AS place FROM {moved} t WHERE win = 'evaluation')
+SELECT pool, lo, hi, count(*) AS n, round(abs(avg(t_ab) - avg(t_ba)), 6) AS imbalance, round(max(greatest(t_ab, t_ba)), 6) AS transfer_max, max(CASE WHEN place = 1 THEN episode END) AS ep1, max(CASE WHEN place = 2 THEN episode END) AS ep2, max(CASE WHEN place = 3 THEN episode END) AS ep3,
+  max(CASE WHEN place = 4 THEN episode END) AS ep4, max(CASE WHEN place = 5 THEN episode END) AS ep5 FROM r GROUP BY pool, lo, hi""", (), ("imbalance desc", "lo", "hi")),
 }

@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.operators.features import ACTS
+from tandem.plans.ordered import counted, ordered, quantiles, stored
 from tandem.sources.sinks import kept
 
 
 def route_other(first: int = 60, first_floor: float = 2.5, second: int = 100, second_floor: float = 3.02) -> str:
     """SQL for the pairs that are called other: near the top of their pool and with a high best episode, or a little lower with a higher one."""
-    return f"SELECT pool, lo, hi FROM (SELECT s.*, row_number() OVER (PARTITION BY pool ORDER BY score DESC, lo, hi) AS r FROM {{pair_scores}} s) t WHERE (r <= {first} AND top > {first_floor}e0) OR (r <= {second} AND top > {second_floor}e0)"
+    return f"SELECT pool, lo, hi FROM {{pair_order}} WHERE (r <= {first} AND top > {first_floor}e0) OR (r <= {second} AND top > {second_floor}e0)"
 
 
 OPERATORS = {
@@ -29,8 +30,8 @@ OPERATORS = {
     "assign_folds": "SELECT pool, count(*) AS pairs, CAST(ascii(substr(md5(CAST(pool AS VARCHAR(20))), 1, 1)) % 3 AS BIGINT) AS fold FROM {pair_labels} GROUP BY pool",
     # K8: weights for training on positives and unlabelled rows, in three modes; rows below an exposure floor or with a member of a positive pair don't train
     "pu_clean": """
-WITH c AS (SELECT percentile(score, 9e-1) AS high FROM {pair_scores} WHERE label IS NULL), t AS (SELECT lo AS member FROM {pair_labels} WHERE label = 1 UNION SELECT hi AS member FROM {pair_labels} WHERE label = 1),
-x AS (SELECT p.lo, p.hi, p.n, p.label, CAST(p.label IS NULL AND p.score > c.high AS INT) AS doubtful, CASE WHEN p.label IS NULL AND (p.lo IN (SELECT member FROM t) OR p.hi IN (SELECT member FROM t)) THEN 1 ELSE 0 END AS touches FROM {pair_scores} p CROSS JOIN c)
+WITH c AS (SELECT high FROM {unknown_high}), t AS (SELECT lo AS member FROM {pair_labels} WHERE label = 1 UNION SELECT hi AS member FROM {pair_labels} WHERE label = 1),
+x AS (SELECT p.lo, p.hi, p.n, p.label, CAST(p.label IS NULL AND p.score > c.high AS INT) AS doubtful, CASE WHEN p.label IS NULL AND (p.lo IN (SELECT member FROM t) OR p.hi IN (SELECT member FROM t)) THEN 1 ELSE 0 END AS touches FROM {stored_scores} p CROSS JOIN c)
 SELECT lo, hi, doubtful, touches, CASE WHEN n < 12 OR touches = 1 THEN 0e0 ELSE 1e0 END AS w_none, CASE WHEN n < 12 OR touches = 1 OR doubtful = 1 THEN 0e0 ELSE 1e0 END AS w_drop, CASE WHEN n < 12 OR touches = 1 THEN 0e0 WHEN doubtful = 1 THEN 5e-1 ELSE 1e0 END AS w_pos, CASE WHEN label = 1 OR doubtful = 1 THEN 1 ELSE 0 END AS y_pos FROM x""",
     # K14
     "consensus_score": """
@@ -41,20 +42,16 @@ WITH s AS (SELECT lo, hi, episode, p, CASE WHEN p > 3e-1 THEN 1 WHEN p < 1e-3 TH
 SELECT a.lo, a.hi, a.episode, a.y, round(least(1e0, 3e0 / a.n), 8) AS weight, b.episode AS preferred_to, round(a.p - b.p, 8) AS margin FROM k a LEFT JOIN k b ON b.lo = a.lo AND b.hi = a.hi AND a.y = 1 AND b.y = 0 AND b.r = a.r AND a.r <= 5""",
     # Scores put together as means of standard scores, of ranks, of logits of ranks, and of groups of scores; the old one mixed with a new one; and ranks with weights
     "fuse_scores": """
-WITH s AS (SELECT pool, lo, hi, score AS a, top AS b, ln(1e0 + n) AS c FROM {pair_scores}), m AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb, avg(c) AS mc, stddev_samp(c) AS sc FROM s),
-x AS (SELECT s.pool, s.lo, s.hi, coalesce((a - ma) / nullif(sa, 0e0), 0e0) AS za, coalesce((b - mb) / nullif(sb, 0e0), 0e0) AS zb, coalesce((c - mc) / nullif(sc, 0e0), 0e0) AS zc, cume_dist() OVER (PARTITION BY pool ORDER BY a) AS ra, cume_dist() OVER (PARTITION BY pool ORDER BY b) AS rb, cume_dist() OVER (PARTITION BY pool ORDER BY c) AS rc FROM s CROSS JOIN m)
+WITH s AS (SELECT pool, lo, hi, score AS a, top AS b, n, ln(1e0 + n) AS size FROM {stored_scores}), m AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb, avg(size) AS mc, stddev_samp(size) AS sc FROM s),
+x AS (SELECT s.pool, s.lo, s.hi, coalesce((a - ma) / nullif(sa, 0e0), 0e0) AS za, coalesce((b - mb) / nullif(sb, 0e0), 0e0) AS zb, coalesce((size - mc) / nullif(sc, 0e0), 0e0) AS zc, va.upto / CAST(va.c_all AS DOUBLE) AS ra, vb.upto / CAST(vb.c_all AS DOUBLE) AS rb, vc.upto / CAST(vc.c_all AS DOUBLE) AS rc FROM s CROSS JOIN m
+  JOIN {pool_values} va ON va.pool = s.pool AND va.score = s.a JOIN {top_values} vb ON vb.pool = s.pool AND vb.top = s.b JOIN {size_values} vc ON vc.pool = s.pool AND vc.n = s.n)
 SELECT lo, hi, round((za + zb + zc) / 3e0, 6) AS z_mean, round((ra + rb + rc) / 3e0, 6) AS rank_mean, round((ln((ra * 998e-3 + 1e-3) / (999e-3 - ra * 998e-3)) + ln((rb * 998e-3 + 1e-3) / (999e-3 - rb * 998e-3)) + ln((rc * 998e-3 + 1e-3) / (999e-3 - rc * 998e-3))) / 3e0, 6) AS logit_mean, round(((za + zb) / 2e0 + zc) / 2e0, 6) AS group_mean,
   round(75e-2 * za + 25e-2 * zb, 6) AS mixed, round(5e-1 * ra + 25e-2 * rb + 25e-2 * rc, 6) AS weighted_rank FROM x""",
     # The family with the highest score, other below a confidence, none below a risk; for a grid of both thresholds how many fall where, and the macro average precision
     "assign_behavior": """
-WITH f AS (SELECT t.pool, t.lo, t.hi, avg(greatest(t_ab, t_ba)) AS risk, avg(t_ab) AS f0, avg(t_ba) AS f1, avg(abs(s_lo - s_hi)) AS f2, max(l.label) AS label, max(l.family) AS family FROM {transfers} t JOIN {pair_labels} l ON l.lo = t.lo AND l.hi = t.hi GROUP BY t.pool, t.lo, t.hi),
-b AS (SELECT f.*, CASE WHEN f0 >= f1 AND f0 >= f2 THEN 0 WHEN f1 >= f2 THEN 1 ELSE 2 END AS best, greatest(f0, f1, f2) / nullif(f0 + f1 + f2, 0e0) AS sure FROM f),
-g AS (SELECT a.t AS t_family, r.t AS t_risk FROM (SELECT t FROM (VALUES (0e0), (4e-1), (6e-1)) AS v(t)) a CROSS JOIN (SELECT t FROM (VALUES (1e-1), (5e-1)) AS v(t)) r),
-x AS (SELECT g.*, b.*, CASE WHEN risk < t_risk THEN -1 WHEN sure < t_family THEN 3 ELSE best END AS given FROM b CROSS JOIN g),
-r AS (SELECT x.*, k.k AS target, CASE WHEN label = 1 AND family = k.k THEN 1 ELSE 0 END AS y, row_number() OVER (PARTITION BY t_family, t_risk, k.k, pool ORDER BY CASE WHEN given = k.k THEN risk ELSE 0e0 END DESC, lo, hi) AS r FROM x CROSS JOIN (SELECT k FROM (VALUES (0), (1), (2)) AS v(k)) k),
-c AS (SELECT r.*, sum(y) OVER (PARTITION BY t_family, t_risk, target, pool ORDER BY r) AS hits FROM r), a AS (SELECT t_family, t_risk, target, pool, coalesce(sum(CASE WHEN y = 1 THEN hits / CAST(r AS DOUBLE) END) / nullif(sum(y), 0), 0e0) AS ap FROM c GROUP BY t_family, t_risk, target, pool), m AS (SELECT t_family, t_risk, avg(ap) AS ap FROM a GROUP BY t_family, t_risk)
+WITH a AS (SELECT t_family, t_risk, target, pool, coalesce(sum(CASE WHEN y = 1 THEN hits / CAST(r AS DOUBLE) END) / nullif(max(hits_all), 0), 0e0) AS ap FROM {assigned_order} GROUP BY t_family, t_risk, target, pool), m AS (SELECT t_family, t_risk, avg(ap) AS ap FROM a GROUP BY t_family, t_risk)
 SELECT x.t_family, x.t_risk, count(CASE WHEN given = -1 THEN 1 END) AS n_none, count(CASE WHEN given = 3 THEN 1 END) AS n_other, count(CASE WHEN given = 0 THEN 1 END) AS n0, count(CASE WHEN given = 1 THEN 1 END) AS n1, count(CASE WHEN given = 2 THEN 1 END) AS n2, count(CASE WHEN label = 1 AND given = family THEN 1 END) AS right_family, round(max(m.ap), 8) AS macro_ap
-FROM x JOIN m ON m.t_family = x.t_family AND m.t_risk = x.t_risk GROUP BY x.t_family, x.t_risk""",
+FROM {assigned} x JOIN m ON m.t_family = x.t_family AND m.t_risk = x.t_risk GROUP BY x.t_family, x.t_risk""",
     # K19
     "route_other": route_other(),
     # Other families' positives get no weight, not label 0
@@ -67,6 +64,18 @@ SELECT a.lo, a.hi, a.episode AS listed_episode, b.episode AS other_episode, roun
 }
 
 RELATIONS = {
+    "unknown_high": quantiles("SELECT score FROM {stored_scores} WHERE label IS NULL", (), "score", {"high": 0.9}),
+    "top_values": counted("SELECT * FROM {stored_scores}", ("pool",), "top"),
+    "size_values": counted("SELECT * FROM {stored_scores}", ("pool",), "n"),
+    "assigned": stored("""
+WITH f AS (SELECT t.pool, t.lo, t.hi, avg(greatest(t_ab, t_ba)) AS risk, avg(t_ab) AS f0, avg(t_ba) AS f1, avg(abs(s_lo - s_hi)) AS f2, max(l.label) AS label, max(l.family) AS family FROM {transfers} t JOIN {pair_labels} l ON l.lo = t.lo AND l.hi = t.hi GROUP BY t.pool, t.lo, t.hi),
+b AS (SELECT f.*, CASE WHEN f0 >= f1 AND f0 >= f2 THEN 0 WHEN f1 >= f2 THEN 1 ELSE 2 END AS best, greatest(f0, f1, f2) / nullif(f0 + f1 + f2, 0e0) AS sure FROM f),
+g AS (SELECT a.t AS t_family, r.t AS t_risk FROM (SELECT t FROM (VALUES (0e0), (4e-1), (6e-1)) AS v(t)) a CROSS JOIN (SELECT t FROM (VALUES (1e-1), (5e-1)) AS v(t)) r)
+SELECT g.*, b.*, CASE WHEN risk < t_risk THEN -1 WHEN sure < t_family THEN 3 ELSE best END AS given FROM b CROSS JOIN g"""),
+    "assigned_order": ordered(
+        "SELECT x.t_family, x.t_risk, k.k AS target, x.pool, x.lo, x.hi, CASE WHEN x.label = 1 AND x.family = k.k THEN 1 ELSE 0 END AS y, CASE WHEN x.given = k.k THEN x.risk ELSE 0e0 END AS shown FROM {assigned} x CROSS JOIN (SELECT k FROM (VALUES (0), (1), (2)) AS v(k)) k",
+        ("t_family", "t_risk", "target", "pool"), ("shown desc", "lo", "hi"), {"hits": "y"},
+    ),
     "decision_table": """
 SELECT v.episode, v.ordinal, v.act, v.stage, CAST(v.to_call > 0e0 AS INT) AS facing, v.to_call / nullif(e.unit, 0e0) AS cost, CASE WHEN v.to_call > 0e0 THEN v.to_call / (v.pot + v.to_call) ELSE 0e0 END AS odds, v.active, v.pushes_before, v.own_pushes_before, v.strength, v.own_no, CAST(ascii(substr(md5(CAST(m.pool AS VARCHAR(20))), 1, 1)) % 3 AS INT) AS fold
 FROM {steps} v JOIN {episodes} e ON e.episode = v.episode JOIN {members} m ON m.member = v.member""",

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_RANKED = """SELECT pool, lo, hi, coalesce(label, 0) AS y, family, score, row_number() OVER (PARTITION BY pool ORDER BY score DESC, lo, hi) AS r, top FROM {pair_scores}"""
+from tandem.functions.orders import in_order
+from tandem.plans.ordered import ordered
+
 _FIVE = "SELECT lo, hi, episode, row_number() OVER (PARTITION BY lo, hi ORDER BY score DESC, ts, episode) AS r FROM {scored} WHERE win = 'development'"
 _AP5 = f"""SELECT g.lo, g.hi, coalesce(sum(h.gain), 0e0) / least(5, max(g.n)) AS ap FROM (SELECT lo, hi, count(*) AS n FROM {{listed}} GROUP BY lo, hi) g
 LEFT JOIN (SELECT f.lo, f.hi, count(*) OVER (PARTITION BY f.lo, f.hi ORDER BY f.r) / CAST(f.r AS DOUBLE) AS gain FROM ({_FIVE}) f JOIN {{listed}} l ON l.lo = f.lo AND l.hi = f.hi AND l.episode = f.episode WHERE f.r <= 5) h ON h.lo = g.lo AND h.hi = g.hi GROUP BY g.lo, g.hi"""
-_AP = f"SELECT pool, coalesce(sum(CASE WHEN y = 1 THEN k / CAST(r AS DOUBLE) END) / nullif(sum(y), 0), 0e0) AS ap FROM (SELECT pool, y, r, sum(y) OVER (PARTITION BY pool ORDER BY r) AS k FROM ({_RANKED}) a) b GROUP BY pool"
-_FAMILY = f"""SELECT f.family, coalesce(sum(CASE WHEN b.y = 1 THEN b.k / CAST(b.r AS DOUBLE) END) / nullif(sum(b.y), 0), 0e0) AS ap FROM (SELECT family FROM (VALUES (0), (1), (2)) AS v(family)) f
-LEFT JOIN (SELECT fam, y, r, sum(y) OVER (PARTITION BY fam ORDER BY r) AS k FROM (
-  SELECT p.family AS fam, CASE WHEN coalesce(p.label, 0) = 1 THEN 1 ELSE 0 END AS y, row_number() OVER (PARTITION BY p.family ORDER BY p.score DESC, p.lo, p.hi) AS r FROM {{pair_scores}} p) a) b ON b.fam = f.family GROUP BY f.family"""
+_AP = "SELECT pool, coalesce(sum(CASE WHEN label = 1 THEN hits / CAST(r AS DOUBLE) END) / nullif(max(hits_all), 0), 0e0) AS ap FROM {pair_order} GROUP BY pool"
+_FAMILY = """SELECT f.family, coalesce(b.ap, 0e0) AS ap FROM (SELECT family FROM (VALUES (0), (1), (2)) AS v(family)) f
+LEFT JOIN (SELECT family, sum(CASE WHEN label = 1 THEN hits / CAST(r AS DOUBLE) END) / nullif(max(hits_all), 0) AS ap FROM {family_order} GROUP BY family) b ON b.family = f.family"""
 
 OPERATORS = {
     "stable_ap": f"SELECT pool, round(ap, 8) AS ap FROM ({_AP}) t",
@@ -30,8 +31,7 @@ SELECT source, count(*) AS n, round((sum(CASE WHEN y = 1 THEN r END) - CAST(sum(
 SELECT g.k, count(*) AS listed, round(avg(CASE WHEN f.r <= g.k THEN 1e0 ELSE 0e0 END), 8) AS recall FROM {{listed}} l JOIN ({_FIVE}) f ON f.lo = l.lo AND f.hi = l.hi AND f.episode = l.episode CROSS JOIN (SELECT k FROM (VALUES (5), (10), (20), (40)) AS v(k)) g GROUP BY g.k""",
     # Shifts between two orders of a pool's pairs, and what they change of the average precision
     "rank_change_audit": """
-WITH r AS (SELECT pool, lo, hi, label, row_number() OVER (PARTITION BY pool ORDER BY score DESC, lo, hi) AS a, row_number() OVER (PARTITION BY pool ORDER BY top DESC, lo, hi) AS b FROM {pair_scores}),
-c AS (SELECT r.*, CASE WHEN label = 1 THEN sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY pool ORDER BY a) / CAST(a AS DOUBLE) END AS gain_a, CASE WHEN label = 1 THEN sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY pool ORDER BY b) / CAST(b AS DOUBLE) END AS gain_b FROM r)
+WITH c AS (SELECT o.pool, o.lo, o.hi, o.label, o.r AS a, t.r AS b, CASE WHEN o.label = 1 THEN o.hits / CAST(o.r AS DOUBLE) END AS gain_a, CASE WHEN o.label = 1 THEN t.hits / CAST(t.r AS DOUBLE) END AS gain_b FROM {pair_order} o JOIN {top_order} t ON t.lo = o.lo AND t.hi = o.hi)
 SELECT pool, count(*) AS pairs, round(avg(abs(a - b)), 6) AS mean_shift, max(abs(a - b)) AS max_shift, count(CASE WHEN a <= 20 AND b <= 20 THEN 1 END) AS common_top, count(CASE WHEN a <= 20 AND label IS NULL THEN 1 END) AS unknown_top_a, count(CASE WHEN b <= 20 AND label IS NULL THEN 1 END) AS unknown_top_b,
   round(avg(gain_a), 8) AS ap_a, round(avg(gain_b), 8) AS ap_b, round(sum(gain_b - gain_a), 6) AS contribution_change, round(max(gain_b - gain_a), 6) AS best_change, round(min(gain_b - gain_a), 6) AS worst_change FROM c GROUP BY pool""",
     # What is lost because a listed episode is not among the first twenty, not chosen, or chosen late: the precision at five with the chosen in the right order, and with the right choice from the twenty
@@ -80,9 +80,9 @@ def cluster_bootstrap(scores: DataFrame, replicas: int = 100, seed: int = 11) ->
 
 def average_precision(df: DataFrame, label: str, score: str, ids: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """L1 for any columns: average precision in each group of `by`, ties in score in the order of ids; 0 without a positive."""
-    order = Window.partitionBy(*by).orderBy(F.col(score).desc(), *ids)
-    ranked = df.select(*by, F.coalesce(F.col(label), F.lit(0)).alias("_y"), F.row_number().over(order).alias("_r"), F.sum(F.coalesce(F.col(label), F.lit(0))).over(order).alias("_k"))
-    return ranked.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_y") == 1, F.col("_k") / F.col("_r"))) / F.nullif(F.sum("_y"), F.lit(0)), F.lit(0.0)).alias("ap"))
+    rows = df.select(*by, *ids, F.col(score).alias("_score"), F.coalesce(F.col(label), F.lit(0)).alias("_y"))
+    ranked = in_order(rows, by, ("_score desc", *ids), {"_k": F.col("_y")})
+    return ranked.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_y") == 1, F.col("_k") / F.col("r"))) / F.nullif(F.sum("_y"), F.lit(0)), F.lit(0.0)).alias("ap"))
 
 
 def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +93,11 @@ def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"cluster_bootstrap": _bootstrap}
+_HITS = {"hits": "CASE WHEN label = 1 THEN 1 ELSE 0 END"}
+RELATIONS = {
+    "family_order": ordered("SELECT family, lo, hi, label, score FROM {pair_scores}", ("family",), ("score desc", "lo", "hi"), _HITS),
+    "top_order": ordered("SELECT pool, lo, hi, label, top FROM {pair_scores}", ("pool",), ("top desc", "lo", "hi"), _HITS),
+}
 _TIMES = " + ".join(f"CASE WHEN u >= {t!r} THEN 1 ELSE 0 END" for t in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253))
 ORACLES = {
     "cluster_bootstrap": f"""

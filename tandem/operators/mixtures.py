@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tandem.plans.ordered import quantiles, stored
+
 # Decisions toward a target by classes of both strengths, and their shares in the other folds: q given both classes, z given one's own. Twelve to sixty rows a fold.
 _CLASSES = """t AS (SELECT actor, target, act, CAST(floor(strength * 3e0) AS INT) AS own, CAST(floor(target_strength * 3e0) AS INT) AS partner, count(*) AS n FROM {toward} GROUP BY actor, target, act, CAST(floor(strength * 3e0) AS INT), CAST(floor(target_strength * 3e0) AS INT)),
 c AS (SELECT t.*, ascii(substr(md5(CAST(m.pool AS VARCHAR(20))), 1, 1)) % 3 AS fold FROM t JOIN {members} m ON m.member = t.actor), k AS (SELECT fold, own, partner, act, sum(n) AS n FROM c GROUP BY fold, own, partner, act), f AS (SELECT DISTINCT fold FROM k),
@@ -29,16 +31,12 @@ WITH h AS (SELECT member AS actor, target, episode, sum((CASE WHEN act = 'push'
 SELECT actor, target, CAST(sum(n) AS BIGINT) AS n, count(*) AS episodes, round(sum(s) / sqrt(sum(v) + 1e-9), 6) AS z FROM h GROUP BY actor, target""",
     # Two statistics standardised on negatives and added, against the negatives' upper quantiles
     "null_calibrated_combine": """
-WITH s AS (SELECT p.lo, p.hi, p.score AS a, p.top AS b, p.label FROM {pair_scores} p), n AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb FROM s WHERE label = 0),
-c AS (SELECT s.*, ((a - ma) / nullif(sa, 0e0) + (b - mb) / nullif(sb, 0e0)) / sqrt(2e0) AS z FROM s CROSS JOIN n), q AS (SELECT percentile(z, 9e-1) AS q90, percentile(z, 99e-2) AS q99 FROM c WHERE label = 0)
-SELECT c.lo, c.hi, round(z, 6) AS combined, CAST(z > q90 AS INT) AS over90, CAST(z > q99 AS INT) AS over99 FROM c CROSS JOIN q""",
+SELECT c.lo, c.hi, round(z, 6) AS combined, CAST(z > q90 AS INT) AS over90, CAST(z > q99 AS INT) AS over99 FROM {combined_scores} c CROSS JOIN {combined_quantiles} q""",
     "tilt_llr": "SELECT episode, actor, target, round(sum(l), 6) AS llr FROM {tilts} GROUP BY episode, actor, target",
     # Log Bayes factor of a share of active episodes, and where it stands among pairs of like exposure that are not positive
     "pair_bayes_factor": """
-WITH h AS (SELECT actor, target, episode, sum(l) AS l FROM {tilts} GROUP BY actor, target, episode), b AS (SELECT actor, target, count(*) AS n, sum(ln(9e-1 + 1e-1 * exp(l))) AS lbf FROM h GROUP BY actor, target),
-x AS (SELECT b.*, CAST(floor(ln(n) / ln(2e0) + 1e-9) AS INT) AS exposure, l.label FROM b LEFT JOIN {pair_labels} l ON l.lo = least(b.actor, b.target) AND l.hi = greatest(b.actor, b.target)),
-z AS (SELECT exposure, avg(lbf) AS mean, stddev_samp(lbf) AS sd, percentile(lbf, 95e-2) AS q95 FROM x WHERE label = 0 OR label IS NULL GROUP BY exposure)
-SELECT x.actor, x.target, x.n, round(x.lbf, 6) AS lbf, x.exposure, round((x.lbf - z.mean) / nullif(z.sd, 0e0), 5) AS z, CAST(x.lbf > z.q95 AS INT) AS over95 FROM x LEFT JOIN z ON z.exposure = x.exposure""",
+WITH z AS (SELECT exposure, avg(lbf) AS mean, stddev_samp(lbf) AS sd FROM {pair_bayes} WHERE label = 0 OR label IS NULL GROUP BY exposure)
+SELECT x.actor, x.target, x.n, round(x.lbf, 6) AS lbf, x.exposure, round((x.lbf - z.mean) / nullif(z.sd, 0e0), 5) AS z, CAST(x.lbf > q.q95 AS INT) AS over95 FROM {pair_bayes} x LEFT JOIN z ON z.exposure = x.exposure LEFT JOIN {bayes_quantiles} q ON q.exposure = x.exposure""",
     # Over a grid of sizes and activities, with the activity and the size to expect after it
     "sparse_activity_lbf": """
 WITH h AS (SELECT actor, target, episode, delta, sum(l) AS l FROM {tilts_by_size} GROUP BY actor, target, episode, delta), g AS (SELECT rho FROM (VALUES (2e-2), (1e-1), (5e-1)) AS v(rho)),
@@ -64,6 +62,14 @@ SELECT least(c.actor, c.target) AS lo, greatest(c.actor, c.target) AS hi, CAST(s
 }
 
 RELATIONS = {
+    "combined_scores": stored("""
+WITH s AS (SELECT p.lo, p.hi, p.score AS a, p.top AS b, p.label FROM {pair_scores} p), n AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb FROM s WHERE label = 0)
+SELECT s.lo, s.hi, s.label, ((a - ma) / nullif(sa, 0e0) + (b - mb) / nullif(sb, 0e0)) / sqrt(2e0) AS z FROM s CROSS JOIN n"""),
+    "combined_quantiles": quantiles("SELECT z FROM {combined_scores} WHERE label = 0", (), "z", {"q90": 0.9, "q99": 0.99}),
+    "pair_bayes": stored("""
+WITH h AS (SELECT actor, target, episode, sum(l) AS l FROM {tilts} GROUP BY actor, target, episode), b AS (SELECT actor, target, count(*) AS n, sum(ln(9e-1 + 1e-1 * exp(l))) AS lbf FROM h GROUP BY actor, target)
+SELECT b.*, CAST(floor(ln(n) / ln(2e0) + 1e-9) AS INT) AS exposure, l.label FROM b LEFT JOIN {pair_labels} l ON l.lo = least(b.actor, b.target) AND l.hi = greatest(b.actor, b.target)"""),
+    "bayes_quantiles": quantiles("SELECT exposure, lbf FROM {pair_bayes} WHERE label = 0 OR label IS NULL", ("exposure",), "lbf", {"q95": 0.95}),
     "first_pairs": """
 SELECT e.lo, e.hi, e.episode, e.act_lo, e.act_hi, e.s_lo, e.s_hi, e.o_lo, e.o_hi, r.x, r.u, r.m FROM {entries} e
 CROSS JOIN (SELECT avg(CASE WHEN act = 'exit' THEN 1e0 ELSE 0e0 END) AS x, avg(CASE WHEN act = 'push' THEN 1e0 ELSE 0e0 END) AS u, avg(strength) AS m FROM {first_decisions}) r""",

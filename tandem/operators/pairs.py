@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from tandem.plans.ordered import counted, ordered, quantiles, stored
+
 #: What an episode is compared by (D50), the cells (D56), and the features whose drift is told (D57), as SQL over transfers and pair_features1.
 TEMPLATE = ("t_ab", "t_ba", "put_lo / unit", "put_hi / unit", "s_lo", "s_hi")
 CELLS = {
@@ -54,8 +56,8 @@ z AS (SELECT lo, hi, (exit_lo_hi - n_lo_hi * p_lo) / sqrt(n_lo_hi * p_lo * (1e0
 SELECT lo, hi, round(greatest(z_lo, z_hi), 6) AS z_max, round(least(z_lo, z_hi), 6) AS z_min FROM z""",
     # Against the pool's median
     "context_residual": """
-SELECT s.lo, s.hi, s.pool, round((s.score - m.mid) / (abs(m.mid) + 1e0), 6) AS residual, round(percent_rank() OVER (PARTITION BY s.pool ORDER BY s.score), 6) AS pool_rank, m.n AS pool_pairs
-FROM {pair_scores} s JOIN (SELECT pool, median(score) AS mid, count(*) AS n FROM {pair_scores} GROUP BY pool) m ON m.pool = s.pool""",
+SELECT s.lo, s.hi, s.pool, round((s.score - m.mid) / (abs(m.mid) + 1e0), 6) AS residual, round(CASE WHEN v.c_all > 1 THEN (v.upto - v.c) / CAST(v.c_all - 1 AS DOUBLE) ELSE 0e0 END, 6) AS pool_rank, v.c_all AS pool_pairs
+FROM {stored_scores} s JOIN {pool_middles} m ON m.pool = s.pool JOIN {pool_values} v ON v.pool = s.pool AND v.score = s.score""",
     "pool_center": """
 SELECT lo, hi, round(score - avg(score) OVER (PARTITION BY pool), 8) AS centred, round((score - avg(score) OVER (PARTITION BY pool)) / nullif(stddev_samp(score) OVER (PARTITION BY pool), 0e0), 6) AS z, round(score - 5e-1 * avg(score) OVER (PARTITION BY pool), 8) AS half_centred FROM {pair_scores}""",
     # The best other pair of either member, by each member's two best
@@ -67,7 +69,7 @@ SELECT s.lo, s.hi, round(s.score, 6) AS score, round(greatest(CASE WHEN a.lo1 =
 FROM {pair_scores} s JOIN t a ON a.member = s.lo JOIN t b ON b.member = s.hi""",
     # Demoted where a higher pair has one of the members
     "shares_higher_ranked": """
-WITH r AS (SELECT lo, hi, score, row_number() OVER (PARTITION BY pool ORDER BY score DESC, lo, hi) AS r FROM {pair_scores}),
+WITH r AS (SELECT lo, hi, score, r FROM {pair_order}),
 m AS (SELECT member, min(r) AS best FROM (SELECT lo AS member, r FROM r UNION ALL SELECT hi AS member, r FROM r) u GROUP BY member)
 SELECT r.lo, r.hi, CAST(least(a.best, b.best) < r.r AS INT) AS shared, round(CASE WHEN least(a.best, b.best) < r.r THEN score * 5e-1 ELSE score END, 8) AS demoted FROM r JOIN m a ON a.member = r.lo JOIN m b ON b.member = r.hi""",
     # D43
@@ -79,7 +81,7 @@ SELECT lo, hi, CASE WHEN lo IN (SELECT member FROM p) OR hi IN (SELECT member FR
 SELECT r.lo, r.hi, round(r.n * CAST(t.total AS DOUBLE) / (CAST(r.hands_lo AS DOUBLE) * r.hands_hi), 8) AS ratio FROM {rolled} r CROSS JOIN (SELECT count(*) AS total FROM {episodes}) t""",
     # A bag of episode scores as one row
     "bag_reduce": """
-WITH q AS (SELECT percentile(s.score, 99e-2) AS q99, percentile(s.score, 999e-3) AS q999 FROM {scored} s JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi AND l.label = 0),
+WITH q AS (SELECT q99, q999 FROM {negative_quantiles}),
 r AS (SELECT lo, hi, score, row_number() OVER (PARTITION BY lo, hi ORDER BY score DESC, episode) AS r FROM {scored})
 SELECT lo, hi, count(*) AS n, round(sum(score), 5) AS total, round(avg(score), 8) AS mean, round(max(score), 6) AS top, count(CASE WHEN score > q99 THEN 1 END) AS n99, count(CASE WHEN score > q999 THEN 1 END) AS n999, round(count(CASE WHEN score > q99 THEN 1 END) / CAST(count(*) AS DOUBLE), 8) AS rate99, round(count(CASE WHEN score > q999 THEN 1 END) / CAST(count(*) AS DOUBLE), 8) AS rate999,
   round(avg(CASE WHEN r <= 3 THEN score END), 8) AS top3, round(avg(CASE WHEN r <= 5 THEN score END), 8) AS top5 FROM r CROSS JOIN q GROUP BY lo, hi""",
@@ -139,7 +141,7 @@ SELECT s.lo, s.hi, count(*) AS n, round(sum(s.score), 5) AS total FROM {scored}
 SELECT a.lo, a.hi, round(a.m - b.m, 8) AS contrast FROM (SELECT lo, hi, avg(score) AS m FROM {scored} WHERE win = 'evaluation' GROUP BY lo, hi) a LEFT JOIN (SELECT lo, hi, avg(score) AS m FROM {scored} WHERE win = 'development' GROUP BY lo, hi) b ON b.lo = a.lo AND b.hi = a.hi""",
     # Nearness in the pool's episode order to an episode listed for another pair of a member; joined by member
     "neighbor_listing_gap": """
-WITH d AS (SELECT pool, episode, min(ts) AS ts FROM {scored} GROUP BY pool, episode), i AS (SELECT pool, episode, row_number() OVER (PARTITION BY pool ORDER BY ts, episode) AS idx FROM d),
+WITH i AS (SELECT pool, episode, r AS idx FROM {pool_episodes}),
 g AS (SELECT l.lo, l.hi, l.lo AS member, i.idx FROM {listed} l JOIN i ON i.pool = l.pool AND i.episode = l.episode UNION ALL SELECT l.lo, l.hi, l.hi AS member, i.idx FROM {listed} l JOIN i ON i.pool = l.pool AND i.episode = l.episode),
 s AS (SELECT s.lo, s.hi, s.episode, i.idx, s.lo AS member FROM {scored} s JOIN i ON i.pool = s.pool AND i.episode = s.episode UNION ALL SELECT s.lo, s.hi, s.episode, i.idx, s.hi AS member FROM {scored} s JOIN i ON i.pool = s.pool AND i.episode = s.episode),
 m AS (SELECT s.lo, s.hi, s.episode, min(abs(s.idx - g.idx)) AS gap FROM s JOIN g ON g.member = s.member AND NOT (g.lo = s.lo AND g.hi = s.hi) GROUP BY s.lo, s.hi, s.episode)
@@ -161,9 +163,19 @@ SELECT h.pool, max(CASE WHEN draw = 0 THEN members END) AS members, coalesce(max
 RELATIONS = {
     # shares of the negatives' episodes above a score; counted in bins of the score, so that no task sees all
     "tails": """
-WITH s AS (SELECT s.pool, s.lo, s.hi, s.episode, s.score, CAST(floor(ln(1e0 + coalesce(s.score, 0e0)) * 512e0) AS INT) AS bin, l.label, l.family FROM {scored} s JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi),
-c AS (SELECT bin, count(CASE WHEN label = 0 THEN 1 END) AS n FROM s GROUP BY bin), d AS (SELECT bin, sum(n) OVER (ORDER BY bin) - n AS below, sum(n) OVER () AS total FROM c)
-SELECT s.pool, s.lo, s.hi, s.episode, s.score, s.label, s.family, 1e0 - (d.below + count(CASE WHEN s.label = 0 THEN 1 END) OVER (PARTITION BY s.bin ORDER BY s.score)) / CAST(d.total AS DOUBLE) + 5e-1 / d.total AS tail FROM s JOIN d ON d.bin = s.bin""",
+SELECT s.pool, s.lo, s.hi, s.episode, s.score, s.label, s.family, 1e0 - d.upto / CAST(d.c_all AS DOUBLE) + 5e-1 / d.c_all AS tail FROM {labelled_scores} s JOIN {score_counts} d ON d.score = s.score""",
+    "labelled_scores": stored("SELECT s.pool, s.lo, s.hi, s.episode, coalesce(s.score, 0e0) AS score, l.label, l.family FROM {scored} s JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi"),
+    # negatives' episodes up to each distinct score, with one row for a score whatever number of episodes has it
+    "score_counts": counted("SELECT * FROM {labelled_scores}", (), "score", "CASE WHEN label = 0 THEN 1 ELSE 0 END"),
+    "negative_quantiles": quantiles("SELECT s.score FROM {scored} s JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi AND l.label = 0", (), "score", {"q99": 0.99, "q999": 0.999}),
+    # pairs that are read more than once, so that their sums are the same each time
+    "stored_scores": stored("SELECT * FROM {pair_scores}"),
+    "pool_values": counted("SELECT * FROM {stored_scores}", ("pool",), "score"),
+    "pool_middles": quantiles("SELECT pool, score FROM {stored_scores}", ("pool",), "score", {"mid": 0.5}),
+    # the pairs of a pool from the highest score on, with the positives so far and those that aren't of family 2
+    "pair_order": ordered("SELECT * FROM {pair_scores}", ("pool",), ("score desc", "lo", "hi"), {"hits": "CASE WHEN label = 1 THEN 1 ELSE 0 END", "others": "CASE WHEN family = 2 THEN 0 ELSE 1 END"}),
+    # the episodes of a pool in time
+    "pool_episodes": ordered("SELECT pool, episode, min(ts) AS ts FROM {scored} GROUP BY pool, episode", ("pool",), ("ts", "episode")),
     # thirty bins of the tail's logarithm and their ratios of positives to negatives, counted without the pair's own fold; for all positives and by family
     "tail_ratios": """
 WITH t AS (SELECT t.*, CAST(least(floor(-ln(least(tail, 1e0)) / ln(1e1) * 8e0), 29e0) AS INT) AS bin, ascii(substr(md5(CAST(pool AS VARCHAR(20))), 1, 1)) % 3 AS fold FROM {tails} t),

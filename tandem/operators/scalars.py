@@ -1,5 +1,7 @@
 """Projections and scalar expressions over episodes, events and pairs."""
 
+from tandem.plans.ordered import quantiles
+
 OPERATORS = {
     # B1: 0-based index of members, numbered inside pools
     "dense_index": "SELECT pool, member, CAST(row_number() OVER (PARTITION BY pool ORDER BY member) - 1 AS BIGINT) AS idx FROM {members}",
@@ -31,7 +33,7 @@ FROM {pair_labels} l JOIN a ON a.member = l.lo JOIN a b ON b.member = l.hi""",
     "impute_finite": """
 SELECT v.lo, v.hi, v.episode, round(coalesce(v.x, m.mid, 0e0), 6) AS x FROM (
   SELECT lo, hi, episode, CASE WHEN t_ba > 0e0 THEN t_ab / t_ba WHEN t_ab > 0e0 THEN NULL ELSE 0e0 END AS x FROM {transfers}) v
-CROSS JOIN (SELECT median(CASE WHEN t_ba > 0e0 THEN t_ab / t_ba WHEN t_ab > 0e0 THEN NULL ELSE 0e0 END) AS mid FROM {transfers}) m""",
+CROSS JOIN {middle_ratio} m""",
     # Standardised by the development window and clipped
     "standardize_clip": """
 SELECT t.lo, t.hi, t.episode, round(least(greatest((t.score - s.mean) / (s.sd + 1e-6), -5e0), 5e0), 6) AS z
@@ -47,4 +49,5 @@ FROM {ev} v JOIN {class_shares} q ON q.stage = v.stage AND q.facing = CAST(v.to_
 }
 
 RELATIONS = {
+    "middle_ratio": quantiles("SELECT CASE WHEN t_ba > 0e0 THEN t_ab / t_ba WHEN t_ab > 0e0 THEN NULL ELSE 0e0 END AS x FROM {transfers}", (), "x", {"mid": 0.5}),
 }

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tandem.operators.features import _ranks
+from tandem.plans.ordered import counted, ordered, quantiles, stored
 
 _P = "PARTITION BY lo, hi"
 _T = "PARTITION BY lo, hi ORDER BY ts, episode"
@@ -29,15 +30,13 @@ SELECT event_id, user_id, round(coalesce(sum(value - 1e1) OVER (PARTITION BY use
     "aggression_before": "SELECT episode, ordinal, count(CASE WHEN act = 'push' THEN 1 END) OVER (PARTITION BY episode ORDER BY ordinal) - CASE WHEN act = 'push' THEN 1 ELSE 0 END AS pushes_before FROM {ev}",
     # Thirds of a pool's time, with the scores in them and how well the best of each pair tells positives
     "pool_time_position": """
-WITH e AS (SELECT pool, episode, (row_number() OVER (PARTITION BY pool ORDER BY ts, episode) - 1) / CAST(greatest(count(*) OVER (PARTITION BY pool) - 1, 1) AS DOUBLE) AS at FROM (SELECT DISTINCT pool, episode, ts FROM {scored}) t),
-x AS (SELECT s.pool, CASE WHEN e.at < 1e0 / 3e0 THEN 'early' WHEN e.at < 2e0 / 3e0 THEN 'middle' ELSE 'late' END AS third, s.lo, s.hi, s.score FROM {scored} s JOIN e ON e.pool = s.pool AND e.episode = s.episode),
-p AS (SELECT x.pool, x.third, x.lo, x.hi, max(x.score) AS score, max(CASE WHEN l.label = 1 THEN 1 ELSE 0 END) AS y FROM x JOIN {pair_labels} l ON l.lo = x.lo AND l.hi = x.hi GROUP BY x.pool, x.third, x.lo, x.hi),
-r AS (SELECT p.*, row_number() OVER (PARTITION BY pool, third ORDER BY score DESC, lo, hi) AS r, sum(y) OVER (PARTITION BY pool, third ORDER BY score DESC, lo, hi) AS k, rank() OVER (PARTITION BY pool, third ORDER BY score) + (count(*) OVER (PARTITION BY pool, third, score) - 1) / 2e0 AS up FROM p),
-m AS (SELECT pool, third, coalesce(sum(CASE WHEN y = 1 THEN k / CAST(r AS DOUBLE) END) / nullif(sum(y), 0), 0e0) AS ap, (sum(CASE WHEN y = 1 THEN up END) - sum(y) * (sum(y) + 1) / 2e0) / nullif(CAST(sum(y) AS DOUBLE) * (count(*) - sum(y)), 0e0) AS auc FROM r GROUP BY pool, third)
-SELECT x.pool, x.third, count(*) AS n, round(avg(x.score), 6) AS mean, round(max(x.score), 6) AS top, round(percentile(x.score, 9e-1), 6) AS q90, round(max(m.ap), 8) AS ap, round(max(m.auc), 8) AS auc FROM x JOIN m ON m.pool = x.pool AND m.third = x.third GROUP BY x.pool, x.third""",
+WITH x AS (SELECT pool, third, count(*) AS n, avg(score) AS mean, max(score) AS top FROM {third_scores} GROUP BY pool, third),
+a AS (SELECT pool, third, coalesce(sum(CASE WHEN y = 1 THEN hits / CAST(r AS DOUBLE) END) / nullif(max(hits_all), 0), 0e0) AS ap FROM {third_order} GROUP BY pool, third),
+u AS (SELECT p.pool, p.third, (sum(CASE WHEN y = 1 THEN v.upto - v.c + 1 + (v.c - 1) / 2e0 END) - sum(y) * (sum(y) + 1) / 2e0) / nullif(CAST(sum(y) AS DOUBLE) * (count(*) - sum(y)), 0e0) AS auc FROM {third_pairs} p JOIN {third_values} v ON v.pool = p.pool AND v.third = p.third AND v.score = p.score GROUP BY p.pool, p.third)
+SELECT x.pool, x.third, x.n, round(x.mean, 6) AS mean, round(x.top, 6) AS top, round(q.q90, 6) AS q90, round(a.ap, 8) AS ap, round(u.auc, 8) AS auc FROM x JOIN a ON a.pool = x.pool AND a.third = x.third JOIN u ON u.pool = x.pool AND u.third = x.third JOIN {third_quantiles} q ON q.pool = x.pool AND q.third = x.third""",
     # A session goes on while the next episode follows within the gap
     "sessionize": f"""
-WITH i AS (SELECT pool, lo, hi, episode, ts, dense_rank() OVER (PARTITION BY pool ORDER BY ts, episode) AS idx FROM {{scored}}), g AS (SELECT i.*, CASE WHEN idx - lag(idx) OVER ({_T}) <= 20 THEN 0 ELSE 1 END AS fresh FROM i),
+WITH i AS (SELECT s.pool, s.lo, s.hi, s.episode, s.ts, e.r AS idx FROM {{scored}} s JOIN {{pool_episodes}} e ON e.pool = s.pool AND e.episode = s.episode), g AS (SELECT i.*, CASE WHEN idx - lag(idx) OVER ({_T}) <= 20 THEN 0 ELSE 1 END AS fresh FROM i),
 s AS (SELECT g.*, CAST(sum(fresh) OVER ({_T}) AS BIGINT) AS session FROM g) SELECT lo, hi, episode, session, count(*) OVER (PARTITION BY lo, hi, session) AS length FROM s""",
     "ascending_runs": f"""
 WITH g AS (SELECT lo, hi, episode, ts, CASE WHEN score < lag(score) OVER ({_T}) THEN 1 ELSE 0 END AS fell FROM {{scored}}) SELECT lo, hi, episode, CAST(sum(fell) OVER ({_T}) AS BIGINT) AS run FROM g""",
@@ -81,3 +80,15 @@ SELECT q.lo, q.hi, q.episode, count(*) AS length, string_agg(role || ':' || act
   SELECT q.lo, q.hi, v.episode, v.ordinal, v.act, v.stage, CASE WHEN v.member = q.lo THEN 'A' WHEN v.member = q.hi THEN 'B' ELSE 'O' END AS role, row_number() OVER (PARTITION BY q.lo, q.hi, v.episode ORDER BY v.ordinal DESC) AS r
   FROM {pair_episodes} q JOIN {ev} v ON v.episode = q.episode) t JOIN {pair_wide} q ON q.lo = t.lo AND q.hi = t.hi AND q.episode = t.episode WHERE r <= 32 GROUP BY q.lo, q.hi, q.episode""",
 }
+
+#: Scores by thirds of a pool's time, the best of each pair in them, and their orders.
+RELATIONS = {
+    "third_scores": stored("""
+WITH e AS (SELECT pool, episode, (r - 1) / CAST(greatest(n_all - 1, 1) AS DOUBLE) AS at FROM {pool_episodes})
+SELECT s.pool, CASE WHEN e.at < 1e0 / 3e0 THEN 'early' WHEN e.at < 2e0 / 3e0 THEN 'middle' ELSE 'late' END AS third, s.lo, s.hi, s.score FROM {scored} s JOIN e ON e.pool = s.pool AND e.episode = s.episode"""),
+    "third_pairs": stored("""
+SELECT x.pool, x.third, x.lo, x.hi, max(x.score) AS score, max(CASE WHEN l.label = 1 THEN 1 ELSE 0 END) AS y FROM {third_scores} x JOIN {pair_labels} l ON l.lo = x.lo AND l.hi = x.hi GROUP BY x.pool, x.third, x.lo, x.hi"""),
+    "third_order": ordered("SELECT * FROM {third_pairs}", ("pool", "third"), ("score desc", "lo", "hi"), {"hits": "y"}),
+    "third_values": counted("SELECT * FROM {third_pairs}", ("pool", "third"), "score"),
+    "third_quantiles": quantiles("SELECT pool, third, score FROM {third_scores}", ("pool", "third"), "score", {"q90": 0.9}),
+}

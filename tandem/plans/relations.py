@@ -7,7 +7,7 @@ or a chain of common table expressions for another engine.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +21,9 @@ def reads(sql: str) -> list[str]:
 
 
 class Relations:
-    """definitions: SQL by name, for any engine; on_spark: other SQL for some of them, with the same rows, that Spark runs better."""
+    """definitions: SQL by name, for any engine; on_spark: what Spark runs better for some of them, with the same rows: other SQL, or a function that gets one from SQL to a DataFrame."""
 
-    def __init__(self, definitions: Mapping[str, str], on_spark: Mapping[str, str] | None = None) -> None:
+    def __init__(self, definitions: Mapping[str, str], on_spark: Mapping[str, str | Callable] | None = None) -> None:
         self.definitions, self.on_spark = dict(definitions), dict(on_spark or {})
 
     def order(self, names: Iterable[str]) -> list[str]:
@@ -48,7 +48,8 @@ class Relations:
         def resolve(text: str) -> DataFrame:
             for n in reads(text):
                 if n not in known:
-                    known[n] = resolve(self.on_spark.get(n, self.definitions[n]))
+                    how = self.on_spark.get(n, self.definitions[n])
+                    known[n] = how(resolve) if callable(how) else resolve(how)
             return spark.sql(text, **{n: known[n] for n in reads(text)})
 
         return resolve(sql)

@@ -36,8 +36,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_KEPT: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what kept() wrote; results that read it and were not saved yet are lost."""
+    while _KEPT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, for what several jobs read."""
     path = scratch(df.sparkSession, "kept")
+    _KEPT.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
