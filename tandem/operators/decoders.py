@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tandem.functions.orders import in_order
 from tandem.plans.ordered import quantiles
 
 _P, _T = "PARTITION BY lo, hi", "PARTITION BY lo, hi ORDER BY ts, episode"
@@ -63,31 +64,28 @@ SELECT pool, lo, hi, episode, ts, least(greatest(t_ab + t_ba, 1e-3) / (1e1 + abs
 }
 
 
-def first_k_marginal(chances: DataFrame, k: int = 5, keys: tuple[str, ...] = ("lo", "hi"), order: tuple[str, ...] = ("ts", "episode"), p: str = "p") -> DataFrame:
-    """For each episode the chance that it is an event and that fewer than k earlier ones of its group are.
+SLOT = 4096  # episodes of a group that are folded in one task
 
-    One fold over the group's sorted chances keeps the distribution of the number of events so far, up to k - 1. The
-    group is one pair's episodes. Returns the keys, episode and decoded.
-    """
-    rows = chances.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(p).alias("_p")))).alias("_rows"))
-    zero = F.expr(f"named_struct('dist', transform(sequence(0, {k - 1}), i -> if(i = 0, 1D, 0D)), 'out', cast(array() as array<double>))")
-    step = lambda acc, x: F.struct(
-        F.transform(acc["dist"], lambda d, i: d * (1 - x["_p"]) + F.when(i > 0, F.get(acc["dist"], i - 1) * x["_p"]).otherwise(F.lit(0.0))).alias("dist"),
-        F.concat(acc["out"], F.array(x["_p"] * F.aggregate(acc["dist"], F.lit(0.0), lambda a, d: a + d))).alias("out"),
-    )
-    folded = rows.withColumn("_out", F.aggregate("_rows", zero, step)["out"])
-    pairs = folded.select(*keys, F.explode(F.arrays_zip("_rows", "_out")).alias("x"))
-    return pairs.select(*keys, F.col(f"x._rows.{order[-1]}").alias(order[-1]), F.col("x._out").alias("decoded"))
 
+def _unit(k: int) -> Column:
+    return F.expr(f"transform(sequence(0, {k - 1}), i -> if(i = 0, 1D, 0D))")
+
+
+def _next(dist: Column, p: Column) -> Column:
+    """The distribution, below its length, of the number of events with one more that may be one."""
+    return F.transform(dist, lambda d, i: d * (1 - p) + F.when(i > 0, F.get(dist, i - 1) * p).otherwise(F.lit(0.0)))
 
-def _counts(rows: Column, p: Callable[[Column], Column], k: int) -> Column:
-    """For each element of an array the distribution, below k, of how many elements before it are events; p gives an element's chance."""
-    zero = F.expr(f"named_struct('dist', transform(sequence(0, {k - 1}), i -> if(i = 0, 1D, 0D)), 'out', cast(array() as array<array<double>>))")
-    step = lambda acc, x: F.struct(
-        F.transform(acc["dist"], lambda d, i: d * (1 - p(x)) + F.when(i > 0, F.get(acc["dist"], i - 1) * p(x)).otherwise(F.lit(0.0))).alias("dist"),
-        F.concat(acc["out"], F.array(acc["dist"])).alias("out"),
-    )
-    return F.aggregate(rows, zero, step)["out"]
+
+def _product(a: Column, b: Column, k: int) -> Column:
+    """The distribution, below k, of the events of two parts: the product of polynomials, cut off. It is associative."""
+    each = lambda i: F.aggregate(F.sequence(F.lit(0), i), F.lit(0.0), lambda s, j: s + F.get(a, j) * F.get(b, i - j))
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), each)
+
+
+def _counts(rows: Column, p: Callable[[Column], Column], start: Column) -> Column:
+    """For each element of an array the distribution of how many elements before it are events; start: that before the first. p gives an element's chance."""
+    zero = F.struct(start.alias("dist"), F.expr("cast(array() as array<array<double>>)").alias("out"))
+    return F.aggregate(rows, zero, lambda acc, x: F.struct(_next(acc["dist"], p(x)).alias("dist"), F.concat(acc["out"], F.array(acc["dist"])).alias("out")))["out"]
 
 
 def _total(dist: Column, below: Column | int) -> Column:
@@ -95,30 +93,75 @@ def _total(dist: Column, below: Column | int) -> Column:
     return F.aggregate(F.slice(dist, F.lit(1), F.greatest(F.lit(0), F.lit(below) if isinstance(below, int) else below)), F.lit(0.0), lambda a, d: a + d)
 
 
-def first_k_given_at_least_k(chances: DataFrame, k: int = 5) -> DataFrame:
+def slots(rows: DataFrame, keys: Sequence[str], order: Sequence[str], slot: int = SLOT) -> DataFrame:
+    """The rows of each group in order, `slot` of them at a time: keys, _slot (from 0) and r (array of structs of the other columns). A group of any size is so dealt to many tasks."""
+    numbered = in_order(rows.select(*keys, *order, *(c for c in rows.columns if c not in (*keys, *order))), keys, order)
+    parts = numbered.groupBy(*keys, F.floor((F.col("r") - 1) / slot).alias("_slot"))
+    return parts.agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in rows.columns if c not in (*keys, *order))))).alias("r"))
+
+
+def _whole(p: Callable[[Column], Column], k: int) -> Column:
+    """The distribution, below k, of how many elements of r are events."""
+    return F.aggregate("r", _unit(k), lambda acc, x: _next(acc, p(x)))
+
+
+def _walked(parts: Column, name: str, k: int) -> Column:
+    """Products of the distributions in an array of structs: out, of all before each, and dist, of all."""
+    zero = F.struct(_unit(k).alias("dist"), F.expr("cast(array() as array<array<double>>)").alias("out"))
+    return F.aggregate(parts, zero, lambda acc, x: F.struct(_product(acc["dist"], x[name], k).alias("dist"), F.concat(acc["out"], F.array(acc["dist"])).alias("out")))
+
+
+def with_ends(cut: DataFrame, keys: Sequence[str], ends: Mapping[str, tuple[Callable[[Column], Column], int]], backward: Sequence[str] = ()) -> DataFrame:
+    """slots() with, for each of ends (a chance and k), the distribution of the number of events in all earlier slots, or all later ones for names in backward, and name_all that of the whole group.
+
+    One vector of k numbers stands for a slot; the vectors of a group are multiplied in order, from either side.
+    """
+    wholes = [_whole(p, k).alias(name) for name, (p, k) in ends.items()]
+    groups = cut.select(*keys, F.struct("_slot", *wholes).alias("_s")).groupBy(*keys).agg(F.array_sort(F.collect_list("_s")).alias("_s"))
+    columns = []
+    for name, (_, k) in ends.items():
+        walked = _walked(F.reverse("_s") if name in backward else F.col("_s"), name, k)
+        columns += [(F.reverse(walked["out"]) if name in backward else walked["out"]).alias(name), walked["dist"].alias(f"{name}_all")]
+    walked = groups.select(*keys, F.col("_s._slot").alias("_slot"), *columns)
+    each = walked.select(*keys, F.explode(F.arrays_zip("_slot", *ends)).alias("_x"), *(f"{name}_all" for name in ends))
+    return cut.join(each.select(*keys, "_x._slot", *(f"_x.{name}" for name in ends), *(f"{name}_all" for name in ends)), [*keys, "_slot"])
+
+
+def first_k_marginal(chances: DataFrame, k: int = 5, keys: tuple[str, ...] = ("lo", "hi"), order: tuple[str, ...] = ("ts", "episode"), p: str = "p", slot: int = SLOT) -> DataFrame:
+    """For each episode the chance that it is an event and that fewer than k earlier ones of its group are.
+
+    A fold over sorted chances keeps the distribution of the number of events so far, up to k - 1; it goes over one slot of a group at a time, from the
+    product of the slots before. Returns the keys, episode and decoded. Groups have no null keys.
+    """
+    own = lambda x: x["_p"]
+    cut = with_ends(slots(chances.select(*keys, *order, F.col(p).alias("_p")), keys, order, slot), keys, {"before": (own, k)})
+    each = cut.select(*keys, F.explode(F.arrays_zip("r", _counts(F.col("r"), own, F.col("before")).alias("dist"))).alias("x"))
+    return each.select(*keys, F.col(f"x.r.{order[-1]}").alias(order[-1]), (F.col("x.r._p") * _total(F.col("x.dist"), k)).alias("decoded"))
+
+
+def first_k_given_at_least_k(chances: DataFrame, k: int = 5, slot: int = SLOT) -> DataFrame:
     """first_k_marginal() on the condition that the group has at least k events (I5); a diagnostic, as it changes the denominator.
 
     An episode with j events before it counts if at least k - 1 - j follow: the forward fold meets a backward one, nothing is divided out.
     """
-    rows = chances.groupBy("lo", "hi").agg(F.array_sort(F.collect_list(F.struct("ts", "episode", "p"))).alias("r"))
     own = lambda x: x["p"]
-    both = rows.withColumns({"before": _counts(F.col("r"), own, k), "after": F.reverse(_counts(F.reverse("r"), own, k))})
-    last = lambda c: F.element_at(c, -1)
-    few = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.get(last(F.col("before")), j) * (1 - last(F.col("r"))["p"]) + F.when(j > 0, F.get(last(F.col("before")), j - 1) * last(F.col("r"))["p"]).otherwise(F.lit(0.0)))
-    each = both.select("lo", "hi", (1 - _total(few, k)).alias("enough"), F.explode(F.arrays_zip("r", "before", "after")).alias("x"))
+    cut = with_ends(slots(chances.select("lo", "hi", "ts", "episode", "p"), ("lo", "hi"), ("ts", "episode"), slot), ("lo", "hi"), {"before": (own, k), "after": (own, k)}, ("after",))
+    both = cut.withColumns({"before": _counts(F.col("r"), own, F.col("before")), "after": F.reverse(_counts(F.reverse("r"), own, F.col("after")))})
+    each = both.select("lo", "hi", (1 - _total(F.col("before_all"), k)).alias("enough"), F.explode(F.arrays_zip("r", "before", "after")).alias("x"))
     met = F.aggregate(F.transform(F.col("x.before"), lambda d, j: d * (1 - _total(F.col("x.after"), F.lit(k - 1) - j))), F.lit(0.0), lambda a, d: a + d)
     return each.select("lo", "hi", "x.r.episode", F.when(F.col("enough") > 1e-12, F.col("x.r.p") * met / F.col("enough")).alias("decoded"))
 
 
-def two_type_decoder(chances: DataFrame, k: int = 5, a: str = "p_a", b: str = "p_b") -> DataFrame:
+def two_type_decoder(chances: DataFrame, k: int = 5, a: str = "p_a", b: str = "p_b", slot: int = SLOT) -> DataFrame:
     """I4: events of type A are listed first, in time order, and those of type B fill what is left of k, in time order.
 
     chances: lo, hi, episode, ts and the chances of either type (their sum at most 1). For each episode the chance of being listed: as an A with
-    fewer than k earlier A, or as a B with fewer than k among all the other A and the earlier B. Three folds over the pair's sorted array: earlier A, earlier of either type, and later A.
+    fewer than k earlier A, or as a B with fewer than k among all the other A and the earlier B. Three folds over the pair's slots: earlier A, earlier of either type, and later A.
     """
-    rows = chances.groupBy("lo", "hi").agg(F.array_sort(F.collect_list(F.struct("ts", "episode", F.col(a).alias("a"), F.col(b).alias("b")))).alias("r"))
     own, either = lambda x: x["a"], lambda x: x["a"] + x["b"]
-    met = rows.withColumns({"first": _counts(F.col("r"), own, k), "before": _counts(F.col("r"), either, k), "after": F.reverse(_counts(F.reverse("r"), own, k))})
+    cut = slots(chances.select("lo", "hi", "ts", "episode", F.col(a).alias("a"), F.col(b).alias("b")), ("lo", "hi"), ("ts", "episode"), slot)
+    cut = with_ends(cut, ("lo", "hi"), {"first": (own, k), "before": (either, k), "after": (own, k)}, ("after",))
+    met = cut.withColumns({"first": _counts(F.col("r"), own, F.col("first")), "before": _counts(F.col("r"), either, F.col("before")), "after": F.reverse(_counts(F.reverse("r"), own, F.col("after")))})
     each = met.select("lo", "hi", F.explode(F.arrays_zip("r", "first", "before", "after")).alias("x"))
     room = F.aggregate(F.transform(F.col("x.before"), lambda d, j: d * _total(F.col("x.after"), F.lit(k) - j)), F.lit(0.0), lambda s, d: s + d)
     return each.select("lo", "hi", "x.r.episode", (F.col("x.r.a") * _total(F.col("x.first"), k) + F.col("x.r.b") * room).alias("decoded"))

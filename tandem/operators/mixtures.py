@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tandem.operators.decoders import SLOT, first_k_marginal, slots
 from tandem.plans.ordered import quantiles, stored
 
 # Decisions toward a target by classes of both strengths, and their shares in the other folds: q given both classes, z given one's own. Twelve to sixty rows a fold.
@@ -93,30 +94,53 @@ def em_mixture_rate(llrs: DataFrame, rounds: int = 10, start: float = 0.1) -> Da
     return fitted.select("actor", "target", "rate", F.aggregate("ls", F.lit(0.0), lambda a, x: a + F.log(1 - F.col("rate") + F.col("rate") * F.exp(x))).alias("llr"))
 
 
-def episodic_activity(llrs: DataFrame, stay: float = 0.9, share: float = 0.1) -> DataFrame:
+def episodic_activity(llrs: DataFrame, stay: float = 0.9, share: float = 0.1, slot: int = SLOT) -> DataFrame:
     """A chain with an idle and an active state over a group's episodes: log Bayes factor against always idle, and for each episode the active state's smoothed chance.
 
-    llrs: actor, target, episode, l; episodes are ordered by number; share is the chance to be active before the first, stay that to remain in a state. A fold forward over the
-    group's array keeps the chance of being active so far, one backward the ratio of what follows if active to what follows if idle.
+    llrs: actor, target, episode, l; episodes are ordered by number; share is the chance to be active before the first, stay that to remain in a state. A slot of a group's
+    episodes is one 2 x 2 matrix, from the state before it to that at its end, kept within range by its logarithm; the matrices of a group are walked in order from both sides. Inside a
+    slot a fold forward keeps the chance of being active so far, one backward the ratio of what follows if active to what follows if idle.
     """
-    rows = llrs.groupBy("actor", "target").agg(F.array_sort(F.collect_list(F.struct("episode", "l"))).alias("r"))
-    ahead = lambda p: p * stay + (1 - p) * (1 - stay)
-    weight = lambda p, x: 1 - ahead(p) + ahead(p) * F.exp(x["l"])
+    keys = ("actor", "target")
+    cut = slots(llrs.select(*keys, "episode", "l"), keys, ("episode",), slot)
     empty = F.array().cast("array<double>")
-    forward = F.aggregate(
-        "r",
-        F.struct(F.lit(share).alias("p"), F.lit(0.0).alias("lbf"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (ahead(a["p"]) * F.exp(x["l"]) / weight(a["p"], x)).alias("p"),
-            (a["lbf"] + F.log(weight(a["p"], x))).alias("lbf"),
-            F.concat(a["out"], F.array(ahead(a["p"]) * F.exp(x["l"]) / weight(a["p"], x))).alias("out"),
-        ),
+    names = ("ii", "ia", "ai", "aa")
+
+    def further(m: Column, x: Column) -> Column:
+        new = {}
+        for s in "ia":
+            new[s + "i"] = m[s + "i"] * stay + m[s + "a"] * (1 - stay)
+            new[s + "a"] = (m[s + "i"] * (1 - stay) + m[s + "a"] * stay) * F.exp(x["l"])
+        most = F.greatest(*new.values())
+        return F.struct(*((new[n] / most).alias(n) for n in names), (m["log"] + F.log(most)).alias("log"))
+
+    identity = F.struct(*(F.lit(float(n[0] == n[1])).alias(n) for n in names), F.lit(0.0).alias("log"))
+    groups = cut.select(*keys, F.struct("_slot", F.aggregate("r", identity, further).alias("m")).alias("_s")).groupBy(*keys).agg(F.array_sort(F.collect_list("_s")).alias("_s"))
+
+    def on(a: Column, x: Column) -> Column:
+        m, p = x["m"], a["p"]
+        idle, active = (1 - p) * m["ii"] + p * m["ai"], (1 - p) * m["ia"] + p * m["aa"]
+        return F.struct((active / (idle + active)).alias("p"), (a["lbf"] + F.log(idle + active) + m["log"]).alias("lbf"), F.concat(a["out"], F.array(p)).alias("out"))
+
+    def back(a: Column, x: Column) -> Column:
+        m, v = x["m"], a["v"]
+        return F.struct(((m["ai"] + m["aa"] * v) / (m["ii"] + m["ia"] * v)).alias("v"), F.concat(a["out"], F.array(v)).alias("out"))
+
+    walked = groups.select(
+        *keys,
+        F.col("_s._slot").alias("_slot"),
+        F.aggregate("_s", F.struct(F.lit(share).alias("p"), F.lit(0.0).alias("lbf"), empty.alias("out")), on).alias("f"),
+        F.reverse(F.aggregate(F.reverse("_s"), F.struct(F.lit(1.0).alias("v"), empty.alias("out")), back)["out"]).alias("v"),
     )
+    ends = walked.select(*keys, F.col("f.lbf").alias("lbf"), F.explode(F.arrays_zip("_slot", F.col("f.out").alias("p"), "v")).alias("x")).select(*keys, "lbf", "x.*")
+    ahead = lambda p: p * stay + (1 - p) * (1 - stay)
+    active = lambda p, x: ahead(p) * F.exp(x["l"]) / (1 - ahead(p) + ahead(p) * F.exp(x["l"]))
     # v: chance of what follows given active now, over that given idle now
     step = lambda v, x: (stay * F.exp(x["l"]) * v + (1 - stay)) / ((1 - stay) * F.exp(x["l"]) * v + stay)
-    backward = F.aggregate(F.reverse("r"), F.struct(F.lit(1.0).alias("v"), empty.alias("out")), lambda a, x: F.struct(step(a["v"], x).alias("v"), F.concat(a["out"], F.array(a["v"])).alias("out")))
-    each = rows.select("actor", "target", "r", forward.alias("f"), F.reverse(backward["out"]).alias("b")).select("actor", "target", F.col("f.lbf").alias("lbf"), F.explode(F.arrays_zip("r", F.col("f.out").alias("p"), F.col("b").alias("v"))).alias("x"))
-    return each.select("actor", "target", "x.r.episode", "lbf", (F.col("x.p") * F.col("x.v") / (F.col("x.p") * F.col("x.v") + 1 - F.col("x.p"))).alias("active"))
+    forward = F.aggregate("r", F.struct(F.col("p").alias("p"), empty.alias("out")), lambda a, x: F.struct(active(a["p"], x).alias("p"), F.concat(a["out"], F.array(active(a["p"], x))).alias("out")))["out"]
+    backward = F.aggregate(F.reverse("r"), F.struct(F.col("v").alias("v"), empty.alias("out")), lambda a, x: F.struct(step(a["v"], x).alias("v"), F.concat(a["out"], F.array(a["v"])).alias("out")))["out"]
+    each = cut.join(ends, [*keys, "_slot"]).select(*keys, "lbf", F.explode(F.arrays_zip("r", forward.alias("p"), F.reverse(backward).alias("v"))).alias("x"))
+    return each.select(*keys, "x.r.episode", "lbf", (F.col("x.p") * F.col("x.v") / (F.col("x.p") * F.col("x.v") + 1 - F.col("x.p"))).alias("active"))
 
 
 def rate_nodes(mean: float = 0.1, strength: float = 10.0, nodes: int = 16) -> list[tuple[float, float]]:
@@ -140,8 +164,6 @@ def random_rate_marginal(llrs: DataFrame, mean: float = 0.1, strength: float = 1
 
 def random_rate_first_k(llrs: DataFrame, k: int = 5, mean: float = 0.1, strength: float = 10.0, nodes: int = 8) -> DataFrame:
     """first_k_marginal() (I3) for each node of the rate's law, averaged with the nodes' weights after the group's episodes."""
-    from tandem.operators.decoders import first_k_marginal
-
     grid = F.array(*(F.struct(F.lit(i).alias("node"), F.lit(r).alias("rate"), F.lit(w).alias("w")) for i, (r, w) in enumerate(rate_nodes(mean, strength, nodes))))
     each = llrs.select("actor", "target", "episode", "l", F.explode(grid).alias("g")).select("actor", "target", "episode", "l", "g.*")
     chances = each.select("actor", "target", "node", "episode", (F.col("rate") * F.exp("l") / (1 - F.col("rate") + F.col("rate") * F.exp("l"))).alias("p"))
