@@ -32,6 +32,39 @@ RAW_CHECKS = {
 }
 DIAGNOSTIC = ("nets_not_zero", "one_player_episodes", "acts_after_exit", "labelled_target", "active_range")
 
+#: M3 by what is read: for each relation and key one statement with all its checks.
+FUSED = {
+    "SELECT count(*) - count(DISTINCT member) AS member_key FROM {members}": ("member_key",),
+    "SELECT count(*) - count(DISTINCT episode) AS episode_key, count(CASE WHEN unit IS NULL OR unit <= 0e0 THEN 1 END) AS unit_positive, count(CASE WHEN win IS NULL THEN 1 END) AS window_null, count(CASE WHEN ts IS NULL THEN 1 END) AS time_null FROM {episodes}": ("episode_key", "unit_positive", "window_null", "time_null"),
+    """SELECT sum(doubled) AS participant_key, count(CASE WHEN rows < 2 THEN 1 END) AS one_player_episodes, count(CASE WHEN abs(net) > 1e-6 THEN 1 END) AS nets_not_zero, sum(orphans) AS member_orphan FROM (
+  SELECT episode, sum(CASE WHEN c <> 1 THEN 1 ELSE 0 END) AS doubled, sum(c) AS rows, sum(net) AS net, sum(CASE WHEN m.member IS NULL THEN c ELSE 0 END) AS orphans FROM (SELECT episode, member, count(*) AS c, sum(net) AS net FROM {participants} GROUP BY episode, member) a
+  LEFT JOIN (SELECT DISTINCT member FROM {members}) m ON m.member = a.member GROUP BY episode) b""": ("participant_key", "one_player_episodes", "nets_not_zero", "member_orphan"),
+    """SELECT sum(doubled) AS event_key, sum(CASE WHEN first <> 0 OR last + 1 <> rows THEN 1 ELSE 0 END) AS contiguous, sum(CASE WHEN e.episode IS NULL THEN rows ELSE 0 END) AS event_orphan, sum(amounts) AS amount_range, sum(calls) AS to_call_range, sum(stages) AS stage_domain, sum(actions) AS action_domain, sum(puts) AS put_below_amount, sum(pots) AS pot_range, sum(actives) AS active_range, sum(late) AS acts_after_exit FROM (
+  SELECT episode, sum(CASE WHEN c <> 1 THEN 1 ELSE 0 END) AS doubled, min(ordinal) AS first, max(ordinal) AS last, sum(c) AS rows, sum(amounts) AS amounts, sum(calls) AS calls, sum(stages) AS stages, sum(actions) AS actions, sum(puts) AS puts, sum(pots) AS pots, sum(actives) AS actives, sum(late) AS late FROM (
+    SELECT episode, ordinal, count(*) AS c, count(CASE WHEN amount < 0e0 THEN 1 END) AS amounts, count(CASE WHEN to_call < 0e0 THEN 1 END) AS calls, count(CASE WHEN stage NOT BETWEEN 0 AND 3 THEN 1 END) AS stages, count(CASE WHEN action NOT IN ('fold', 'check', 'call', 'raise', 'all_in') THEN 1 END) AS actions,
+      count(CASE WHEN stage_sunk < 0e0 THEN 1 END) AS puts, count(CASE WHEN pot < 0e0 THEN 1 END) AS pots, count(CASE WHEN active < 1 OR active > 20 THEN 1 END) AS actives, count(CASE WHEN own_exits - CASE WHEN act = 'exit' THEN 1 ELSE 0 END > 0 THEN 1 END) AS late FROM {steps} GROUP BY episode, ordinal) a GROUP BY episode) b
+  LEFT JOIN (SELECT DISTINCT episode FROM {episodes}) e ON e.episode = b.episode""": ("event_key", "contiguous", "event_orphan", "amount_range", "to_call_range", "stage_domain", "action_domain", "put_below_amount", "pot_range", "active_range", "acts_after_exit"),
+    """SELECT count(CASE WHEN a.member IS NULL THEN 1 END) AS label_lo_unknown, count(CASE WHEN b.member IS NULL THEN 1 END) AS label_hi_unknown, count(CASE WHEN l.lo = l.hi THEN 1 END) AS label_of_itself, count(CASE WHEN l.label IS NOT NULL AND t.lo IS NOT NULL THEN 1 END) AS labelled_target
+  FROM {pair_labels} l LEFT JOIN (SELECT DISTINCT member FROM {members}) a ON a.member = l.lo LEFT JOIN (SELECT DISTINCT member FROM {members}) b ON b.member = l.hi LEFT JOIN (SELECT DISTINCT lo, hi FROM {scored} WHERE win = 'evaluation') t ON t.lo = l.lo AND t.hi = l.hi""": ("label_lo_unknown", "label_hi_unknown", "label_of_itself", "labelled_target"),
+    """SELECT count(DISTINCT CASE WHEN a.member IS NULL THEN t.lo END) AS target_lo_unknown, count(DISTINCT CASE WHEN b.member IS NULL THEN t.hi END) AS target_hi_unknown
+  FROM (SELECT DISTINCT lo, hi FROM {scored} WHERE win = 'evaluation') t LEFT JOIN (SELECT DISTINCT member FROM {members}) a ON a.member = t.lo LEFT JOIN (SELECT DISTINCT member FROM {members}) b ON b.member = t.hi""": ("target_lo_unknown", "target_hi_unknown"),
+    "SELECT count(*) AS target_of_itself FROM {pair_episodes} WHERE lo = hi": ("target_of_itself",),
+    """SELECT sum(CASE WHEN c <> 1 THEN 1 ELSE 0 END) AS listed_rank_key, sum(others) AS listed_other_window, sum(unknown) AS listed_unknown_episode, sum(CASE WHEN l.lo IS NULL THEN c ELSE 0 END) AS listed_unknown_pair FROM (
+  SELECT g.lo, g.hi, g.evidence_rank, count(*) AS c, count(CASE WHEN e.win <> 'development' THEN 1 END) AS others, count(CASE WHEN e.episode IS NULL THEN 1 END) AS unknown FROM {listed} g LEFT JOIN {episodes} e ON e.episode = g.episode GROUP BY g.lo, g.hi, g.evidence_rank) g
+  LEFT JOIN (SELECT DISTINCT lo, hi FROM {pair_labels}) l ON l.lo = g.lo AND l.hi = g.hi""": ("listed_rank_key", "listed_other_window", "listed_unknown_episode", "listed_unknown_pair"),
+    RAW_CHECKS["shared_mismatch"].replace("SELECT count(*)", "SELECT count(*) AS shared_mismatch", 1): ("shared_mismatch",),
+}
+
+
+def fused_checks(fused: Mapping[str, Sequence[str]] = FUSED, diagnostic: Sequence[str] = DIAGNOSTIC) -> str:
+    """Spark's SQL for name, failed and kind of checks that are columns of statements, each of which has one row; a sum over nothing counts as 0."""
+    parts = []
+    for k, (sql, names) in enumerate(fused.items()):
+        rows = ", ".join(f"'{n}', CAST(coalesce({n}, 0) AS BIGINT), '{'diagnostic' if n in diagnostic else 'hard'}'" for n in names)
+        parts.append(f"SELECT stack({len(names)}, {rows}) AS (name, failed, kind) FROM ({sql}) q{k}")
+    return " UNION ALL ".join(parts)
+
+
 OPERATORS = {
     # M1: what is wrong with a result table, one number for each rule
     "validate_result": f"""
@@ -45,7 +78,7 @@ WITH t AS ({_RESULT}), c AS ({" UNION ALL ".join(f"SELECT lo, hi, ep{k} AS episo
 SELECT count(*) AS cited, count(CASE WHEN e.episode IS NULL THEN 1 END) AS unknown, count(CASE WHEN e.win <> 'evaluation' THEN 1 END) AS other_window, count(CASE WHEN a.member IS NULL OR b.member IS NULL THEN 1 END) AS not_present
 FROM c LEFT JOIN {{episodes}} e ON e.episode = c.episode LEFT JOIN {{participants}} a ON a.episode = c.episode AND a.member = c.lo LEFT JOIN {{participants}} b ON b.episode = c.episode AND b.member = c.hi""",
     # M3: named checks with how many rows fail them
-    "audit_raw": " UNION ALL ".join(f"SELECT '{n}' AS name, CAST(({c}) AS BIGINT) AS failed, '{'diagnostic' if n in DIAGNOSTIC else 'hard'}' AS kind" for n, c in RAW_CHECKS.items()),
+    "audit_raw": fused_checks(),
     # M4
     "audit_features": """
 WITH d AS (SELECT win, count(*) AS doubled FROM (SELECT win, lo, hi, episode FROM {pair_features1} GROUP BY win, lo, hi, episode HAVING count(*) > 1) t GROUP BY win), p AS (SELECT win, count(*) AS pairs FROM (SELECT DISTINCT win, lo, hi FROM {pair_features1}) t GROUP BY win)
@@ -149,13 +182,27 @@ _BEFORE = "SELECT lo, hi, round(avg(score), 6) AS score, max(episode) AS last FR
 _AFTER = "SELECT lo, hi, CASE WHEN lo % 3 = 0 THEN 0e0 ELSE round(avg(score), 6) END AS score, max(episode) AS last FROM {scored} GROUP BY lo, hi"
 
 
+#: A1: the tables that the model and other operators read, with the kinds of their columns: i integer, d double, t time, s text.
+TABLES = {
+    "supplier": "s_acctbal d, s_name s, s_nationkey i, s_suppkey i",
+    "orders": "o_custkey i, o_orderdate t, o_orderkey i, o_orderpriority s, o_orderstatus s, o_totalprice d",
+    "nation": "n_name s, n_nationkey i, n_regionkey i",
+    "lineitem": "l_discount d, l_extendedprice d, l_linenumber i, l_linestatus s, l_orderkey i, l_partkey i, l_quantity d, l_returnflag s, l_shipdate t, l_suppkey i, l_tax d",
+    "part": "p_brand s, p_name s, p_partkey i, p_retailprice d, p_size i, p_type s",
+    "events": "event_id i, event_type s, props s, ts t, user_id i, value d",
+    "documents": "doc_id i, lang s, n_chars i, source s, text s",
+    "labels": "doc_id i, quality i, toxic i",
+}
+
+
 def _tables(spark: SparkSession, folder: str) -> DataFrame:
-    """A1: the fingerprints of the tables that the model reads."""
+    """A1: the fingerprints of the tables that are read."""
+    from functools import reduce
+
     from tandem import catalog
 
     known = catalog.Tables(spark, folder)
-    parts = [fingerprint(known[t]).select(F.lit(t).alias("name"), "n", "hash") for t in ("supplier", "orders", "nation")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, [fingerprint(known[t]).select(F.lit(t).alias("name"), "n", "hash") for t in TABLES])
 
 
 def _stored(spark: SparkSession, folder: str, name: str, save, load) -> DataFrame:  # noqa: ANN001
@@ -195,18 +242,16 @@ QUERIES = {
 }
 
 
-def _hashed(table: str, columns: Sequence[str]) -> str:
+def _hashed(table: str, texts_: Sequence[str]) -> str:
     """What fingerprint() gives, in the checking engine's SQL; columns in the order of their names."""
-    texts = ", ".join(f"coalesce({c}, '\\N')" for c in columns)
+    texts = ", ".join(f"coalesce({c}, '\\N')" for c in texts_)
     return f"SELECT '{table}' AS name, count(*) AS n, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {texts})), 1, 8) AS BIGINT)) AS BIGINT) AS hash FROM {{{table}}}"
 
 
-_HASHED = {
-    "supplier": _hashed("supplier", ("CAST(CAST(s_acctbal AS DECIMAL(38, 6)) AS VARCHAR)", "s_name", "CAST(s_nationkey AS VARCHAR)", "CAST(s_suppkey AS VARCHAR)")),
-    "orders": _hashed("orders", ("CAST(o_custkey AS VARCHAR)", "CAST(CAST(epoch(o_orderdate) AS BIGINT) AS VARCHAR)", "CAST(o_orderkey AS VARCHAR)", "o_orderpriority", "o_orderstatus", "CAST(CAST(o_totalprice AS DECIMAL(38, 6)) AS VARCHAR)")),
-    "nation": _hashed("nation", ("n_name", "CAST(n_nationkey AS VARCHAR)", "CAST(n_regionkey AS VARCHAR)")),
-}
+_KINDS = {"i": "CAST({} AS VARCHAR)", "d": "CAST(CAST({} AS DECIMAL(38, 6)) AS VARCHAR)", "t": "CAST(CAST(floor(epoch({})) AS BIGINT) AS VARCHAR)", "s": "{}"}
+_HASHED = {t: _hashed(t, [_KINDS[kind].format(c) for c, kind in (x.split() for x in columns.split(", "))]) for t, columns in TABLES.items()}
 ORACLES = {
+    "audit_raw": " UNION ALL ".join(f"SELECT '{n}' AS name, CAST(({c}) AS BIGINT) AS failed, '{'diagnostic' if n in DIAGNOSTIC else 'hard'}' AS kind" for n, c in RAW_CHECKS.items()),
     "load_tables": " UNION ALL ".join(_HASHED.values()),
     "table_fingerprint": _HASHED["orders"].replace("SELECT 'orders' AS name, ", "SELECT "),
     "write_features": _PAIRS,

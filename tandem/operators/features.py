@@ -96,6 +96,11 @@ def _pair_counts() -> str:
 
 
 RELATIONS["pair_counts"] = _pair_counts()
+# pushes after which the last one who pushed, and somebody else who has matched that since and is still there, must answer: two ranges on the ordinal, equal episode and stage
+RELATIONS["pushes_matched"] = f"""
+WITH l AS (SELECT episode, stage, member, ordinal, act, max(CASE WHEN act = 'push' THEN ordinal END) OVER (PARTITION BY episode, stage ORDER BY ordinal {_BEFORE}) AS pushed_at, last_value(CASE WHEN act = 'push' THEN member END) IGNORE NULLS OVER (PARTITION BY episode, stage ORDER BY ordinal {_BEFORE}) AS pusher FROM {{ev}})
+SELECT DISTINCT v.episode, v.ordinal FROM l v JOIN {{ev}} o ON o.episode = v.episode AND o.stage = v.stage AND o.act = 'match' AND o.ordinal > v.pushed_at AND o.ordinal < v.ordinal AND o.member <> v.member AND o.member <> v.pusher
+JOIN {{participants}} p ON p.episode = o.episode AND p.member = o.member AND (p.exit_ordinal IS NULL OR p.exit_ordinal > v.ordinal) WHERE v.act = 'push' AND v.member <> v.pusher"""
 
 
 def _feature_columns() -> list[str]:
@@ -322,7 +327,7 @@ FROM {pair_features1} GROUP BY lo, hi""",
 SELECT episode, member AS actor, target, count(*) AS decisions, {cnt("act = 'exit'", "exits")}, {cnt("act = 'push'", "pushes")}, {cnt("target_strength >= 5e-1 AND act = 'exit'", "exits_strong")}, {cnt("target_strength >= 5e-1 AND act = 'push'", "pushes_strong")},
   {cnt("target_strength < 15e-2 AND act = 'exit'", "exits_weak")}, {cnt("target_strength < 15e-2 AND act = 'push'", "pushes_weak")}, {cnt("strong_others - CASE WHEN target_strength >= 5e-1 THEN 1 ELSE 0 END > 0 AND act = 'exit'", "exits_other_strong")},
   {cnt("strong_others - CASE WHEN target_strength >= 5e-1 THEN 1 ELSE 0 END > 0 AND act = 'push'", "pushes_other_strong")}, {tot("CASE WHEN act = 'exit' THEN 1e0 ELSE 0e0 END - q_exit", "target_strength >= 5e-1", "excess_exit_strong")}, {tot("CASE WHEN act = 'push' THEN 1e0 ELSE 0e0 END - q_push", "target_strength >= 5e-1", "excess_push_strong")},
-  {tot("CASE WHEN act = 'push' THEN 1e0 ELSE 0e0 END - q_push", "target_strength < 15e-2", "excess_push_weak")}, round(avg(CASE WHEN act = 'exit' THEN target_strength END), 6) AS strength_at_exit, round(avg(CASE WHEN act = 'push' THEN target_strength END), 6) AS strength_at_push, {cnt("answered = 1 AND act = 'push'", "pushes_over")}
-FROM {{aimed}} WHERE here = 1 AND others >= 2 GROUP BY episode, member, target""",
+  {tot("CASE WHEN act = 'push' THEN 1e0 ELSE 0e0 END - q_push", "target_strength < 15e-2", "excess_push_weak")}, round(avg(CASE WHEN act = 'exit' THEN target_strength END), 6) AS strength_at_exit, round(avg(CASE WHEN act = 'push' THEN target_strength END), 6) AS strength_at_push, {cnt("answered = 1 AND act = 'push'", "pushes_over")}, {cnt("answered = 1 AND act = 'push' AND matched = 1", "pushes_over_matched")}
+FROM (SELECT a.*, CASE WHEN m.ordinal IS NULL THEN 0 ELSE 1 END AS matched FROM {{aimed}} a LEFT JOIN {{pushes_matched}} m ON m.episode = a.episode AND m.ordinal = a.ordinal) t WHERE here = 1 AND others >= 2 GROUP BY episode, member, target""",
     "role_stage_witness": _witness(),
 }

@@ -48,11 +48,14 @@ FROM {transfers} t JOIN {pair_counts} c ON c.lo = t.lo AND c.hi = t.hi AND c.epi
     # D29
     "symmetrize": """
 SELECT lo, hi, episode, round(greatest(t_ab, t_ba), 6) AS t_max, round(least(t_ab, t_ba), 6) AS t_min, round(t_ab + t_ba, 6) AS t_sum, round(greatest(s_lo, s_hi), 6) AS s_max, round(least(s_lo, s_hi), 6) AS s_min FROM {transfers}""",
-    # Whose share grows when a member leaves: shares of strength among those left, after less before. All gains together are what the leaver had
+    # Whose share grows when a member leaves: shares of strength among those left, after less before. For each partner of the leaver's pool that is still there what it gains and
+    # what all others gain, which together are what the leaver had; a leaver without one has a row without partner
     "fold_beneficiary": """
 WITH x AS (SELECT episode, member, exit_ordinal, strength FROM {participants} WHERE exit_ordinal IS NOT NULL),
-s AS (SELECT x.episode, x.member AS leaver, x.strength AS own, count(*) AS others, sum(p.strength) AS left_over, max(p.strength) AS most FROM x JOIN {participants} p ON p.episode = x.episode AND p.member <> x.member AND (p.exit_ordinal IS NULL OR p.exit_ordinal > x.exit_ordinal) GROUP BY x.episode, x.member, x.strength)
-SELECT episode, leaver, others, round(own / nullif(left_over + own, 0e0), 6) AS released, round(most * own / nullif(left_over * (left_over + own), 0e0), 6) AS most FROM s""",
+s AS (SELECT x.episode, x.member AS leaver, x.strength AS own, count(*) AS others, sum(p.strength) AS left_over, max(p.strength) AS most FROM x JOIN {participants} p ON p.episode = x.episode AND p.member <> x.member AND (p.exit_ordinal IS NULL OR p.exit_ordinal > x.exit_ordinal) GROUP BY x.episode, x.member, x.strength),
+k AS (SELECT x.episode, x.member AS leaver, p.member AS partner, p.strength FROM x JOIN {participants} p ON p.episode = x.episode AND p.member <> x.member AND (p.exit_ordinal IS NULL OR p.exit_ordinal > x.exit_ordinal) JOIN {members} a ON a.member = x.member JOIN {members} b ON b.member = p.member AND b.pool = a.pool)
+SELECT s.episode, s.leaver, k.partner, others, round(own / nullif(left_over + own, 0e0), 6) AS released, round(most * own / nullif(left_over * (left_over + own), 0e0), 6) AS most, round(coalesce(k.strength, 0e0) * own / nullif(left_over * (left_over + own), 0e0), 6) AS to_partner,
+  round((left_over - coalesce(k.strength, 0e0)) * own / nullif(left_over * (left_over + own), 0e0), 6) AS to_outsiders, round(coalesce(k.strength, 0e0) / nullif(left_over, 0e0), 6) AS partner_share FROM s LEFT JOIN k ON k.episode = s.episode AND k.leaver = s.leaver""",
     # Observed less expected exits, in standard deviations
     "binary_residual_z": """
 SELECT v.member, count(*) AS n, round(sum(CASE WHEN v.act = 'exit' THEN 1e0 ELSE 0e0 END - q.share) / sqrt(sum(q.share * (1e0 - q.share)) + 1e0), 6) AS z

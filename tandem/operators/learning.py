@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.operators.features import ACTS
+from tandem.operators.metrics import average_precision
 from tandem.plans.ordered import counted, ordered, quantiles, stored
 from tandem.sources.sinks import kept
 
@@ -204,13 +205,14 @@ def route_experts(episodes: DataFrame, features: Sequence[str], share: float = 0
 
 
 def leave_one_family_out(pairs: DataFrame, features: Sequence[str], model: Estimator | None = None) -> DataFrame:
-    """Scores of each family's positives, and of all negatives, by models that never saw the family."""
+    """Scores of each family's positives, and of all negatives, by models that never saw the family; and, the same in all rows of a family, the average precision (ap) with which they find it."""
     parts = []
     for f in _folds(pairs.where("label = 1"), "family"):
         hidden = pairs.withColumn("_w", F.when((F.col("label") == 1) & (F.col("family") == f), 0.0).otherwise(1.0))
         scored = cross_fit(hidden, model or LogisticRegression(regParam=0.01), features, weight="_w")
         parts.append(scored.where(F.col("label").isNotNull() & ((F.col("label") == 0) | (F.col("family") == f))).withColumn("hidden_family", F.lit(f)).drop("_w"))
-    return reduce(DataFrame.unionByName, parts)
+    scored = kept(reduce(DataFrame.unionByName, parts))
+    return scored.join(average_precision(scored, "label", "score", ("lo", "hi"), ("hidden_family",)), "hidden_family")
 
 
 def value_residual(episodes: DataFrame, target: str, context: Sequence[str], keys: Sequence[str] = ("lo", "hi"), model: Estimator | None = None) -> DataFrame:
@@ -284,35 +286,42 @@ def column_subset(columns: Sequence[str], seed: int, share: float = 0.5) -> list
     return order[: max(1, round(share * len(columns)))]
 
 
-def nn_pu_logistic(df: DataFrame, features: Sequence[str], prior: float = 0.1, rounds: int = 30, rate: float = 0.5) -> list[float]:
-    """K9: weights, and last the intercept, of a logistic model under the non-negative risk for positives (label 1) and unlabelled rows.
+def nn_pu_logistic(df: DataFrame, features: Sequence[str], priors: Sequence[float] = (0.1,), rounds: int = 30, rate: float = 0.1, decay: tuple[float, float] = (0.9, 0.999)) -> list[list[float]]:
+    """K9: for each prior the weights, and last the intercept, of a logistic model under the non-negative risk for positives (label 1) and unlabelled rows.
 
-    Features should be standardised. Each round is one aggregate of two mean gradients and of the negative risk; a
-    negative risk below 0 is stepped back from. The number of rounds is fixed.
+    Features should be standardised. Each round is one aggregate over the rows for all priors together: mean gradients and the negative risk of each. A negative risk
+    below 0 is stepped back from. Steps are Adam's, with running means of the gradient and its square. The number of rounds is fixed. No rows give weights of 0.
     """
     rows = df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)), (F.coalesce(F.col("label"), F.lit(0)) == 1).alias("pos"))
     xs = [F.col(f"x{i}") for i in range(len(features))] + [F.lit(1.0)]
-    w = [0.0] * len(xs)
-    for _ in range(rounds):
-        odds: Column = sum((F.lit(a) * x for a, x in zip(w, xs, strict=True)), F.lit(0.0))
-        p = 1 / (1 + F.exp(-odds))
-        mean = lambda cond, e: F.coalesce(F.avg(F.when(cond, e)), F.lit(0.0))
-        pos, un = F.col("pos"), ~F.col("pos")
-        loss = lambda: F.log1p(F.exp(F.least(odds, F.lit(50.0))))
-        got = rows.agg(mean(un, loss()), mean(pos, loss()), *(mean(pos, (p - 1) * x) for x in xs), *(mean(un, p * x) for x in xs), *(mean(pos, p * x) for x in xs)).first()
-        k = len(xs)
-        risk, g_pos, g_un, g_pn = got[0] - prior * got[1], got[2 : 2 + k], got[2 + k : 2 + 2 * k], got[2 + 2 * k :]
-        negative = [u - prior * v for u, v in zip(g_un, g_pn, strict=True)]
-        step = [prior * a + b for a, b in zip(g_pos, negative, strict=True)] if risk >= 0 else [-b for b in negative]
-        w = [a - rate * s for a, s in zip(w, step, strict=True)]
-    return w
-
-
-def pu_prior_grid(df: DataFrame, features: Sequence[str], priors: Sequence[float] = (0.05, 0.1, 0.2), rounds: int = 20) -> DataFrame:
+    k = len(xs)
+    pos, un = F.col("pos"), ~F.col("pos")
+    mean = lambda cond, e: F.coalesce(F.avg(F.when(cond, e)), F.lit(0.0))
+    weights, first, second = ([[0.0] * k for _ in priors] for _ in range(3))
+    for t in range(1, rounds + 1):
+        sums = []
+        for w in weights:
+            odds: Column = sum((F.lit(a) * x for a, x in zip(w, xs, strict=True)), F.lit(0.0))
+            p, loss = 1 / (1 + F.exp(-odds)), F.log1p(F.exp(F.least(odds, F.lit(50.0))))
+            sums += [mean(un, loss), mean(pos, loss), *(mean(pos, (p - 1) * x) for x in xs), *(mean(un, p * x) for x in xs), *(mean(pos, p * x) for x in xs)]
+        got = rows.agg(*(x.alias(f"s{i}") for i, x in enumerate(sums))).first()
+        for j, prior in enumerate(priors):
+            own = got[j * (2 + 3 * k) : (j + 1) * (2 + 3 * k)]
+            g_pos, g_un, g_pn = own[2 : 2 + k], own[2 + k : 2 + 2 * k], own[2 + 2 * k :]
+            negative = [u - prior * v for u, v in zip(g_un, g_pn, strict=True)]
+            step = [prior * a + b for a, b in zip(g_pos, negative, strict=True)] if own[0] >= prior * own[1] else [-b for b in negative]
+            first[j] = [decay[0] * m + (1 - decay[0]) * g for m, g in zip(first[j], step, strict=True)]
+            second[j] = [decay[1] * v + (1 - decay[1]) * g * g for v, g in zip(second[j], step, strict=True)]
+            each = zip(weights[j], first[j], second[j], strict=True)
+            weights[j] = [w - rate * (m / (1 - decay[0] ** t)) / ((v / (1 - decay[1] ** t)) ** 0.5 + 1e-8) for w, m, v in each]
+    return weights
+
+
+def pu_prior_grid(df: DataFrame, features: Sequence[str], priors: Sequence[float] = (0.05, 0.1, 0.2), rounds: int = 30) -> DataFrame:
     """K9 for several priors: prior, feature and weight of standardised features, the last one the intercept; one row for each of a few."""
     stats = df.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(features)), *(F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(features))).first()
     rows = kept(df.select("label", *(((F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] + 1e-6)).alias(c) for i, c in enumerate(features))))
-    found = [(p, name, float(w)) for p in priors for name, w in zip([*features, "intercept"], nn_pu_logistic(rows, features, p, rounds), strict=True)]
+    found = [(p, name, float(x)) for p, w in zip(priors, nn_pu_logistic(rows, features, priors, rounds), strict=True) for name, x in zip([*features, "intercept"], w, strict=True)]
     return df.sparkSession.createDataFrame(found, "prior double, feature string, weight double")
 
 
@@ -335,21 +344,19 @@ def domain_report(a: DataFrame, b: DataFrame, features: Sequence[str]) -> DataFr
 
 
 def pair_comparator(candidates: DataFrame, features: Sequence[str], keys: Sequence[str] = ("lo", "hi"), most: int = 20) -> DataFrame:
-    """Expected wins of each candidate (keys, episode, y, r, features) against the others of its group, by a logistic model of differences in features and ranks.
+    """Expected wins of each candidate (keys, fold, episode, y, r, features) against the others of its group, by a logistic model of differences in features and ranks that was fitted on the other folds.
 
-    r is a rank within the group; only the first `most` are compared, so a group gives at most most * (most - 1) rows.
+    r is a rank within the group; only the first `most` are compared, so a group gives at most most * (most - 1) rows. A group lies in one fold.
     """
     by = Window.partitionBy(*keys)
     few = candidates.where(F.col("r") <= most).withColumns({f"{f}_rank": F.rank().over(by.orderBy(f)) / F.count(F.lit(1)).over(by) for f in features})
     features = [*features, *(f"{f}_rank" for f in features)]
     a, b = few.alias("a"), few.alias("b")
     same = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]) & (F.col("a.episode") != F.col("b.episode"))
-    pairs = a.join(b, same).select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.episode").alias("episode"), F.when(F.col("a.y") != F.col("b.y"), (F.col("a.y") > F.col("b.y")).cast("int")).alias("label"), *((F.col(f"a.{f}") - F.col(f"b.{f}")).alias(f) for f in features))
-    known = pairs.where("label is not null")
-    if known.select("label").distinct().count() < 2:
-        return few.select(*keys, "episode", F.lit(0.5).alias("wins"))
-    fitted = with_features(LogisticRegression(regParam=0.05, fitIntercept=False), features).fit(known)
-    return fitted.transform(pairs).groupBy(*keys, "episode").agg(F.sum(vector_to_array("probability")[1]).alias("wins"))
+    pairs = a.join(b, same).select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.fold").alias("fold"), F.col("a.episode").alias("episode"), F.when(F.col("a.y") != F.col("b.y"), (F.col("a.y") > F.col("b.y")).cast("int")).alias("label"), *((F.col(f"a.{f}") - F.col(f"b.{f}")).alias(f) for f in features))
+    scored = cross_fit(kept(pairs), LogisticRegression(regParam=0.05, fitIntercept=False), features, out="_beats")
+    alone = few.select(*keys, "episode").join(scored.groupBy(*keys, "episode").agg(F.sum("_beats").alias("wins")), [*keys, "episode"], "left")
+    return alone.withColumn("wins", F.coalesce("wins", F.lit(0.0)))  # a candidate without others wins nothing
 
 
 def _table(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,8 +399,8 @@ QUERIES = {
     "fit_family": lambda spark, d: fit_family(_table("pair_table", spark, d), _PAIR).select(*_FEW, "predicted_family"),
     "fit_episode_detector": lambda spark, d: fit_episode_detector(_table("episode_table", spark, d), _EPISODE, GBTClassifier(maxIter=8, maxDepth=3, stepSize=0.1, seed=3)).select("lo", "hi", "episode", "y", "hard_negative", "score"),
     "route_experts": lambda spark, d: route_experts(_table("episode_table", spark, d), _EPISODE, model=GBTClassifier(maxIter=8, maxDepth=3, stepSize=0.1, seed=3)).select("lo", "hi", "episode", "y", "universal", "routed", "score"),
-    "nn_pu_logistic": lambda spark, d: pu_prior_grid(_table("pair_table", spark, d), _PAIR, (0.05, 0.1, 0.2), 10),
-    "leave_one_family_out": lambda spark, d: leave_one_family_out(_table("pair_table", spark, d), _PAIR).select(*_FEW, "hidden_family", "score"),
+    "nn_pu_logistic": lambda spark, d: pu_prior_grid(_table("pair_table", spark, d), _PAIR),
+    "leave_one_family_out": lambda spark, d: leave_one_family_out(_table("pair_table", spark, d), _PAIR).select(*_FEW, "hidden_family", "score", F.round("ap", 8).alias("ap")),
     "value_residual": lambda spark, d: value_residual(_table("all_episodes", spark, d), "f_score", _CONTEXT),
     "gated_bag_model": _gated,
     "pairwise_rerank": lambda spark, d: pairwise_rerank(_candidates(spark, d), _EPISODE).select("lo", "hi", "episode", "y", "r", "score"),

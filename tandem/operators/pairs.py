@@ -41,6 +41,15 @@ WITH u AS ({rows}), d AS (SELECT feature, (avg(CASE WHEN win = 'evaluation' THEN
 SELECT feature, round(drift, 6) AS drift, count(CASE WHEN abs(drift) > 25e-2 THEN 1 END) OVER () AS over_quarter, count(CASE WHEN abs(drift) > 5e-1 THEN 1 END) OVER () AS over_half FROM d"""
 
 
+def exposure_replicas(seeds: Sequence[int] = (11, 12, 13), sixteenths: int = 11) -> str:
+    """SQL for the pairs' totals over a part of all episodes, the same part for all pairs and another for each seed; listed episodes always stay."""
+    draws = ", ".join(f"({s})" for s in seeds)
+    return f"""
+WITH k AS (SELECT DISTINCT episode FROM {{listed}}), d AS (SELECT seed FROM (VALUES {draws}) AS v(seed))
+SELECT d.seed, s.lo, s.hi, count(*) AS n, round(sum(s.score), 5) AS total FROM {{scored}} s CROSS JOIN d LEFT JOIN k ON k.episode = s.episode
+WHERE k.episode IS NOT NULL OR instr('0123456789abcdef', substr(md5(concat(CAST(s.episode AS VARCHAR(20)), '-', CAST(d.seed AS VARCHAR(20)))), 1, 1)) <= {sixteenths} GROUP BY d.seed, s.lo, s.hi"""
+
+
 OPERATORS = {
     # Rate with the partner less the rate with everybody else
     "partner_specificity": """
@@ -132,20 +141,24 @@ SELECT lo, hi, max(CASE WHEN actor = lo THEN contrast END) AS lo_contrast, max(C
 WITH r AS (SELECT s.lo, s.hi, s.episode, l.label, count(*) OVER (PARTITION BY s.lo, s.hi) AS n FROM {scored} s JOIN {pair_labels} l ON l.lo = s.lo AND l.hi = s.hi AND l.label IS NOT NULL),
 c AS (SELECT label, count(*) AS n FROM r GROUP BY label), t AS (SELECT sum(n) AS n, count(*) AS classes FROM c)
 SELECT /*+ BROADCAST(c), BROADCAST(t) */ r.lo, r.hi, r.episode, round(t.n / (CAST(t.classes AS DOUBLE) * c.n), 6) AS class_weight, round(1e0 / r.n, 8) AS pair_weight FROM r JOIN c ON c.label = r.label CROSS JOIN t""",
-    # A fixed two thirds of all episodes by a hash; listed ones stay
-    "exposure_replicas": """
-WITH k AS (SELECT DISTINCT episode FROM {listed})
-SELECT s.lo, s.hi, count(*) AS n, round(sum(s.score), 5) AS total FROM {scored} s LEFT JOIN k ON k.episode = s.episode WHERE k.episode IS NOT NULL OR substr(md5(concat(CAST(s.episode AS VARCHAR(20)), '-11')), 1, 1) < 'b' GROUP BY s.lo, s.hi""",
+    # D59
+    "exposure_replicas": exposure_replicas(),
     # D60
     "window_contrast": """
 SELECT a.lo, a.hi, round(a.m - b.m, 8) AS contrast FROM (SELECT lo, hi, avg(score) AS m FROM {scored} WHERE win = 'evaluation' GROUP BY lo, hi) a LEFT JOIN (SELECT lo, hi, avg(score) AS m FROM {scored} WHERE win = 'development' GROUP BY lo, hi) b ON b.lo = a.lo AND b.hi = a.hi""",
-    # Nearness in the pool's episode order to an episode listed for another pair of a member; joined by member
+    # Nearness in the pool's episode order to an episode listed for another pair of a member. Each episode finds the last and the next listing of a member, and where that is its own
+    # pair's the last or next one of another pair, which every listing knows: one row for each episode and listing of a member, never all of one with all of the other
     "neighbor_listing_gap": """
 WITH i AS (SELECT pool, episode, r AS idx FROM {pool_episodes}),
 g AS (SELECT l.lo, l.hi, l.lo AS member, i.idx FROM {listed} l JOIN i ON i.pool = l.pool AND i.episode = l.episode UNION ALL SELECT l.lo, l.hi, l.hi AS member, i.idx FROM {listed} l JOIN i ON i.pool = l.pool AND i.episode = l.episode),
-s AS (SELECT s.lo, s.hi, s.episode, i.idx, s.lo AS member FROM {scored} s JOIN i ON i.pool = s.pool AND i.episode = s.episode UNION ALL SELECT s.lo, s.hi, s.episode, i.idx, s.hi AS member FROM {scored} s JOIN i ON i.pool = s.pool AND i.episode = s.episode),
-m AS (SELECT s.lo, s.hi, s.episode, min(abs(s.idx - g.idx)) AS gap FROM s JOIN g ON g.member = s.member AND NOT (g.lo = s.lo AND g.hi = s.hi) GROUP BY s.lo, s.hi, s.episode)
-SELECT m.lo, m.hi, m.episode, gap, CAST(gap <= 10 AS INT) AS near, CAST(l.episode IS NOT NULL AS INT) AS is_listed FROM m LEFT JOIN {listed} l ON l.lo = m.lo AND l.hi = m.hi AND l.episode = m.episode""",
+b AS (SELECT g.*, lag(idx) OVER (PARTITION BY member ORDER BY idx, lo, hi) AS idx_b, lag(lo) OVER (PARTITION BY member ORDER BY idx, lo, hi) AS lo_b, lag(hi) OVER (PARTITION BY member ORDER BY idx, lo, hi) AS hi_b, lead(idx) OVER (PARTITION BY member ORDER BY idx, lo, hi) AS idx_a, lead(lo) OVER (PARTITION BY member ORDER BY idx, lo, hi) AS lo_a, lead(hi) OVER (PARTITION BY member ORDER BY idx, lo, hi) AS hi_a FROM g),
+k AS (SELECT member, idx, lo, hi, last_value(CASE WHEN lo <> lo_b OR hi <> hi_b THEN idx_b END) IGNORE NULLS OVER (PARTITION BY member ORDER BY idx, lo, hi) AS other_before, last_value(CASE WHEN lo <> lo_a OR hi <> hi_a THEN idx_a END) IGNORE NULLS OVER (PARTITION BY member ORDER BY idx DESC, lo DESC, hi DESC) AS other_after FROM b),
+u AS (SELECT member, idx, 0 AS kind, lo, hi, CAST(NULL AS BIGINT) AS episode, other_before, other_after FROM k
+  UNION ALL SELECT s.lo AS member, i.idx, 1 AS kind, s.lo, s.hi, s.episode, NULL, NULL FROM {scored} s JOIN i ON i.pool = s.pool AND i.episode = s.episode UNION ALL SELECT s.hi AS member, i.idx, 1 AS kind, s.lo, s.hi, s.episode, NULL, NULL FROM {scored} s JOIN i ON i.pool = s.pool AND i.episode = s.episode),
+n AS (SELECT u.*, last_value(CASE WHEN kind = 0 THEN struct(lo, hi, idx, other_before AS other) END) IGNORE NULLS OVER (PARTITION BY member ORDER BY idx, kind, lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b,
+  last_value(CASE WHEN kind = 0 THEN struct(lo, hi, idx, other_after AS other) END) IGNORE NULLS OVER (PARTITION BY member ORDER BY idx DESC, kind, lo DESC, hi DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a FROM u),
+m AS (SELECT lo, hi, episode, min(least(idx - CASE WHEN b.lo = lo AND b.hi = hi THEN b.other ELSE b.idx END, CASE WHEN a.lo = lo AND a.hi = hi THEN a.other ELSE a.idx END - idx)) AS gap FROM n WHERE kind = 1 GROUP BY lo, hi, episode)
+SELECT m.lo, m.hi, m.episode, gap, CAST(gap <= 10 AS INT) AS near, CAST(l.episode IS NOT NULL AS INT) AS is_listed FROM m LEFT JOIN {listed} l ON l.lo = m.lo AND l.hi = m.hi AND l.episode = m.episode WHERE gap IS NOT NULL""",
     # Weighted share of a flag among the pair's other candidates
     "loo_context_share": """
 WITH w AS (SELECT lo, hi, episode, score, CASE WHEN lean > 0e0 THEN 1e0 ELSE 0e0 END AS f FROM {scored})
@@ -189,3 +202,12 @@ SELECT s.lo, s.hi, s.n, coalesce(f.n, 0) AS n_lo_hi, coalesce(g.n, 0) AS n_hi_lo
 FROM {pair_scores} s LEFT JOIN {facing_pairs} f ON f.actor = s.lo AND f.target = s.hi LEFT JOIN {facing_pairs} g ON g.actor = s.hi AND g.target = s.lo LEFT JOIN {facing_members} a ON a.actor = s.lo LEFT JOIN {facing_members} b ON b.actor = s.hi
 JOIN (SELECT member, count(*) AS n FROM {participants} GROUP BY member) x ON x.member = s.lo JOIN (SELECT member, count(*) AS n FROM {participants} GROUP BY member) y ON y.member = s.hi""",
 }
+ORACLES = {
+    # every episode of a member against every listing of the member
+    "neighbor_listing_gap": """
+WITH i AS (SELECT pool, episode, r AS idx FROM {pool_episodes}),
+g AS (SELECT l.lo, l.hi, l.lo AS member, i.idx FROM {listed} l JOIN i ON i.pool = l.pool AND i.episode = l.episode UNION ALL SELECT l.lo, l.hi, l.hi AS member, i.idx FROM {listed} l JOIN i ON i.pool = l.pool AND i.episode = l.episode),
+s AS (SELECT s.lo, s.hi, s.episode, i.idx, s.lo AS member FROM {scored} s JOIN i ON i.pool = s.pool AND i.episode = s.episode UNION ALL SELECT s.lo, s.hi, s.episode, i.idx, s.hi AS member FROM {scored} s JOIN i ON i.pool = s.pool AND i.episode = s.episode),
+m AS (SELECT s.lo, s.hi, s.episode, min(abs(s.idx - g.idx)) AS gap FROM s JOIN g ON g.member = s.member AND NOT (g.lo = s.lo AND g.hi = s.hi) GROUP BY s.lo, s.hi, s.episode)
+SELECT m.lo, m.hi, m.episode, gap, CAST(gap <= 10 AS INT) AS near, CAST(l.episode IS NOT NULL AS INT) AS is_listed FROM m LEFT JOIN {listed} l ON l.lo = m.lo AND l.hi = m.hi AND l.episode = m.episode""",
+}

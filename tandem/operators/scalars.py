@@ -8,9 +8,9 @@ OPERATORS = {
     # B2: coding of enumerations; unknown values have none
     "encode_enum": """
 SELECT episode, ordinal, CASE act WHEN 'exit' THEN 0 WHEN 'hold' THEN 1 WHEN 'match' THEN 2 WHEN 'push' THEN 3 END AS act_code, stage FROM {ev}""",
-    # Tokens of a list in a string: how many, and the sum of their places times their lengths
+    # Tokens of a list in a string: how many, their letters, and the sum of their places times their lengths
     "parse_token_list": """
-SELECT p_partkey, CAST(n AS BIGINT) AS n_tokens, CAST(length(clean) - n + 1 AS BIGINT) AS n_letters, first_token FROM (
+SELECT p_partkey, CAST(n AS BIGINT) AS n_tokens, CAST(length(clean) - n + 1 AS BIGINT) AS n_letters, CAST(aggregate(transform(split(clean, ' '), (x, i) -> (i + 1) * length(x)), 0, (a, x) -> a + x) AS BIGINT) AS place_sum, first_token FROM (
   SELECT p_partkey, clean, length(clean) - length(replace(clean, ' ', '')) + 1 AS n, split_part(clean, ' ', 1) AS first_token
   FROM (SELECT p_partkey, trim(regexp_replace(p_type, '[^A-Za-z0-9]+', ' ')) AS clean FROM {part}) t) u""",
     # Spelling of actions
@@ -51,3 +51,9 @@ FROM {ev} v JOIN {class_shares} q ON q.stage = v.stage AND q.facing = CAST(v.to_
 RELATIONS = {
     "middle_ratio": quantiles("SELECT CASE WHEN t_ba > 0e0 THEN t_ab / t_ba WHEN t_ab > 0e0 THEN NULL ELSE 0e0 END AS x FROM {transfers}", (), "x", {"mid": 0.5}),
 }
+ORACLES = {
+    "parse_token_list": """
+SELECT p_partkey, CAST(n AS BIGINT) AS n_tokens, CAST(length(clean) - n + 1 AS BIGINT) AS n_letters, (SELECT CAST(sum(i * length(split_part(clean, ' ', CAST(i AS INT)))) AS BIGINT) FROM range(1, CAST(n AS BIGINT) + 1) AS t(i)) AS place_sum, first_token FROM (
+  SELECT p_partkey, clean, length(clean) - length(replace(clean, ' ', '')) + 1 AS n, split_part(clean, ' ', 1) AS first_token
+  FROM (SELECT p_partkey, trim(regexp_replace(p_type, '[^A-Za-z0-9]+', ' ', 'g')) AS clean FROM {part}) t) u""",
+}

@@ -56,6 +56,22 @@ def test_pair_episode_row(row):
     has(row("burst_concentration", **PAIR), abs_net=1.0, yielded=1, faced=2, alone=1, iso=0, top1_share=1.0, direction_share=1.0, longest_run=1, n=1, span=0)
 
 
+def test_who_gains_when_a_member_leaves(row):
+    # member 3 (0.125) leaves 0.75 and 0.25: shares of 1.125 become shares of 1; both members of its pool are there
+    has(row("fold_beneficiary", leaver=3, partner=1), others=2, released=1 / 9, most=0.75 / 9, to_partner=0.75 / 9, to_outsiders=0.25 / 9, partner_share=0.75)
+    has(row("fold_beneficiary", leaver=3, partner=2), to_partner=0.25 / 9, to_outsiders=0.75 / 9)
+    # member 1 leaves 2 alone, which gets all
+    has(row("fold_beneficiary", leaver=1, partner=2), others=1, released=0.75, to_partner=0.75, to_outsiders=0.0, partner_share=1.0)
+
+
+def test_push_over_one_whose_matcher_is_there(spark):
+    acts = [(1, "push"), (2, "match"), (3, "push"), (1, "exit"), (2, "push"), (3, "match"), (4, "push"), (3, "exit"), (2, "push")]
+    events = [(1, i, 0, m, "raise" if a == "push" else "call", a, 1.0, 0.0, 0.5, 0.0) for i, (m, a) in enumerate(acts)]
+    found = catalog.relations().frame(spark, "SELECT ordinal FROM {pushes_matched}", {"ev": spark.createDataFrame(events, EV), "participants": spark.sql("SELECT 1L AS episode, member, exit_ordinal FROM VALUES (1L, 3L), (2L, NULL), (3L, 7L), (4L, NULL) AS v(member, exit_ordinal)")})
+    # 3 pushes over 1 while 2, who matched, is there; 2 pushes over 3 with no matcher; 4 pushes over 2 while 3, who matched, is there; 2 pushes over 4 with no matcher
+    assert sorted(r["ordinal"] for r in found.collect()) == [2, 6]
+
+
 def test_directed_and_member_rows(row):
     one = {"actor": 1, "target": 2}
     has(row("surprisal_interactions", **one), n_decisions=3, n_answers=1, exit_when_strong=1, exit_when_ahead=0, big_exit_when_strong=0, hold_when_strong=0, own_decisions=3)

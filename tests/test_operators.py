@@ -134,7 +134,7 @@ def test_cross_fit_keeps_rows_and_hides_the_fold(spark):
 def test_nn_pu_logistic_separates(spark):
     rng = random.Random(4)
     rows = [(1 if y and rng.random() < 0.5 else 0, rng.gauss(1.5 if y else -0.5, 0.7)) for y in [rng.random() < 0.3 for _ in range(400)]]
-    w = learning.nn_pu_logistic(spark.createDataFrame(rows, "label int, f double"), ["f"], prior=0.2, rounds=15)
+    w = learning.nn_pu_logistic(spark.createDataFrame(rows, "label int, f double"), ["f"], (0.2,), 15)[0]
     assert len(w) == 2 and w[0] > 0.3
 
 
@@ -169,6 +169,39 @@ def test_learners_on_a_plain_case(spark):
     assert learning.column_subset(("a", "b", "c", "d"), 1) == learning.column_subset(("d", "c", "b", "a"), 1)
 
 
+def test_pu_learner_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x, pos = rng.normal(size=(300, 2)), rng.random(300) < 0.2
+    x[pos] += 1.0
+    df = spark.createDataFrame([(1 if p else None, float(a), float(b)) for p, (a, b) in zip(pos, x, strict=True)], "label int, a double, b double")
+    full, sigmoid = np.c_[x, np.ones(300)], lambda z: 1 / (1 + np.exp(-z))
+    for prior, got in zip((0.05, 0.4), learning.nn_pu_logistic(df, ("a", "b"), (0.05, 0.4), 12), strict=True):
+        w, m, v = np.zeros(3), np.zeros(3), np.zeros(3)
+        for t in range(1, 13):
+            p, loss = sigmoid(full @ w), np.log1p(np.exp(full @ w))
+            negative = (p[:, None] * full)[~pos].mean(0) - prior * (p[:, None] * full)[pos].mean(0)
+            g = prior * ((p - 1)[:, None] * full)[pos].mean(0) + negative if loss[~pos].mean() >= prior * loss[pos].mean() else -negative
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        assert np.allclose(got, w, atol=1e-9)
+
+
+def test_comparator_is_fold_safe_and_families_are_left_out(spark):
+    rng = random.Random(8)
+    rows = [(g % 3, g, g, e, int(e < 2), (1.0 if e < 2 else 0.0) * (-1 if g % 3 == 0 else 1) + rng.random() * 0.1, e + 1) for g in range(24) for e in range(5)] + [(0, 99, 99, 0, 1, 0.5, 1)]
+    df = spark.createDataFrame(rows, "fold int, lo long, hi long, episode long, y int, a double, r int")
+    wins = {(r["lo"], r["episode"]): r["wins"] for r in learning.pair_comparator(df, ("a",)).collect()}
+    assert len(wins) == len(rows) and wins[99, 0] == 0.0
+    mean = lambda k, good: sum(w for (g, e), w in wins.items() if g % 3 == k and g < 99 and (e < 2) == good) / sum(1 for (g, e) in wins if g % 3 == k and g < 99 and (e < 2) == good)
+    assert mean(0, True) < mean(0, False)  # fold 0 is the other way round, and its own rows didn't train its model
+    pairs = spark.createDataFrame([(i % 3, i, i + 1, i // 4 % 2, int(i % 4 == 0), (i % 4 == 0) + rng.random() * 0.5) for i in range(120)], "fold int, lo long, hi long, family int, label int, a double")
+    left = learning.leave_one_family_out(pairs, ("a",))
+    by = {r["hidden_family"]: (r["aps"], r["ap"], r["positives"]) for r in left.groupBy("hidden_family").agg(F.count_distinct("ap").alias("aps"), F.max("ap").alias("ap"), F.sum("label").alias("positives")).collect()}
+    assert by == {0: (1, 1.0, 15), 1: (1, 1.0, 15)}
+
+
 def test_running_state_stream_equals_table(spark, tmp_path):
     rows = [(i, i % 3, float(i * i % 17)) for i in range(60)]
     df = spark.createDataFrame(rows, "event_id long, user_id long, value double").withColumn("ts", (F.lit(1_700_000_000) + F.col("event_id") * 60).cast("timestamp"))
