@@ -28,8 +28,8 @@ from tandem.llm.storage import require, text_or_empty
 from tandem.llm.tokens import byte_letters
 from tandem.llm.words import _CODES, _Q, _power_tables, mix, portions
 
-SLICE_CHARS = 1 << 21  # of text that is worked on at a time; longer texts are cut before white space
-SLICE_IDS = 1 << 20  # of which a worker holds the decoded tokens at a time
+SLICE_CHARS = 1 << 20  # of text that is worked on at a time; longer texts are cut before white space
+SLICE_IDS = 1 << 18  # of which a worker holds the decoded tokens at a time
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)  # kinds of characters
 NONE = np.int32(2**31 - 1)  # rank of a pair that isn't merged
 #: The steps of vocabulary files that this module knows.
@@ -306,7 +306,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(vocabulary)
-        for batch in portions(batches, "text", 1 << 21):
+        for batch in portions(batches, "text", 1 << 20):
             ids, first = bpe.encode(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids))], schema=schema)
 
