@@ -15,6 +15,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tandem.operators import pairs
 from tandem.operators.features import ACTS
 from tandem.operators.metrics import average_precision
 from tandem.plans.ordered import counted, ordered, quantiles, stored
@@ -26,6 +27,23 @@ def route_other(first: int = 60, first_floor: float = 2.5, second: int = 100, se
     return f"SELECT pool, lo, hi FROM {{pair_order}} WHERE (r <= {first} AND top > {first_floor}e0) OR (r <= {second} AND top > {second_floor}e0)"
 
 
+def column_subset(columns: Sequence[str], seed: int, share: float = 0.5) -> list[str]:
+    """The first columns in the order of a hash of their names and the seed, for models that differ."""
+    order = sorted(columns, key=lambda c: hashlib.md5(f"{c}-{seed}".encode()).hexdigest())
+    return order[: max(1, round(share * len(columns)))]
+
+
+_PAIR = ("f_score", "f_top", "f_log_n", "f_lo_hi", "f_hi_lo")
+_BLOCKS = ("f_spec_lo", "f_spec_hi", "f_exits_lo", "f_exits_hi", "f_exits", "f_z_max", "f_z_min", "f_total", "f_rate99", "f_rate999", "f_top3", "f_top5", "f_llr", "f_llr_rate", "f_llr_eighth", "f_llr_hundredth")
+_VIEWS = (1, 2, 3)
+
+
+def feature_views(relation: str, keys: Sequence[str], columns: Sequence[str], seeds: Sequence[int], share: float = 0.5) -> str:
+    """SQL for the rows of a relation once for each seed (as view), with null in the columns that column_subset() leaves out there."""
+    shown = ", ".join(f"CASE WHEN view IN ({', '.join(str(s) for s in seeds if c in column_subset(columns, s, share)) or 'NULL'}) THEN round({c}, 6) END AS {c}" for c in columns)
+    return f"SELECT {', '.join(keys)}, view, {shown} FROM {{{relation}}} CROSS JOIN (SELECT view FROM (VALUES {', '.join(f'({s})' for s in seeds)}) AS v(view)) g"
+
+
 OPERATORS = {
     # K1: folds of whole pools, the same in any engine
     "assign_folds": "SELECT pool, count(*) AS pairs, CAST(ascii(substr(md5(CAST(pool AS VARCHAR(20))), 1, 1)) % 3 AS BIGINT) AS fold FROM {pair_labels} GROUP BY pool",
@@ -57,6 +75,10 @@ FROM {assigned} x JOIN m ON m.t_family = x.t_family AND m.t_risk = x.t_risk GROU
     "route_other": route_other(),
     # Other families' positives get no weight, not label 0
     "target_view": "SELECT lo, hi, f.family AS target, CASE WHEN label = 1 AND l.family = f.family THEN 1 ELSE 0 END AS y, CASE WHEN label = 1 AND l.family <> f.family THEN 0e0 WHEN label IS NULL THEN 5e-1 ELSE 1e0 END AS weight FROM {pair_labels} l CROSS JOIN (SELECT family FROM (VALUES (0), (1), (2)) AS v(family)) f",
+    # The pair table as models of different columns see it
+    "feature_views": feature_views("pair_table", ("lo", "hi"), _PAIR, _VIEWS),
+    # K4: what the pair model learns from
+    "risk_table": f"SELECT lo, hi, label, fold, {', '.join(f'round({c}, 6) AS {c}' for c in _PAIR)}, {', '.join(_BLOCKS)} FROM {{risk_table}}",
     # Pairs of a listed and an unlisted candidate, by what swapping them changes of the precision at five
     "rerank_weights": """
 WITH r AS (SELECT s.lo, s.hi, s.episode, row_number() OVER (PARTITION BY s.lo, s.hi ORDER BY s.score DESC, s.ts, s.episode) AS r, CASE WHEN g.episode IS NOT NULL THEN 1 ELSE 0 END AS y
@@ -88,6 +110,11 @@ SELECT t.pool, t.lo, t.hi, t.episode, CASE WHEN l.label = 1 THEN CASE WHEN g.epi
     "pair_table": """
 SELECT s.pool, s.lo, s.hi, s.label, s.family, s.n, CAST(ascii(substr(md5(CAST(s.pool AS VARCHAR(20))), 1, 1)) % 3 AS INT) AS fold, s.score AS f_score, s.top AS f_top, ln(1e0 + s.n) AS f_log_n, r.n_lo_hi / CAST(greatest(s.n, 1) AS DOUBLE) AS f_lo_hi, r.n_hi_lo / CAST(greatest(s.n, 1) AS DOUBLE) AS f_hi_lo
 FROM {pair_scores} s JOIN {rolled} r ON r.lo = s.lo AND r.hi = s.hi""",
+    # a pair's columns beside the blocks of partner specificity, conditional rates, their z, bag sums and mixture ratios
+    "risk_table": f"""
+SELECT p.*, s.lo_toward_hi AS f_spec_lo, s.hi_toward_lo AS f_spec_hi, c.lo_exits AS f_exits_lo, c.hi_exits AS f_exits_hi, c.both_exit AS f_exits, z.z_max AS f_z_max, z.z_min AS f_z_min, b.total AS f_total, b.rate99 AS f_rate99, b.rate999 AS f_rate999, b.top3 AS f_top3, b.top5 AS f_top5,
+  m.best AS f_llr, m.best_rate AS f_llr_rate, m.at_eighth AS f_llr_eighth, m.at_hundredth AS f_llr_hundredth FROM {{pair_table}} p LEFT JOIN ({pairs.OPERATORS["partner_specificity"]}) s ON s.lo = p.lo AND s.hi = p.hi LEFT JOIN ({pairs.OPERATORS["conditional_rate_contrast"]}) c ON c.lo = p.lo AND c.hi = p.hi
+LEFT JOIN ({pairs.OPERATORS["binomial_z"]}) z ON z.lo = p.lo AND z.hi = p.hi LEFT JOIN ({pairs.OPERATORS["bag_reduce"]}) b ON b.lo = p.lo AND b.hi = p.hi LEFT JOIN ({pairs.OPERATORS["mixture_lr_bag"]}) m ON m.lo = p.lo AND m.hi = p.hi""",
     "episode_table": """
 WITH l AS (SELECT g.lo, g.hi, max(e.ts) AS last_ts FROM {listed} g JOIN {episodes} e ON e.episode = g.episode GROUP BY g.lo, g.hi)
 SELECT t.pool, t.lo, t.hi, t.episode, CASE WHEN g.episode IS NOT NULL THEN 1 ELSE 0 END AS y, CASE WHEN g.episode IS NULL AND t.ts < l.last_ts THEN 1 ELSE 0 END AS hard_negative, p.family, CAST(ascii(substr(md5(CAST(t.pool AS VARCHAR(20))), 1, 1)) % 3 AS INT) AS fold, greatest(t.t_ab, t.t_ba) AS f_score, t.t_ab - t.t_ba AS f_lean, t.s_lo AS f_s_lo, t.s_hi AS f_s_hi
@@ -280,10 +307,22 @@ def seed_expand(pairs: DataFrame, statistic: str, features: Sequence[str], top:
     return scored.groupBy(group.alias("kind")).agg(F.count(F.lit(1)).alias("pairs"), F.avg(statistic).alias("mean_statistic"), F.avg("_score").alias("mean_score"))
 
 
-def column_subset(columns: Sequence[str], seed: int, share: float = 0.5) -> list[str]:
-    """The first columns in the order of a hash of their names and the seed, for models that differ."""
-    order = sorted(columns, key=lambda c: hashlib.md5(f"{c}-{seed}".encode()).hexdigest())
-    return order[: max(1, round(share * len(columns)))]
+def fit_views(pairs: DataFrame, features: Sequence[str], families: Sequence[int], seeds: Sequence[int] = _VIEWS, share: float = 0.5, model: Estimator | None = None) -> DataFrame:
+    """For each family an out-of-fold score of pairs, the mean over models that see the columns of one seed each.
+
+    pairs: fold, label, family, features. A family's positives are the target; other families' positives have weight 0 and so neither train nor count as negatives; rows without a label train as negatives
+    of weight 0.5. Returns pairs once for each family, with target and score.
+    """
+    model = model or LogisticRegression(regParam=0.01)
+    parts = []
+    for family in families:
+        own, positive = F.col("family") == family, F.coalesce(F.col("label") == 1, F.lit(False))
+        rows = pairs.withColumns({"target": F.lit(family), "_y": (positive & own).cast("int"), "_w": F.when(positive & ~F.coalesce(own, F.lit(False)), 0.0).when(F.col("label").isNull(), 0.5).otherwise(1.0)})
+        names = [f"_v{s}" for s in seeds]
+        for name, s in zip(names, seeds, strict=True):
+            rows = cross_fit(rows, model, column_subset(features, s, share), label="_y", weight="_w", out=name, standardize=True)
+        parts.append(rows.withColumn("score", sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)).drop("_y", "_w", *names))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def nn_pu_logistic(df: DataFrame, features: Sequence[str], priors: Sequence[float] = (0.1,), rounds: int = 30, rate: float = 0.1, decay: tuple[float, float] = (0.9, 0.999)) -> list[list[float]]:
@@ -366,7 +405,6 @@ def _table(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(catalog.relations().frame(spark, f"SELECT * FROM {{{name}}}", catalog.Tables(spark, sf_dir)))
 
 
-_PAIR = ("f_score", "f_top", "f_log_n", "f_lo_hi", "f_hi_lo")
 _EPISODE = ("f_score", "f_lean", "f_s_lo", "f_s_hi")
 _DECISION = ("stage", "facing", "cost", "odds", "active", "pushes_before", "own_pushes_before", "strength", "own_no")
 _CONTEXT = ("f_s_lo", "f_s_hi", "f_put", "f_players", "f_stayed")
@@ -395,7 +433,8 @@ def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "cross_fit": _two_windows,
     "fit_action_policy": lambda spark, d: fit_action_policy(_table("decision_table", spark, d), _DECISION).select("episode", "ordinal", "act", "fold", "q_exit", "q_hold", "q_match", "q_push"),
-    "fit_pair_risk": lambda spark, d: fit_pair_risk(_table("pair_table", spark, d), _PAIR, (1, 2), 6, 3, 12).select(*_FEW, "risk"),
+    "fit_pair_risk": lambda spark, d: fit_pair_risk(_table("risk_table", spark, d), (*_PAIR, *_BLOCKS), (1, 2), 6, 3, 12).select(*_FEW, "risk"),
+    "fit_views": lambda spark, d: fit_views(_table("risk_table", spark, d), (*_PAIR, *_BLOCKS), (0, 1, 2), (1, 2)).select(*_FEW, "target", "score"),
     "fit_family": lambda spark, d: fit_family(_table("pair_table", spark, d), _PAIR).select(*_FEW, "predicted_family"),
     "fit_episode_detector": lambda spark, d: fit_episode_detector(_table("episode_table", spark, d), _EPISODE, GBTClassifier(maxIter=8, maxDepth=3, stepSize=0.1, seed=3)).select("lo", "hi", "episode", "y", "hard_negative", "score"),
     "route_experts": lambda spark, d: route_experts(_table("episode_table", spark, d), _EPISODE, model=GBTClassifier(maxIter=8, maxDepth=3, stepSize=0.1, seed=3)).select("lo", "hi", "episode", "y", "universal", "routed", "score"),
@@ -408,3 +447,10 @@ QUERIES = {
     "pair_comparator": lambda spark, d: pair_comparator(_candidates(spark, d), _EPISODE),
     "seed_expand": lambda spark, d: seed_expand(_table("pair_table", spark, d), "f_top", ("f_score", "f_log_n", "f_lo_hi", "f_hi_lo")),
 }
+_NAMES = ", ".join(f"('{c}')" for c in _PAIR)
+ORACLES = {
+    "feature_views": f"""
+WITH k AS (SELECT view, name, row_number() OVER (PARTITION BY view ORDER BY md5(name || '-' || CAST(view AS VARCHAR))) AS r FROM (VALUES {_NAMES}) AS c(name) CROSS JOIN (VALUES {", ".join(f"({v})" for v in _VIEWS)}) AS v(view)),
+g AS (SELECT view, {", ".join(f"max(CASE WHEN name = '{c}' THEN r END) AS r_{c}" for c in _PAIR)} FROM k GROUP BY view)
+SELECT lo, hi, view, {", ".join(f"CASE WHEN r_{c} <= 2 THEN round({c}, 6) END AS {c}" for c in _PAIR)} FROM {{pair_table}} CROSS JOIN g""",
+}

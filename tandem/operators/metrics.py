@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,23 @@ _AP = "SELECT pool, coalesce(sum(CASE WHEN label = 1 THEN hits / CAST(r AS DOUBL
 _FAMILY = """SELECT f.family, coalesce(b.ap, 0e0) AS ap FROM (SELECT family FROM (VALUES (0), (1), (2)) AS v(family)) f
 LEFT JOIN (SELECT family, sum(CASE WHEN label = 1 THEN hits / CAST(r AS DOUBLE) END) / nullif(max(hits_all), 0) AS ap FROM {family_order} GROUP BY family) b ON b.family = f.family"""
 
+
+def exposure_reweighted(metrics: Mapping[str, str], window: str = "development", other: str = "evaluation") -> str:
+    """SQL for the means of metrics by exposure, and with the exposures of another window.
+
+    metrics: by name SQL for (lo, hi, x). Exposure is a pair's number of episodes in window, in bins that double; other's distribution is that of all pairs seen there. A bin without measured pairs can't be weighed, so
+    the others' shares are raised to a sum of 1. reweighted is the weight of a bin's pairs; in the row of bin -1, which has the whole, it is the mean with those weights, and other_share how much of the other window the bins cover.
+    """
+    bin_ = lambda n: f"CAST(floor(ln({n}) / ln(2e0) + 1e-9) AS INT)"
+    x = " UNION ALL ".join(f"SELECT '{name}' AS metric, lo, hi, x FROM ({sql}) m{i}" for i, (name, sql) in enumerate(metrics.items()))
+    return f"""
+WITH s AS (SELECT lo, hi, win, {bin_("count(*)")} AS bin FROM {{scored}} GROUP BY lo, hi, win), o AS (SELECT bin, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM s WHERE win = '{other}' GROUP BY bin), x AS ({x}),
+b AS (SELECT x.metric, s.bin, count(*) AS n, avg(x.x) AS mean FROM x JOIN s ON s.lo = x.lo AND s.hi = x.hi AND s.win = '{window}' GROUP BY x.metric, s.bin),
+w AS (SELECT b.*, n / CAST(sum(n) OVER (PARTITION BY metric) AS DOUBLE) AS here, coalesce(o.share, 0e0) AS there FROM b LEFT JOIN o ON o.bin = b.bin)
+SELECT metric, bin, n, round(here, 8) AS share, round(there, 8) AS other_share, round(mean, 8) AS mean, round(there / here, 6) AS reweighted FROM w
+UNION ALL SELECT metric, -1 AS bin, CAST(sum(n) AS BIGINT) AS n, round(sum(here), 8) AS share, round(sum(there), 8) AS other_share, round(sum(here * mean), 8) AS mean, round(sum(there * mean) / nullif(sum(there), 0e0), 6) AS reweighted FROM w GROUP BY metric"""
+
+
 OPERATORS = {
     "stable_ap": f"SELECT pool, round(ap, 8) AS ap FROM ({_AP}) t",
     "ap_at_5": f"SELECT lo, hi, round(ap, 8) AS ap FROM ({_AP5}) t",
@@ -40,6 +59,14 @@ WITH c AS (SELECT l.lo, l.hi, count(*) AS n, count(CASE WHEN f.r <= 20 THEN 1 EN
 x AS (SELECT p.family, c.*, a.ap, chosen / CAST(least(5, n) AS DOUBLE) AS best_of_chosen, least(in_pool, 5) / CAST(least(5, n) AS DOUBLE) AS best_of_pool FROM c JOIN {{pair_labels}} p ON p.lo = c.lo AND p.hi = c.hi JOIN ({_AP5}) a ON a.lo = c.lo AND a.hi = c.hi)
 SELECT family, count(*) AS pairs, CAST(sum(n) AS BIGINT) AS listed, CAST(sum(n - in_pool) AS BIGINT) AS outside_pool, CAST(sum(in_pool - chosen) AS BIGINT) AS not_selected, CAST(sum(late) AS BIGINT) AS ordered_late, round(avg(ap), 8) AS map5, round(avg(best_of_chosen), 8) AS map5_ordered_right, round(avg(best_of_pool), 8) AS map5_chosen_right,
   round(avg(best_of_chosen - ap), 8) AS lost_by_order, round(avg(best_of_pool - best_of_chosen), 8) AS lost_by_choice, round(avg(1e0 - best_of_pool), 8) AS lost_by_pool FROM x GROUP BY family""",
+    # Orders by three scores: the precision at five of each, of the best one for each pair, and of the right choice from what any has among its first five or eight
+    "union_oracles": """
+WITH b AS (SELECT lo, hi, y, n, least(r_score, r_gap, r_put) AS r, r_score, r_gap, r_put FROM {model_ranks}),
+h AS (SELECT lo, hi, m, CASE WHEN y = 1 AND r <= 5 THEN sum(y) OVER (PARTITION BY lo, hi, m ORDER BY r) / CAST(r AS DOUBLE) ELSE 0e0 END AS gain FROM (SELECT lo, hi, y, m, CASE m WHEN 0 THEN r_score WHEN 1 THEN r_gap ELSE r_put END AS r FROM b CROSS JOIN (SELECT m FROM (VALUES (0), (1), (2)) AS v(m)) g) t),
+g AS (SELECT lo, hi, sum(CASE WHEN m = 0 THEN gain ELSE 0e0 END) AS g0, sum(CASE WHEN m = 1 THEN gain ELSE 0e0 END) AS g1, sum(CASE WHEN m = 2 THEN gain ELSE 0e0 END) AS g2 FROM h GROUP BY lo, hi),
+u AS (SELECT lo, hi, CAST(least(max(n), 5) AS DOUBLE) AS most, least(sum(CASE WHEN r <= 5 THEN y ELSE 0 END), 5) AS union5, least(sum(CASE WHEN r <= 8 THEN y ELSE 0 END), 5) AS union8 FROM b GROUP BY lo, hi)
+SELECT p.family, count(*) AS pairs, round(avg(g0 / most), 8) AS map5_score, round(avg(g1 / most), 8) AS map5_gap, round(avg(g2 / most), 8) AS map5_put, round(avg(greatest(g0, g1, g2) / most), 8) AS best_model, round(avg(union5 / most), 8) AS union5, round(avg(union8 / most), 8) AS union8
+FROM u JOIN g ON g.lo = u.lo AND g.hi = u.hi JOIN {pair_labels} p ON p.lo = u.lo AND p.hi = u.hi GROUP BY p.family""",
     # Predicted against observed shares by bins of the chance, numbers of listed episodes, and expected against achieved average precision
     "score_calibration": f"""
 WITH b AS (SELECT c.lo, c.hi, c.p, CAST(floor(c.p * 1e1) AS INT) AS bin, CASE WHEN g.episode IS NOT NULL THEN 1e0 ELSE 0e0 END AS y, row_number() OVER (PARTITION BY c.lo, c.hi ORDER BY c.p DESC, c.episode) AS r
@@ -52,6 +79,8 @@ UNION ALL SELECT 'listed' AS what, 0 AS bin, count(*) AS n, round(avg(mass), 6)
     "exposure_strata": """
 WITH b AS (SELECT CAST(least(floor(n / 10), 3) AS INT) AS bin, label, score FROM {pair_scores}), w AS (SELECT bin, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS w FROM b GROUP BY bin)
 SELECT b.bin, count(*) AS n, round(max(w.w), 6) AS weight, round(avg(b.score), 8) AS mean, round(avg(b.score) * max(w.w), 8) AS part FROM b JOIN w ON w.bin = b.bin WHERE b.label IS NOT NULL GROUP BY b.bin""",
+    # The precision at five of positive pairs, and the mean score of pairs with a label, by exposure in their window, and as they would be with the other window's exposures
+    "exposure_reweighted": exposure_reweighted({"ap5": f"SELECT a.lo, a.hi, a.ap AS x FROM ({_AP5}) a", "score": "SELECT lo, hi, score AS x FROM {pair_scores} WHERE label IS NOT NULL"}),
 }
 
 
@@ -95,6 +124,12 @@ def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"cluster_bootstrap": _bootstrap}
 _HITS = {"hits": "CASE WHEN label = 1 THEN 1 ELSE 0 END"}
 RELATIONS = {
+    # places of a positive pair's episodes in the orders of three scores, whether each is listed (y), and how many are
+    "model_ranks": """
+WITH k AS (SELECT lo, hi, count(*) AS n FROM {listed} GROUP BY lo, hi)
+SELECT s.lo, s.hi, s.episode, k.n, CASE WHEN g.episode IS NOT NULL THEN 1 ELSE 0 END AS y, row_number() OVER (PARTITION BY s.lo, s.hi ORDER BY greatest(s.t_ab, s.t_ba) DESC, s.ts, s.episode) AS r_score, row_number() OVER (PARTITION BY s.lo, s.hi ORDER BY abs(s.net_lo - s.net_hi) / nullif(s.unit, 0e0) DESC NULLS LAST, s.ts, s.episode) AS r_gap,
+  row_number() OVER (PARTITION BY s.lo, s.hi ORDER BY (s.put_lo + s.put_hi) / nullif(s.unit, 0e0) DESC NULLS LAST, s.ts, s.episode) AS r_put
+FROM {moved} s JOIN k ON k.lo = s.lo AND k.hi = s.hi LEFT JOIN {listed} g ON g.lo = s.lo AND g.hi = s.hi AND g.episode = s.episode WHERE s.win = 'development'""",
     "family_order": ordered("SELECT family, lo, hi, label, score FROM {pair_scores}", ("family",), ("score desc", "lo", "hi"), _HITS),
     "top_order": ordered("SELECT pool, lo, hi, label, top FROM {pair_scores}", ("pool",), ("top desc", "lo", "hi"), _HITS),
 }

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.operators.decoders import SLOT, first_k_marginal, slots
-from tandem.plans.ordered import quantiles, stored
+from tandem.plans.ordered import OnSpark, quantiles, stored
+from tandem.sources.sinks import kept
 
 # Decisions toward a target by classes of both strengths, and their shares in the other folds: q given both classes, z given one's own. Twelve to sixty rows a fold.
 _CLASSES = """t AS (SELECT actor, target, act, CAST(floor(strength * 3e0) AS INT) AS own, CAST(floor(target_strength * 3e0) AS INT) AS partner, count(*) AS n FROM {toward} GROUP BY actor, target, act, CAST(floor(strength * 3e0) AS INT), CAST(floor(target_strength * 3e0) AS INT)),
@@ -14,6 +15,39 @@ c AS (SELECT t.*, ascii(substr(md5(CAST(m.pool AS VARCHAR(20))), 1, 1)) % 3 AS f
 o AS (SELECT f.fold, g.own, g.partner, g.act, g.n - coalesce(k.n, 0) + 5e-1 AS n FROM f CROSS JOIN (SELECT own, partner, act, sum(n) AS n FROM k GROUP BY own, partner, act) g LEFT JOIN k ON k.fold = f.fold AND k.own = g.own AND k.partner = g.partner AND k.act = g.act),
 q AS (SELECT o.*, n / sum(n) OVER (PARTITION BY fold, own, partner) AS q, sum(n) OVER (PARTITION BY fold, own, act) / sum(n) OVER (PARTITION BY fold, own) AS z FROM o)"""
 
+_ROUNDS = 20
+_STRONG = lambda c: f"CAST(greatest(least(floor({c} * 3e0), 3e0), 0e0) AS INT)"
+_GRID = [f"(SELECT {n} FROM (VALUES {v}) AS v({n})) {n}_" for n, v in (("fold", "(0), (1), (2)"), ("own", "(0), (1), (2), (3)"), ("act", "('exit'), ('hold'), ('match'), ('push')"), ("partner", "(0), (1), (2), (3)"), ("family", "(0), (1), (2)"))]
+
+
+def mixture_rounds(rounds: int = _ROUNDS, start: float = 0.3) -> str:
+    """SQL for the part alpha and the shares q of class_fits by rounds of window sums over {class_cells}; fit_class_mixture() gives the same."""
+    each = "SELECT fold, family, own, partner, act, n, z"
+    text = f"WITH e0 AS ({each}, {start!r}e0 AS alpha, (sum(n) OVER (PARTITION BY fold, family, partner, act) + 5e-1) / (sum(n) OVER (PARTITION BY fold, family, partner) + 2e0) AS q FROM {{class_cells}})"
+    for i in range(rounds):
+        text += f""", g{i} AS (SELECT *, n * alpha * q / ((1e0 - alpha) * z + alpha * q) AS g FROM e{i}), e{i + 1} AS ({each}, (sum(g) OVER (PARTITION BY fold, family) + 5e-1) / (sum(n) OVER (PARTITION BY fold, family) + 1e0) AS alpha,
+  (sum(g) OVER (PARTITION BY fold, family, partner, act) + 5e-1) / (sum(g) OVER (PARTITION BY fold, family, partner) + 2e0) AS q FROM g{i})"""
+    return f"{text} SELECT fold, family, partner, act, alpha, q FROM e{rounds} WHERE own = 0"
+
+
+def fit_class_mixture(cells: DataFrame, rounds: int = _ROUNDS, start: float = 0.3) -> DataFrame:
+    """EM for decisions that follow q(act | partner's class) with chance alpha and z(act | own class) otherwise.
+
+    cells: fold, family, own, partner, act, n, z, a whole grid of classes with 0 where nothing was seen, so a few dozen rows for each (fold, family), whatever the data's size;
+    only these go into the array in which the rounds run. Half a count is added to every q and to both sides of alpha: without decisions q is even and alpha a half.
+    Returns fold, family, partner, act, alpha, q.
+    """
+    cell = "'own', c.own, 'partner', c.partner, 'act', c.act, 'n', c.n, 'z', c.z"
+    total = lambda what, where="": f"aggregate({f'filter(w, d -> {where})' if where else 'w'}, 0e0, (a, d) -> a + d.{what})"
+    same, partner = "d.partner = c.partner AND d.act = c.act", "d.partner = c.partner"
+    shares = lambda g: f"transform(w, c -> named_struct({cell}, 'q', ({total(g, same)} + 5e-1) / ({total(g, partner)} + 2e0)))"
+    expected = f"transform(s.cells, c -> named_struct({cell}, 'g', c.n * s.alpha * c.q / ((1e0 - s.alpha) * c.z + s.alpha * c.q)))"
+    step = f"transform(array({expected}), w -> named_struct('alpha', ({total('g')} + 5e-1) / ({total('n')} + 1e0), 'cells', {shares('g')}))[0]"
+    rows = cells.groupBy("fold", "family").agg(F.array_sort(F.collect_list(F.struct("own", "partner", "act", F.col("n").cast("double").alias("n"), F.col("z").cast("double").alias("z")))).alias("w"))
+    fitted = rows.withColumn("s", F.expr(f"aggregate(sequence(1, {rounds}), named_struct('alpha', {start!r}D, 'cells', {shares('n')}), (s, i) -> {step})"))
+    return fitted.select("fold", "family", F.col("s.alpha").alias("alpha"), F.explode("s.cells").alias("c")).where("c.own = 0").select("fold", "family", "c.partner", "c.act", "alpha", "c.q")
+
+
 OPERATORS = {
     # Residual of the first decision, made before the partner acts, times the partner's strength; either member as the first
     "score_test_partner_info": f"""
@@ -43,12 +77,11 @@ SELECT x.actor, x.target, x.n, round(x.lbf, 6) AS lbf, x.exposure, round((x.lbf
 WITH h AS (SELECT actor, target, episode, delta, sum(l) AS l FROM {tilts_by_size} GROUP BY actor, target, episode, delta), g AS (SELECT rho FROM (VALUES (2e-2), (1e-1), (5e-1)) AS v(rho)),
 b AS (SELECT actor, target, delta, rho, count(*) AS n, sum(ln(1e0 - rho + rho * exp(l))) AS lbf, avg(rho * exp(l) / (1e0 - rho + rho * exp(l))) AS active FROM h CROSS JOIN g GROUP BY actor, target, delta, rho), m AS (SELECT b.*, max(lbf) OVER (PARTITION BY actor, target) AS m FROM b)
 SELECT actor, target, max(n) AS n, round(max(lbf), 6) AS best, round(max(m) + ln(sum(exp(lbf - m)) / 9e0), 6) AS averaged, round(sum(exp(lbf - m) * active) / sum(exp(lbf - m)), 6) AS active, round(sum(exp(lbf - m) * delta) / sum(exp(lbf - m)), 6) AS delta FROM m GROUP BY actor, target""",
-    # Classes of own and partner's strength against classes of own strength; shares and the part of the mixture come from the other folds
-    "class_mixture_llr": f"""
-WITH {_CLASSES}, g AS (SELECT alpha FROM (VALUES (1e-1), (2e-1), (3e-1), (5e-1)) AS v(alpha)),
-l AS (SELECT c.actor, c.target, c.fold, g.alpha, sum(c.n) AS n, sum(c.n * ln(1e0 - g.alpha + g.alpha * q.q / q.z)) AS llr FROM c JOIN q ON q.fold = c.fold AND q.own = c.own AND q.partner = c.partner AND q.act = c.act CROSS JOIN g GROUP BY c.actor, c.target, c.fold, g.alpha),
-b AS (SELECT fold, alpha, sum(llr) AS llr FROM l GROUP BY fold, alpha), p AS (SELECT f.fold, max_by(b.alpha, round(b.llr, 6)) AS alpha FROM (SELECT fold, alpha, sum(llr) AS llr FROM (SELECT f.fold, b.alpha, b.llr FROM f JOIN b ON b.fold <> f.fold) t GROUP BY fold, alpha) b JOIN f ON f.fold = b.fold GROUP BY f.fold)
-SELECT least(l.actor, l.target) AS lo, greatest(l.actor, l.target) AS hi, CAST(sum(l.n) AS BIGINT) AS n, round(sum(l.llr), 6) AS llr, round(min(l.llr), 6) AS weaker, round(max(l.llr), 6) AS stronger FROM l JOIN p ON p.fold = l.fold AND p.alpha = l.alpha GROUP BY least(l.actor, l.target), greatest(l.actor, l.target)""",
+    # For each family, decisions by classes of the partner's strength mixed with those by one's own, against one's own alone; all shares come from pairs of the other folds
+    "class_mixture_llr": """
+WITH l AS (SELECT c.actor, c.target, f.family, sum(c.n) AS n, sum(c.n * ln(1e0 - f.alpha + f.alpha * f.q / z.z)) AS llr FROM {pair_classes} c JOIN {class_fits} f ON f.fold = c.fold AND f.partner = c.partner AND f.act = c.act JOIN {class_controls} z ON z.fold = c.fold AND z.own = c.own AND z.act = c.act GROUP BY c.actor, c.target, f.family)
+SELECT least(actor, target) AS lo, greatest(actor, target) AS hi, family, CAST(sum(n) AS BIGINT) AS n, round(sum(llr), 6) AS llr, round(min(llr), 6) AS weaker, round(max(llr), 6) AS stronger FROM l GROUP BY least(actor, target), greatest(actor, target), family""",
+    "class_mixture_fit": "SELECT fold, family, partner, act, round(alpha, 8) AS alpha, round(q, 8) AS q FROM {class_fits}",
     # Would the decision be likelier with the partner's strength in place of one's own; the share of such decisions is taken for each stage from a grid
     "substitution_llr": """
 WITH c AS (SELECT CAST(floor(strength * 4e0) AS INT) AS bin, act, count(*) AS n FROM {ev} GROUP BY CAST(floor(strength * 4e0) AS INT), act), q AS (SELECT bin, act, (n + 5e-1) / sum(n + 5e-1) OVER (PARTITION BY bin) AS q FROM c),
@@ -63,6 +96,20 @@ SELECT least(c.actor, c.target) AS lo, greatest(c.actor, c.target) AS hi, CAST(s
 }
 
 RELATIONS = {
+    "pair_classes": stored(f"""
+WITH t AS (SELECT actor, target, act, {_STRONG("strength")} AS own, {_STRONG("target_strength")} AS partner, count(*) AS n FROM {{toward}} GROUP BY actor, target, act, {_STRONG("strength")}, {_STRONG("target_strength")})
+SELECT t.*, ascii(substr(md5(CAST(m.pool AS VARCHAR(20))), 1, 1)) % 3 AS fold, l.label, l.family FROM t JOIN {{members}} m ON m.member = t.actor LEFT JOIN {{pair_labels}} l ON l.lo = least(t.actor, t.target) AND l.hi = greatest(t.actor, t.target)"""),
+    # shares of actions by one's own class in the other folds' pairs known not to be positive
+    "class_controls": stored(f"""
+WITH k AS (SELECT fold, own, act, sum(n) AS n FROM {{pair_classes}} WHERE label = 0 GROUP BY fold, own, act),
+c AS (SELECT fold_.fold, own_.own, act_.act, coalesce(sum(k.n), 0) + 5e-1 AS n FROM {_GRID[0]} CROSS JOIN {_GRID[1]} CROSS JOIN {_GRID[2]} LEFT JOIN k ON k.own = own_.own AND k.act = act_.act AND k.fold <> fold_.fold GROUP BY fold_.fold, own_.own, act_.act)
+SELECT fold, own, act, n / sum(n) OVER (PARTITION BY fold, own) AS z FROM c"""),
+    # decisions of a family's positive pairs of the other folds, beside those shares: 64 rows for each fold and family
+    "class_cells": f"""
+WITH k AS (SELECT fold, family, own, partner, act, sum(n) AS n FROM {{pair_classes}} WHERE label = 1 GROUP BY fold, family, own, partner, act)
+SELECT z.fold, family_.family, z.own, partner_.partner, z.act, CAST(coalesce(sum(k.n), 0) AS DOUBLE) AS n, max(z.z) AS z FROM {{class_controls}} z CROSS JOIN {_GRID[3]} CROSS JOIN {_GRID[4]}
+LEFT JOIN k ON k.family = family_.family AND k.own = z.own AND k.partner = partner_.partner AND k.act = z.act AND k.fold <> z.fold GROUP BY z.fold, family_.family, z.own, partner_.partner, z.act""",
+    "class_fits": OnSpark(mixture_rounds(), lambda frame: kept(fit_class_mixture(frame("SELECT * FROM {class_cells}")))),
     "combined_scores": stored("""
 WITH s AS (SELECT p.lo, p.hi, p.score AS a, p.top AS b, p.label FROM {pair_scores} p), n AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb FROM s WHERE label = 0)
 SELECT s.lo, s.hi, s.label, ((a - ma) / nullif(sa, 0e0) + (b - mb) / nullif(sb, 0e0)) / sqrt(2e0) AS z FROM s CROSS JOIN n"""),
