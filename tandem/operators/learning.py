@@ -77,7 +77,7 @@ FROM {assigned} x JOIN m ON m.t_family = x.t_family AND m.t_risk = x.t_risk GROU
     "target_view": "SELECT lo, hi, f.family AS target, CASE WHEN label = 1 AND l.family = f.family THEN 1 ELSE 0 END AS y, CASE WHEN label = 1 AND l.family <> f.family THEN 0e0 WHEN label IS NULL THEN 5e-1 ELSE 1e0 END AS weight FROM {pair_labels} l CROSS JOIN (SELECT family FROM (VALUES (0), (1), (2)) AS v(family)) f",
     # The pair table as models of different columns see it
     "feature_views": feature_views("pair_table", ("lo", "hi"), _PAIR, _VIEWS),
-    # K4: what the pair model learns from
+    # A pair's columns and blocks, for models of pairs
     "risk_table": f"SELECT lo, hi, label, fold, {', '.join(f'round({c}, 6) AS {c}' for c in _PAIR)}, {', '.join(_BLOCKS)} FROM {{risk_table}}",
     # Pairs of a listed and an unlisted candidate, by what swapping them changes of the precision at five
     "rerank_weights": """
