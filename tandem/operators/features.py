@@ -30,6 +30,28 @@ def joined(parts) -> str:  # noqa: ANN001
 _BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 _STAGES = "RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
+def _pair_steps(events: str) -> str:
+    """All events of a pair's episode, with what both had done before."""
+    return f"""
+SELECT s.*, CASE WHEN exit_lo IS NULL OR exit_lo >= ordinal THEN 1 ELSE 0 END AS here_lo, CASE WHEN exit_hi IS NULL OR exit_hi >= ordinal THEN 1 ELSE 0 END AS here_hi,
+  active - CASE WHEN exit_lo IS NULL OR exit_lo >= ordinal THEN 1 ELSE 0 END - CASE WHEN exit_hi IS NULL OR exit_hi >= ordinal THEN 1 ELSE 0 END AS outs,
+  CASE WHEN member = lo THEN hi WHEN member = hi THEN lo END AS partner,
+  min(CASE WHEN member = lo AND act = 'push' THEN ordinal END) OVER (PARTITION BY lo, hi, episode) AS push_lo, min(CASE WHEN member = hi AND act = 'push' THEN ordinal END) OVER (PARTITION BY lo, hi, episode) AS push_hi,
+  coalesce(max(CASE WHEN member = lo AND act = 'push' THEN 1 ELSE 0 END) OVER (PARTITION BY lo, hi, episode, stage ORDER BY ordinal {_BEFORE}), 0) AS up_lo, coalesce(max(CASE WHEN member = hi AND act = 'push' THEN 1 ELSE 0 END) OVER (PARTITION BY lo, hi, episode, stage ORDER BY ordinal {_BEFORE}), 0) AS up_hi,
+  coalesce(max(CASE WHEN member NOT IN (lo, hi) AND act = 'exit' THEN 1 ELSE 0 END) OVER (PARTITION BY lo, hi, episode, stage ORDER BY ordinal {_BEFORE}), 0) AS outsider_left
+FROM (SELECT q.pool, q.lo, q.hi, q.exit_lo, q.exit_hi, q.s_lo, q.s_hi, q.players, q.stayed, v.* FROM {{pair_wide}} q JOIN {{{events}}} v ON v.episode = q.episode) s"""
+
+
+def _aimed(events: str) -> str:
+    """Each decision toward each other member that is still there (here), or pushed last (answered)."""
+    return f"""
+SELECT v.*, p.member AS target, p.strength AS target_strength, 5e-1 + (v.strength - p.strength) / 2e0 AS edge, CASE WHEN p.exit_ordinal IS NULL OR p.exit_ordinal >= v.ordinal THEN 1 ELSE 0 END AS here,
+  CASE WHEN p.member = v.last_pusher THEN 1 ELSE 0 END AS answered,
+  sum(CASE WHEN p.exit_ordinal IS NULL OR p.exit_ordinal >= v.ordinal THEN 1 ELSE 0 END) OVER (PARTITION BY v.episode, v.ordinal) AS others,
+  max(CASE WHEN p.exit_ordinal IS NULL OR p.exit_ordinal >= v.ordinal THEN p.strength END) OVER (PARTITION BY v.episode, v.ordinal) AS best_other, sum(CASE WHEN (p.exit_ordinal IS NULL OR p.exit_ordinal >= v.ordinal) AND p.strength >= 5e-1 THEN 1 ELSE 0 END) OVER (PARTITION BY v.episode, v.ordinal) AS strong_others
+FROM {{{events}}} v JOIN {{participants}} p ON p.episode = v.episode AND p.member <> v.member AND (p.exit_ordinal IS NULL OR p.exit_ordinal >= v.ordinal OR p.member = v.last_pusher)"""
+
+
 RELATIONS = {
     # each event with what was so before it: the last pusher of the stage, what its member and all have put in, who is left; and what comes next
     "steps": f"""
@@ -58,22 +80,11 @@ FROM f""",
     "decided": """
 SELECT /*+ BROADCAST(p) */ v.*, p.q_exit, p.q_hold, p.q_match, p.q_push, -ln(CASE v.act WHEN 'exit' THEN p.q_exit WHEN 'hold' THEN p.q_hold WHEN 'match' THEN p.q_match ELSE p.q_push END) AS sur
 FROM {steps} v JOIN {policy} p ON p.stage = v.stage AND p.facing = CAST(v.to_call > 0e0 AS INT)""",
-    # all events of a pair's episode, with what both had done before
-    "pair_steps": f"""
-SELECT s.*, CASE WHEN exit_lo IS NULL OR exit_lo >= ordinal THEN 1 ELSE 0 END AS here_lo, CASE WHEN exit_hi IS NULL OR exit_hi >= ordinal THEN 1 ELSE 0 END AS here_hi,
-  active - CASE WHEN exit_lo IS NULL OR exit_lo >= ordinal THEN 1 ELSE 0 END - CASE WHEN exit_hi IS NULL OR exit_hi >= ordinal THEN 1 ELSE 0 END AS outs,
-  CASE WHEN member = lo THEN hi WHEN member = hi THEN lo END AS partner,
-  min(CASE WHEN member = lo AND act = 'push' THEN ordinal END) OVER (PARTITION BY lo, hi, episode) AS push_lo, min(CASE WHEN member = hi AND act = 'push' THEN ordinal END) OVER (PARTITION BY lo, hi, episode) AS push_hi,
-  coalesce(max(CASE WHEN member = lo AND act = 'push' THEN 1 ELSE 0 END) OVER (PARTITION BY lo, hi, episode, stage ORDER BY ordinal {_BEFORE}), 0) AS up_lo, coalesce(max(CASE WHEN member = hi AND act = 'push' THEN 1 ELSE 0 END) OVER (PARTITION BY lo, hi, episode, stage ORDER BY ordinal {_BEFORE}), 0) AS up_hi,
-  coalesce(max(CASE WHEN member NOT IN (lo, hi) AND act = 'exit' THEN 1 ELSE 0 END) OVER (PARTITION BY lo, hi, episode, stage ORDER BY ordinal {_BEFORE}), 0) AS outsider_left
-FROM (SELECT q.pool, q.lo, q.hi, q.exit_lo, q.exit_hi, q.s_lo, q.s_hi, q.players, q.stayed, v.* FROM {{pair_wide}} q JOIN {{decided}} v ON v.episode = q.episode) s""",
-    # each decision toward each other member that is still there (here), or pushed last (answered)
-    "aimed": """
-SELECT v.*, p.member AS target, p.strength AS target_strength, 5e-1 + (v.strength - p.strength) / 2e0 AS edge, CASE WHEN p.exit_ordinal IS NULL OR p.exit_ordinal >= v.ordinal THEN 1 ELSE 0 END AS here,
-  CASE WHEN p.member = v.last_pusher THEN 1 ELSE 0 END AS answered,
-  sum(CASE WHEN p.exit_ordinal IS NULL OR p.exit_ordinal >= v.ordinal THEN 1 ELSE 0 END) OVER (PARTITION BY v.episode, v.ordinal) AS others,
-  max(CASE WHEN p.exit_ordinal IS NULL OR p.exit_ordinal >= v.ordinal THEN p.strength END) OVER (PARTITION BY v.episode, v.ordinal) AS best_other, sum(CASE WHEN (p.exit_ordinal IS NULL OR p.exit_ordinal >= v.ordinal) AND p.strength >= 5e-1 THEN 1 ELSE 0 END) OVER (PARTITION BY v.episode, v.ordinal) AS strong_others
-FROM {decided} v JOIN {participants} p ON p.episode = v.episode AND p.member <> v.member AND (p.exit_ordinal IS NULL OR p.exit_ordinal >= v.ordinal OR p.member = v.last_pusher)""",
+    # with the policy's chances, and without them for what needs none: then no count over all events goes before
+    "pair_steps": _pair_steps("decided"),
+    "pair_acts": _pair_steps("steps"),
+    "aimed": _aimed("decided"),
+    "aimed_acts": _aimed("steps"),
 }
 
 _PASSIVE, _IN = "act IN ('hold', 'match')", "member IN (lo, hi)"
@@ -92,7 +103,7 @@ def _pair_counts() -> str:
         out += [cnt(f"{own} AND to_call > 0e0", f"facing_{me}"), *(cnt(f"{own} AND to_call > 0e0 AND act = '{a}'", f"{a}_facing_{me}") for a in ("exit", "match", "push"))]
         out += [cnt(f"{own} AND action = 'all_in' AND act = 'match'", f"all_in_match_{me}"), cnt(f"{own} AND action = 'all_in' AND act = 'push'", f"all_in_push_{me}")]
         out += [cnt(f"{own} AND act = 'push' AND stage = {s}", f"push_stage{s}_{me}") for s in range(4)]
-    return f"SELECT lo, hi, episode, {joined(out)} FROM {{pair_steps}} GROUP BY lo, hi, episode"
+    return f"SELECT lo, hi, episode, {joined(out)} FROM {{pair_acts}} GROUP BY lo, hi, episode"
 
 
 RELATIONS["pair_counts"] = _pair_counts()

@@ -24,7 +24,7 @@ RELATIONS = {
     "kernel": f"""
 SELECT episode, member AS actor, target, {joined(cnt(c, n) for n, c in _KERNEL.items())}, {joined(f"coalesce(sum(CASE WHEN {_KERNEL[n]} THEN edge END), 0e0) AS {n}_edge" for n in _WEIGHTED)},
   coalesce(sum(CASE WHEN {_KERNEL["match_to"]} THEN amount END), 0e0) AS matched, coalesce(sum(CASE WHEN {_KERNEL["exit_to"]} THEN sunk END), 0e0) AS sunk_at_exit, coalesce(sum(CASE WHEN {_KERNEL["exit_to"]} THEN pot END), 0e0) AS pot_at_exit
-FROM {{aimed}} GROUP BY episode, member, target""",
+FROM {{aimed_acts}} GROUP BY episode, member, target""",
     "facing": "SELECT episode, actor, target, faced AS n, exit_to AS n_exit, match_to AS n_match, push_over AS n_push, matched, sunk_at_exit FROM {kernel} WHERE faced > 0",
     # both directions of a pair's episode; what didn't occur is 0
     "both_ways": "SELECT t.*, coalesce(greatest(-t.net_lo, 0e0) * greatest(t.net_hi, 0e0) / nullif(t.won, 0e0) / t.unit, 0e0) AS flow_lo, coalesce(greatest(-t.net_hi, 0e0) * greatest(t.net_lo, 0e0) / nullif(t.won, 0e0) / t.unit, 0e0) AS flow_hi, "

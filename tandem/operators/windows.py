@@ -51,11 +51,11 @@ SELECT v.episode, v.member, round(max(5e-1 * 6e-1 * s.share / (5e-1 * 6e-1 * s.s
 FROM {ev} v JOIN {class_shares} d ON d.stage = v.stage AND d.facing = CAST(v.to_call > 0e0 AS INT) AND d.act = v.act JOIN {class_shares} s ON s.stage = v.stage AND s.facing = CAST(v.to_call > 0e0 AS INT) AND s.act = 'push' WHERE v.act = 'match' GROUP BY v.episode, v.member""",
     # From the pair's first decision: by whom, which, the reply, what outsiders did before and after, and who is left
     "trigger_sequence": """
-WITH f AS (SELECT lo, hi, episode, min(CASE WHEN partner IS NOT NULL AND stage = 0 THEN ordinal END) AS start, min_by(member, CASE WHEN partner IS NOT NULL AND stage = 0 THEN ordinal END) AS actor, min_by(act, CASE WHEN partner IS NOT NULL AND stage = 0 THEN ordinal END) AS act FROM {pair_steps} GROUP BY lo, hi, episode),
+WITH f AS (SELECT lo, hi, episode, min(CASE WHEN partner IS NOT NULL AND stage = 0 THEN ordinal END) AS start, min_by(member, CASE WHEN partner IS NOT NULL AND stage = 0 THEN ordinal END) AS actor, min_by(act, CASE WHEN partner IS NOT NULL AND stage = 0 THEN ordinal END) AS act FROM {pair_acts} GROUP BY lo, hi, episode),
 g AS (SELECT * FROM f WHERE start IS NOT NULL)
 SELECT f.lo, f.hi, f.episode, f.actor, f.act, min_by(v.act, CASE WHEN v.partner = f.actor AND v.ordinal > f.start THEN v.ordinal END) AS reply, count(CASE WHEN v.partner IS NULL AND v.ordinal < f.start THEN 1 END) AS outsiders_before, count(CASE WHEN v.partner IS NULL AND v.ordinal > f.start THEN 1 END) AS outsiders_after,
   CAST(max(v.stage) < 3 AS INT) AS ended_early, max(CASE WHEN (f.actor = f.lo AND v.exit_lo IS NULL) OR (f.actor = f.hi AND v.exit_hi IS NULL) THEN 1 ELSE 0 END) AS actor_at_end, max(CASE WHEN (f.actor = f.hi AND v.exit_lo IS NULL) OR (f.actor = f.lo AND v.exit_hi IS NULL) THEN 1 ELSE 0 END) AS partner_at_end, max(v.stayed) AS left_at_end
-FROM g f JOIN {pair_steps} v ON v.lo = f.lo AND v.hi = f.hi AND v.episode = f.episode GROUP BY f.lo, f.hi, f.episode, f.actor, f.act""",
+FROM g f JOIN {pair_acts} v ON v.lo = f.lo AND v.hi = f.hi AND v.episode = f.episode GROUP BY f.lo, f.hi, f.episode, f.actor, f.act""",
     "earlier_vs_last_listed": """
 WITH l AS (SELECT g.lo, g.hi, max(e.ts) AS last_ts FROM {listed} g JOIN {episodes} e ON e.episode = g.episode GROUP BY g.lo, g.hi)
 SELECT s.lo, s.hi, s.episode, CAST(g.episode IS NOT NULL AS INT) AS is_listed, CAST(g.episode IS NULL AND s.ts < l.last_ts AS INT) AS hard_negative, CAST(s.ts > l.last_ts AS INT) AS after_last
