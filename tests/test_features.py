@@ -81,7 +81,8 @@ def test_directed_and_member_rows(row):
     has(row("member_episode_features", member=1), entered=1, pushed_first_stage=1, n_push=1, n_hold=1, exited=1, exit_stage=1, contribution_units=2.0, net_units=-1.0, n_decisions=3, last_stage=1, first_strength=0.5, last_strength=0.75, acts_first=1, position=0)
     has(row("decision_context", ordinal=5), pot=7.0, odds=0.3, active=2, position=0, pushes_this_stage=1, own_pushes=0, initiative=1, stage_put=0.0, strength=0.75, seen=0)
     has(row("decision_context_v2", ordinal=5), own_pushes=1, own_matches=0, pushed_first_stage=1, callers_since_push=0, own_acts_this_stage=1, cost_to_pot=30 / 70)
-    has(row("fold_beneficiary", leaver=3), others=2, released=0.125 / (0.75 + 0.25 + 0.125))
+    for partner in (1, 2):  # a row for each partner that is still there
+        has(row("fold_beneficiary", leaver=3, partner=partner), others=2, released=0.125 / (0.75 + 0.25 + 0.125))
 
 
 def test_roles(row):
