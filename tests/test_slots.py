@@ -106,3 +106,58 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "lo long, hi long, episode long, ts long, p double")
     assert decoders.first_k_marginal(none).collect() == []
     assert decoders.first_k_given_at_least_k(none).collect() == []
+
+
+@pytest.mark.parametrize("slot", SLOTS)
+def test_random_rate(spark, slot):
+    """All nodes of the law over one gathering of a group; sums of large groups from their slots."""
+    import math
+
+    rng = random.Random(6)
+    llrs = [(g, g + 50, i, rng.gauss(0, 2)) for g, n in enumerate([40, 1, 3, 8]) for i in range(n)]
+    df, law = spark.createDataFrame(llrs, "actor long, target long, episode long, l double"), mixtures.rate_nodes(nodes=4)
+    decoded, llr, rate = {}, {}, {}
+    for g in range(4):
+        ls = [x[3] for x in llrs if x[0] == g]
+        weights = [w * math.prod(1 - r + r * math.exp(x) for x in ls) for r, w in law]
+        llr[g], rate[g] = math.log(sum(weights)), sum(w * r for w, (r, _) in zip(weights, law, strict=True)) / sum(weights)
+        chances = [[r * math.exp(x) / (1 - r + r * math.exp(x)) for x in ls] for r, _ in law]
+        for i in range(len(ls)):
+            decoded[g, i] = sum(w * ps[i] * sum(before(ps, 3)[0][i]) for w, ps in zip(weights, chances, strict=True)) / sum(weights)
+    close({(r["actor"], r["episode"]): r["decoded"] for r in mixtures.random_rate_first_k(df, 3, nodes=4, slot=slot).collect()}, decoded)
+    got = mixtures.random_rate_marginal(df, nodes=4).collect()
+    close({r["actor"]: r["llr"] for r in got}, llr)
+    close({r["actor"]: r["rate"] for r in got}, rate)
+
+
+@pytest.mark.parametrize("slot", SLOTS)
+def test_totals_of_small_and_large_groups(spark, slot):
+    df = spark.createDataFrame([(g, g % 3, float(i)) for g, n in enumerate([30, 1, 6]) for i in range(n)], "a long, b long, x double")
+    got = {r["a"]: (r["n"], r["x"]) for r in decoders.totals(df, ("a", "b"), [F.count(F.lit(1)).alias("n"), F.sum("x").alias("x")], slot).collect()}
+    assert got == {0: (30, 435.0), 1: (1, 0.0), 2: (6, 15.0)}
+
+
+def exchanges(df):
+    """The plan's exchanges, each shared one once."""
+    import re
+
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).split("\n\n(1)")[0]
+    return re.findall(r"(?<!Reused)(?<!Broadcast)Exchange", plan)
+
+
+def test_events_are_dealt_by_episode_once(spark):
+    """Windows over an episode's stages and members and joins on it need no other exchange of events: one for the events of either side, and one for their participants."""
+    from tandem import catalog
+
+    folder = "/root/testdata/sf0.001"
+    df = catalog.relations().frame(spark, "SELECT v.episode, v.ordinal, v.last_pusher, v.sunk, v.stage_sunk, v.next_act, p.exit_ordinal FROM {steps} v JOIN {participants} p ON p.episode = v.episode", catalog.Tables(spark, folder))
+    assert len(exchanges(df)) <= 2
+
+
+@pytest.mark.parametrize("name", ["sparse_activity_lbf", "substitution_llr"])
+def test_rows_for_pairs_are_not_multiplied_by_the_grid(spark, name):
+    """The grids of sizes and shares are columns beside one another; none is crossed in as rows."""
+    from tandem import catalog
+
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LocalRelation [a") == 0 and plan.count("LocalRelation [rho") == 0 and plan.count("LocalRelation [delta") == 0
