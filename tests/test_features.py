@@ -4,6 +4,7 @@ import pytest
 
 from tandem import catalog
 from tandem.functions import frames
+from tandem.operators.features import OPERATORS
 
 EV = "episode long, ordinal long, stage int, member long, action string, act string, amount double, to_call double, strength double, net_part double"
 EVENTS = [
@@ -134,3 +135,11 @@ def test_frames(spark):
     assert [round(r["residual"], 4) for r in frames.context_residual(a, "x", ["k"]).orderBy("i").collect()] == [-0.5, 0.0, 0.0]
     assert [round(r["x_z"], 3) for r in frames.within_z(a, ["k"], ["x"]).orderBy("i").collect()] == [-1.414, 0.707, 0.707]
     assert [r["x_rank"] for r in frames.percent_ranks(a, ["k"], ["x"], "i").orderBy("i").collect()] == [0.0, 0.5, 1.0]
+
+
+def test_equal_nets_are_taken_by_time(spark):
+    """Nets of 0.1 + 0.2 and 0.3 are equal: the earlier episode is the first of them, whatever the order of summing."""
+    series = spark.createDataFrame([(1, 2, 10, 1, 0.3), (1, 2, 11, 2, 0.1 + 0.2), (1, 2, 12, 3, 0.1)], "lo long, hi long, episode long, ts long, net double")
+    full = series.selectExpr("*", "abs(net) AS gross", *(f"0L AS {n}" for n in ("faced", "yielded", "iso", "squeezed", "alone")))
+    row = catalog.relations().frame(spark, OPERATORS["burst_concentration"], {"pair_series": full}).first()
+    assert (row["at_max"], row["at_last_of_five"], row["longest_run"]) == (0.0, 1.0, 3)
