@@ -31,7 +31,7 @@ from tandem.llm import blobs
 from tandem.llm.blobs import Entries
 from tandem.llm.components import least_labels
 from tandem.llm.skew import hot_keys, split_join
-from tandem.llm.storage import LAST_ID, buckets, order_id, packed_row, require, text_or_empty, written
+from tandem.llm.storage import LAST_ID, buckets, give_back, order_id, packed_row, require, text_or_empty, written
 from tandem.llm.words import Words, mix, portions, scan, sequence_code, shingles
 
 INDEX, SETTLED, DOC, COUNT = 0, 1, 2, 3  # kinds of rows
@@ -94,6 +94,7 @@ def _sets(docs: DataFrame, k: int, num: int, den: int, n: int) -> DataFrame:
     """Rows of two kinds: DOC, each document's class of equal sets and size; COUNT, how many of its first shingles are shared. n: number of buckets."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in portions(batches, "words"):
             id_, key = batch["id"].to_numpy(), batch["key"].to_numpy()
             code, size, parts = np.zeros(len(id_), np.int64), np.zeros(len(id_), np.int64), []
@@ -116,6 +117,7 @@ def _sets(docs: DataFrame, k: int, num: int, den: int, n: int) -> DataFrame:
             yield blobs.batch(blobs.rows(info, own, DOC) + _thinned_counts(blobs.joined(parts), n))
 
     def settle(block: pa.Table) -> pa.Table:
+        give_back()
         e, told = blobs.entries(block, INDEX), blobs.entries(block, SETTLED)
         both = blobs.joined([e, told])
         order, new = blobs.group_first(both.a)
@@ -133,6 +135,7 @@ def _documents(first: DataFrame) -> DataFrame:
     """id, key, code (of equal sets) and n (size) of every document."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             e = blobs.entries(pa.Table.from_batches([batch]))
             yield pa.RecordBatch.from_arrays([pa.array(e.id), pa.array(e.key), pa.array(e.a.view(np.int64)), pa.array(e.at.astype(np.int64))], ["id", "key", "code", "n"])
@@ -143,6 +146,7 @@ def _documents(first: DataFrame) -> DataFrame:
 def _shared_counts(first: DataFrame) -> DataFrame:
     """code and shared: how many of the first shingles of a class's sets other classes have."""
     def add(block: pa.Table) -> pa.Table:
+        give_back()
         e = blobs.entries(block)
         order, new = blobs.group_first(e.id, e.key)
         begin = np.flatnonzero(new)
@@ -156,6 +160,7 @@ def _packed_sets(docs: DataFrame, wanted: DataFrame, k: int, n: int) -> DataFram
     """code, bucket (of n) and hashes (the whole set, ascending) for the documents (key, code) in wanted, one row for each code."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in portions(batches, "words"):
             hashes: list[bytes] = []
             with np.errstate(over="ignore"):
@@ -178,6 +183,7 @@ def _ordered(sets: DataFrame, num: int, den: int, n: int) -> DataFrame:
     """
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             values = [np.frombuffer(x, np.uint64) for x in batch["hashes"].to_pylist()]
             size = [len(v) for v in values]
@@ -195,6 +201,7 @@ def _ordered(sets: DataFrame, num: int, den: int, n: int) -> DataFrame:
             yield blobs.batch(blobs.rows(e.take(~many), to[~many], INDEX) + blobs.rows(e.take(many & pick), to[many & pick], SETTLED) + blobs.rows(hot, to[many], COUNT))
 
     def rank(block: pa.Table) -> pa.Table:
+        give_back()
         e, told = blobs.entries(block, INDEX), blobs.entries(block, SETTLED)
         both = blobs.joined([e, told])
         order, new = blobs.group_first(both.a)
@@ -209,6 +216,7 @@ def _ordered(sets: DataFrame, num: int, den: int, n: int) -> DataFrame:
         return pa.Table.from_batches([blobs.batch(out + blobs.rows(hot_here, np.mod(hot_here.id, n), DOC))])
 
     def arrange(own: pa.Table, marks: pa.Table) -> pa.Table:
+        give_back()
         e = blobs.entries(marks)
         order, new = blobs.group_first(e.id)
         begin = np.flatnonzero(new)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.llm.storage import order_id, partitions, require, text_or_empty, written
+from tandem.llm.storage import give_back, order_id, partitions, require, text_or_empty, written
 from tandem.llm.tokens import byte_bpe
 
 END_ID = 0
@@ -134,6 +134,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048) -> Data
     require(docs, "doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         bpe = byte_bpe(vocabulary)
         for batch in batches:
             rows = []
@@ -171,6 +172,7 @@ def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     places = pieces.sparkSession.sparkContext.broadcast(Places(minimum_bin_slack(counts, capacity)))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             sequence, offset = places.value.of(batch["length"].to_numpy(), batch["rank"].to_numpy())
             own = [n for n in batch.schema.names if n != "rank"]
@@ -271,6 +273,7 @@ def packed_matrix(docs: DataFrame, vocabulary: str, capacity: int = 2048, window
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), MATRIX, strict=True)], schema=MATRIX)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         bpe = byte_bpe(vocabulary)
         kind = "<u2" if len(bpe.sizes) <= 1 << 16 else "<u4"
         at, held = TaskContext.get().partitionId() << 33, []

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tandem.llm import blobs
 from tandem.llm.blobs import Entries
-from tandem.llm.storage import buckets, order_id, require, text_or_empty, written
+from tandem.llm.storage import buckets, give_back, order_id, require, text_or_empty, written
 from tandem.llm.words import _P, _Q, Words, _power_tables, mix, portions, scan, shingles
 
 WIDTH, GRAM = 13, 5
@@ -140,12 +140,14 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     dealt = rows.withColumn("bucket", F.pmod("key", F.lit(n)).cast("int"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in portions(batches, text):
             id_, key = batch["id"].to_numpy(), batch["key"].to_numpy()
             parts = [Entries(id_[w.row + f.doc], key[w.row + f.doc], f.anchor, f.content, f.at.astype(np.uint32)) for w, f in _slices(batch[text], width, gram)]
             yield blobs.batch(_thinned(blobs.joined(parts), n, FACTOR, BORDER))
 
     def settle(block: pa.Table) -> pa.Table:
+        give_back()
         e, told = blobs.entries(block, INDEX), blobs.entries(block, TOLD)
         order, new = blobs.group_first(e.a, e.b)
         later = e.id > blobs.group_min(e.id, order, new)
@@ -156,6 +158,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
         return pa.concat_tables([pa.Table.from_batches([blobs.batch(done)]), _through(block, FACTOR, BORDER)])
 
     def borders(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        give_back()
         looked = _lists(blobs.entries(marks, BORDER))
         id_, key = texts["id"].to_numpy(), texts["key"].to_numpy()
         chosen = np.flatnonzero(np.fromiter(((i, k) in looked for i, k in zip(id_.tolist(), key.tolist(), strict=True)), bool, len(id_)))
@@ -173,12 +176,14 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
         return pa.Table.from_batches([blobs.batch(_thinned(blobs.joined(parts), n, WINDOW))])
 
     def settle_windows(block: pa.Table) -> pa.Table:
+        give_back()
         e = blobs.entries(block, INDEX)
         order, new = blobs.group_first(e.a, e.b)
         later = e.id > blobs.group_min(e.id, order, new)
         return pa.concat_tables([pa.Table.from_batches([blobs.batch(_marked(e.take(later), WINDOW, n))]), _through(block, WINDOW)])
 
     def cut(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        give_back()
         by_factor, by_window = _lists(blobs.entries(marks, FACTOR)), _lists(blobs.entries(marks, WINDOW))
         n_words, n_removed, digest, kept = [], [], [], []
         id_, key = texts["id"].to_numpy().tolist(), texts["key"].to_numpy().tolist()

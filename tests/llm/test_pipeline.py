@@ -108,3 +108,17 @@ def test_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_what_a_group_freed_leaves_the_worker():
+    import numpy as np
+    import psutil
+
+    from tandem.llm.storage import give_back
+
+    held = [np.ones(6000) for _ in range(2000)]  # 96 MB in pieces too small for maps of their own
+    last = np.ones(6000)  # keeps the heap's end in use
+    del held
+    before = psutil.Process().memory_info().rss
+    give_back()
+    assert before - psutil.Process().memory_info().rss > 50 << 20 and last.any()
