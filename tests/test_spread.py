@@ -31,6 +31,10 @@ def test_several_models_are_fitted_beside_one_another(rows):
         assert each[name] == pytest.approx({r["lo"]: r[name] for r in alone.collect()}, abs=1e-9)
 
 
+def test_views_have_a_part_for_each_family_and_fold(rows):
+    assert leaves(learning.fit_views(rows, ("a", "b"), (0, 1), (1, 2))) == 6
+
+
 def test_ranks_of_several_scores_do_not_nest(rows):
     assert leaves(learning.ranked_each(rows, {"a": "ra", "b": "rb", "lo": "rl"}, 10)) <= 4
     one = {r["lo"]: r["ra"] for r in learning.ranked(rows, "a", "ra", 10).collect()}
