@@ -4,7 +4,10 @@ import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
-from tandem.operators import learning
+from tandem import catalog
+from tandem.operators import learning, pairs
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def plan_of(df):
@@ -39,3 +42,17 @@ def test_ranks_of_several_scores_do_not_nest(rows):
     assert leaves(learning.ranked_each(rows, {"a": "ra", "b": "rb", "lo": "rl"}, 10)) <= 4
     one = {r["lo"]: r["ra"] for r in learning.ranked(rows, "a", "ra", 10).collect()}
     assert one == {r["lo"]: r["ra"] for r in learning.ranked_each(rows, {"a": "ra", "b": "rb"}, 10).collect()}
+
+
+def test_frequent_scores_stay_where_they_lie(spark):
+    scores = spark.createDataFrame([(0, 1, 2, e, 0.0 if e < 90 else float(e), 0, 1) for e in range(100)], "pool int, lo int, hi int, episode int, score double, label int, family int")
+    counts = spark.createDataFrame([(0.0, 90, 90, 100)] + [(float(e), 1, e + 1, 100) for e in range(90, 100)], "score double, c long, upto long, c_all long")
+    frame = lambda sql: scores if "labelled" in sql else counts
+    found = {slot: sorted(map(tuple, pairs._tails(frame, slot).collect())) for slot in (4, 1000)}
+    assert found[4] == found[1000] and len(found[4]) == 100
+    assert "left_anti" in pairs._tails.__code__.co_consts and "BroadcastHashJoin" in plan_of(pairs._tails(frame, 4))
+
+
+def test_grids_do_not_multiply_episodes(spark):
+    plan = plan_of(catalog.queries()["mixture_lr_bag"](spark, FOLDER))
+    assert "rate" not in "".join(line for line in plan.splitlines() if "NestedLoop" in line or "LocalTableScan" in line)
