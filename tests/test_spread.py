@@ -56,3 +56,12 @@ def test_frequent_scores_stay_where_they_lie(spark):
 def test_grids_do_not_multiply_episodes(spark):
     plan = plan_of(catalog.queries()["mixture_lr_bag"](spark, FOLDER))
     assert "rate" not in "".join(line for line in plan.splitlines() if "NestedLoop" in line or "LocalTableScan" in line)
+
+
+def test_exposures_are_not_sent_by_exposure(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(catalog.queries()["pair_bayes_factor"](spark, FOLDER))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin [exposure" not in plan
