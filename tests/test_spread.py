@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tandem import catalog
 from tandem.operators import learning, pairs
+from tandem.operators.mixtures import class_llrs
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -65,3 +66,17 @@ def test_exposures_are_not_sent_by_exposure(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin [exposure" not in plan
+
+
+def test_a_pair_is_one_row_of_classes(spark):
+    frame = lambda sql: catalog.relations().frame(spark, sql, catalog.Tables(spark, FOLDER))
+    bags = frame("SELECT * FROM {class_bags}")
+    assert bags.count() == bags.select("lo", "hi").distinct().count()
+    assert bags.agg(F.sum(F.aggregate("codes", F.lit(0).cast("long"), lambda s, x: s + x["n"]))).first()[0] == frame("SELECT * FROM {toward}").count()
+    assert "Exchange" not in plan_of(catalog.queries()["class_mixture_llr"](spark, FOLDER))
+
+
+def test_who_is_in_no_pool_counts_nowhere(spark):
+    bags = spark.createDataFrame([(1, 2, [(0, 3), (64, 5)], 0, None), (3, 4, [(64, 1)], 0, None)], "lo long, hi long, codes array<struct<code int, n long>>, fold_lo int, fold_hi int")
+    got = class_llrs(bags, spark.createDataFrame([(i, float(i // 64)) for i in range(576)], "at int, l double")).orderBy("family").collect()
+    assert [tuple(r) for r in got] == [(1, 2, k, 3, 3.0 * k, 3.0 * k, 3.0 * k) for k in range(3)]
