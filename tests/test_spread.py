@@ -80,3 +80,10 @@ def test_who_is_in_no_pool_counts_nowhere(spark):
     bags = spark.createDataFrame([(1, 2, [(0, 3), (64, 5)], 0, None), (3, 4, [(64, 1)], 0, None)], "lo long, hi long, codes array<struct<code int, n long>>, fold_lo int, fold_hi int")
     got = class_llrs(bags, spark.createDataFrame([(i, float(i // 64)) for i in range(576)], "at int, l double")).orderBy("family").collect()
     assert [tuple(r) for r in got] == [(1, 2, k, 3, 3.0 * k, 3.0 * k, 3.0 * k) for k in range(3)]
+
+
+def test_blocks_of_the_risk_table_share_what_they_read(spark):
+    relations = catalog.relations()
+    plain = relations.frame(spark, relations.definitions["risk_table"], catalog.Tables(spark, FOLDER))
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey")
+    assert reads(catalog.queries()["risk_table"](spark, FOLDER)) * 4 <= reads(plain)
