@@ -161,3 +161,25 @@ def test_rows_for_pairs_are_not_multiplied_by_the_grid(spark, name):
 
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LocalRelation [a") == 0 and plan.count("LocalRelation [rho") == 0 and plan.count("LocalRelation [delta") == 0
+
+
+@pytest.mark.parametrize("slot", [2, 1000])
+def test_completion_conditioned_folds_both_over_the_same_slots(spark, monkeypatch, slot):
+    rows = [(g, g + 1, e, e, (e % 7 + 1) / 9.0, int(e % 3 > 0)) for g in (1, 5) for e in range(9 * g)]
+    chances = spark.createDataFrame(rows, "lo long, hi long, episode long, ts long, p double, done int")
+    written, kept = [], decoders.kept
+    monkeypatch.setattr(decoders, "kept", lambda df: written.append(1) or kept(df))
+    got = {(r["lo"], r["episode"]): r["decoded"] for r in decoders.completion_conditioned(chances, k=3, slot=slot).collect()}
+    assert len(written) == 2  # the rows and the pairs of more than a slot
+
+    def among_first(ps):
+        dist, out = [1.0, 0.0, 0.0], []
+        for p in ps:
+            out.append(p * sum(dist))
+            dist = [d * (1 - p) + (dist[i - 1] * p if i else 0.0) for i, d in enumerate(dist)]
+        return out
+
+    for g in (1, 5):
+        own = [r for r in rows if r[0] == g]
+        want = [h + 1e-6 * o for h, o in zip(among_first([r[4] * r[5] for r in own]), among_first([r[4] for r in own]), strict=True)]
+        assert [got[g, r[2]] for r in own] == pytest.approx(want, abs=1e-12)
