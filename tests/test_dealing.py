@@ -36,3 +36,22 @@ def test_pairs_of_dealt_events_are_planned(spark, monkeypatch, name):
     monkeypatch.setattr(tables, "TASK_EVENTS", 500)
     plan = catalog.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "RoundRobin" not in plan
+
+
+@pytest.mark.parametrize("name", ["role_features", "oriented_episode_features"])
+def test_events_of_pairs_are_not_sent_to_the_pairs(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = catalog.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = lambda line: re.search(r"[A-Za-z*(]", line).start()
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning(lo" in line:
+            below = []
+            for other in lines[i + 1 :]:
+                if depth(other) <= depth(line):
+                    break
+                below.append(other)
+            grouped = any("max_by(" in other for other in below)  # one row for an episode of a pair by then
+            assert grouped or not any(re.search(r"\b(pot|last_pusher)#", other) for other in below)
