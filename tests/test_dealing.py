@@ -5,6 +5,7 @@ import re
 import pytest
 
 from tandem import catalog
+from tandem.operators import contracts
 from tandem.plans.relations import on_episodes
 from tandem.sources import tables
 
@@ -55,3 +56,15 @@ def test_events_of_pairs_are_not_sent_to_the_pairs(spark, name):
                 below.append(other)
             grouped = any("max_by(" in other for other in below)  # one row for an episode of a pair by then
             assert grouped or not any(re.search(r"\b(pot|last_pusher)#", other) for other in below)
+
+
+def test_citations_go_to_their_episodes_once(spark):
+    episodes = spark.createDataFrame([(e, "evaluation" if e % 2 else "development") for e in range(1, 7)], "episode long, win string")
+    participants = spark.createDataFrame([(1, 10), (1, 20), (2, 10), (2, 30), (3, 20), (4, 10), (4, 20)], "episode long, member long")
+    scored = spark.createDataFrame([(0, 10, 20, e, e, "evaluation", float(e), 0.0) for e in (1, 2, 3, 4, 5, 6, 9)] + [(0, 10, 30, 2, 2, "evaluation", 1.0, 0.0)], "pool long, lo long, hi long, episode long, ts long, win string, score double, lean double")
+    tables_ = {"episodes": episodes, "participants": participants, "scored": scored, "pair_scores": scored.selectExpr("pool", "lo", "hi", "1e0 AS score", "0 AS family").distinct()}
+    relations = catalog.relations()
+    found, plain = relations.frame(spark, contracts._MEMBERSHIP_ON_SPARK, tables_), relations.frame(spark, contracts.OPERATORS["validate_membership"], tables_)
+    assert found.collect() == plain.collect() == [(6, 1, 3, 4)]
+    query = catalog.queries()["validate_membership"](spark, FOLDER)
+    assert "Union" not in query._jdf.queryExecution().optimizedPlan().toString()
