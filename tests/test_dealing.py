@@ -68,3 +68,12 @@ def test_citations_go_to_their_episodes_once(spark):
     assert found.collect() == plain.collect() == [(6, 1, 3, 4)]
     query = catalog.queries()["validate_membership"](spark, FOLDER)
     assert "Union" not in query._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_decisions_are_not_sent_to_their_members(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.queries()["decision_context"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"SortMergeJoin \[member#\d+L?, win#\d+", plan)
