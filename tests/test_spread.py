@@ -87,3 +87,18 @@ def test_blocks_of_the_risk_table_share_what_they_read(spark):
     plain = relations.frame(spark, relations.definitions["risk_table"], catalog.Tables(spark, FOLDER))
     reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey")
     assert reads(catalog.queries()["risk_table"](spark, FOLDER)) * 4 <= reads(plain)
+
+
+def test_bags_are_made_once(spark, monkeypatch):
+    episodes = spark.range(240).selectExpr("id % 30 AS lo", "id % 30 + 1 AS hi", "CAST(id % 3 AS INT) AS fold", "CAST(CASE WHEN id % 5 < 4 THEN id * 7 % 11 > 5 END AS INT) AS y", "CAST(id * 3 % 13 AS DOUBLE) AS a")
+    found = episodes.selectExpr("lo", "hi", "fold", "CAST(lo % 2 AS INT) AS label").distinct()
+    written, kept = [], learning.kept
+    monkeypatch.setattr(learning, "kept", lambda df: written.append(df.columns) or kept(df))
+    assert learning.gated_bag_model(episodes, found, ("a",)).count() == 30
+    assert len(written) == 1 and "gate_entropy" in written[0]
+
+
+def test_pairs_of_the_gated_model_need_no_look_at_events(spark):
+    frame = lambda name: catalog.relations().frame(spark, f"SELECT pool, lo, hi, label, fold FROM {{{name}}}", catalog.Tables(spark, FOLDER))
+    few, whole = frame("pair_folds"), frame("pair_table")
+    assert sorted(few.collect()) == sorted(whole.collect()) and "last_value" not in plan_of(few)
