@@ -5,7 +5,7 @@ import re
 import pytest
 
 from tandem import catalog
-from tandem.operators import contracts
+from tandem.operators import contracts, interactions
 from tandem.plans.relations import on_episodes
 from tandem.sources import tables
 
@@ -77,3 +77,19 @@ def test_decisions_are_not_sent_to_their_members(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert not re.search(r"SortMergeJoin \[member#\d+L?, win#\d+", plan)
+
+
+def test_only_partners_and_totals_are_sent_to_a_rollup(spark, monkeypatch):
+    plans, keep = [], interactions.kept
+    monkeypatch.setattr(interactions, "kept", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    rows = catalog.queries()["pair_rollup"](spark, FOLDER)
+    plans.append(rows._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 2 and not any(re.search(r"Exchange hashpartitioning\((actor|target)#\d+L?, (actor|target)#", p) for p in plans)
+    assert sum("hashpartitioning(actor" in line for line in plans[0].split("Initial Plan")[0].splitlines()) == 1  # sums by actor and partner, or actor alone
+    # other features, a mask, and labels of some pairs only
+    tables_, relations = {**tables.Tables(spark, FOLDER)}, catalog.relations()
+    tables_["pair_labels"] = relations.frame(spark, "SELECT * FROM {pair_labels} WHERE lo % 3 = 0", tables_)
+    for features, mask in ((("faced", "max_matched"), "TRUE"), (("exit_to", "pushes_edge", "max_pot_at_exit"), "episode % 2 = 0 AND opportunities > 1")):
+        got = interactions.roll_up(spark, tables_, features, mask=mask).collect()
+        want = relations.frame(spark, interactions.rollup(features, mask=mask), tables_).collect()
+        assert len(got) == 3 and sorted(map(repr, got)) == sorted(map(repr, want))
