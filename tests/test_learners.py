@@ -155,3 +155,35 @@ def test_seed_expand_and_domain_classifier(case):
     found = learning.domain_classifier(df.where("y = 0"), df.where("y = 1"), ("a", "b")).collect()
     fx, fy, fold = np.array([(r["a"], r["b"]) for r in found]), np.array([float(r["label"]) for r in found]), np.array([r["fold"] for r in found])
     assert np.allclose([r["score"] for r in found], out_of_fold(fx, fy, np.ones(N), fold, 0.01), atol=2e-3)
+
+
+def test_pair_risk_weighs_classes_and_has_exact_ranks(case):
+    df, x, y, _, fold, *_ = case
+    rows = df.selectExpr("id", "fold", "IF(id % 7 = 0, NULL, y) AS label", "a", "b")
+    known, score = np.arange(N) % 7 != 0, np.zeros(N)
+    for k in range(3):
+        train = (fold != k) & known
+        w = np.where(y == 1, 0.5 / y[train].mean(), 0.5 / (1 - y[train].mean()))
+        score[fold == k] = chance(x[fold == k], logistic(x[train], y[train], w[train], 0.01))
+    got = by_id(learning.fit_pair_risk(rows, ("a", "b"), ()), "risk")[:, 0]  # of no seeds: the logistic model alone
+    rank = (score[:, None] >= score[None, :]).sum(1) / N
+    assert sorted(np.round(got * N, 6)) == list(range(1, N + 1))  # all values differ, and so do their ranks
+    assert np.abs(got - rank).max() <= 2.5 / N
+
+
+@pytest.mark.parametrize("slot", [3, 1000])
+def test_equal_scores_share_their_mean_rank(spark, slot):
+    values = [0.5] * 5 + [0.1, 0.9, 0.9] + [0.2] * 4
+    rows = spark.createDataFrame([(i, v, float(i)) for i, v in enumerate(values)], "id long, s double, t double")
+    got = by_id(learning.exact_ranks(rows, {"s": "rs", "t": "rt"}, slot), "rs", "rt")
+    below, same = (np.array([sum(f(v, o) for o in values) for v in values]) for f in (lambda v, o: o < v, lambda v, o: o == v))
+    assert np.allclose(got, np.c_[(below + (same + 1) / 2) / 12, (np.arange(12) + 1) / 12])
+
+
+def test_query_of_pair_risk_sees_all_blocks_and_no_smaller_models(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(learning, "_table", lambda name, spark, folder: name)
+    monkeypatch.setattr(learning, "fit_pair_risk", lambda *given, **more: seen.append((given, more)) or spark.range(1).selectExpr("1 AS pool", "1 AS lo", "1 AS hi", "1 AS label", "1 AS fold", "1 AS risk"))
+    learning.QUERIES["fit_pair_risk"](spark, "")
+    ((given, more),) = seen
+    assert given[0] == "risk_table" and set(given[1]) == {*learning._PAIR, *learning._BLOCKS} and len(given) == 2 and not more
