@@ -187,3 +187,20 @@ def test_query_of_pair_risk_sees_all_blocks_and_no_smaller_models(spark, monkeyp
     learning.QUERIES["fit_pair_risk"](spark, "")
     ((given, more),) = seen
     assert given[0] == "risk_table" and set(given[1]) == {*learning._PAIR, *learning._BLOCKS} and len(given) == 2 and not more
+
+
+def test_only_features_that_lack_values_are_filled(case, monkeypatch):
+    df, x, y, _, fold, *_ = case
+    filled, imputer = [], learning.Imputer
+    monkeypatch.setattr(learning, "Imputer", lambda **given: filled.append(given["inputCols"]) or imputer(**given))
+    rows = df.selectExpr("id", "fold", "y AS label", "a", "IF(id % 9 = 0, NULL, b) AS b")
+    model = LogisticRegression(regParam=0.01)
+    whole = by_id(learning.cross_fit(df.withColumnRenamed("y", "label"), model, ("a", "b"), standardize=True), "score")[:, 0]
+    assert filled == [] and np.allclose(whole, out_of_fold(x, y, np.ones(N), fold, 0.01), atol=2e-3)
+    got = by_id(learning.cross_fit(rows, model, ("a", "b")), "score")[:, 0]
+    assert filled == [["b"]] * 3
+    gaps = np.arange(N) % 9 == 0
+    for k in range(3):
+        train = fold != k
+        own = np.c_[x[:, 0], np.where(gaps, np.sort(x[train & ~gaps, 1])[(train & ~gaps).sum() // 2], x[:, 1])]
+        assert np.allclose(got[fold == k], chance(own, logistic(own[train], y[train], np.ones(train.sum()), 0.01))[fold == k], atol=2e-2)

@@ -102,3 +102,11 @@ def test_pairs_of_the_gated_model_need_no_look_at_events(spark):
     frame = lambda name: catalog.relations().frame(spark, f"SELECT pool, lo, hi, label, fold FROM {{{name}}}", catalog.Tables(spark, FOLDER))
     few, whole = frame("pair_folds"), frame("pair_table")
     assert sorted(few.collect()) == sorted(whole.collect()) and "last_value" not in plan_of(few)
+
+
+def test_risk_table_reads_what_its_blocks_share_once(spark, monkeypatch):
+    plans, keep = [], learning.kept
+    monkeypatch.setattr(learning, "kept", lambda df: plans.append(plan_of(df)) or keep(df))
+    rows = catalog.queries()["risk_table"](spark, FOLDER)
+    assert sum("lineitem" in p for p in [*plans, plan_of(rows)]) == 4  # pairs' episodes, their scores, counts toward partners, and how many episodes a member has
+    assert len(rows.collect()) == spark.sql("SELECT * FROM {t}", t=catalog.relations().frame(spark, "SELECT * FROM {pair_labels}", catalog.Tables(spark, FOLDER))).count()
