@@ -5,7 +5,7 @@ import re
 import pytest
 
 from tandem import catalog
-from tandem.operators import contracts, interactions
+from tandem.operators import contracts, features, interactions
 from tandem.plans.relations import on_episodes
 from tandem.sources import tables
 
@@ -93,3 +93,29 @@ def test_only_partners_and_totals_are_sent_to_a_rollup(spark, monkeypatch):
         got = interactions.roll_up(spark, tables_, features, mask=mask).collect()
         want = relations.frame(spark, interactions.rollup(features, mask=mask), tables_).collect()
         assert len(got) == 3 and sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_wide_rows_of_pairs_stay_with_their_episodes(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.queries()["pair_episode_features"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"Exchange hashpartitioning\((lo|hi)#\d+L?, win#", plan)
+    sent = re.findall(r"hashpartitioning\(lo#\d+L?, hi#\d+L?, \d+\)", plan)
+    assert len(sent) == 1  # what is ranked and averaged
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if sent[0] in line)
+    assert "facing_lo" not in lines[at + 1] and "push_stage0_lo" not in lines[at + 1]
+
+
+def test_features_of_episodes_that_come_more_than_once(spark, monkeypatch):
+    given = {**tables.Tables(spark, FOLDER)}
+    orders = given["orders"]
+    later = orders.where("o_orderkey % 11 = 0").selectExpr(*("o_totalprice * 2 AS o_totalprice" if c == "o_totalprice" else "o_orderdate + INTERVAL 40 DAYS AS o_orderdate" if c == "o_orderdate" else c for c in orders.columns))
+    given["orders"] = orders.where("o_orderkey % 7 <> 3").unionAll(orders.where("o_orderkey % 5 = 0")).unionAll(later)
+    monkeypatch.setattr(catalog, "Tables", lambda spark, folder: given)
+    open_ties = ("risk_before5", "risk_after5", "risk_near10", "risk_near25")  # of equal rows
+    got = catalog.queries()["pair_episode_features"](spark, FOLDER).drop(*open_ties).collect()
+    want = catalog.relations().frame(spark, features.OPERATORS["pair_episode_features"], {**given, "member_rates": catalog.relations().frame(spark, features.RELATIONS["member_rates"], given)}).drop(*open_ties).collect()
+    assert len(got) > len(set(map(repr, got))) > 100 and sorted(map(repr, got)) == sorted(map(repr, want))
